@@ -1,0 +1,246 @@
+"""DuckDB oracle SQL, one statement per registered query.
+
+Written independently of the Spark code: keyword queries are evaluated by the
+plain per-row algorithm on the query string, HTML by DuckDB's RE2, and every
+derived input comes from the same view text (``sieve.plans.fixtures``).
+"""
+
+from __future__ import annotations
+
+import html.entities
+
+from sieve.plans import fixtures
+
+# Python whitespace (str.isspace) in RE2 syntax
+WS = r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+DOI = r"(?i)10\.\d{4,9}/[-._;()/:A-Z0-9]+"
+TOKEN = r"(?s)<!\[CDATA\[.*?\]\]>|<!--.*?-->|<[^>]*>|&#?[A-Za-z0-9]+;|[^<&]+|[<&]"
+RANKS = ["MISSING", "A_STAR", "A", "B", "C"]
+
+
+def lit(s) -> str:
+    if s is None:
+        return "NULL"
+    if isinstance(s, bool):
+        return "TRUE" if s else "FALSE"
+    if isinstance(s, (int, float)):
+        return str(s)
+    if isinstance(s, (list, tuple)):
+        return "[" + ", ".join(lit(x) for x in s) + "]"
+    return "'" + str(s).replace("'", "''") + "'"
+
+
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def entity_map() -> str:
+    table = {n: chr(c) for n, c in html.entities.name2codepoint.items()}
+    table["apos"] = "'"
+    return "MAP {" + ", ".join(f"{lit(k)}: {lit(v)}" for k, v in sorted(table.items())) + "}"
+
+
+def markup_text(x: str, drop_tags: bool = True) -> str:
+    tag = "WHEN starts_with(t_, '<') AND length(t_) > 1 THEN '' " if drop_tags else ""
+    ent = entity_map()
+    return (
+        f"array_to_string(list_transform(regexp_extract_all({x}, '{TOKEN}', 0), lambda t_: CASE "
+        "WHEN starts_with(t_, '<![CDATA[') THEN substr(t_, 10, length(t_) - 12) "
+        f"{tag}"
+        "WHEN regexp_full_match(t_, '&#[0-9]{1,7};') THEN chr(CAST(regexp_extract(t_, '&#([0-9]+);', 1) AS INTEGER)) "
+        f"WHEN starts_with(t_, '&') AND map_extract_value({ent}, regexp_extract(t_, '^&([A-Za-z0-9]+);$', 1)) IS NOT NULL "
+        f"THEN map_extract_value({ent}, regexp_extract(t_, '^&([A-Za-z0-9]+);$', 1)) "
+        "ELSE t_ END), '')"
+    )
+
+
+def or_match(text: str, expr: str) -> str:
+    return (f"list_bool_or(list_transform(string_split_regex({expr}, '(?i)or'), "
+            f"lambda p_: contains(lower({text}), lower({strip('p_')}))))")
+
+
+def and_match(text: str, expr: str) -> str:
+    return (f"(len(list_filter(string_split_regex({expr}, '(?i)and'), "
+            f"lambda p_: NOT contains(lower({text}), lower({strip('p_')})))) = 0)")
+
+
+def groups_list(expr: str) -> str:
+    return f"list_transform(regexp_extract_all({expr}, '\\(([^)]+)\\)', 1), lambda g_: {strip('g_')})"
+
+
+def cnf(text: str, expr: str) -> str:
+    """The per-row CNF algorithm on a query string (literal or column)."""
+    groups = groups_list(expr)
+    ors = (f"(len(list_filter({groups}, lambda g2_: NOT "
+           f"list_bool_or(list_transform(string_split_regex(g2_, '(?i)or'), "
+           f"lambda p_: contains(lower({text}), lower({strip('p_')})))))) = 0)")
+    rest = f"list_reduce({groups}, lambda acc_, g3_: replace(acc_, '(' || g3_ || ')', ''), {expr})"
+    return f"({ors} AND {and_match(text, rest)})"
+
+
+def groups_query(groups_sql: str) -> str:
+    """Keyword groups (a DuckDB list of lists) → query string, words de-duplicated and sorted."""
+    return (f"coalesce(array_to_string(list_transform({groups_sql}, lambda w_: '(' || "
+            f"array_to_string(list_sort(list_distinct(w_)), ' OR ') || ')'), ' AND '), '')")
+
+
+def token_groups(text: str, groups) -> str:
+    """Token split: each word one literal, stripped and lower-cased."""
+    if not groups:
+        return "TRUE"
+    parts = []
+    for g in groups:
+        words = [w.strip().lower() for w in g]
+        if "" in words:
+            continue
+        if not words:
+            return "FALSE"
+        parts.append("(" + " OR ".join(f"contains(lower({text}), {lit(w)})" for w in words) + ")")
+    return "(" + " AND ".join(parts) + ")" if parts else "TRUE"
+
+
+def prefix_any(col: str, prefixes) -> str:
+    if prefixes is None:
+        return f"({col} IS NOT NULL)"
+    if not prefixes:
+        return "FALSE"
+    return "(" + " OR ".join(f"starts_with({col}, {lit(p)})" for p in prefixes) + ")"
+
+
+def parse_rank(x: str) -> str:
+    return (f"(CASE WHEN {x} = 'A*' THEN 'A_STAR' WHEN upper({x}) IN ('MISSING','A_STAR','A','B','C') "
+            f"THEN upper({x}) ELSE 'MISSING' END)")
+
+
+def rank_ord(x: str) -> str:
+    return "(CASE " + " ".join(f"WHEN {x} = '{r}' THEN {i}" for i, r in enumerate(RANKS)) + " ELSE 0 END)"
+
+
+def views(*names: str) -> str:
+    return ",\n".join(f"{n} AS ({fixtures.duckdb_view_sql(n)})" for n in names)
+
+
+def spec(i: int) -> dict:
+    return fixtures.REVIEW_SPECS[i - 1]
+
+
+def candidates_where(i: int, title: str = "title") -> str:
+    s = spec(i)
+    q = groups_query(lit(s.get("search_word_groups") or []) + "::VARCHAR[][]")
+    return (f"{prefix_any('key', s.get('accepted_venue_types'))} AND year BETWEEN {s['year_min']} AND {s['year_max']} "
+            f"AND {cnf(title, q)}")
+
+
+FIRST_TABLE = r"(?is)<table(?:\s[^>]*)?>(.*?)</table>"
+ROW = r"(?is)<tr(?:\s[^>]*)?>(.*?)</tr>"
+CELL = r"(?is)<td(?:\s[^>]*)?>(.*?)</td>"
+
+
+def rank_rows_cte(kind: str) -> str:
+    key_cell = 2 if kind == "conference" else 1
+    return f"""(SELECT '{kind}' AS kind, {strip(markup_text(f'cells[{key_cell}]'))} AS lookup_key, page_id,
+        CAST(pos AS INTEGER) AS pos, {strip(markup_text('cells[4]'))} AS rank_text
+      FROM (SELECT page_id, pos, regexp_extract_all(row_, '{CELL}', 1) AS cells
+            FROM (SELECT page_id, unnest(rows_) AS row_, generate_subscripts(rows_, 1) - 1 AS pos
+                  FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '{FIRST_TABLE}', 1), '{ROW}', 1) AS rows_
+                        FROM rank_html)))
+      WHERE pos >= 1 AND len(cells) > 3)"""
+
+
+def dim_cte() -> str:
+    return f"""(SELECT kind, lkey, {parse_rank('rank_text')} AS venue_rank FROM
+      (SELECT kind, lower(lookup_key) AS lkey, arg_min(rank_text, (page_id, pos)) AS rank_text
+       FROM ({rank_rows_cte('conference')} UNION ALL {rank_rows_cte('journal')}) GROUP BY 1, 2))"""
+
+
+def ranked_candidates(i: int) -> str:
+    """CTE text: candidates of review i, split and ranked (needs bib, rank_html)."""
+    return f"""cand AS (SELECT *, string_split(key, '/') AS parts FROM bib WHERE {candidates_where(i)}),
+split AS (SELECT * FROM cand WHERE len(parts) = 3),
+dim AS {dim_cte()},
+ranked AS (SELECT split.*, coalesce(dim.venue_rank, 'MISSING') AS venue_rank
+           FROM split LEFT JOIN dim
+             ON dim.kind = CASE parts[1] WHEN 'conf' THEN 'conference' WHEN 'journals' THEN 'journal' END
+            AND dim.lkey = lower(parts[2]))"""
+
+
+def gate_sql(i: int, missing_passes: bool = True) -> str:
+    s = spec(i)
+    th = s.get("venue_rank_threshold")
+    allow = prefix_any("key", s.get("manually_accepted_venue_codes") or [])
+    if th is None:
+        valid = "TRUE"
+    else:
+        valid = f"({rank_ord('venue_rank')} <= {rank_ord(parse_rank(lit(th)))})"
+        if not missing_passes:
+            valid = f"({valid} AND venue_rank <> 'MISSING')"
+    return f"({allow} OR {valid})"
+
+
+def paper_select(i: int) -> str:
+    return (f"SELECT CAST({i} AS BIGINT) AS study_id, rec_id, nullif(regexp_extract(ee, '{DOI}', 0), '') AS doi, "
+            "CAST(NULL AS VARCHAR) AS semantic_scholar_id, title, year, parts[1] AS venue_type, "
+            "parts[2] AS venue_code, parts[3] AS venue_key, venue_rank, ee AS publisher_source, "
+            "CAST(NULL AS VARCHAR) AS pdf_source")
+
+
+CNF_QUERY = "(ring OR anvil OR gizmo) AND (economy or promo) AND workload"
+
+ORACLES: dict[str, str] = {}
+
+ORACLES["screen"] = f"""WITH {views('bib', 'rank_html')},
+{ranked_candidates(1)}
+{paper_select(1)} FROM ranked WHERE {gate_sql(1)}"""
+
+ORACLES["venue_type_filter"] = f"""WITH {views('bib')}
+SELECT rec_id, key FROM bib WHERE {prefix_any('key', ['conf', 'journals'])}"""
+
+ORACLES["year_filter"] = f"""WITH {views('bib')}
+SELECT rec_id, year FROM bib WHERE year BETWEEN 1996 AND 1998"""
+
+ORACLES["cnf_match"] = f"""WITH {views('bib')}
+SELECT rec_id, {cnf('title', lit(CNF_QUERY))} AS matched FROM bib"""
+
+ORACLES["cnf_match_column"] = f"""WITH {views('exprs')}
+SELECT rec_id, {cnf('title', 'cnf_expr')} AS matched FROM exprs"""
+
+ORACLES["or_match"] = f"""WITH {views('exprs')}
+SELECT rec_id, {or_match('title', 'or_expr')} AS matched FROM exprs"""
+
+ORACLES["and_match"] = f"""WITH {views('exprs')}
+SELECT rec_id, {and_match('title', 'and_expr')} AS matched FROM exprs"""
+
+ORACLES["paren_groups"] = f"""WITH {views('exprs')}
+SELECT rec_id, array_to_string({groups_list('cnf_expr')}, '|') AS groups FROM exprs"""
+
+_G1 = spec(1)["search_word_groups"]
+ORACLES["keyword_groups"] = f"""SELECT doc_id, {cnf('text', groups_query(lit(_G1) + '::VARCHAR[][]'))} AS matched FROM documents"""
+ORACLES["keyword_groups_token"] = f"""SELECT doc_id, {token_groups('text', _G1)} AS matched FROM documents"""
+
+ORACLES["batch_limit"] = f"""WITH {views('bib')}
+SELECT rec_id FROM bib WHERE {candidates_where(2)} ORDER BY ord LIMIT 100"""
+
+ORACLES["split_key"] = f"""WITH {views('bib')}
+SELECT rec_id, p[1] AS venue_type, p[2] AS venue_code, p[3] AS venue_key
+FROM (SELECT rec_id, string_split(key, '/') AS p FROM bib) WHERE len(p) = 3"""
+
+ORACLES["extract_doi"] = f"""WITH {views('bib')}
+SELECT rec_id, nullif(regexp_extract(ee, '{DOI}', 0), '') AS doi FROM bib"""
+
+ORACLES["parse_rank"] = f"""WITH {views('ranks')}
+SELECT venue_code, rank_text, {parse_rank('rank_text')} AS venue_rank FROM ranks"""
+
+ORACLES["rank_rows"] = f"""WITH {views('rank_html')}
+SELECT * FROM {rank_rows_cte('conference')}"""
+
+ORACLES["venue_rank_join"] = f"""WITH {views('bib', 'rank_html')},
+{ranked_candidates(2)}
+SELECT rec_id, parts[1] AS venue_type, parts[2] AS venue_code, venue_rank FROM ranked"""
+
+ORACLES["venue_gate"] = f"""WITH {views('bib', 'rank_html')},
+{ranked_candidates(1)}
+SELECT rec_id, venue_rank, {gate_sql(1)} AS accepted FROM ranked"""
+
+ORACLES["venue_gate_strict"] = f"""WITH {views('bib', 'rank_html')},
+{ranked_candidates(1)}
+SELECT rec_id, venue_rank, {gate_sql(1, missing_passes=False)} AS accepted FROM ranked"""
