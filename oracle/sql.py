@@ -244,3 +244,156 @@ SELECT rec_id, venue_rank, {gate_sql(1)} AS accepted FROM ranked"""
 ORACLES["venue_gate_strict"] = f"""WITH {views('bib', 'rank_html')},
 {ranked_candidates(1)}
 SELECT rec_id, venue_rank, {gate_sql(1, missing_passes=False)} AS accepted FROM ranked"""
+
+
+# --- text ----------------------------------------------------------------------
+def clean(x: str) -> str:
+    return f"coalesce(replace({strip(x)}, chr(10), ''), '')"
+
+
+def words(x: str, v: str = "w_") -> str:
+    return f"list_filter(string_split_regex({x}, '{WS}+'), lambda {v}: {v} <> '')"
+
+
+def long_paras(x: str, n: int) -> str:
+    return f"list_filter(string_split_regex({x}, '\\n\\n+'), lambda pp_: len({words('pp_', 'ww_')}) > {n})"
+
+
+META_TAG = r"""(?is)<meta\s[^>]*property\s*=\s*["']og:description["'][^>]*>"""
+CONTENT_DQ = r'''(?is)\scontent\s*=\s*"([^"]*)"'''
+CONTENT_SQ = r"""(?is)\scontent\s*=\s*'([^']*)'"""
+
+
+def meta_desc(html: str) -> str:
+    tag = f"regexp_extract({html}, {lit(META_TAG)}, 0)"
+    raw = (f"(CASE WHEN regexp_matches({tag}, {lit(CONTENT_DQ)}) THEN regexp_extract({tag}, {lit(CONTENT_DQ)}, 1) "
+           f"WHEN regexp_matches({tag}, {lit(CONTENT_SQ)}) THEN regexp_extract({tag}, {lit(CONTENT_SQ)}, 1) END)")
+    return f"(CASE WHEN {tag} <> '' THEN {markup_text(raw, drop_tags=False)} END)"
+
+
+def page_text(html: str) -> str:
+    h = f"regexp_replace({html}, '(?s)<!--.*?-->', '', 'g')"
+    for e in ["script", "style", "li", "ul"]:
+        h = f"regexp_replace({h}, '(?is)<{e}(?:[\\s/][^>]*)?>.*?</{e}\\s*>', '', 'g')"
+    h = f"regexp_replace({h}, '(?s)<![^>]*>', '', 'g')"
+    return markup_text(h)
+
+
+def fallback(html: str, n: int = 200) -> str:
+    body = clean(f"array_to_string({long_paras(page_text(html), n)}, '')")
+    return (f"(CASE WHEN strpos(lower({body}), 'abstract') > 0 "
+            f"THEN substr({body}, strpos(lower({body}), 'abstract')) ELSE {body} END)")
+
+
+ROUTES = [(("sciencedirect",), "id", "abstracts"), (("ieee",), "meta", None), (("arxiv",), "id", "abs"),
+          (("emerald", "acm"), "id", "abstract"), (("springer",), "id", "Abs1-content")]
+
+
+def route(url: str) -> tuple[str, str]:
+    r, e = "CASE", "CASE"
+    for subs, kind, elem in ROUTES:
+        cond = " OR ".join(f"contains({url}, {lit(s)})" for s in subs)
+        r += f" WHEN {cond} THEN {lit(kind)}"
+        e += f" WHEN {cond} THEN {lit(elem)}"
+    return r + " ELSE 'fallback' END", e + " ELSE NULL END"
+
+
+def id_text(html: str, elem: str) -> str:
+    """Element text by id for this fixture's markup (a plain <div> without
+    nested <div>): RE2 cannot follow nesting, the Spark side uses a parser."""
+    inner = f"regexp_extract({html}, {lit('(?s)<div[^>]*[ ]id=\"' + elem + '\"[^>]*>(.*?)</div>')}, 1)"
+    return clean(markup_text(inner))
+
+
+def extract(url: str, html: str) -> str:
+    r, _ = route(url)
+    ids = " ".join(f"WHEN contains({url}, {lit(s)}) THEN {id_text(html, elem)}"
+                   for subs, kind, elem in ROUTES if kind == "id" for s in subs)
+    id_expr = f"(CASE {ids} END)"
+    return f"(CASE {r} WHEN 'id' THEN {id_expr} WHEN 'meta' THEN {meta_desc(html)} ELSE {fallback(html)} END)"
+
+
+LIKERT = ["strongly_disagree", "disagree", "somewhat_disagree", "neither_agree_or_disagree",
+          "somewhat_agree", "agree", "strongly_agree"]
+
+
+def likert(x: str) -> str:
+    return "(CASE " + " ".join(f"WHEN {x} = {i + 1} THEN {lit(l)}" for i, l in enumerate(LIKERT)) + " END)"
+
+
+ORACLES["clean_text"] = f"SELECT doc_id, {clean('text')} AS cleaned FROM documents"
+
+_LP = long_paras("replace(text, chr(10), chr(10) || chr(10))", 40)
+ORACLES["long_paragraphs"] = f"SELECT doc_id, len({_LP}) AS n_long, array_to_string({_LP}, '') AS long_text FROM documents"
+
+ORACLES["meta_description"] = f"""WITH {views('web')}
+SELECT page_id, {meta_desc('html')} AS description FROM web"""
+
+ORACLES["fallback_abstract"] = f"SELECT page_id, {fallback('html')} AS abstract FROM pages"
+
+_R, _E = route("url")
+ORACLES["abstract_route"] = f"""WITH {views('web')}
+SELECT page_id, {_R} AS route, {_E} AS element_id FROM web"""
+
+ORACLES["text_by_id"] = f"""WITH {views('web')}
+SELECT page_id, {id_text('html', 'abs')} AS text FROM web"""
+
+ORACLES["extract_abstract"] = f"""WITH {views('web')}
+SELECT page_id, {_R} AS route, {extract('url', 'html')} AS abstract FROM web"""
+
+ORACLES["likert_label"] = f"SELECT l_orderkey, l_linenumber, {likert('l_linenumber')} AS label FROM lineitem"
+
+NL = "chr(10)"
+ORACLES["section_text"] = f"""WITH {views('meta')}
+SELECT doi, 'tldr:' || {NL} || coalesce(tldr, 'None') || {NL} || {NL} || 'abstract:' || {NL} || coalesce(abstract, 'None') || {NL} AS text FROM meta"""
+
+# --- responses, specs ---------------------------------------------------------------
+JWS = r"[ \t\n\r]*"
+JSTR = r'"(?:[^"\\]|\\.)*"'
+SHAPE = f"{JWS}\\{{{JWS}\"ratings\"{JWS}:{JWS}\\[{JWS}(?:{JSTR}(?:{JWS},{JWS}{JSTR})*)?{JWS}\\]{JWS}\\}}{JWS}"
+
+
+def response_ok(r: str) -> str:
+    return (f"coalesce(json_valid({r}) AND (CASE WHEN json_valid({r}) THEN json_type({r}) = 'OBJECT' "
+            f"AND json_keys({r}) = ['ratings'] ELSE FALSE END) AND regexp_full_match({r}, {lit(SHAPE)}), FALSE)")
+
+
+ORACLES["valid_responses"] = f"""WITH {views('raw_responses')}
+SELECT doc_id, {response_ok('response')} AS valid FROM raw_responses"""
+
+THRESHOLDS = ["A*", "A", "B", "C"]
+VTYPES = ["conf", "journals", "workshops", "informal", "phd", "books"]
+
+
+def spec_errors(doc: str) -> str:
+    t = lambda f: f"json_type({doc}, '$.{f}')"
+    els = lambda f: f"json_type({doc}, '$.{f}[*]')"
+    all_str = lambda f: f"coalesce(list_bool_and(list_transform({els(f)}, lambda x_: x_ = 'VARCHAR')), TRUE)"
+    checks = []
+    for f in ["search_word_groups", "inclusion_criteria", "year_min", "year_max"]:
+        checks.append(f"CASE WHEN NOT list_contains(json_keys({doc}), '{f}') THEN 'missing:{f}' END")
+    for f in ["study_name", "research_goal", "venue_rank_threshold"]:
+        checks.append(f"CASE WHEN {t(f)} IS NOT NULL AND {t(f)} <> 'VARCHAR' THEN 'type:{f}' END")
+    for f in ["research_questions", "inclusion_criteria", "accepted_venue_types", "manually_accepted_venue_codes"]:
+        checks.append(f"CASE WHEN {t(f)} IS NOT NULL AND ({t(f)} <> 'ARRAY' OR NOT {all_str(f)}) THEN 'type:{f}' END")
+    g = "search_word_groups"
+    inner_ok = (f"coalesce(list_bool_and(list_transform({els(g)}, lambda x_: x_ = 'ARRAY')), TRUE) AND "
+                f"coalesce(list_bool_and(list_transform(json_type({doc}, '$.{g}[*][*]'), lambda x_: x_ = 'VARCHAR')), TRUE)")
+    checks.append(f"CASE WHEN {t(g)} IS NOT NULL AND ({t(g)} <> 'ARRAY' OR NOT ({inner_ok})) THEN 'type:{g}' END")
+    for f in ["year_min", "year_max"]:
+        checks.append(f"CASE WHEN {t(f)} IS NOT NULL AND {t(f)} NOT IN ('UBIGINT', 'BIGINT') THEN 'type:{f}' END")
+        checks.append(f"CASE WHEN {t(f)} = 'BIGINT' THEN 'minimum:{f}' END")
+    checks.append(f"CASE WHEN {t('venue_rank_threshold')} = 'VARCHAR' AND json_extract_string({doc}, '$.venue_rank_threshold') "
+                  f"NOT IN ({', '.join(lit(x) for x in THRESHOLDS)}) THEN 'enum:venue_rank_threshold' END")
+    vt = "accepted_venue_types"
+    checks.append(f"CASE WHEN {t(vt)} = 'ARRAY' AND {all_str(vt)} AND len({els(vt)}) > 0 AND NOT coalesce(list_bool_and(list_transform("
+                  f"json_extract_string({doc}, '$.{vt}[*]'), lambda x_: x_ IN ({', '.join(lit(x) for x in VTYPES)}))), TRUE) "
+                  f"THEN 'enum:{vt}' END")
+    errs = f"list_sort(list_filter([{', '.join(checks)}], lambda e_: e_ IS NOT NULL))"
+    return (f"(CASE WHEN NOT json_valid({doc}) THEN ['invalid_json'] WHEN json_type({doc}) <> 'OBJECT' THEN ['not_object'] "
+            f"ELSE {errs} END)")
+
+
+ORACLES["validate_studies"] = f"""WITH {views('spec_docs')}
+SELECT doc_id, len(e) = 0 AS valid, array_to_string(e, ';') AS errors
+FROM (SELECT doc_id, {spec_errors('doc')} AS e FROM spec_docs)"""

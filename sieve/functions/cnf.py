@@ -186,9 +186,9 @@ def compile_query_expr(expr) -> Column:
     and match many texts with ``match_compiled_expr``."""
     e = _c(expr)
     groups = paren_groups(e)
-    return F.struct(
-        F.transform(groups, or_pieces).alias("any_of"),
-        and_pieces(remainder(e, groups)).alias("all_of"),
+    return F.named_struct(
+        F.lit("any_of"), F.transform(groups, or_pieces),
+        F.lit("all_of"), and_pieces(remainder(e, groups)),
     )
 
 

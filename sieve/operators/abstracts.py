@@ -27,6 +27,7 @@ from typing import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import clean_text, decode_entities, long_paragraphs, markup_text
 
@@ -161,7 +162,7 @@ def text_by_id_py(html: str | None, element_id: str | None) -> str:
 def text_by_id(df: DataFrame, html: str = "html", element_id: str = "element_id", out: str = "text") -> DataFrame:
     """Add ``out`` = cleaned text of the element with the row's id (one Arrow
     batch at a time on the executors)."""
-    schema = df.schema.add(out, "string")
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -12,10 +12,14 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import cnf, text, venue
+from ..functions import cnf, formats, text, venue
+from ..operators import abstracts, assess, enrich, multi, prisma, reports, screening
 from ..operators import ranks as rank_ops
-from ..operators import screening
-from .review import ReviewInputs, screen_study
+from ..session import scratch_path
+from ..sources import bibliography, store
+from ..sources import studies as studies_src
+from . import fixtures
+from .review import ReviewInputs, run_review, screen_study
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -167,3 +171,293 @@ def q_venue_gate_strict(spark, sf_dir):
     ok = venue.venue_gate("key", "venue_rank", F.lit(st.venue_rank_threshold),
                           list(st.manually_accepted_venue_codes or []), missing_passes=False)
     return ranked.select("rec_id", "venue_rank", ok.alias("accepted"))
+
+
+# --- many reviews at once ----------------------------------------------------------
+@query("screen_many")
+def q_screen_many(spark, sf_dir):
+    """Accepted papers of all four reviews from one scan."""
+    inp = ReviewInputs(spark, sf_dir)
+    return multi.screen_many(inp.bib, inp.studies, inp.rank_table)
+
+
+# --- text functions -----------------------------------------------------------------
+@query("clean_text")
+def q_clean_text(spark, sf_dir):
+    docs = ReviewInputs(spark, sf_dir).table("documents")
+    return docs.select("doc_id", text.clean_text("text").alias("cleaned"))
+
+
+@query("long_paragraphs")
+def q_long_paragraphs(spark, sf_dir):
+    """Paragraphs of more than 40 words; the documents' single line breaks are
+    doubled into paragraph breaks first."""
+    docs = ReviewInputs(spark, sf_dir).table("documents")
+    paged = docs.select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    paras = text.long_paragraphs("text", 40)
+    return paged.select("doc_id", F.size(paras).alias("n_long"), F.array_join(paras, "").alias("long_text"))
+
+
+@query("meta_description")
+def q_meta_description(spark, sf_dir):
+    web = ReviewInputs(spark, sf_dir).view("web")
+    return web.select("page_id", abstracts.meta_description("html").alias("description"))
+
+
+@query("fallback_abstract")
+def q_fallback_abstract(spark, sf_dir):
+    """Fallback abstract of every raw page (long paragraphs of the page text)."""
+    pages = ReviewInputs(spark, sf_dir).table("pages")
+    return pages.select("page_id", abstracts.fallback_abstract("html").alias("abstract"))
+
+
+@query("abstract_route")
+def q_abstract_route(spark, sf_dir):
+    web = ReviewInputs(spark, sf_dir).view("web")
+    r = abstracts.abstract_route("url")
+    return web.select("page_id", r["route"].alias("route"), r["element_id"].alias("element_id"))
+
+
+@query("text_by_id")
+def q_text_by_id(spark, sf_dir):
+    """Text of the element with id ``abs`` on every page ('' when absent)."""
+    web = ReviewInputs(spark, sf_dir).view("web").withColumn("element_id", F.lit("abs"))
+    return abstracts.text_by_id(web, out="text").select("page_id", "text")
+
+
+@query("extract_abstract")
+def q_extract_abstract(spark, sf_dir):
+    """Abstract of every page by its URL route."""
+    web = ReviewInputs(spark, sf_dir).view("web")
+    return abstracts.extract_abstracts(web, ["page_id"]).select("page_id", "route", "abstract")
+
+
+@query("likert_label")
+def q_likert_label(spark, sf_dir):
+    li = ReviewInputs(spark, sf_dir).table("lineitem")
+    return li.select("l_orderkey", "l_linenumber", formats.likert_label("l_linenumber").alias("label"))
+
+
+@query("section_text")
+def q_section_text(spark, sf_dir):
+    meta = ReviewInputs(spark, sf_dir).view("meta")
+    return meta.select("doi", formats.section_text(("abstract", "title", "tldr")).alias("text"))
+
+
+# --- enrichment ------------------------------------------------------------------------
+@query("resolve_ids")
+def q_resolve_ids(spark, sf_dir):
+    """Candidates of review 2; those without DOI get id and DOI by title."""
+    inp = ReviewInputs(spark, sf_dir)
+    papers, _ = screening.split_venue(screening.candidates(inp.bib, inp.study(2)))
+    out = enrich.resolve_ids(papers, inp.view("title_index"))
+    return out.select("rec_id", "doi", "semantic_scholar_id")
+
+
+def _accepted_enriched(spark, sf_dir):
+    inp = ReviewInputs(spark, sf_dir)
+    return inp, enrich.enrich(screen_study(inp, 1), inp.view("meta"))
+
+
+@query("enrich_papers")
+def q_enrich_papers(spark, sf_dir):
+    """Accepted papers of review 1 with pdf link, tldr and abstract."""
+    _, (papers, contents, _) = _accepted_enriched(spark, sf_dir)
+    return papers.join(contents, ["study_id", "rec_id"], "left").select(
+        "rec_id", "doi", "pdf_source", "tldr", "abstract")
+
+
+@query("paper_metrics")
+def q_paper_metrics(spark, sf_dir):
+    _, (_, _, metrics) = _accepted_enriched(spark, sf_dir)
+    return metrics.select("rec_id", "citations", "influential_citations")
+
+
+@query("abstract_coalesce")
+def q_abstract_coalesce(spark, sf_dir):
+    """Contents of review 1's papers; empty abstracts filled from landing pages."""
+    inp, (papers, contents, _) = _accepted_enriched(spark, sf_dir)
+    c = contents.join(papers.select("study_id", "rec_id", "publisher_source"), ["study_id", "rec_id"])
+    filled = enrich.abstract_fallback(c, inp.view("landing"))
+    return filled.select("rec_id", "abstract")
+
+
+@query("match_known_papers")
+def q_match_known_papers(spark, sf_dir):
+    """Review 2's candidates (ids resolved) matched against review 1's stored papers."""
+    inp = ReviewInputs(spark, sf_dir)
+    stored = screen_study(inp, 1)
+    papers, _ = screening.split_venue(screening.candidates(inp.bib, inp.study(2)))
+    incoming = rank_ops.lookup_ranks(enrich.resolve_ids(papers, inp.view("title_index")), inp.rank_table)
+    out = enrich.match_known(incoming.select(*screening.PAPER_COLUMNS[1:]).withColumn("incoming_id", F.col("rec_id")),
+                             stored.select(*screening.PAPER_COLUMNS[1:]))
+    return out.select("incoming_id", "rec_id", "doi", "title", "venue_rank", "known")
+
+
+# --- assessments -------------------------------------------------------------------------
+@query("valid_responses")
+def q_valid_responses(spark, sf_dir):
+    raw = ReviewInputs(spark, sf_dir).view("raw_responses")
+    return raw.select("doc_id", assess.response_valid("response").alias("valid"))
+
+
+@query("validate_studies")
+def q_validate_studies(spark, sf_dir):
+    docs = ReviewInputs(spark, sf_dir).view("spec_docs")
+    v = assess.validate_specs(docs, "doc_id")
+    return v.select("doc_id", "valid", F.array_join("errors", ";").alias("errors"))
+
+
+def _review(spark, sf_dir):
+    return run_review(ReviewInputs(spark, sf_dir))
+
+
+@query("criteria_assessments")
+def q_criteria_assessments(spark, sf_dir):
+    return _review(spark, sf_dir).criteria_assessments
+
+
+@query("assessment_requests")
+def q_assessment_requests(spark, sf_dir):
+    return _review(spark, sf_dir).requests.select("study_id", "rec_id", "system_prompt", "user_content")
+
+
+# --- stored-table queries -----------------------------------------------------------------
+@query("all_papers")
+def q_all_papers(spark, sf_dir):
+    return _review(spark, sf_dir).papers
+
+
+@query("study_summary")
+def q_study_summary(spark, sf_dir):
+    return _review(spark, sf_dir).studies
+
+
+@query("study_by_id")
+def q_study_by_id(spark, sf_dir):
+    return reports.study_by_id(_review(spark, sf_dir).studies, 3)
+
+
+@query("studies_of_date")
+def q_studies_of_date(spark, sf_dir):
+    return reports.studies_of_date(_review(spark, sf_dir).studies, fixtures.RUN_DATE)
+
+
+@query("study_lines")
+def q_study_lines(spark, sf_dir):
+    return reports.study_lines(_review(spark, sf_dir).studies)
+
+
+@query("study_papers")
+def q_study_papers(spark, sf_dir):
+    return reports.study_papers(_review(spark, sf_dir).papers, 2)
+
+
+@query("pdf_links")
+def q_pdf_links(spark, sf_dir):
+    return reports.pdf_links(_review(spark, sf_dir).papers, 1)
+
+
+@query("passed_papers")
+def q_passed_papers(spark, sf_dir):
+    r = _review(spark, sf_dir)
+    return reports.passed_papers(r.papers, r.reports, 1).select("study_id", "rec_id", "title")
+
+
+@query("study_reports")
+def q_study_reports(spark, sf_dir):
+    r = _review(spark, sf_dir)
+    return reports.study_reports(r.papers, r.reports, 1)
+
+
+def _first_assessed(r):
+    """The paper of review 1 with the smallest id among those assessed."""
+    return r.criteria_assessments.where(F.col("study_id") == 1).agg(F.min("rec_id").alias("rec_id"))
+
+
+@query("paper_report")
+def q_paper_report(spark, sf_dir):
+    """Reports of one paper (review 1's first assessed paper)."""
+    r = _review(spark, sf_dir)
+    return r.reports.where(F.col("study_id") == 1).join(_first_assessed(r), "rec_id", "left_semi")
+
+
+@query("report_assessments")
+def q_report_assessments(spark, sf_dir):
+    """Criteria assessments of one report (review 1's first assessed paper)."""
+    r = _review(spark, sf_dir)
+    return r.criteria_assessments.where(F.col("study_id") == 1).join(_first_assessed(r), "rec_id", "left_semi")
+
+
+@query("table_stats")
+def q_table_stats(spark, sf_dir):
+    r = _review(spark, sf_dir)
+    return reports.table_stats({"studies": r.studies, "papers": r.papers, "reports": r.reports,
+                                "contents": r.contents, "metrics": r.metrics,
+                                "criteria_assessments": r.criteria_assessments})
+
+
+def _exported(spark, sf_dir):
+    return _review(spark, sf_dir).papers.select("doi")
+
+
+@query("recall_found")
+def q_recall_found(spark, sf_dir):
+    pilots = ReviewInputs(spark, sf_dir).view("pilots")
+    return reports.recall_found(pilots, _exported(spark, sf_dir))
+
+
+@query("recall_missing")
+def q_recall_missing(spark, sf_dir):
+    pilots = ReviewInputs(spark, sf_dir).view("pilots")
+    return reports.recall_missing(pilots, _exported(spark, sf_dir))
+
+
+@query("recall")
+def q_recall(spark, sf_dir):
+    pilots = ReviewInputs(spark, sf_dir).view("pilots")
+    return reports.recall(pilots, _exported(spark, sf_dir))
+
+
+@query("prisma_flow")
+def q_prisma_flow(spark, sf_dir):
+    inp = ReviewInputs(spark, sf_dir)
+    r = run_review(inp)
+    return prisma.prisma_flow(inp.bib, inp.studies, inp.rank_table, r.contents, r.responses, r.reports,
+                              r.criteria_assessments)
+
+
+# --- sources and sinks ------------------------------------------------------------------------
+@query("ingest_records")
+def q_ingest_records(spark, sf_dir):
+    """The bibliography written as an XML dump, then read back by the text-split scan."""
+    path = scratch_path(spark, "bib-xml")
+    bibliography.write_dump(ReviewInputs(spark, sf_dir).bib, path)
+    records, _ = bibliography.read_bibliography(spark, path)
+    return records.select("key", "title", "year", "ee")
+
+
+@query("write_papers")
+def q_write_papers(spark, sf_dir):
+    """Papers of all reviews written partitioned by study, read back."""
+    path = scratch_path(spark, "papers")
+    store.write_table(_review(spark, sf_dir).papers, path)
+    return store.read_table(spark, path).select(*screening.PAPER_COLUMNS)
+
+
+@query("csv_roundtrip")
+def q_csv_roundtrip(spark, sf_dir):
+    """Review 1's papers exported to CSV; the DOI column read back."""
+    path = scratch_path(spark, "export-csv")
+    store.export_csv(reports.study_papers(_review(spark, sf_dir).papers, 1), path)
+    return store.csv_column(spark, path, "doi")
+
+
+@query("load_study")
+def q_load_study(spark, sf_dir):
+    """Study spec documents written as JSON lines, loaded with the spec schema."""
+    path = scratch_path(spark, "specs-json")
+    docs = ReviewInputs(spark, sf_dir).view("spec_docs")
+    docs.select(F.regexp_replace("doc", "^\\{", F.concat(F.lit('{"study_id": '), F.col("doc_id").cast("string"),
+                                                          F.lit(", "))).alias("value")).write.text(path)
+    return studies_src.load_studies(spark, path)

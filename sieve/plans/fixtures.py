@@ -85,6 +85,50 @@ SELECT o_orderkey AS rec_id,
    ELSE concat('(', substr(q.p_name, 1, 3), ' OR ((x)) AND (', lower(q.p_type), ' OR ring)') END AS cnf_expr
 FROM {orders} JOIN {part} p ON p.p_partkey = o_orderkey % 200
               JOIN {part} q ON q.p_partkey = (o_orderkey * 7 + 3) % 200
+""",
+    # title search index for identifier resolution: the same titles as bib,
+    # many hits per title, some hits without DOI; hit_rank orders the hits
+    "title_index": """
+SELECT concat(p_name, ' for ', lower(p_type), ' workload ', lower(substr(o_orderpriority, 3))) AS title,
+ concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS semantic_scholar_id,
+ CASE WHEN l_linenumber % 3 = 0 THEN NULL
+      ELSE concat('10.', CAST(1000 + l_suppkey % 9000 AS STRING), '/Idx.', CAST(l_orderkey AS STRING)) END AS doi,
+ l_orderkey * 8 + l_linenumber AS hit_rank
+FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey JOIN {part} ON p_partkey = l_partkey % 200
+""",
+    # landing pages: the page a bib publisher link (url) leads to, with the
+    # final URL after redirects and its html (the web routes above)
+    "landing": """
+SELECT concat('https://doi.org/10.', CAST(1000 + page_id % 9000 AS STRING), '/Bib.', CAST(page_id AS STRING)) AS url,
+ CASE page_id % 3 WHEN 0 THEN concat('https://ieeexplore.ieee.org/document/', CAST(page_id AS STRING))
+                  WHEN 1 THEN concat('https://arxiv.org/abs/', CAST(page_id AS STRING)) ELSE url END AS final_url,
+ CASE page_id % 3 WHEN 0 THEN concat('<meta property="og:description" content="Summary ', CAST(page_id AS STRING), '">', html)
+                  WHEN 1 THEN concat('<div id="abs">Abstract: item ', CAST(page_id AS STRING), '</div>', html)
+                  ELSE html END AS html
+FROM {pages}
+""",
+    # pilot set for recall: DOIs of documents labelled high quality, every
+    # fifth in upper case (recall is case-sensitive)
+    "pilots": """
+SELECT doc_id AS pilot_id,
+ CASE WHEN doc_id % 5 = 0 THEN upper(concat('10.', CAST(1000 + doc_id % 9000 AS STRING), '/Bib.', CAST(doc_id AS STRING)))
+      ELSE concat('10.', CAST(1000 + doc_id % 9000 AS STRING), '/Bib.', CAST(doc_id AS STRING)) END AS doi
+FROM {labels} WHERE quality = 1
+""",
+    # rating responses in the shapes a validator must judge: valid, numbers
+    # instead of strings, an extra key, an escaped quote, an empty list, not a
+    # list, broken JSON, a bare array (chr(92) is a backslash in both engines)
+    "raw_responses": """
+SELECT doc_id, CASE doc_id % 8
+  WHEN 0 THEN concat('{{"ratings":["', CAST(1 + 6 * quality AS STRING), '","', CAST(1 + 3 * toxic AS STRING), '"]}}')
+  WHEN 1 THEN concat('{{"ratings":[', CAST(1 + 6 * quality AS STRING), ']}}')
+  WHEN 2 THEN concat('{{"ratings":["', CAST(quality AS STRING), '"],"note":"x"}}')
+  WHEN 3 THEN concat('{{"ratings":["a', chr(92), '"b", "', CAST(toxic AS STRING), '"]}}')
+  WHEN 4 THEN '{{ "ratings" : [ ] }}'
+  WHEN 5 THEN concat('{{"ratings":"', CAST(quality AS STRING), '"}}')
+  WHEN 6 THEN concat('{{"ratings":["', CAST(quality AS STRING), '"]')
+  ELSE concat('["', CAST(toxic AS STRING), '"]') END AS response
+FROM {labels}
 """,
     # study spec documents to validate: one per customer, some invalid
     "spec_docs": """

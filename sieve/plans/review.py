@@ -1,20 +1,30 @@
 """Composed review runs over the derived inputs.
 
-``ReviewInputs`` loads the stand-in tables once per ``(spark, sf_dir)``;
-the functions below chain the library operators the way a review run does.
+``ReviewInputs`` gives the stand-in tables for one ``(spark, sf_dir)``;
+``run_review`` chains the library operators the way a review run does and
+returns the stored tables (studies, papers, contents, metrics, reports,
+criteria assessments) as lazy DataFrames.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.assess import assessment_requests, criteria_assessments, response_ratings, verdict
+from ..operators.enrich import abstract_fallback, enrich_wide
+from ..operators.multi import multi_candidates, screen_many
 from ..operators.ranks import rank_rows
-from ..operators.screening import Study, screen
+from ..operators.reports import study_counters
+from ..operators.screening import PAPER_COLUMNS, Study, screen
+from ..sources.studies import studies_from_json
 from . import fixtures
 
+KEY = ["study_id", "rec_id"]
+
 
 class ReviewInputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -37,6 +47,12 @@ class ReviewInputs:
         pages = self.view("rank_html")
         return rank_rows(pages, "conference").unionByName(rank_rows(pages, "journal"))
 
+    @cached_property
+    def studies(self) -> DataFrame:
+        """The review specs of ``fixtures.REVIEW_SPECS`` as a studies table."""
+        docs = self.spark.createDataFrame(fixtures.spec_rows(), "study_id bigint, doc string")
+        return studies_from_json(docs)
+
     def study(self, i: int) -> Study:
         """Review ``i`` (1-based) of ``fixtures.REVIEW_SPECS``."""
         return Study.from_spec(fixtures.REVIEW_SPECS[i - 1], study_id=i)
@@ -44,3 +60,49 @@ class ReviewInputs:
 
 def screen_study(inp: ReviewInputs, i: int, **kw) -> DataFrame:
     return screen(inp.bib, inp.study(i), inp.rank_table, **kw)
+
+
+@dataclass
+class ReviewTables:
+    studies: DataFrame
+    candidates: DataFrame
+    papers: DataFrame
+    contents: DataFrame
+    metrics: DataFrame
+    requests: DataFrame
+    responses: DataFrame
+    reports: DataFrame
+    criteria_assessments: DataFrame
+
+
+def run_review(inp: ReviewInputs, min_rating: int = 5, runtime_seconds: float = 0.0) -> ReviewTables:
+    """All four reviews over one bibliography scan.
+
+    screen (type, year, query, key split, DOI, identifier resolution, rank,
+    gate) → metadata enrichment → abstract fallback from landing pages →
+    assessment requests → rating responses → criteria assessments, verdicts
+    → study counters."""
+    studies = inp.studies
+    crit = studies.select("study_id", "inclusion_criteria")
+    accepted = screen_many(inp.bib, studies, inp.rank_table, title_index=inp.view("title_index"))
+    wide = enrich_wide(accepted, inp.view("meta"))
+    papers = wide.select(*PAPER_COLUMNS)
+    found = wide.where("meta_found")
+    contents = abstract_fallback(found.select(*KEY, "publisher_source", "tldr", "abstract"), inp.view("landing")) \
+        .select(*KEY, "tldr", "abstract")
+    metrics = found.select(*KEY, "citations", "influential_citations", F.lit(None).cast("int").alias("paper_length"))
+    with_content = wide.select(*KEY, "meta_id").join(contents, KEY, "left").join(crit, "study_id")
+    requests = assessment_requests(with_content, KEY + ["meta_id"])
+    # Stand-in for the batch inference output: the response recorded for the
+    # paper's metadata id.
+    llm = inp.view("llm").select(F.col("doc_id").cast("string").alias("meta_id"), "response")
+    responses = requests.join(llm, "meta_id").select(*KEY, "response")
+    rated = responses.join(crit, "study_id")
+    assessments = criteria_assessments(rated, KEY)
+    reports = (papers.select(*KEY)
+               .join(rated.select(*KEY, response_ratings("response").alias("_r"), "inclusion_criteria"), KEY, "left")
+               .select(*KEY, verdict("_r", "inclusion_criteria", min_rating).alias("passed_criteria")))
+    cands = multi_candidates(inp.bib, studies)
+    summary = study_counters(studies, cands, reports, assessments, fixtures.RUN_DATE, fixtures.DUMP_NAME,
+                             runtime_seconds)
+    return ReviewTables(summary, cands, papers, contents, metrics, requests, responses, reports, assessments)
