@@ -397,3 +397,249 @@ def spec_errors(doc: str) -> str:
 ORACLES["validate_studies"] = f"""WITH {views('spec_docs')}
 SELECT doc_id, len(e) = 0 AS valid, array_to_string(e, ';') AS errors
 FROM (SELECT doc_id, {spec_errors('doc')} AS e FROM spec_docs)"""
+
+
+# --- review pipeline ------------------------------------------------------------------
+def norm_title(x: str) -> str:
+    return f"lower({strip(f'regexp_replace({x}, {lit(WS + chr(43))}, {lit(chr(32))}, {lit(chr(103))})')})"
+
+
+def studies_values() -> str:
+    rows = []
+    for i, s in enumerate(fixtures.REVIEW_SPECS, start=1):
+        rows.append(f"(CAST({i} AS BIGINT), {lit(s.get('study_name'))}, {lit(s.get('inclusion_criteria') or [])}::VARCHAR[])")
+    return "SELECT * FROM (VALUES " + ", ".join(rows) + ") t(study_id, study_name, inclusion_criteria)"
+
+
+def cand_union(with_parts: bool = False) -> str:
+    parts = []
+    for i in range(1, len(fixtures.REVIEW_SPECS) + 1):
+        parts.append(f"SELECT CAST({i} AS BIGINT) AS study_id, bib.*, string_split(key, '/') AS parts FROM bib WHERE {candidates_where(i)}")
+    return " UNION ALL ".join(parts)
+
+
+def gate_case() -> str:
+    return "(CASE study_id " + " ".join(f"WHEN {i} THEN {gate_sql(i)}" for i in range(1, len(fixtures.REVIEW_SPECS) + 1)) + " END)"
+
+
+HEAD = ("Assume you are a software engineering researcher conducting a systematic literature review (SLR). \n"
+        "Consider the title and abstract of a primary study.\n"
+        "Using a 1-7 Likert scale (1 - Strongly disagree, 2 - Disagree, 3 - Somewhat disagree, "
+        "4 - Neither agree nor disagree, 5 - Somewhat agree, 6 - Agree, and 7 - Strongly agree) "
+        "rate your agreement with each of the following statements:\n\n")
+TAIL = ("\n\nYour should only provide a RFC8259 compliant JSON response following this format without deviation:\n"
+        '{\n    "ratings": [\n        "2",\n        "4",\n        "1",\n        ...\n    ]\n}\n\n'
+        "Lastly, keep the same order in your ratings as the order of the provided statements.")
+RATINGS = ["1", "2", "3", "4", "5", "6", "7"]
+
+
+def review_ctes() -> str:
+    """CTEs of a whole review run: studies, cands, dim, gated, papers, wide,
+    contents, metrics, requests, responses, rated, assessments, reports, summary."""
+    usable = (f"(ratings IS NOT NULL AND len(list_filter(ratings, lambda x_: x_ NOT IN ({', '.join(lit(r) for r in RATINGS)}))) = 0 "
+              f"AND len(ratings) <= len(inclusion_criteria))")
+    ex = extract("lp.final_url", "lp.html")
+    return f"""{views('bib', 'rank_html', 'title_index', 'meta', 'landing', 'responses')},
+studies AS ({studies_values()}),
+cands AS ({cand_union()}),
+dim AS {dim_cte()},
+ranked AS (SELECT c.*, coalesce(dim.venue_rank, 'MISSING') AS venue_rank
+           FROM (SELECT * FROM cands WHERE len(parts) = 3) c LEFT JOIN dim
+             ON dim.kind = CASE parts[1] WHEN 'conf' THEN 'conference' WHEN 'journals' THEN 'journal' END
+            AND dim.lkey = lower(parts[2])),
+gated AS (SELECT *, {gate_case()} AS passed_gate FROM ranked),
+ix AS (SELECT {norm_title('title')} AS t,
+         arg_min({{'ss': semantic_scholar_id, 'doi': doi}}, (hit_rank, coalesce(semantic_scholar_id, ''), coalesce(doi, ''))) AS hit
+       FROM title_index GROUP BY 1),
+acc0 AS (SELECT *, nullif(regexp_extract(ee, '{DOI}', 0), '') AS doi0 FROM gated WHERE passed_gate),
+papers AS (SELECT a.study_id, a.rec_id,
+             CASE WHEN a.doi0 IS NULL THEN ix.hit.doi ELSE a.doi0 END AS doi,
+             CASE WHEN a.doi0 IS NULL THEN ix.hit.ss END AS semantic_scholar_id,
+             a.title, a.year, a.parts[1] AS venue_type, a.parts[2] AS venue_code, a.parts[3] AS venue_key,
+             a.venue_rank, a.ee AS publisher_source
+           FROM acc0 a LEFT JOIN ix ON a.doi0 IS NULL AND ix.t = {norm_title('a.title')}),
+wide AS (SELECT p.*,
+           CASE WHEN p.semantic_scholar_id IS NOT NULL THEN ms.semantic_scholar_id ELSE md.semantic_scholar_id END AS meta_id,
+           CASE WHEN p.semantic_scholar_id IS NOT NULL THEN ms.tldr ELSE md.tldr END AS m_tldr,
+           CASE WHEN p.semantic_scholar_id IS NOT NULL THEN ms.abstract ELSE md.abstract END AS m_abstract,
+           CASE WHEN p.semantic_scholar_id IS NOT NULL THEN ms.is_open_access ELSE md.is_open_access END AS m_oa,
+           CASE WHEN p.semantic_scholar_id IS NOT NULL THEN ms.pdf_url ELSE md.pdf_url END AS m_pdf,
+           CASE WHEN p.semantic_scholar_id IS NOT NULL THEN ms.citations ELSE md.citations END AS m_cit,
+           CASE WHEN p.semantic_scholar_id IS NOT NULL THEN ms.influential_citations ELSE md.influential_citations END AS m_infl
+         FROM papers p
+         LEFT JOIN meta ms ON ms.semantic_scholar_id = p.semantic_scholar_id
+         LEFT JOIN meta md ON p.semantic_scholar_id IS NULL AND md.doi = p.doi),
+all_papers AS (SELECT study_id, rec_id, doi, semantic_scholar_id, title, year, venue_type, venue_code, venue_key,
+                 venue_rank, publisher_source,
+                 CASE WHEN m_oa AND coalesce(m_pdf, '') <> '' THEN m_pdf END AS pdf_source FROM wide),
+contents AS (SELECT w.study_id, w.rec_id, nullif(w.m_tldr, '') AS tldr,
+               CASE WHEN coalesce(w.m_abstract, '') = '' THEN {ex} ELSE w.m_abstract END AS abstract
+             FROM wide w LEFT JOIN landing lp ON coalesce(w.m_abstract, '') = '' AND lp.url = w.publisher_source
+             WHERE w.meta_id IS NOT NULL),
+metrics AS (SELECT study_id, rec_id, m_cit AS citations, m_infl AS influential_citations FROM wide WHERE meta_id IS NOT NULL),
+requests AS (SELECT w.study_id, w.rec_id, w.meta_id,
+               {lit(HEAD)} || array_to_string(list_transform(s.inclusion_criteria, lambda c_, i_: CAST(i_ AS VARCHAR) || '. ' || c_), chr(10)) || {lit(TAIL)} AS system_prompt,
+               'tldr:' || chr(10) || coalesce(c.tldr, 'None') || chr(10) || chr(10) || 'abstract:' || chr(10) || coalesce(c.abstract, 'None') || chr(10) AS user_content
+             FROM wide w LEFT JOIN contents c ON c.study_id = w.study_id AND c.rec_id = w.rec_id
+             JOIN studies s ON s.study_id = w.study_id),
+answers AS (SELECT r.study_id, r.rec_id, l.response FROM requests r JOIN responses l ON CAST(l.doc_id AS VARCHAR) = r.meta_id),
+rated AS (SELECT r.study_id, r.rec_id, s.inclusion_criteria,
+            CASE WHEN {response_ok('r.response')} THEN json_extract_string(r.response, '$.ratings[*]') END AS ratings
+          FROM answers r JOIN studies s ON s.study_id = r.study_id),
+usable AS (SELECT * FROM rated WHERE {usable}),
+assessments AS (SELECT study_id, rec_id, CAST(i AS INTEGER) AS pos, inclusion_criteria[i] AS criteria,
+                  CAST(v AS INTEGER) AS rating, {likert('CAST(v AS INTEGER)')} AS label
+                FROM (SELECT study_id, rec_id, inclusion_criteria, unnest(ratings) AS v, generate_subscripts(ratings, 1) AS i FROM usable)),
+reports AS (SELECT p.study_id, p.rec_id,
+              CASE WHEN u.ratings IS NOT NULL AND len(u.ratings) > 0
+                   THEN len(u.ratings) = len(u.inclusion_criteria)
+                        AND len(list_filter(u.ratings, lambda x_: CAST(x_ AS INTEGER) < 5)) = 0 END AS passed_criteria
+            FROM all_papers p LEFT JOIN usable u ON u.study_id = p.study_id AND u.rec_id = p.rec_id),
+summary AS (SELECT s.study_id, s.study_name, DATE '{fixtures.RUN_DATE}' AS study_date, '{fixtures.DUMP_NAME}' AS dblp_used,
+              CAST(coalesce(c.n, 0) AS INTEGER) AS papers_collected, CAST(coalesce(d.n, 0) AS INTEGER) AS reports_collected,
+              CAST(NULL AS INTEGER) AS total_tokens_used_llm, CAST(0.0 AS DOUBLE) AS total_runtime
+            FROM studies s
+            LEFT JOIN (SELECT study_id, count(*) AS n FROM cands GROUP BY 1) c ON c.study_id = s.study_id
+            LEFT JOIN (SELECT study_id, count(*) AS n FROM reports r
+                       WHERE EXISTS (SELECT 1 FROM assessments a WHERE a.study_id = r.study_id AND a.rec_id = r.rec_id)
+                       GROUP BY 1) d ON d.study_id = s.study_id)"""
+
+
+def R(select: str) -> str:
+    return f"WITH {review_ctes()}\n{select}"
+
+
+PAPER_COLS = ("study_id, rec_id, doi, semantic_scholar_id, title, year, venue_type, venue_code, venue_key, "
+              "venue_rank, publisher_source, pdf_source")
+
+ORACLES["all_papers"] = R(f"SELECT {PAPER_COLS} FROM all_papers")
+ORACLES["write_papers"] = ORACLES["all_papers"]
+ORACLES["study_summary"] = R("SELECT * FROM summary")
+ORACLES["study_by_id"] = R("SELECT * FROM summary WHERE study_id = 3")
+ORACLES["studies_of_date"] = R(f"SELECT * FROM summary WHERE study_date = DATE '{fixtures.RUN_DATE}'")
+ORACLES["study_lines"] = R("SELECT study_id, 'Date ' || CAST(study_date AS VARCHAR) || ' | ID: ' || CAST(study_id AS VARCHAR) "
+                           "|| ' | Papers: ' || CAST(papers_collected AS VARCHAR) || ' | Reports: ' || "
+                           "CAST(reports_collected AS VARCHAR) AS line FROM summary")
+ORACLES["study_papers"] = R(f"SELECT {PAPER_COLS} FROM all_papers WHERE study_id = 2")
+ORACLES["pdf_links"] = R("SELECT study_id, rec_id, 'Paper Title: ' || coalesce(title, 'None') || ' | Link: ' || "
+                         "CASE WHEN coalesce(pdf_source, '') <> '' THEN pdf_source ELSE coalesce(publisher_source, 'None') END AS line "
+                         "FROM all_papers WHERE study_id = 1")
+ORACLES["passed_papers"] = R("SELECT study_id, rec_id, title FROM all_papers p WHERE study_id = 1 AND EXISTS "
+                             "(SELECT 1 FROM reports r WHERE r.study_id = 1 AND r.rec_id = p.rec_id AND r.passed_criteria)")
+ORACLES["study_reports"] = R("SELECT study_id, rec_id, passed_criteria FROM reports WHERE study_id = 1")
+_FIRST = "(SELECT min(rec_id) FROM assessments WHERE study_id = 1)"
+ORACLES["paper_report"] = R(f"SELECT study_id, rec_id, passed_criteria FROM reports WHERE study_id = 1 AND rec_id = {_FIRST}")
+ORACLES["report_assessments"] = R(f"SELECT * FROM assessments WHERE study_id = 1 AND rec_id = {_FIRST}")
+ORACLES["criteria_assessments"] = R("SELECT * FROM assessments")
+ORACLES["assessment_requests"] = R("SELECT study_id, rec_id, system_prompt, user_content FROM requests")
+ORACLES["table_stats"] = R(
+    "SELECT 'studies' AS table_name, count(*) AS entries, 'study_id,study_name,study_date,dblp_used,papers_collected,"
+    "reports_collected,total_tokens_used_llm,total_runtime' AS attributes FROM summary "
+    f"UNION ALL SELECT 'papers', count(*), '{PAPER_COLS.replace(' ', '')}' FROM all_papers "
+    "UNION ALL SELECT 'reports', count(*), 'study_id,rec_id,passed_criteria' FROM reports "
+    "UNION ALL SELECT 'contents', count(*), 'study_id,rec_id,tldr,abstract' FROM contents "
+    "UNION ALL SELECT 'metrics', count(*), 'study_id,rec_id,citations,influential_citations,paper_length' FROM metrics "
+    "UNION ALL SELECT 'criteria_assessments', count(*), 'study_id,rec_id,pos,criteria,rating,label' FROM assessments")
+
+_PILOTS = f"pilots AS ({fixtures.duckdb_view_sql('pilots')})"
+ORACLES["recall_found"] = f"WITH {review_ctes()}, {_PILOTS}\nSELECT * FROM pilots WHERE doi IN (SELECT doi FROM all_papers)"
+ORACLES["recall_missing"] = (f"WITH {review_ctes()}, {_PILOTS}\nSELECT * FROM pilots "
+                             "WHERE doi NOT IN (SELECT doi FROM all_papers WHERE doi IS NOT NULL)")
+ORACLES["recall"] = (f"WITH {review_ctes()}, {_PILOTS}\nSELECT count(*) AS pilots, count_if(f) AS found, "
+                     "round(avg(CAST(f AS DOUBLE)), 6) AS recall FROM (SELECT doi IN (SELECT doi FROM all_papers "
+                     "WHERE doi IS NOT NULL) AS f FROM pilots)")
+ORACLES["csv_roundtrip"] = R("SELECT coalesce(doi, '') AS doi FROM all_papers WHERE study_id = 1")
+
+ORACLES["prisma_flow"] = R("""SELECT s.study_id,
+  g.total AS total_papers_collected, g.dup AS duplicate_records_removed,
+  coalesce(p.aux, 0) AS records_refused_by_aux_filters,
+  g.total - g.dup - coalesce(p.aux, 0) - coalesce(p.screened, 0) AS records_refused_by_automated_filters,
+  coalesce(p.screened, 0) AS records_screened, CAST(0 AS BIGINT) AS records_excluded_manually,
+  coalesce(p.failed, 0) AS records_excluded_automatically, coalesce(p.screened, 0) AS report_construction_attempts,
+  coalesce(p.no_text, 0) AS report_construction_failures, coalesce(p.resp, 0) AS report_assessment_attempts,
+  coalesce(p.failed, 0) AS report_assessment_exclusions, coalesce(l.n, 0) AS report_assessment_exclusion_summaries
+FROM studies s
+CROSS JOIN (SELECT count(*) AS total, count_if(is_dup) AS dup FROM dups) g
+LEFT JOIN (
+  SELECT f.study_id, count_if(f.passed_gate) AS screened, count_if(NOT f.passed_gate) AS aux,
+    count_if(f.passed_gate AND EXISTS (SELECT 1 FROM reports r WHERE r.study_id = f.study_id AND r.rec_id = f.rec_id AND r.passed_criteria = FALSE)) AS failed,
+    count_if(f.passed_gate AND NOT EXISTS (SELECT 1 FROM contents c WHERE c.study_id = f.study_id AND c.rec_id = f.rec_id
+                                             AND (coalesce(c.tldr, '') <> '' OR coalesce(c.abstract, '') <> ''))) AS no_text,
+    count_if(f.passed_gate AND EXISTS (SELECT 1 FROM answers x WHERE x.study_id = f.study_id AND x.rec_id = f.rec_id)) AS resp
+  FROM flagged f GROUP BY 1) p ON p.study_id = s.study_id
+LEFT JOIN (SELECT a.study_id, count(DISTINCT a.criteria) AS n FROM assessments a
+           JOIN flagged f ON f.study_id = a.study_id AND f.rec_id = a.rec_id AND f.passed_gate
+           WHERE a.rating < 5 GROUP BY 1) l ON l.study_id = s.study_id""").replace(
+    "\nSELECT s.study_id,", """,
+recs AS (SELECT rec_id, ord, nullif(regexp_extract(ee, '""" + DOI + """', 0), '') AS doi FROM bib),
+firsts AS (SELECT doi, min(ord) AS f FROM recs WHERE doi IS NOT NULL GROUP BY doi),
+dups AS (SELECT r.rec_id, coalesce(r.doi IS NOT NULL AND r.ord > fi.f, FALSE) AS is_dup FROM recs r LEFT JOIN firsts fi ON fi.doi = r.doi),
+flagged AS (SELECT g.study_id, g.rec_id, g.passed_gate FROM gated g JOIN dups d ON d.rec_id = g.rec_id WHERE NOT d.is_dup)
+SELECT s.study_id,""", 1)
+
+# --- single-study enrichment ------------------------------------------------------------
+ORACLES["screen_many"] = R("SELECT study_id, rec_id, nullif(regexp_extract(ee, '" + DOI + "', 0), '') AS doi, "
+                           "CAST(NULL AS VARCHAR) AS semantic_scholar_id, title, year, parts[1] AS venue_type, "
+                           "parts[2] AS venue_code, parts[3] AS venue_key, venue_rank, ee AS publisher_source, "
+                           "CAST(NULL AS VARCHAR) AS pdf_source FROM gated WHERE passed_gate")
+
+
+def _ix() -> str:
+    return f"""ix AS (SELECT {norm_title('title')} AS t,
+         arg_min({{'ss': semantic_scholar_id, 'doi': doi}}, (hit_rank, coalesce(semantic_scholar_id, ''), coalesce(doi, ''))) AS hit
+       FROM title_index GROUP BY 1)"""
+
+
+def _resolved(i: int) -> str:
+    return f"""{ranked_candidates(i)},
+{_ix()},
+resolved AS (SELECT r.*, CASE WHEN r.doi0 IS NULL THEN ix.hit.doi ELSE r.doi0 END AS doi,
+               CASE WHEN r.doi0 IS NULL THEN ix.hit.ss END AS semantic_scholar_id
+             FROM (SELECT *, nullif(regexp_extract(ee, '{DOI}', 0), '') AS doi0 FROM ranked) r
+             LEFT JOIN ix ON r.doi0 IS NULL AND ix.t = {norm_title('r.title')})"""
+
+
+ORACLES["resolve_ids"] = f"""WITH {views('bib', 'rank_html', 'title_index')},
+{_resolved(2)}
+SELECT rec_id, doi, semantic_scholar_id FROM resolved"""
+
+
+def _screen1_enriched() -> str:
+    return f"""{views('bib', 'rank_html', 'meta', 'landing')},
+{ranked_candidates(1)},
+p AS ({paper_select(1)} FROM ranked WHERE {gate_sql(1)}),
+w AS (SELECT p.rec_id, p.doi, p.publisher_source, md.semantic_scholar_id AS meta_id, md.tldr AS m_tldr, md.abstract AS m_abstract,
+        CASE WHEN md.is_open_access AND coalesce(md.pdf_url, '') <> '' THEN md.pdf_url END AS pdf_source,
+        md.citations, md.influential_citations
+      FROM p LEFT JOIN meta md ON md.doi = p.doi)"""
+
+
+ORACLES["enrich_papers"] = f"""WITH {_screen1_enriched()}
+SELECT rec_id, doi, pdf_source, nullif(m_tldr, '') AS tldr, nullif(m_abstract, '') AS abstract FROM w"""
+
+ORACLES["paper_metrics"] = f"""WITH {_screen1_enriched()}
+SELECT rec_id, citations, influential_citations FROM w WHERE meta_id IS NOT NULL"""
+
+ORACLES["abstract_coalesce"] = f"""WITH {_screen1_enriched()}
+SELECT w.rec_id, CASE WHEN coalesce(w.m_abstract, '') = '' THEN {extract('lp.final_url', 'lp.html')} ELSE w.m_abstract END AS abstract
+FROM w LEFT JOIN landing lp ON coalesce(w.m_abstract, '') = '' AND lp.url = w.publisher_source
+WHERE w.meta_id IS NOT NULL"""
+
+ORACLES["match_known_papers"] = f"""WITH {views('bib', 'rank_html', 'title_index')},
+{_resolved(2)},
+{ranked_candidates(1).replace('cand AS', 'cand_s AS').replace('split AS', 'split_s AS').replace('dim AS', 'dim_s AS').replace('ranked AS', 'ranked_s AS').replace('FROM cand ', 'FROM cand_s ').replace('FROM split LEFT JOIN dim', 'FROM split_s AS split LEFT JOIN dim_s AS dim')},
+stored AS ({paper_select(1)} FROM ranked_s WHERE {gate_sql(1)}),
+sd AS (SELECT doi AS k, arg_min({{'rec_id': rec_id, 'doi': doi, 'title': title, 'venue_rank': venue_rank}}, rec_id) AS s
+       FROM stored WHERE doi IS NOT NULL GROUP BY 1),
+ss AS (SELECT semantic_scholar_id AS k, arg_min({{'rec_id': rec_id, 'doi': doi, 'title': title, 'venue_rank': venue_rank}}, rec_id) AS s
+       FROM stored WHERE semantic_scholar_id IS NOT NULL GROUP BY 1)
+SELECT r.rec_id AS incoming_id,
+  CASE WHEN sd.s IS NOT NULL THEN sd.s.rec_id WHEN ss.s IS NOT NULL THEN ss.s.rec_id ELSE r.rec_id END AS rec_id,
+  CASE WHEN sd.s IS NOT NULL THEN sd.s.doi WHEN ss.s IS NOT NULL THEN ss.s.doi ELSE r.doi END AS doi,
+  CASE WHEN sd.s IS NOT NULL THEN sd.s.title WHEN ss.s IS NOT NULL THEN ss.s.title ELSE r.title END AS title,
+  CASE WHEN sd.s IS NOT NULL THEN sd.s.venue_rank WHEN ss.s IS NOT NULL THEN ss.s.venue_rank ELSE r.venue_rank END AS venue_rank,
+  (sd.s IS NOT NULL OR ss.s IS NOT NULL) AS known
+FROM resolved r LEFT JOIN sd ON sd.k = r.doi LEFT JOIN ss ON r.doi IS NULL AND ss.k = r.semantic_scholar_id"""
+
+ORACLES["ingest_records"] = f"""WITH {views('bib')}
+SELECT key, title, year, ee FROM bib"""

@@ -29,7 +29,10 @@ def resolve_ids(papers: DataFrame, index: DataFrame, hit_order: str = "hit_rank"
     normalised title sets ``semantic_scholar_id`` and ``doi``.  Papers that
     have a DOI, or whose title has no hit, keep their values."""
     idx = index.select(normalize_title("title").alias("_t"), "semantic_scholar_id", "doi", hit_order)
-    first = unique_by(idx, ["_t"], hit_order, ["semantic_scholar_id", "doi"]) \
+    # equal hit orders are broken by the hit's own values, so the pick is
+    # deterministic
+    order = F.struct(hit_order, F.coalesce("semantic_scholar_id", F.lit("")), F.coalesce("doi", F.lit("")))
+    first = unique_by(idx, ["_t"], order, ["semantic_scholar_id", "doi"]) \
         .withColumnRenamed("semantic_scholar_id", "_ix_ss").withColumnRenamed("doi", "_ix_doi")
     keyed = papers.withColumn("_t", F.when(F.col("doi").isNull(), normalize_title("title")))
     joined = left_join_nonnull(keyed, first, ["_t"])

@@ -70,6 +70,12 @@ FROM {pages}
     "llm": """
 SELECT doc_id, concat('{{"ratings":["', CAST(1 + 6 * quality AS STRING), '","', CAST(1 + 3 * toxic AS STRING), '"]}}') AS response
 FROM {labels}
+""",
+    # rating responses used by the review run: the first rating passes for
+    # good documents, the second for non-toxic ones
+    "responses": """
+SELECT doc_id, concat('{{"ratings":["', CAST(1 + 6 * quality AS STRING), '","', CAST(7 - 3 * toxic AS STRING), '"]}}') AS response
+FROM {labels}
 """,
     # per-row query expressions next to bib titles: plain disjunctions,
     # conjunctions, and CNF strings with blanks and nested parentheses

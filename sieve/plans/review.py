@@ -95,7 +95,7 @@ def run_review(inp: ReviewInputs, min_rating: int = 5, runtime_seconds: float =
     requests = assessment_requests(with_content, KEY + ["meta_id"])
     # Stand-in for the batch inference output: the response recorded for the
     # paper's metadata id.
-    llm = inp.view("llm").select(F.col("doc_id").cast("string").alias("meta_id"), "response")
+    llm = inp.view("responses").select(F.col("doc_id").cast("string").alias("meta_id"), "response")
     responses = requests.join(llm, "meta_id").select(*KEY, "response")
     rated = responses.join(crit, "study_id")
     assessments = criteria_assessments(rated, KEY)
