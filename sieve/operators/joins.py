@@ -29,14 +29,19 @@ def broadcast_limit(df: DataFrame) -> int:
         return DEFAULT_BROADCAST_ROWS
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, bool]:
-    """``(broadcast(df), True)`` when ``df`` has at most ``max_rows`` rows,
-    else ``(df, False)``.  Costs one bounded job over ``df``."""
+def bounded_broadcast(df: DataFrame, max_rows: int | None = None, name: str = "dim") -> tuple[DataFrame, bool]:
+    """``(broadcast(table), True)`` when ``df`` has at most ``max_rows`` rows,
+    else ``(table, False)``, where ``table`` is ``df`` written once to the
+    shared checkpoint folder (so the check does not recompute it and the join
+    reads the written rows)."""
+    from ..session import materialize
+
     limit = broadcast_limit(df) if max_rows is None else max_rows
-    n = df.limit(limit + 1).count()
+    table = materialize(df, name)
+    n = table.limit(limit + 1).count()
     if n <= limit:
-        return F.broadcast(df), True
-    return df, False
+        return F.broadcast(table), True
+    return table, False
 
 
 def unique_by(df: DataFrame, keys: Sequence[str], order: Column | str, values: Sequence[str]) -> DataFrame:
@@ -55,7 +60,7 @@ NULL_SALT_BUCKETS = 4096
 
 
 def left_join_nonnull(left: DataFrame, right: DataFrame, left_keys: Sequence[str],
-                      right_keys: Sequence[str] | None = None, broadcast_right: bool | None = None) -> DataFrame:
+                      right_keys: Sequence[str] | None = None, broadcast_right: bool = False) -> DataFrame:
     """Left equi-join that keeps NULL keys off a single reducer.
 
     A NULL key can never match, yet a hash shuffle sends every such row to the
@@ -63,18 +68,14 @@ def left_join_nonnull(left: DataFrame, right: DataFrame, left_keys: Sequence[str
     by one of ``NULL_SALT_BUCKETS`` sentinels (a control character no real key
     starts with, plus a hash of the row), so they spread over all reducers
     and still match nothing.  ``right`` must be unique per key (see
-    ``unique_by``); its key columns are dropped.  ``broadcast_right=None``
-    checks the size of ``right`` first.
+    ``unique_by``); its key columns are dropped.  ``broadcast_right=True``
+    broadcasts ``right`` when its size check passes (``bounded_broadcast``);
+    otherwise both sides are shuffled on the key and AQE may still turn the
+    join into a broadcast from the measured shuffle size.
     """
     right_keys = list(right_keys or left_keys)
     left_keys = list(left_keys)
-    r = right
-    if broadcast_right is None:
-        r, is_bc = bounded_broadcast(right)
-    elif broadcast_right:
-        r, is_bc = F.broadcast(right), True
-    else:
-        is_bc = False
+    r, is_bc = bounded_broadcast(right) if broadcast_right else (right, False)
     tmp_l = [f"_lk{i}" for i in range(len(left_keys))]
     tmp_r = [f"_rk{i}" for i in range(len(right_keys))]
     row_hash = F.abs(F.xxhash64(*[F.col(c) for c in left.columns])) % NULL_SALT_BUCKETS

@@ -8,7 +8,6 @@ criteria assessments) as lazy DataFrames.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,17 +61,79 @@ def screen_study(inp: ReviewInputs, i: int, **kw) -> DataFrame:
     return screen(inp.bib, inp.study(i), inp.rank_table, **kw)
 
 
-@dataclass
 class ReviewTables:
-    studies: DataFrame
-    candidates: DataFrame
-    papers: DataFrame
-    contents: DataFrame
-    metrics: DataFrame
-    requests: DataFrame
-    responses: DataFrame
-    reports: DataFrame
-    criteria_assessments: DataFrame
+    """The stored tables of a review run over all studies, built lazily: a
+    query that needs only ``papers`` never plans contents or assessments."""
+
+    def __init__(self, inp: ReviewInputs, min_rating: int = 5, runtime_seconds: float = 0.0):
+        self.inp = inp
+        self.min_rating = min_rating
+        self.runtime_seconds = runtime_seconds
+
+    @cached_property
+    def _criteria(self) -> DataFrame:
+        return self.inp.studies.select("study_id", "inclusion_criteria")
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        return multi_candidates(self.inp.bib, self.inp.studies)
+
+    @cached_property
+    def _wide(self) -> DataFrame:
+        """Accepted papers (screen, identifier resolution, rank, gate) with
+        their metadata columns."""
+        inp = self.inp
+        accepted = screen_many(inp.bib, inp.studies, inp.rank_table, title_index=inp.view("title_index"))
+        return enrich_wide(accepted, inp.view("meta"))
+
+    @cached_property
+    def papers(self) -> DataFrame:
+        return self._wide.select(*PAPER_COLUMNS)
+
+    @cached_property
+    def contents(self) -> DataFrame:
+        """tldr and abstract of papers with metadata; empty abstracts filled
+        from the landing page."""
+        found = self._wide.where("meta_found").select(*KEY, "publisher_source", "tldr", "abstract")
+        return abstract_fallback(found, self.inp.view("landing")).select(*KEY, "tldr", "abstract")
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        return self._wide.where("meta_found").select(
+            *KEY, "citations", "influential_citations", F.lit(None).cast("int").alias("paper_length"))
+
+    @cached_property
+    def requests(self) -> DataFrame:
+        with_content = self._wide.select(*KEY, "meta_id").join(self.contents, KEY, "left").join(self._criteria, "study_id")
+        return assessment_requests(with_content, KEY + ["meta_id"])
+
+    @cached_property
+    def responses(self) -> DataFrame:
+        """Stand-in for the batch-inference output: the rating response
+        recorded for the paper's metadata id (papers without metadata get
+        none).  Only the request keys are needed to attach it."""
+        llm = self.inp.view("responses").select(F.col("doc_id").cast("string").alias("meta_id"), "response")
+        asked = self._wide.select(*KEY, "meta_id")
+        return asked.join(llm, "meta_id").select(*KEY, "response")
+
+    @cached_property
+    def _rated(self) -> DataFrame:
+        return self.responses.join(self._criteria, "study_id")
+
+    @cached_property
+    def criteria_assessments(self) -> DataFrame:
+        return criteria_assessments(self._rated, KEY)
+
+    @cached_property
+    def reports(self) -> DataFrame:
+        r = self._rated.select(*KEY, response_ratings("response").alias("_r"), "inclusion_criteria")
+        return (self.papers.select(*KEY).join(r, KEY, "left")
+                .select(*KEY, verdict("_r", "inclusion_criteria", self.min_rating).alias("passed_criteria")))
+
+    @cached_property
+    def studies(self) -> DataFrame:
+        return study_counters(self.inp.studies, self.candidates, self.reports, self.criteria_assessments,
+                              fixtures.RUN_DATE, fixtures.DUMP_NAME, self.runtime_seconds)
 
 
 def run_review(inp: ReviewInputs, min_rating: int = 5, runtime_seconds: float = 0.0) -> ReviewTables:
@@ -81,28 +142,5 @@ def run_review(inp: ReviewInputs, min_rating: int = 5, runtime_seconds: float =
     screen (type, year, query, key split, DOI, identifier resolution, rank,
     gate) → metadata enrichment → abstract fallback from landing pages →
     assessment requests → rating responses → criteria assessments, verdicts
-    → study counters."""
-    studies = inp.studies
-    crit = studies.select("study_id", "inclusion_criteria")
-    accepted = screen_many(inp.bib, studies, inp.rank_table, title_index=inp.view("title_index"))
-    wide = enrich_wide(accepted, inp.view("meta"))
-    papers = wide.select(*PAPER_COLUMNS)
-    found = wide.where("meta_found")
-    contents = abstract_fallback(found.select(*KEY, "publisher_source", "tldr", "abstract"), inp.view("landing")) \
-        .select(*KEY, "tldr", "abstract")
-    metrics = found.select(*KEY, "citations", "influential_citations", F.lit(None).cast("int").alias("paper_length"))
-    with_content = wide.select(*KEY, "meta_id").join(contents, KEY, "left").join(crit, "study_id")
-    requests = assessment_requests(with_content, KEY + ["meta_id"])
-    # Stand-in for the batch inference output: the response recorded for the
-    # paper's metadata id.
-    llm = inp.view("responses").select(F.col("doc_id").cast("string").alias("meta_id"), "response")
-    responses = requests.join(llm, "meta_id").select(*KEY, "response")
-    rated = responses.join(crit, "study_id")
-    assessments = criteria_assessments(rated, KEY)
-    reports = (papers.select(*KEY)
-               .join(rated.select(*KEY, response_ratings("response").alias("_r"), "inclusion_criteria"), KEY, "left")
-               .select(*KEY, verdict("_r", "inclusion_criteria", min_rating).alias("passed_criteria")))
-    cands = multi_candidates(inp.bib, studies)
-    summary = study_counters(studies, cands, reports, assessments, fixtures.RUN_DATE, fixtures.DUMP_NAME,
-                             runtime_seconds)
-    return ReviewTables(summary, cands, papers, contents, metrics, requests, responses, reports, assessments)
+    → study counters.  Tables are planned on first access."""
+    return ReviewTables(inp, min_rating, runtime_seconds)

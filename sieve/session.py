@@ -66,7 +66,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/sieve-scratch/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once as Parquet below the shared checkpoint folder and read
+    it back: the plan is computed a single time, lineage is cut (a lost
+    executor re-reads files instead of recomputing), and later plans see real
+    file statistics."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
