@@ -18,23 +18,31 @@ from .joins import left_join_nonnull, unique_by
 
 
 def normalize_title(c) -> Column:
-    """Lower case, blanks collapsed, ends stripped (exact-title lookup key)."""
+    """Lower case, blanks collapsed to one space, ends stripped (exact-title
+    lookup key).  After collapsing, the only blank left at either end is a
+    single space, so ``trim`` finishes the strip."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.lower(py_strip(F.regexp_replace(col, f"{PY_WS}+", " ")))
+    return F.lower(F.trim(F.regexp_replace(col, f"{PY_WS}+", " ")))
 
 
 def resolve_ids(papers: DataFrame, index: DataFrame, hit_order: str = "hit_rank") -> DataFrame:
     """Papers without DOI get an identifier from a title index
     ``(title, semantic_scholar_id, doi, <hit_order>)``: the first hit for the
     normalised title sets ``semantic_scholar_id`` and ``doi``.  Papers that
-    have a DOI, or whose title has no hit, keep their values."""
-    idx = index.select(normalize_title("title").alias("_t"), "semantic_scholar_id", "doi", hit_order)
+    have a DOI, or whose title has no hit, keep their values.
+
+    The index is first cut to the titles that are looked up (semi-join on
+    the key, so the per-title reduction only sees needed titles); pass a
+    materialised ``papers`` so that computing the needed titles is cheap."""
+    keyed = papers.withColumn("_t", F.when(F.col("doi").isNull(), normalize_title("title")))
+    needed = keyed.where(F.col("_t").isNotNull()).select("_t").distinct()
+    idx = index.select(normalize_title("title").alias("_t"), "semantic_scholar_id", "doi", hit_order) \
+        .join(needed, "_t", "left_semi")
     # equal hit orders are broken by the hit's own values, so the pick is
     # deterministic
     order = F.struct(hit_order, F.coalesce("semantic_scholar_id", F.lit("")), F.coalesce("doi", F.lit("")))
     first = unique_by(idx, ["_t"], order, ["semantic_scholar_id", "doi"]) \
         .withColumnRenamed("semantic_scholar_id", "_ix_ss").withColumnRenamed("doi", "_ix_doi")
-    keyed = papers.withColumn("_t", F.when(F.col("doi").isNull(), normalize_title("title")))
     joined = left_join_nonnull(keyed, first, ["_t"])
     cols = []
     for c in papers.columns:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.cnf import compile_query_expr, groups_query_expr, match_compiled_expr
 from ..functions.text import extract_doi
 from ..functions.venue import prefix_any_expr, venue_gate
+from .enrich import resolve_ids
 from .joins import bounded_broadcast
 from .ranks import lookup_ranks
 from .screening import PAPER_COLUMNS
@@ -58,17 +59,28 @@ def multi_candidates(records: DataFrame, studies: DataFrame, batch_size: int | N
     return cands
 
 
+def gate_flags(cands: DataFrame, rank_table: DataFrame, missing_passes: bool = True) -> DataFrame:
+    """Candidate pairs whose key splits into three segments, with their rank
+    and ``passed_gate`` (allow-listed key prefix OR rank within threshold)."""
+    ranked = lookup_ranks(_split_keep(cands), rank_table)
+    return ranked.withColumn("passed_gate", F.coalesce(
+        venue_gate("key", "venue_rank", "_th", "_allow", missing_passes), F.lit(False)))
+
+
 def screen_many(records: DataFrame, studies: DataFrame, rank_table: DataFrame, *,
                 batch_size: int | None = None, missing_passes: bool = True,
-                title_index: DataFrame | None = None) -> DataFrame:
-    """Accepted papers of every study (``PAPERS`` columns)."""
-    papers = _split_keep(multi_candidates(records, studies, batch_size))
+                title_index: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
+    """Accepted papers of every study (``PAPERS`` columns).
+
+    ``candidates`` may pass precomputed ``multi_candidates`` output.  With
+    ``title_index``, papers without DOI get identifiers by title; rank and
+    gate do not depend on identifiers, so this runs after the gate, on
+    accepted papers only."""
+    cands = candidates if candidates is not None else multi_candidates(records, studies, batch_size)
+    accepted = gate_flags(cands, rank_table, missing_passes).where("passed_gate").select(*PAPER_COLUMNS)
     if title_index is not None:
-        from .enrich import resolve_ids
-        papers = resolve_ids(papers, title_index)
-    ranked = lookup_ranks(papers, rank_table)
-    accepted = ranked.where(venue_gate("key", "venue_rank", "_th", "_allow", missing_passes))
-    return accepted.select(*PAPER_COLUMNS)
+        accepted = resolve_ids(accepted, title_index)
+    return accepted
 
 
 def _split_keep(cands: DataFrame) -> DataFrame:

@@ -33,11 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import extract_doi
-from ..functions.venue import venue_gate
 from ..schemas import PRISMA_COUNTERS
 from .joins import left_join_nonnull
-from .multi import _split_keep, multi_candidates
-from .ranks import lookup_ranks
 
 
 def duplicate_flags(records: DataFrame) -> DataFrame:
@@ -48,20 +45,17 @@ def duplicate_flags(records: DataFrame) -> DataFrame:
     return j.select("rec_id", (F.col("doi").isNotNull() & (F.col("ord") > F.col("_first"))).alias("is_dup"))
 
 
-def prisma_flow(records: DataFrame, studies: DataFrame, rank_table: DataFrame, contents: DataFrame,
+def prisma_flow(records: DataFrame, studies: DataFrame, gated: DataFrame, contents: DataFrame,
                 responses: DataFrame, reports: DataFrame, assessments: DataFrame,
-                min_rating: int = 5, missing_passes: bool = True) -> DataFrame:
-    """One row per study with the twelve counters (see module doc)."""
+                min_rating: int = 5) -> DataFrame:
+    """One row per study with the twelve counters (see module doc).
+
+    ``gated`` holds the candidate pairs with ``passed_gate``
+    (``multi.gate_flags``), so the dump is not screened a second time."""
     dups = duplicate_flags(records)
     glob = dups.agg(F.count(F.lit(1)).alias("total_papers_collected"),
                     F.count_if("is_dup").alias("duplicate_records_removed")).withColumn("_one", F.lit(1))
-
-    cands = multi_candidates(records, studies)
-    split = _split_keep(cands)
-    ranked = lookup_ranks(split, rank_table)
-    gated = ranked.select("study_id", "rec_id", venue_gate("key", "venue_rank", "_th", "_allow", missing_passes)
-                          .alias("passed_gate"))
-    flagged = gated.join(dups, "rec_id").where(~F.col("is_dup"))
+    flagged = gated.select("study_id", "rec_id", "passed_gate").join(dups, "rec_id").where(~F.col("is_dup"))
 
     key = ["study_id", "rec_id"]
     text = contents.select(*key, ((F.coalesce("tldr", F.lit("")) != "") | (F.coalesce("abstract", F.lit("")) != ""))

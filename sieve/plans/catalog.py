@@ -423,7 +423,7 @@ def q_recall(spark, sf_dir):
 def q_prisma_flow(spark, sf_dir):
     inp = ReviewInputs(spark, sf_dir)
     r = run_review(inp)
-    return prisma.prisma_flow(inp.bib, inp.studies, inp.rank_table, r.contents, r.responses, r.reports,
+    return prisma.prisma_flow(inp.bib, inp.studies, r.gated, r.contents, r.responses, r.reports,
                               r.criteria_assessments)
 
 

@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.assess import assessment_requests, criteria_assessments, response_ratings, verdict
-from ..operators.enrich import abstract_fallback, enrich_wide
-from ..operators.multi import multi_candidates, screen_many
+from ..operators.enrich import abstract_fallback, enrich_wide, resolve_ids
+from ..operators.multi import gate_flags, multi_candidates
 from ..operators.ranks import rank_rows
 from ..operators.reports import study_counters
 from ..operators.screening import PAPER_COLUMNS, Study, screen
+from ..session import materialize
 from ..sources.studies import studies_from_json
 from . import fixtures
 
@@ -76,15 +77,30 @@ class ReviewTables:
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return multi_candidates(self.inp.bib, self.inp.studies)
+        """(record, study) pairs passing venue type, year and keyword query,
+        written once to the shared folder: the single scan of the dump."""
+        cands = multi_candidates(self.inp.bib, self.inp.studies)
+        return materialize(cands.select("study_id", "rec_id", "ord", "key", "title", "year", "ee", "_th", "_allow"),
+                           "candidates")
+
+    @cached_property
+    def gated(self) -> DataFrame:
+        """Candidates with a three-segment key, their rank and ``passed_gate``."""
+        return gate_flags(self.candidates, self.inp.rank_table)
+
+    @cached_property
+    def _accepted(self) -> DataFrame:
+        """Accepted papers (type, year, query, key split, rank, gate)."""
+        return self.gated.where("passed_gate").select(*PAPER_COLUMNS)
 
     @cached_property
     def _wide(self) -> DataFrame:
-        """Accepted papers (screen, identifier resolution, rank, gate) with
-        their metadata columns."""
+        """Accepted papers with identifiers resolved and their metadata
+        columns, written once (papers, contents, metrics, requests and
+        responses all read it)."""
         inp = self.inp
-        accepted = screen_many(inp.bib, inp.studies, inp.rank_table, title_index=inp.view("title_index"))
-        return enrich_wide(accepted, inp.view("meta"))
+        resolved = resolve_ids(self._accepted, inp.view("title_index"))
+        return materialize(enrich_wide(resolved, inp.view("meta")), "enriched")
 
     @cached_property
     def papers(self) -> DataFrame:

@@ -117,7 +117,7 @@ def test_prisma_matches_brute_force(spark):
     inp = ReviewInputs(spark, SF)
     t = run_review(inp)
     got = {r.study_id: r.asDict() for r in prisma.prisma_flow(
-        inp.bib, inp.studies, inp.rank_table, t.contents, t.responses, t.reports, t.criteria_assessments).collect()}
+        inp.bib, inp.studies, t.gated, t.contents, t.responses, t.reports, t.criteria_assessments).collect()}
     want = _brute_prisma(inp, t)
     for sid, counts in want.items():
         for k, v in counts.items():
