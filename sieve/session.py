@@ -45,8 +45,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder named by ``spark.checkpoint.dir``.
 
-    A cluster names it; only when it is unset (tests, a laptop) is a fresh
-    local folder made and registered.
+    A cluster names it; only when it is unset on a local master (tests, a
+    laptop) is a fresh local folder made and registered.  On a cluster an
+    unset folder is an error: a machine-local folder would not survive the
+    loss of that machine.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None)
@@ -54,6 +56,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         current = sc.getCheckpointDir()
         if current:
             return current
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder all executors share")
         base = tempfile.mkdtemp(prefix="sieve-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
