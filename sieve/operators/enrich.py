@@ -58,30 +58,33 @@ def resolve_ids(papers: DataFrame, index: DataFrame, hit_order: str = "hit_rank"
 META_VALUES = ["abstract", "tldr", "is_open_access", "pdf_url", "citations", "influential_citations", "meta_id"]
 
 
-def _meta_by(meta: DataFrame, key: str, prefix: str) -> DataFrame:
-    m = meta.where(F.col(key).isNotNull()).select(
-        F.col(key).alias("_key"), *[F.col(v) for v in META_VALUES if v != "meta_id"],
-        F.col("semantic_scholar_id").alias("meta_id"))
-    first = unique_by(m, ["_key"], F.struct(*[F.col(v) for v in META_VALUES]), META_VALUES)
-    for v in ["_key"] + META_VALUES:
-        first = first.withColumnRenamed(v, prefix + v)
-    return first
+def _meta_lookup(meta: DataFrame) -> DataFrame:
+    """Metadata keyed both ways in one table: ``s:<id>`` and ``d:<doi>``, one
+    row per key (first by value order), so papers need a single join."""
+    vals = [F.col(v) for v in META_VALUES if v != "meta_id"] + [F.col("semantic_scholar_id").alias("meta_id")]
+    by_ss = meta.where(F.col("semantic_scholar_id").isNotNull()).select(
+        F.concat(F.lit("s:"), F.col("semantic_scholar_id")).alias("_key"), *vals)
+    by_doi = meta.where(F.col("doi").isNotNull()).select(F.concat(F.lit("d:"), F.col("doi")).alias("_key"), *vals)
+    keyed = by_ss.unionByName(by_doi)
+    return unique_by(keyed, ["_key"], F.struct(*[F.col(v) for v in META_VALUES]), META_VALUES)
+
+
+def lookup_key(ss, doi) -> Column:
+    """``s:<id>`` when the paper has an id, else ``d:<doi>`` (NULL without both)."""
+    return F.when(ss.isNotNull(), F.concat(F.lit("s:"), ss)).otherwise(F.concat(F.lit("d:"), doi))
 
 
 def attach_metadata(papers: DataFrame, meta: DataFrame) -> DataFrame:
     """Look each paper up by ``semantic_scholar_id`` when it has one, else by
     ``doi`` (an unknown id does not fall back to the DOI).  Adds ``meta_found``
-    and the ``m_*`` metadata columns."""
-    by_ss = _meta_by(meta, "semantic_scholar_id", "s_")
-    by_doi = _meta_by(meta, "doi", "d_")
-    keyed = (papers.withColumn("_kss", F.col("semantic_scholar_id"))
-             .withColumn("_kdoi", F.when(F.col("semantic_scholar_id").isNull(), F.col("doi"))))
-    j = left_join_nonnull(keyed, by_ss, ["_kss"], ["s__key"])
-    j = left_join_nonnull(j, by_doi, ["_kdoi"], ["d__key"])
-    use_ss = F.col("semantic_scholar_id").isNotNull()
-    out = j.select(*papers.columns,
-                   *[F.when(use_ss, F.col("s_" + v)).otherwise(F.col("d_" + v)).alias("m_" + v) for v in META_VALUES])
-    return out.withColumn("meta_found", F.col("m_meta_id").isNotNull())
+    and the ``m_*`` metadata columns.  One shuffle join on a combined key."""
+    lookup = _meta_lookup(meta)
+    for v in META_VALUES:
+        lookup = lookup.withColumnRenamed(v, "m_" + v)
+    keyed = papers.withColumn("_mk", lookup_key(F.col("semantic_scholar_id"), F.col("doi")))
+    j = left_join_nonnull(keyed, lookup, ["_mk"], ["_key"])
+    return j.select(*papers.columns, *["m_" + v for v in META_VALUES]) \
+        .withColumn("meta_found", F.col("m_meta_id").isNotNull())
 
 
 def enrich(papers: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -124,12 +127,16 @@ def abstract_fallback(contents: DataFrame, pages: DataFrame, source: str = "publ
                       page_url: str = "url", final_url: str = "final_url", html: str = "html") -> DataFrame:
     """Where ``abstract`` is NULL or empty, extract one from the page fetched at
     ``source``: the page row with ``url == source``, routed by its
-    ``final_url``.  Pages are reduced to one per URL first; only rows that
-    need a fallback are joined and parsed."""
+    ``final_url``.  The pages are first cut to the URLs that are needed
+    (semi-join), then reduced to one per URL; only rows that need a fallback
+    are joined and parsed.  Pass materialised ``contents`` so the needed URLs
+    are cheap to compute."""
     need = F.coalesce(F.col("abstract"), F.lit("")) == ""
-    pg = unique_by(pages.select(F.col(page_url).alias("_src"), F.col(final_url).alias("_final"), F.col(html).alias("_html")),
-                   ["_src"], F.struct("_final", "_html"), ["_final", "_html"])
     keyed = contents.withColumn("_k", F.when(need, F.col(source)))
+    wanted = keyed.where(F.col("_k").isNotNull()).select(F.col("_k").alias("_src")).distinct()
+    cut = pages.select(F.col(page_url).alias("_src"), F.col(final_url).alias("_final"), F.col(html).alias("_html")) \
+        .join(wanted, "_src", "left_semi")
+    pg = unique_by(cut, ["_src"], F.struct("_final", "_html"), ["_final", "_html"])
     joined = left_join_nonnull(keyed, pg, ["_k"], ["_src"])
     ex = extract_abstracts(joined, keys=[c for c in joined.columns if c not in ("_html", "_final")],
                            url="_final", html="_html", out="_extracted")
@@ -140,22 +147,19 @@ def abstract_fallback(contents: DataFrame, pages: DataFrame, source: str = "publ
 def match_known(papers: DataFrame, stored: DataFrame, stored_order: str = "rec_id") -> DataFrame:
     """Known-paper match: by DOI when the incoming paper has one, else by
     ``semantic_scholar_id``.  A match replaces the incoming row by the stored
-    one (first stored row per key); ``known`` tells which rows matched."""
-    cols = [c for c in papers.columns]
-    vals = [c for c in stored.columns]
-    by_doi = unique_by(stored.where(F.col("doi").isNotNull()).withColumn("_key", F.col("doi")),
-                       ["_key"], stored_order, vals)
-    by_ss = unique_by(stored.where(F.col("semantic_scholar_id").isNotNull()).withColumn("_key", F.col("semantic_scholar_id")),
-                      ["_key"], stored_order, vals)
+    one (first stored row per key); ``known`` tells which rows matched.  The
+    stored side is keyed both ways in one table, so this is one join."""
+    cols = list(papers.columns)
+    vals = list(stored.columns)
+    by_doi = stored.where(F.col("doi").isNotNull()).withColumn("_key", F.concat(F.lit("d:"), F.col("doi")))
+    by_ss = stored.where(F.col("semantic_scholar_id").isNotNull()).withColumn(
+        "_key", F.concat(F.lit("s:"), F.col("semantic_scholar_id")))
+    first = unique_by(by_doi.unionByName(by_ss), ["_key"], stored_order, vals)
     for v in vals:
-        by_doi = by_doi.withColumnRenamed(v, "sd_" + v)
-        by_ss = by_ss.withColumnRenamed(v, "ss_" + v)
-    keyed = papers.withColumn("_kd", F.col("doi")).withColumn(
-        "_ks", F.when(F.col("doi").isNull(), F.col("semantic_scholar_id")))
-    j = left_join_nonnull(keyed, by_doi, ["_kd"], ["_key"])
-    j = left_join_nonnull(j, by_ss, ["_ks"], ["_key"])
-    hit_d = F.col("sd_" + stored_order).isNotNull()
-    hit_s = F.col("ss_" + stored_order).isNotNull()
-    out = [F.when(hit_d, F.col("sd_" + c)).when(hit_s, F.col("ss_" + c)).otherwise(F.col(c)).alias(c)
-           if c in vals else F.col(c) for c in cols]
-    return j.select(*out, (hit_d | hit_s).alias("known"))
+        first = first.withColumnRenamed(v, "st_" + v)
+    keyed = papers.withColumn("_pk", F.when(F.col("doi").isNotNull(), F.concat(F.lit("d:"), F.col("doi")))
+                              .otherwise(F.concat(F.lit("s:"), F.col("semantic_scholar_id"))))
+    j = left_join_nonnull(keyed, first, ["_pk"], ["_key"])
+    hit = F.col("st_" + stored_order).isNotNull()
+    out = [F.when(hit, F.col("st_" + c)).otherwise(F.col(c)).alias(c) if c in vals else F.col(c) for c in cols]
+    return j.select(*out, hit.alias("known"))

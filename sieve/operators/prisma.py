@@ -20,11 +20,11 @@ status; ``records_excluded_manually`` = 0 (no manual step);
 ``report_assessment_exclusion_summaries`` = distinct criteria rated below the
 passing rating in screened papers.
 
-Scale: duplicates come from a partial aggregate per DOI (a hot DOI costs one
-row per map task) joined back many-to-one with NULL DOIs kept off a single
-reducer; the per-study work runs only over (record, study) candidate pairs
-from the year-equi-join of ``multi``; everything ends in grouped partial
-aggregates.  No window over a hot key, no cross product.
+Scale: duplicates come from one partial aggregate per DOI over the dump (a
+hot DOI costs one row per map task); only the (record, study) candidate
+pairs are joined to it, with NULL DOIs kept off a single reducer; the
+per-study work runs only over those pairs; everything ends in grouped
+partial aggregates.  No window over a hot key, no cross product.
 """
 
 from __future__ import annotations
@@ -37,12 +37,11 @@ from ..schemas import PRISMA_COUNTERS
 from .joins import left_join_nonnull
 
 
-def duplicate_flags(records: DataFrame) -> DataFrame:
-    """``(rec_id, is_dup)`` for every record."""
-    recs = records.select("rec_id", "ord", extract_doi("ee").alias("doi"))
-    first = recs.where(F.col("doi").isNotNull()).groupBy("doi").agg(F.min("ord").alias("_first"))
-    j = left_join_nonnull(recs, first.withColumnRenamed("doi", "_d"), ["doi"], ["_d"], broadcast_right=False)
-    return j.select("rec_id", (F.col("doi").isNotNull() & (F.col("ord") > F.col("_first"))).alias("is_dup"))
+def doi_groups(records: DataFrame) -> DataFrame:
+    """``(doi, n, first_ord)`` per DOI (NULL DOI is one group).  A partial
+    aggregate: a hot DOI, or the NULL group, costs one row per map task."""
+    return records.select("ord", extract_doi("ee").alias("doi")).groupBy("doi").agg(
+        F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_ord"))
 
 
 def prisma_flow(records: DataFrame, studies: DataFrame, gated: DataFrame, contents: DataFrame,
@@ -51,11 +50,18 @@ def prisma_flow(records: DataFrame, studies: DataFrame, gated: DataFrame, conten
     """One row per study with the twelve counters (see module doc).
 
     ``gated`` holds the candidate pairs with ``passed_gate``
-    (``multi.gate_flags``), so the dump is not screened a second time."""
-    dups = duplicate_flags(records)
-    glob = dups.agg(F.count(F.lit(1)).alias("total_papers_collected"),
-                    F.count_if("is_dup").alias("duplicate_records_removed")).withColumn("_one", F.lit(1))
-    flagged = gated.select("study_id", "rec_id", "passed_gate").join(dups, "rec_id").where(~F.col("is_dup"))
+    (``multi.gate_flags``), so the dump is not screened a second time.
+    Duplicates: the dump is aggregated once per DOI; only the candidate pairs
+    are joined to that aggregate (which is already partitioned on the DOI)."""
+    groups = doi_groups(records)
+    glob = groups.agg(F.sum("n").alias("total_papers_collected"),
+                      F.sum(F.when(F.col("doi").isNotNull(), F.col("n") - 1).otherwise(0))
+                      .alias("duplicate_records_removed")).withColumn("_one", F.lit(1))
+    firsts = groups.where(F.col("doi").isNotNull()).select(F.col("doi").alias("_d"), "first_ord")
+    cand = gated.select("study_id", "rec_id", "ord", "passed_gate", F.col("doi").alias("_cd"))
+    flagged = left_join_nonnull(cand, firsts, ["_cd"], ["_d"]) \
+        .where(F.col("first_ord").isNull() | (F.col("ord") <= F.col("first_ord"))) \
+        .select("study_id", "rec_id", "passed_gate")
 
     key = ["study_id", "rec_id"]
     text = contents.select(*key, ((F.coalesce("tldr", F.lit("")) != "") | (F.coalesce("abstract", F.lit("")) != ""))

@@ -69,12 +69,17 @@ def read_bibliography(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     return records, rejects
 
 
-def write_records(records: DataFrame, path: str) -> None:
+def write_records(records: DataFrame, path: str, partitions: int | None = None) -> None:
     """Store records as Parquet, partitioned by the key's first segment (so a
     venue-type prefix prunes whole directories) and sorted by year inside each
-    partition (so Parquet statistics prune row groups for a year range)."""
+    file (so Parquet statistics prune row groups for a year range).
+
+    Records are range-partitioned on (type, year, ord) first: a type holding
+    a third of the dump is spread over many tasks instead of one, and each
+    task writes into few directories."""
+    n = partitions or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (records.withColumn("ktype", F.split("key", "/")[0])
-     .repartition("ktype").sortWithinPartitions("year", "ord")
+     .repartitionByRange(n, "ktype", "year", "ord").sortWithinPartitions("ktype", "year", "ord")
      .write.mode("overwrite").partitionBy("ktype").parquet(path))
 
 
