@@ -32,16 +32,23 @@ def broadcast_limit(df: DataFrame) -> int:
 def bounded_broadcast(df: DataFrame, max_rows: int | None = None, name: str = "dim") -> tuple[DataFrame, bool]:
     """``(broadcast(table), True)`` when ``df`` has at most ``max_rows`` rows,
     else ``(table, False)``, where ``table`` is ``df`` written once to the
-    shared checkpoint folder (so the check does not recompute it and the join
-    reads the written rows)."""
+    shared checkpoint folder (the rows are counted while writing, and the
+    join reads the written rows instead of recomputing them)."""
+    table, _, ok = bounded_broadcast_with(df, {}, max_rows, name)
+    return table, ok
+
+
+def bounded_broadcast_with(df: DataFrame, metrics: dict, max_rows: int | None = None, name: str = "dim"):
+    """``bounded_broadcast`` that also observes ``metrics`` while the side is
+    written; returns ``(table, values, broadcast?)``.  The row count is
+    observed too, so the size check costs no extra job."""
     from ..session import materialize
 
     limit = broadcast_limit(df) if max_rows is None else max_rows
-    table = materialize(df, name)
-    n = table.limit(limit + 1).count()
-    if n <= limit:
-        return F.broadcast(table), True
-    return table, False
+    table, values = materialize(df, name, {"_rows": F.count(F.lit(1)), **metrics})
+    if values["_rows"] <= limit:
+        return F.broadcast(table), values, True
+    return table, values, False
 
 
 def unique_by(df: DataFrame, keys: Sequence[str], order: Column | str, values: Sequence[str]) -> DataFrame:

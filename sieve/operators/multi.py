@@ -19,7 +19,7 @@ from ..functions.cnf import compile_query_expr, groups_query_expr, match_compile
 from ..functions.text import extract_doi
 from ..functions.venue import prefix_any_expr, venue_gate
 from .enrich import resolve_ids
-from .joins import bounded_broadcast
+from .joins import bounded_broadcast_with
 from .ranks import lookup_ranks
 from .screening import PAPER_COLUMNS
 
@@ -44,11 +44,12 @@ def multi_candidates(records: DataFrame, studies: DataFrame, batch_size: int | N
     """``records`` columns + study columns for every (record, study) pair that
     passes the study's venue type, year range and keyword query."""
     sy = study_years(studies.where(F.col("year_min") <= F.col("year_max")))
-    bounds = studies.agg(F.min("year_min").alias("lo"), F.max("year_max").alias("hi")).first()
+    # the overall year range is observed while the study years are written,
+    # and pushed into the scan of the records
+    side, bounds, _ = bounded_broadcast_with(sy, {"lo": F.min("year"), "hi": F.max("year")}, name="study-years")
     recs = records
-    if bounds is not None and bounds["lo"] is not None:
+    if bounds.get("lo") is not None:
         recs = records.where(F.col("year").between(int(bounds["lo"]), int(bounds["hi"])))
-    side, _ = bounded_broadcast(sy)
     joined = recs.join(side, "year")
     cands = joined.where(prefix_any_expr("key", "_types") & match_compiled_expr("title", "_q"))
     if batch_size is not None and batch_size not in (0, -1):

@@ -10,6 +10,7 @@ view names in DuckDB), so both engines see identical inputs.
 from __future__ import annotations
 
 import json
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -164,8 +165,21 @@ def duckdb_view_sql(name: str) -> str:
     return VIEWS[name].format(**{t: t for t in BASE_TABLES}).replace("AS STRING)", "AS VARCHAR)")
 
 
+# A test table that is one local file below this size is read by one task.
+SPREAD_BELOW_BYTES = 1 << 30
+
+
 def base_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A test table.  The test tables are single small Parquet files (one row
+    group), so their scan is one task; such a table is spread over the
+    default parallelism (round-robin, which Spark keeps deterministic under
+    retries) so per-row work uses every core.  Tables stored as many files,
+    as on a cluster, are read as they are."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
+    if os.path.isfile(path) and os.path.getsize(path) < SPREAD_BELOW_BYTES:
+        df = df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -70,12 +70,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/sieve-scratch/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", metrics: dict | None = None):
     """Write ``df`` once as Parquet below the shared checkpoint folder and read
     it back: the plan is computed a single time, lineage is cut (a lost
     executor re-reads files instead of recomputing), and later plans see real
-    file statistics."""
+    file statistics.
+
+    With ``metrics`` (name → aggregate Column) the aggregates are observed
+    while writing, with no extra job, and ``(table, values)`` is returned."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    obs = None
+    if metrics:
+        obs = Observation(f"{name}-{uuid.uuid4().hex[:8]}")
+        df = df.observe(obs, *[c.alias(k) for k, c in metrics.items()])
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    table = spark.read.parquet(path)
+    if obs is None:
+        return table
+    return table, obs.get
