@@ -643,3 +643,27 @@ FROM resolved r LEFT JOIN sd ON sd.k = r.doi LEFT JOIN ss ON r.doi IS NULL AND s
 
 ORACLES["ingest_records"] = f"""WITH {views('bib')}
 SELECT key, title, year, ee FROM bib"""
+
+
+def _typed(doc: str, f: str, kind: str) -> str:
+    t = f"json_type({doc}, '$.{f}')"
+    if kind == "str":
+        return f"CASE WHEN {t} = 'VARCHAR' THEN json_extract_string({doc}, '$.{f}') END AS {f}"
+    if kind == "int":
+        return f"CASE WHEN {t} IN ('UBIGINT', 'BIGINT') THEN CAST(json_extract({doc}, '$.{f}') AS BIGINT) END AS {f}"
+    if kind == "list":
+        return (f"CASE WHEN {t} = 'ARRAY' AND coalesce(list_bool_and(list_transform(json_type({doc}, '$.{f}[*]'), "
+                f"lambda x_: x_ = 'VARCHAR')), TRUE) THEN json_extract_string({doc}, '$.{f}[*]') END AS {f}")
+    return (f"CASE WHEN {t} = 'ARRAY' THEN list_transform(CAST(json_extract({doc}, '$.{f}') AS JSON[]), "
+            f"lambda g_: json_extract_string(g_, '$[*]')) END AS {f}")
+
+
+# S2: spec documents loaded with the spec schema; a field of the wrong JSON
+# type reads as NULL, the others keep their values
+ORACLES["load_study"] = f"""WITH {views('spec_docs')}
+SELECT doc_id AS study_id, {_typed('doc', 'study_name', 'str')}, {_typed('doc', 'research_goal', 'str')},
+  {_typed('doc', 'research_questions', 'list')}, {_typed('doc', 'inclusion_criteria', 'list')},
+  {_typed('doc', 'year_min', 'int')}, {_typed('doc', 'year_max', 'int')},
+  {_typed('doc', 'search_word_groups', 'groups')}, {_typed('doc', 'venue_rank_threshold', 'str')},
+  {_typed('doc', 'accepted_venue_types', 'list')}, {_typed('doc', 'manually_accepted_venue_codes', 'list')}
+FROM spec_docs"""

@@ -64,14 +64,48 @@ def candidates(records: DataFrame, study: Study, split: str = "substring") -> Da
     return records.where(candidate_filter(study, split))
 
 
-def batch_limit(cands: DataFrame, n: int | None, order: str = "ord") -> DataFrame:
+# Up to this many rows the batch limit is Spark's top-n (each task keeps n
+# rows, one task merges them); above it, the exact distributed cut is used.
+TOP_N_SINGLE_TASK_MAX = 1_000_000
+
+
+def batch_limit(cands: DataFrame, n: int | None, order: str = "ord",
+                single_task_max: int = TOP_N_SINGLE_TASK_MAX) -> DataFrame:
     """First ``n`` candidates in dump order; ``None``, 0 or -1 mean no limit.
-    Spark plans this as a per-partition top-n merged in one small task."""
+
+    Small ``n``: ``orderBy(order).limit(n)`` (a per-partition top-n merged in
+    one task of at most ``n`` rows per partition).  Large ``n``: the rows are
+    range-partitioned on ``order`` and sorted inside each partition, written
+    once with their partition and position, counted per partition (one row
+    per partition), and kept while ``offset(partition) + position < n``; no
+    task ever holds more than its own partition."""
     if n is None or n in (0, -1):
         return cands
     if n < 0:
         raise ValueError("batch size must be positive, 0, -1 or None")
-    return cands.orderBy(order).limit(n)
+    if n <= single_task_max:
+        return cands.orderBy(order).limit(n)
+    return _distributed_head(cands, n, order)
+
+
+def _distributed_head(df: DataFrame, n: int, order: str) -> DataFrame:
+    from ..session import materialize
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, order).sortWithinPartitions(order) \
+        .withColumn("_mid", F.monotonically_increasing_id())
+    placed = materialize(ranged.withColumn("_pid", F.shiftright("_mid", 33))
+                         .withColumn("_pos", F.col("_mid").bitwiseAND((1 << 33) - 1)).drop("_mid"), "batch-head")
+    counts = sorted((r["_pid"], r["n"]) for r in placed.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect())
+    offset, offsets = 0, {}
+    for pid, cnt in counts:
+        offsets[pid] = offset
+        offset += cnt
+    if not offsets:
+        return placed.drop("_pid", "_pos")
+    start = F.element_at(F.create_map(*[x for pid in sorted(offsets) for x in (F.lit(pid), F.lit(offsets[pid]))]),
+                         F.col("_pid"))
+    return placed.where(start + F.col("_pos") < F.lit(n)).drop("_pid", "_pos")
 
 
 def split_venue(cands: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -124,3 +124,13 @@ def test_prisma_matches_brute_force(spark):
             assert got[sid][k] == v, (sid, k, got[sid][k], v)
         assert got[sid]["records_excluded_manually"] == 0
         assert got[sid]["report_construction_attempts"] == got[sid]["records_screened"]
+
+
+def test_distributed_batch_limit_is_exact(spark):
+    from sieve.operators.screening import batch_limit
+
+    df = spark.range(0, 5000).select((F.col("id") * 7919 % 5000).alias("ord"), F.col("id").alias("rec_id"))
+    small = {r.ord for r in batch_limit(df, 1234).collect()}
+    big = {r.ord for r in batch_limit(df, 1234, single_task_max=10).collect()}
+    assert small == big == set(range(1234))
+    assert batch_limit(df, 10_000, single_task_max=10).count() == 5000
