@@ -101,9 +101,10 @@ def table_stats(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def study_counters(studies: DataFrame, candidates: DataFrame, reports: DataFrame, assessments: DataFrame,
-                   run_date: str, dump_name: str, runtime_seconds: float = 0.0) -> DataFrame:
+                   run_date: str | None, dump_name: str, runtime_seconds: float = 0.0) -> DataFrame:
     """Stored study rows: ``papers_collected`` = candidates seen (accepted or
-    not), ``reports_collected`` = reports with at least one assessment."""
+    not), ``reports_collected`` = reports with at least one assessment;
+    ``study_date`` is ``run_date`` (default: today)."""
     seen = candidates.groupBy("study_id").agg(F.count(F.lit(1)).alias("papers_collected"))
     assessed = assessments.select(*PAPER_KEY).distinct()
     done = reports.join(assessed, PAPER_KEY, "left_semi").groupBy("study_id") \
@@ -111,7 +112,7 @@ def study_counters(studies: DataFrame, candidates: DataFrame, reports: DataFrame
     return (studies.select("study_id", "study_name")
             .join(seen, "study_id", "left").join(done, "study_id", "left")
             .select("study_id", "study_name",
-                    F.lit(run_date).cast("date").alias("study_date"),
+                    (F.lit(run_date).cast("date") if run_date else F.current_date()).alias("study_date"),
                     F.lit(dump_name).alias("dblp_used"),
                     F.coalesce("papers_collected", F.lit(0)).cast("int").alias("papers_collected"),
                     F.coalesce("reports_collected", F.lit(0)).cast("int").alias("reports_collected"),

@@ -62,31 +62,43 @@ def screen_study(inp: ReviewInputs, i: int, **kw) -> DataFrame:
     return screen(inp.bib, inp.study(i), inp.rank_table, **kw)
 
 
-class ReviewTables:
-    """The stored tables of a review run over all studies, built lazily: a
-    query that needs only ``papers`` never plans contents or assessments."""
-
-    def __init__(self, inp: ReviewInputs, min_rating: int = 5, runtime_seconds: float = 0.0):
-        self.inp = inp
-        self.min_rating = min_rating
-        self.runtime_seconds = runtime_seconds
+class ReviewRun:
+    """The stored tables of one review run over many studies, built lazily:
+    a query that needs only ``papers`` never plans contents or assessments.
+
+    Inputs are DataFrames: ``records`` (the dump), ``studies`` (studies
+    table), ``rank_table`` (``ranks.rank_rows`` output); optionally
+    ``title_index`` (identifier resolution), ``meta`` (metadata enrichment),
+    ``landing`` (pages for the abstract fallback) and ``responses``: a
+    ``(study_id, rec_id, response)`` table, or a function that maps the
+    requests table (which carries ``meta_id``) to one."""
+
+    def __init__(self, records: DataFrame, studies: DataFrame, rank_table: DataFrame, *,
+                 title_index: DataFrame | None = None, meta: DataFrame | None = None,
+                 landing: DataFrame | None = None, responses=None, batch_size: int | None = None,
+                 run_date: str | None = None, dump_name: str = "", min_rating: int = 5,
+                 runtime_seconds: float = 0.0):
+        self.records, self.study_table, self.rank_table = records, studies, rank_table
+        self.title_index, self.meta, self.landing, self._responses_in = title_index, meta, landing, responses
+        self.batch_size, self.run_date, self.dump_name = batch_size, run_date, dump_name
+        self.min_rating, self.runtime_seconds = min_rating, runtime_seconds
 
     @cached_property
     def _criteria(self) -> DataFrame:
-        return self.inp.studies.select("study_id", "inclusion_criteria")
+        return self.study_table.select("study_id", "inclusion_criteria")
 
     @cached_property
     def candidates(self) -> DataFrame:
         """(record, study) pairs passing venue type, year and keyword query,
         written once to the shared folder: the single scan of the dump."""
-        cands = multi_candidates(self.inp.bib, self.inp.studies)
+        cands = multi_candidates(self.records, self.study_table, self.batch_size)
         return materialize(cands.select("study_id", "rec_id", "ord", "key", "title", "year", "ee", "_th", "_allow"),
                            "candidates")
 
     @cached_property
     def gated(self) -> DataFrame:
         """Candidates with a three-segment key, their rank and ``passed_gate``."""
-        return gate_flags(self.candidates, self.inp.rank_table)
+        return gate_flags(self.candidates, self.rank_table)
 
     @cached_property
     def _accepted(self) -> DataFrame:
@@ -98,9 +110,17 @@ class ReviewTables:
         """Accepted papers with identifiers resolved and their metadata
         columns, written once (papers, contents, metrics, requests and
         responses all read it)."""
-        inp = self.inp
-        resolved = resolve_ids(self._accepted, inp.view("title_index"))
-        return materialize(enrich_wide(resolved, inp.view("meta")), "enriched")
+        papers = self._accepted
+        if self.title_index is not None:
+            papers = resolve_ids(papers, self.title_index)
+        if self.meta is not None:
+            wide = enrich_wide(papers, self.meta)
+        else:
+            wide = papers.select("*", F.lit(False).alias("meta_found"),
+                                 *[F.lit(None).cast(t).alias(c) for c, t in
+                                   [("tldr", "string"), ("abstract", "string"), ("citations", "int"),
+                                    ("influential_citations", "int"), ("meta_id", "string")]])
+        return materialize(wide, "enriched")
 
     @cached_property
     def papers(self) -> DataFrame:
@@ -109,9 +129,11 @@ class ReviewTables:
     @cached_property
     def contents(self) -> DataFrame:
         """tldr and abstract of papers with metadata; empty abstracts filled
-        from the landing page."""
+        from the landing page when landing pages are given."""
         found = self._wide.where("meta_found").select(*KEY, "publisher_source", "tldr", "abstract")
-        return abstract_fallback(found, self.inp.view("landing")).select(*KEY, "tldr", "abstract")
+        if self.landing is not None:
+            found = abstract_fallback(found, self.landing)
+        return found.select(*KEY, "tldr", "abstract")
 
     @cached_property
     def metrics(self) -> DataFrame:
@@ -120,17 +142,18 @@ class ReviewTables:
 
     @cached_property
     def requests(self) -> DataFrame:
+        """One assessment request per accepted paper, from its own content."""
         with_content = self._wide.select(*KEY, "meta_id").join(self.contents, KEY, "left").join(self._criteria, "study_id")
         return assessment_requests(with_content, KEY + ["meta_id"])
 
     @cached_property
     def responses(self) -> DataFrame:
-        """Stand-in for the batch-inference output: the rating response
-        recorded for the paper's metadata id (papers without metadata get
-        none).  Only the request keys are needed to attach it."""
-        llm = self.inp.view("responses").select(F.col("doc_id").cast("string").alias("meta_id"), "response")
-        asked = self._wide.select(*KEY, "meta_id")
-        return asked.join(llm, "meta_id").select(*KEY, "response")
+        r = self._responses_in
+        if r is None:
+            return self.requests.select(*KEY, F.lit(None).cast("string").alias("response")).limit(0)
+        if callable(r):
+            r = r(self.requests)
+        return r.select(*KEY, "response")
 
     @cached_property
     def _rated(self) -> DataFrame:
@@ -148,15 +171,29 @@ class ReviewTables:
 
     @cached_property
     def studies(self) -> DataFrame:
-        return study_counters(self.inp.studies, self.candidates, self.reports, self.criteria_assessments,
-                              fixtures.RUN_DATE, fixtures.DUMP_NAME, self.runtime_seconds)
+        return study_counters(self.study_table, self.candidates, self.reports, self.criteria_assessments,
+                              self.run_date, self.dump_name, self.runtime_seconds)
+
+
+# the table names a run stores, in write order
+RUN_TABLES = ["studies", "papers", "contents", "metrics", "requests", "reports", "criteria_assessments"]
 
 
-def run_review(inp: ReviewInputs, min_rating: int = 5, runtime_seconds: float = 0.0) -> ReviewTables:
-    """All four reviews over one bibliography scan.
+def run_review(inp: ReviewInputs, min_rating: int = 5, runtime_seconds: float = 0.0) -> ReviewRun:
+    """All four reviews of the fixtures over one bibliography scan.
 
-    screen (type, year, query, key split, DOI, identifier resolution, rank,
-    gate) → metadata enrichment → abstract fallback from landing pages →
+    screen (type, year, query, key split, rank, gate, identifier resolution)
+    → metadata enrichment → abstract fallback from landing pages →
     assessment requests → rating responses → criteria assessments, verdicts
     → study counters.  Tables are planned on first access."""
-    return ReviewTables(inp, min_rating, runtime_seconds)
+    llm = inp.view("responses").select(F.col("doc_id").cast("string").alias("meta_id"), "response")
+
+    def recorded_responses(requests: DataFrame) -> DataFrame:
+        # stand-in for the batch-inference output: the response recorded for
+        # the paper's metadata id (papers without metadata get none)
+        return requests.select(*KEY, "meta_id").join(llm, "meta_id")
+
+    return ReviewRun(inp.bib, inp.studies, inp.rank_table, title_index=inp.view("title_index"),
+                     meta=inp.view("meta"), landing=inp.view("landing"), responses=recorded_responses,
+                     run_date=fixtures.RUN_DATE, dump_name=fixtures.DUMP_NAME, min_rating=min_rating,
+                     runtime_seconds=runtime_seconds)

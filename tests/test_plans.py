@@ -134,3 +134,34 @@ def test_distributed_batch_limit_is_exact(spark):
     big = {r.ord for r in batch_limit(df, 1234, single_task_max=10).collect()}
     assert small == big == set(range(1234))
     assert batch_limit(df, 10_000, single_task_max=10).count() == 5000
+
+
+def test_review_job_end_to_end(spark, tmpdir_path):
+    import json
+    import os
+
+    from sieve.plans import fixtures
+    from sieve.plans.job import parse_args, run
+    from sieve.sources.bibliography import write_dump
+
+    inp = ReviewInputs(spark, SF)
+    d = tmpdir_path
+    write_dump(inp.bib, f"{d}/dump")
+    inp.view("rank_html").withColumn("kind", F.lit("conference")).write.parquet(f"{d}/ranks")
+    inp.view("meta").write.parquet(f"{d}/meta")
+    inp.view("landing").write.parquet(f"{d}/pages")
+    for i in (0, 1):
+        with open(f"{d}/s{i}.json", "w") as f:
+            json.dump(fixtures.REVIEW_SPECS[i], f, indent=2)
+    args = parse_args(["--study", f"{d}/s0.json", "--study", f"{d}/s1.json", "--dblp", f"{d}/dump",
+                       "--ranks", f"{d}/ranks", "--collect_content", "--meta", f"{d}/meta", "--pages", f"{d}/pages",
+                       "--generate_report", "--export_all", "--out", f"{d}/out"])
+    written = run(spark, args)
+    papers = spark.read.parquet(written["papers"])
+    want = multi.screen_many(inp.bib, inp.studies.where("study_id <= 2"), inp.rank_table)
+    assert papers.count() == want.count()
+    assert {r.venue_key for r in papers.collect()} == {r.venue_key for r in want.collect()}
+    studies = {r.study_id: r for r in spark.read.parquet(written["studies"]).collect()}
+    assert set(studies) == {1, 2} and studies[1].total_runtime > 0
+    assert spark.read.parquet(written["requests"]).count() == papers.count()
+    assert os.path.isdir(written["export_csv"])
