@@ -71,7 +71,7 @@ class ReviewRun:
     ``title_index`` (identifier resolution), ``meta`` (metadata enrichment),
     ``landing`` (pages for the abstract fallback) and ``responses``: a
     ``(study_id, rec_id, response)`` table, or a function that maps the
-    requests table (which carries ``meta_id``) to one."""
+    requested papers ``(study_id, rec_id, meta_id)`` to one."""
 
     def __init__(self, records: DataFrame, studies: DataFrame, rank_table: DataFrame, *,
                  title_index: DataFrame | None = None, meta: DataFrame | None = None,
@@ -131,9 +131,11 @@ class ReviewRun:
         """tldr and abstract of papers with metadata; empty abstracts filled
         from the landing page when landing pages are given."""
         found = self._wide.where("meta_found").select(*KEY, "publisher_source", "tldr", "abstract")
-        if self.landing is not None:
-            found = abstract_fallback(found, self.landing)
-        return found.select(*KEY, "tldr", "abstract")
+        if self.landing is None:
+            return found.select(*KEY, "tldr", "abstract")
+        # the fallback parses pages (partly in Python): written once, read by
+        # requests, PRISMA and the statistics
+        return materialize(abstract_fallback(found, self.landing).select(*KEY, "tldr", "abstract"), "contents")
 
     @cached_property
     def metrics(self) -> DataFrame:
@@ -152,7 +154,7 @@ class ReviewRun:
         if r is None:
             return self.requests.select(*KEY, F.lit(None).cast("string").alias("response")).limit(0)
         if callable(r):
-            r = r(self.requests)
+            r = r(self._wide.select(*KEY, "meta_id"))
         return r.select(*KEY, "response")
 
     @cached_property
@@ -188,10 +190,10 @@ def run_review(inp: ReviewInputs, min_rating: int = 5, runtime_seconds: float =
     → study counters.  Tables are planned on first access."""
     llm = inp.view("responses").select(F.col("doc_id").cast("string").alias("meta_id"), "response")
 
-    def recorded_responses(requests: DataFrame) -> DataFrame:
+    def recorded_responses(requested: DataFrame) -> DataFrame:
         # stand-in for the batch-inference output: the response recorded for
         # the paper's metadata id (papers without metadata get none)
-        return requests.select(*KEY, "meta_id").join(llm, "meta_id")
+        return requested.join(llm, "meta_id")
 
     return ReviewRun(inp.bib, inp.studies, inp.rank_table, title_index=inp.view("title_index"),
                      meta=inp.view("meta"), landing=inp.view("landing"), responses=recorded_responses,
