@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import cnf, formats, text, venue
 from ..operators import abstracts, assess, enrich, multi, prisma, reports, screening
 from ..operators import ranks as rank_ops
+from ..schemas import PAPERS
 from ..session import scratch_path
 from ..sources import bibliography, store
 from ..sources import studies as studies_src
@@ -442,7 +443,7 @@ def q_write_papers(spark, sf_dir):
     """Papers of all reviews written partitioned by study, read back."""
     path = scratch_path(spark, "papers")
     store.write_table(_review(spark, sf_dir).papers, path)
-    return store.read_table(spark, path).select(*screening.PAPER_COLUMNS)
+    return store.read_table(spark, path, PAPERS).select(*screening.PAPER_COLUMNS)
 
 
 @query("csv_roundtrip")

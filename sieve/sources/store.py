@@ -23,9 +23,12 @@ def write_table(df: DataFrame, path: str, partition_by: str | None = "study_id")
     w.parquet(path)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Stored table scan (filters on ``study_id`` prune partitions)."""
-    return spark.read.parquet(path)
+def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """Stored table scan (filters on ``study_id`` prune partitions).  With the
+    table's schema the partition column keeps its declared type instead of
+    the type guessed from directory names."""
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.parquet(path)
 
 
 def export_csv(papers: DataFrame, path: str, columns: list[str] | None = None) -> None:

@@ -324,7 +324,7 @@ def likert(x: str) -> str:
 ORACLES["clean_text"] = f"SELECT doc_id, {clean('text')} AS cleaned FROM documents"
 
 _LP = long_paras("replace(text, chr(10), chr(10) || chr(10))", 40)
-ORACLES["long_paragraphs"] = f"SELECT doc_id, len({_LP}) AS n_long, array_to_string({_LP}, '') AS long_text FROM documents"
+ORACLES["long_paragraphs"] = f"SELECT doc_id, CAST(len({_LP}) AS INTEGER) AS n_long, array_to_string({_LP}, '') AS long_text FROM documents"
 
 ORACLES["meta_description"] = f"""WITH {views('web')}
 SELECT page_id, {meta_desc('html')} AS description FROM web"""
@@ -545,19 +545,22 @@ _PILOTS = f"pilots AS ({fixtures.duckdb_view_sql('pilots')})"
 ORACLES["recall_found"] = f"WITH {review_ctes()}, {_PILOTS}\nSELECT * FROM pilots WHERE doi IN (SELECT doi FROM all_papers)"
 ORACLES["recall_missing"] = (f"WITH {review_ctes()}, {_PILOTS}\nSELECT * FROM pilots "
                              "WHERE doi NOT IN (SELECT doi FROM all_papers WHERE doi IS NOT NULL)")
-ORACLES["recall"] = (f"WITH {review_ctes()}, {_PILOTS}\nSELECT count(*) AS pilots, count_if(f) AS found, "
+ORACLES["recall"] = (f"WITH {review_ctes()}, {_PILOTS}\nSELECT count(*) AS pilots, CAST(count_if(f) AS BIGINT) AS found, "
                      "round(avg(CAST(f AS DOUBLE)), 6) AS recall FROM (SELECT doi IN (SELECT doi FROM all_papers "
                      "WHERE doi IS NOT NULL) AS f FROM pilots)")
 ORACLES["csv_roundtrip"] = R("SELECT coalesce(doi, '') AS doi FROM all_papers WHERE study_id = 1")
 
 ORACLES["prisma_flow"] = R("""SELECT s.study_id,
-  g.total AS total_papers_collected, g.dup AS duplicate_records_removed,
-  coalesce(p.aux, 0) AS records_refused_by_aux_filters,
-  g.total - g.dup - coalesce(p.aux, 0) - coalesce(p.screened, 0) AS records_refused_by_automated_filters,
-  coalesce(p.screened, 0) AS records_screened, CAST(0 AS BIGINT) AS records_excluded_manually,
-  coalesce(p.failed, 0) AS records_excluded_automatically, coalesce(p.screened, 0) AS report_construction_attempts,
-  coalesce(p.no_text, 0) AS report_construction_failures, coalesce(p.resp, 0) AS report_assessment_attempts,
-  coalesce(p.failed, 0) AS report_assessment_exclusions, coalesce(l.n, 0) AS report_assessment_exclusion_summaries
+  CAST(g.total AS BIGINT) AS total_papers_collected, CAST(g.dup AS BIGINT) AS duplicate_records_removed,
+  CAST(coalesce(p.aux, 0) AS BIGINT) AS records_refused_by_aux_filters,
+  CAST(g.total - g.dup - coalesce(p.aux, 0) - coalesce(p.screened, 0) AS BIGINT) AS records_refused_by_automated_filters,
+  CAST(coalesce(p.screened, 0) AS BIGINT) AS records_screened, CAST(0 AS BIGINT) AS records_excluded_manually,
+  CAST(coalesce(p.failed, 0) AS BIGINT) AS records_excluded_automatically,
+  CAST(coalesce(p.screened, 0) AS BIGINT) AS report_construction_attempts,
+  CAST(coalesce(p.no_text, 0) AS BIGINT) AS report_construction_failures,
+  CAST(coalesce(p.resp, 0) AS BIGINT) AS report_assessment_attempts,
+  CAST(coalesce(p.failed, 0) AS BIGINT) AS report_assessment_exclusions,
+  CAST(coalesce(l.n, 0) AS BIGINT) AS report_assessment_exclusion_summaries
 FROM studies s
 CROSS JOIN (SELECT count(*) AS total, count_if(is_dup) AS dup FROM dups) g
 LEFT JOIN (
