@@ -21,7 +21,7 @@ from ..functions.venue import prefix_any_expr, venue_gate
 from .enrich import resolve_ids
 from .joins import bounded_broadcast_with
 from .ranks import lookup_ranks
-from .screening import PAPER_COLUMNS
+from .screening import PAPER_COLUMNS, partition_prune
 
 STUDY_COLUMNS = ["study_id", "year_min", "year_max", "search_word_groups", "accepted_venue_types",
                  "venue_rank_threshold", "manually_accepted_venue_codes"]
@@ -42,14 +42,22 @@ def study_years(studies: DataFrame) -> DataFrame:
 
 def multi_candidates(records: DataFrame, studies: DataFrame, batch_size: int | None = None) -> DataFrame:
     """``records`` columns + study columns for every (record, study) pair that
-    passes the study's venue type, year range and keyword query."""
+    passes the study's venue type, year range and keyword query.  The
+    overall year range and the union of the studies' venue types (observed
+    while the study years are written) are pushed into the records scan."""
     sy = study_years(studies.where(F.col("year_min") <= F.col("year_max")))
     # the overall year range is observed while the study years are written,
     # and pushed into the scan of the records
-    side, bounds, _ = bounded_broadcast_with(sy, {"lo": F.min("year"), "hi": F.max("year")}, name="study-years")
+    side, seen, _ = bounded_broadcast_with(sy, {
+        "lo": F.min("year"), "hi": F.max("year"),
+        "all_types": F.max(F.col("_types").isNull().cast("int")),
+        "types": F.array_distinct(F.flatten(F.collect_set(F.coalesce("_types", F.array().cast("array<string>"))))),
+    }, name="study-years")
     recs = records
-    if bounds.get("lo") is not None:
-        recs = records.where(F.col("year").between(int(bounds["lo"]), int(bounds["hi"])))
+    if seen.get("lo") is not None:
+        recs = records.where(F.col("year").between(int(seen["lo"]), int(seen["hi"])))
+        if not seen.get("all_types"):
+            recs = partition_prune(recs, sorted(seen.get("types") or []))
     joined = recs.join(side, "year")
     cands = joined.where(prefix_any_expr("key", "_types") & match_compiled_expr("title", "_q"))
     if batch_size is not None and batch_size not in (0, -1):

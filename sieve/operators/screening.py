@@ -59,9 +59,19 @@ def candidate_filter(study: Study, split: str = "substring") -> Column:
             & keyword_groups_match("title", study.search_word_groups, split))
 
 
+def partition_prune(records: DataFrame, types) -> DataFrame:
+    """Add the venue-type test on the ``ktype`` partition column of records
+    stored by ``write_records``.  For types without ``/`` a key starts with a
+    type exactly when its first segment does, so this only prunes
+    directories; it changes no result."""
+    if types is None or "ktype" not in records.columns or any("/" in t for t in types):
+        return records
+    return records.where(venue_type_filter("ktype", list(types)))
+
+
 def candidates(records: DataFrame, study: Study, split: str = "substring") -> DataFrame:
     """Records passing venue type, year and keyword query."""
-    return records.where(candidate_filter(study, split))
+    return partition_prune(records, study.accepted_venue_types).where(candidate_filter(study, split))
 
 
 # Up to this many rows the batch limit is Spark's top-n (each task keeps n

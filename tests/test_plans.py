@@ -1,6 +1,8 @@
 """Composed plans: the flagship entry, one scan for many reviews, PRISMA
 counters against a brute-force count, and the shape of the physical plans."""
 
+import re
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -165,3 +167,22 @@ def test_review_job_end_to_end(spark, tmpdir_path):
     assert set(studies) == {1, 2} and studies[1].total_runtime > 0
     assert spark.read.parquet(written["requests"]).count() == papers.count()
     assert os.path.isdir(written["export_csv"])
+
+
+def test_stored_records_prune_partitions(spark, tmpdir_path):
+    from sieve.sources.bibliography import write_records
+
+    inp = ReviewInputs(spark, SF)
+    path = f"{tmpdir_path}/records"
+    write_records(inp.bib, path)
+    records = spark.read.parquet(path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    one = screen(records, inp.study(1), inp.rank_table)
+    assert re.search(r"PartitionFilters: \[\(+StartsWith\(ktype", plan_of(one))
+    same = {tuple(r) for r in screen(records.drop("ktype"), inp.study(1), inp.rank_table).collect()}
+    assert {tuple(r) for r in one.collect()} == same
+    many = multi.screen_many(records, inp.studies.where("study_id <= 3"), inp.rank_table)
+    assert re.search(r"PartitionFilters: \[\(+StartsWith\(ktype", plan_of(many))
+    want = {tuple(r) for r in multi.screen_many(records.drop("ktype"), inp.studies.where("study_id <= 3"),
+                                                inp.rank_table).collect()}
+    assert {tuple(r) for r in many.collect()} == want
