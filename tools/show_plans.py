@@ -26,15 +26,25 @@ from sieve.sources.bibliography import write_records  # noqa: E402
 def plan(df) -> str:
     text = df._jdf.queryExecution().executedPlan().toString()
     text = re.sub(r"#\d+L?", "", text)
+    text = re.sub(r"[\x00-\x08\x0b-\x1f]", lambda m: "\\u%04x" % ord(m.group(0)), text)
     text = re.sub(r"map_from_arrays\(array\([^)]*\), array\([^)]*\)\)", "<entity map>", text)
     text = re.sub(r"file:/[^\],]*", "<path>", text)
-    return "\n".join(line[:200] for line in text.splitlines())
+    out = []
+    for line in text.splitlines():
+        out.append(line[:200])
+        if "FileScan" in line:
+            pad = " " * (len(line) - len(line.lstrip(" :|+-")) + 4)
+            for key in ("PartitionFilters", "PushedFilters", "ReadSchema"):
+                m = re.search(key + r": (\[.*?\]|\S+)(?=, [A-Z][A-Za-z]+:|$)", line)
+                if m:
+                    out.append((pad + key + ": " + m.group(1))[:400])
+    return "\n".join(out)
 
 
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = build_session(shuffle_partitions=8)
-    spark.conf.set("spark.sql.maxMetadataStringLength", "400")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     inp = ReviewInputs(spark, sf_dir)
     path = os.path.join(tempfile.mkdtemp(prefix="plans-"), "records")
     write_records(inp.bib, path)
