@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import PY_WS, py_strip
+from ..functions.text import PY_WS
 from .abstracts import extract_abstracts
 from .joins import left_join_nonnull, unique_by
 

@@ -45,6 +45,9 @@ def multi_candidates(records: DataFrame, studies: DataFrame, batch_size: int | N
     passes the study's venue type, year range and keyword query.  The
     overall year range and the union of the studies' venue types (observed
     while the study years are written) are pushed into the records scan."""
+    missing = [c for c in STUDY_COLUMNS if c not in studies.columns]
+    if missing:
+        raise ValueError(f"studies table lacks columns {missing}")
     sy = study_years(studies.where(F.col("year_min") <= F.col("year_max")))
     # the overall year range is observed while the study years are written,
     # and pushed into the scan of the records

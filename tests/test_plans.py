@@ -186,3 +186,23 @@ def test_stored_records_prune_partitions(spark, tmpdir_path):
     want = {tuple(r) for r in multi.screen_many(records.drop("ktype"), inp.studies.where("study_id <= 3"),
                                                 inp.rank_table).collect()}
     assert {tuple(r) for r in many.collect()} == want
+
+
+def test_review_specs_validate_and_bad_spec_stops_job(spark, tmpdir_path):
+    import json
+
+    import pytest
+
+    from sieve.operators.assess import validate_specs
+    from sieve.plans import fixtures
+    from sieve.plans.job import parse_args, run
+
+    docs = spark.createDataFrame(fixtures.spec_rows(), "study_id bigint, doc string")
+    assert all(r.valid for r in validate_specs(docs, "study_id").collect())
+    bad = dict(fixtures.REVIEW_SPECS[0], venue_rank_threshold="A+")
+    with open(f"{tmpdir_path}/bad.json", "w") as f:
+        json.dump(bad, f)
+    args = parse_args(["--study", f"{tmpdir_path}/bad.json", "--dblp", f"{tmpdir_path}/none",
+                       "--ranks", f"{tmpdir_path}/none", "--out", f"{tmpdir_path}/out"])
+    with pytest.raises(ValueError, match="enum:venue_rank_threshold"):
+        run(spark, args)
