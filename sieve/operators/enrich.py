@@ -58,14 +58,18 @@ def resolve_ids(papers: DataFrame, index: DataFrame, hit_order: str = "hit_rank"
 META_VALUES = ["abstract", "tldr", "is_open_access", "pdf_url", "citations", "influential_citations", "meta_id"]
 
 
-def _meta_lookup(meta: DataFrame) -> DataFrame:
+def _meta_lookup(meta: DataFrame, needed: DataFrame | None = None) -> DataFrame:
     """Metadata keyed both ways in one table: ``s:<id>`` and ``d:<doi>``, one
-    row per key (first by value order), so papers need a single join."""
+    row per key (first by value order), so papers need a single join.  With
+    ``needed`` (a ``_key`` column) the keyed rows are cut to those keys by a
+    semi-join before the per-key reduction."""
     vals = [F.col(v) for v in META_VALUES if v != "meta_id"] + [F.col("semantic_scholar_id").alias("meta_id")]
     by_ss = meta.where(F.col("semantic_scholar_id").isNotNull()).select(
         F.concat(F.lit("s:"), F.col("semantic_scholar_id")).alias("_key"), *vals)
     by_doi = meta.where(F.col("doi").isNotNull()).select(F.concat(F.lit("d:"), F.col("doi")).alias("_key"), *vals)
     keyed = by_ss.unionByName(by_doi)
+    if needed is not None:
+        keyed = keyed.join(needed, "_key", "left_semi")
     return unique_by(keyed, ["_key"], F.struct(*[F.col(v) for v in META_VALUES]), META_VALUES)
 
 
@@ -77,11 +81,14 @@ def lookup_key(ss, doi) -> Column:
 def attach_metadata(papers: DataFrame, meta: DataFrame) -> DataFrame:
     """Look each paper up by ``semantic_scholar_id`` when it has one, else by
     ``doi`` (an unknown id does not fall back to the DOI).  Adds ``meta_found``
-    and the ``m_*`` metadata columns.  One shuffle join on a combined key."""
-    lookup = _meta_lookup(meta)
+    and the ``m_*`` metadata columns.  One shuffle join on a combined key;
+    the metadata is first cut to the papers' keys (pass materialised papers
+    so the keys are cheap to compute)."""
+    keyed = papers.withColumn("_mk", lookup_key(F.col("semantic_scholar_id"), F.col("doi")))
+    needed = keyed.where(F.col("_mk").isNotNull()).select(F.col("_mk").alias("_key")).distinct()
+    lookup = _meta_lookup(meta, needed)
     for v in META_VALUES:
         lookup = lookup.withColumnRenamed(v, "m_" + v)
-    keyed = papers.withColumn("_mk", lookup_key(F.col("semantic_scholar_id"), F.col("doi")))
     j = left_join_nonnull(keyed, lookup, ["_mk"], ["_key"])
     return j.select(*papers.columns, *["m_" + v for v in META_VALUES]) \
         .withColumn("meta_found", F.col("m_meta_id").isNotNull())
@@ -154,11 +161,12 @@ def match_known(papers: DataFrame, stored: DataFrame, stored_order: str = "rec_i
     by_doi = stored.where(F.col("doi").isNotNull()).withColumn("_key", F.concat(F.lit("d:"), F.col("doi")))
     by_ss = stored.where(F.col("semantic_scholar_id").isNotNull()).withColumn(
         "_key", F.concat(F.lit("s:"), F.col("semantic_scholar_id")))
-    first = unique_by(by_doi.unionByName(by_ss), ["_key"], stored_order, vals)
-    for v in vals:
-        first = first.withColumnRenamed(v, "st_" + v)
     keyed = papers.withColumn("_pk", F.when(F.col("doi").isNotNull(), F.concat(F.lit("d:"), F.col("doi")))
                               .otherwise(F.concat(F.lit("s:"), F.col("semantic_scholar_id"))))
+    needed = keyed.where(F.col("_pk").isNotNull()).select(F.col("_pk").alias("_key")).distinct()
+    first = unique_by(by_doi.unionByName(by_ss).join(needed, "_key", "left_semi"), ["_key"], stored_order, vals)
+    for v in vals:
+        first = first.withColumnRenamed(v, "st_" + v)
     j = left_join_nonnull(keyed, first, ["_pk"], ["_key"])
     hit = F.col("st_" + stored_order).isNotNull()
     out = [F.when(hit, F.col("st_" + c)).otherwise(F.col(c)).alias(c) if c in vals else F.col(c) for c in cols]
