@@ -25,19 +25,21 @@ def normalize_title(c) -> Column:
     return F.lower(F.trim(F.regexp_replace(col, f"{PY_WS}+", " ")))
 
 
-def resolve_ids(papers: DataFrame, index: DataFrame, hit_order: str = "hit_rank") -> DataFrame:
+def resolve_ids(papers: DataFrame, index: DataFrame, hit_order: str = "hit_rank", cut: bool = False) -> DataFrame:
     """Papers without DOI get an identifier from a title index
     ``(title, semantic_scholar_id, doi, <hit_order>)``: the first hit for the
     normalised title sets ``semantic_scholar_id`` and ``doi``.  Papers that
     have a DOI, or whose title has no hit, keep their values.
 
-    The index is first cut to the titles that are looked up (semi-join on
-    the key, so the per-title reduction only sees needed titles); pass a
-    materialised ``papers`` so that computing the needed titles is cheap."""
+    ``cut=True`` first cuts the index to the titles that are looked up
+    (semi-join on the key, so the per-title reduction only sees needed
+    titles).  Use it when ``papers`` is materialised (the review run writes
+    its papers first): the needed titles are then a cheap read, not a second
+    evaluation of the papers' plan."""
     keyed = papers.withColumn("_t", F.when(F.col("doi").isNull(), normalize_title("title")))
-    needed = keyed.where(F.col("_t").isNotNull()).select("_t").distinct()
-    idx = index.select(normalize_title("title").alias("_t"), "semantic_scholar_id", "doi", hit_order) \
-        .join(needed, "_t", "left_semi")
+    idx = index.select(normalize_title("title").alias("_t"), "semantic_scholar_id", "doi", hit_order)
+    if cut:
+        idx = idx.join(keyed.where(F.col("_t").isNotNull()).select("_t").distinct(), "_t", "left_semi")
     # equal hit orders are broken by the hit's own values, so the pick is
     # deterministic
     order = F.struct(hit_order, F.coalesce("semantic_scholar_id", F.lit("")), F.coalesce("doi", F.lit("")))
@@ -78,14 +80,14 @@ def lookup_key(ss, doi) -> Column:
     return F.when(ss.isNotNull(), F.concat(F.lit("s:"), ss)).otherwise(F.concat(F.lit("d:"), doi))
 
 
-def attach_metadata(papers: DataFrame, meta: DataFrame) -> DataFrame:
+def attach_metadata(papers: DataFrame, meta: DataFrame, cut: bool = False) -> DataFrame:
     """Look each paper up by ``semantic_scholar_id`` when it has one, else by
     ``doi`` (an unknown id does not fall back to the DOI).  Adds ``meta_found``
-    and the ``m_*`` metadata columns.  One shuffle join on a combined key;
-    the metadata is first cut to the papers' keys (pass materialised papers
-    so the keys are cheap to compute)."""
+    and the ``m_*`` metadata columns.  One shuffle join on a combined key.
+    ``cut=True`` first cuts the metadata to the papers' keys (for
+    materialised papers, see ``resolve_ids``)."""
     keyed = papers.withColumn("_mk", lookup_key(F.col("semantic_scholar_id"), F.col("doi")))
-    needed = keyed.where(F.col("_mk").isNotNull()).select(F.col("_mk").alias("_key")).distinct()
+    needed = keyed.where(F.col("_mk").isNotNull()).select(F.col("_mk").alias("_key")).distinct() if cut else None
     lookup = _meta_lookup(meta, needed)
     for v in META_VALUES:
         lookup = lookup.withColumnRenamed(v, "m_" + v)
@@ -94,14 +96,14 @@ def attach_metadata(papers: DataFrame, meta: DataFrame) -> DataFrame:
         .withColumn("meta_found", F.col("m_meta_id").isNotNull())
 
 
-def enrich(papers: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def enrich(papers: DataFrame, meta: DataFrame, cut: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Metadata enrichment of accepted papers.
 
     Returns ``(papers, contents, metrics)``: papers with ``pdf_source`` set when
     the metadata is open access with a non-empty pdf URL; one contents row
     (``tldr``, ``abstract``; empty texts → NULL) and one metrics row per paper
     whose metadata was found.  Papers without metadata get neither."""
-    m = attach_metadata(papers, meta)
+    m = attach_metadata(papers, meta, cut)
     pdf = F.when(F.col("m_is_open_access") & (F.coalesce(F.col("m_pdf_url"), F.lit("")) != ""), F.col("m_pdf_url"))
     enriched = m.withColumn("pdf_source", F.coalesce(pdf, F.col("pdf_source")))
     keys = [c for c in ("study_id", "rec_id") if c in papers.columns]
@@ -114,10 +116,10 @@ def enrich(papers: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFrame, Da
     return enriched.select(*papers.columns), contents, metrics
 
 
-def enrich_wide(papers: DataFrame, meta: DataFrame) -> DataFrame:
+def enrich_wide(papers: DataFrame, meta: DataFrame, cut: bool = False) -> DataFrame:
     """Single-pass form of ``enrich``: papers plus their contents and metrics
     columns (NULL when no metadata was found) and ``meta_found``."""
-    m = attach_metadata(papers, meta)
+    m = attach_metadata(papers, meta, cut)
     pdf = F.when(F.col("m_is_open_access") & (F.coalesce(F.col("m_pdf_url"), F.lit("")) != ""), F.col("m_pdf_url"))
     return m.select(
         *[F.coalesce(pdf, F.col(c)).alias(c) if c == "pdf_source" else F.col(c) for c in papers.columns],
@@ -131,19 +133,21 @@ def enrich_wide(papers: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def abstract_fallback(contents: DataFrame, pages: DataFrame, source: str = "publisher_source",
-                      page_url: str = "url", final_url: str = "final_url", html: str = "html") -> DataFrame:
+                      page_url: str = "url", final_url: str = "final_url", html: str = "html",
+                      cut: bool = False) -> DataFrame:
     """Where ``abstract`` is NULL or empty, extract one from the page fetched at
     ``source``: the page row with ``url == source``, routed by its
-    ``final_url``.  The pages are first cut to the URLs that are needed
-    (semi-join), then reduced to one per URL; only rows that need a fallback
-    are joined and parsed.  Pass materialised ``contents`` so the needed URLs
-    are cheap to compute."""
+    ``final_url``.  The pages are reduced to one per URL; only rows that need
+    a fallback are joined and parsed.  ``cut=True`` first cuts the pages to
+    the URLs that are needed (for materialised contents, see
+    ``resolve_ids``)."""
     need = F.coalesce(F.col("abstract"), F.lit("")) == ""
     keyed = contents.withColumn("_k", F.when(need, F.col(source)))
-    wanted = keyed.where(F.col("_k").isNotNull()).select(F.col("_k").alias("_src")).distinct()
-    cut = pages.select(F.col(page_url).alias("_src"), F.col(final_url).alias("_final"), F.col(html).alias("_html")) \
-        .join(wanted, "_src", "left_semi")
-    pg = unique_by(cut, ["_src"], F.struct("_final", "_html"), ["_final", "_html"])
+    pg_in = pages.select(F.col(page_url).alias("_src"), F.col(final_url).alias("_final"), F.col(html).alias("_html"))
+    if cut:
+        pg_in = pg_in.join(keyed.where(F.col("_k").isNotNull()).select(F.col("_k").alias("_src")).distinct(),
+                           "_src", "left_semi")
+    pg = unique_by(pg_in, ["_src"], F.struct("_final", "_html"), ["_final", "_html"])
     joined = left_join_nonnull(keyed, pg, ["_k"], ["_src"])
     ex = extract_abstracts(joined, keys=[c for c in joined.columns if c not in ("_html", "_final")],
                            url="_final", html="_html", out="_extracted")
@@ -151,11 +155,12 @@ def abstract_fallback(contents: DataFrame, pages: DataFrame, source: str = "publ
     return out.select(*contents.columns)
 
 
-def match_known(papers: DataFrame, stored: DataFrame, stored_order: str = "rec_id") -> DataFrame:
+def match_known(papers: DataFrame, stored: DataFrame, stored_order: str = "rec_id", cut: bool = False) -> DataFrame:
     """Known-paper match: by DOI when the incoming paper has one, else by
     ``semantic_scholar_id``.  A match replaces the incoming row by the stored
     one (first stored row per key); ``known`` tells which rows matched.  The
-    stored side is keyed both ways in one table, so this is one join."""
+    stored side is keyed both ways in one table, so this is one join;
+    ``cut=True`` cuts it to the incoming keys first (materialised papers)."""
     cols = list(papers.columns)
     vals = list(stored.columns)
     by_doi = stored.where(F.col("doi").isNotNull()).withColumn("_key", F.concat(F.lit("d:"), F.col("doi")))
@@ -163,8 +168,11 @@ def match_known(papers: DataFrame, stored: DataFrame, stored_order: str = "rec_i
         "_key", F.concat(F.lit("s:"), F.col("semantic_scholar_id")))
     keyed = papers.withColumn("_pk", F.when(F.col("doi").isNotNull(), F.concat(F.lit("d:"), F.col("doi")))
                               .otherwise(F.concat(F.lit("s:"), F.col("semantic_scholar_id"))))
-    needed = keyed.where(F.col("_pk").isNotNull()).select(F.col("_pk").alias("_key")).distinct()
-    first = unique_by(by_doi.unionByName(by_ss).join(needed, "_key", "left_semi"), ["_key"], stored_order, vals)
+    both = by_doi.unionByName(by_ss)
+    if cut:
+        both = both.join(keyed.where(F.col("_pk").isNotNull()).select(F.col("_pk").alias("_key")).distinct(),
+                         "_key", "left_semi")
+    first = unique_by(both, ["_key"], stored_order, vals)
     for v in vals:
         first = first.withColumnRenamed(v, "st_" + v)
     j = left_join_nonnull(keyed, first, ["_pk"], ["_key"])

@@ -110,11 +110,13 @@ class ReviewRun:
         """Accepted papers with identifiers resolved and their metadata
         columns, written once (papers, contents, metrics, requests and
         responses all read it)."""
+        # the accepted papers come from the written candidates, so the lookup
+        # sides can be cut to the keys they need at little cost
         papers = self._accepted
         if self.title_index is not None:
-            papers = resolve_ids(papers, self.title_index)
+            papers = resolve_ids(papers, self.title_index, cut=True)
         if self.meta is not None:
-            wide = enrich_wide(papers, self.meta)
+            wide = enrich_wide(papers, self.meta, cut=True)
         else:
             wide = papers.select("*", F.lit(False).alias("meta_found"),
                                  *[F.lit(None).cast(t).alias(c) for c, t in
@@ -135,7 +137,8 @@ class ReviewRun:
             return found.select(*KEY, "tldr", "abstract")
         # the fallback parses pages (partly in Python): written once, read by
         # requests, PRISMA and the statistics
-        return materialize(abstract_fallback(found, self.landing).select(*KEY, "tldr", "abstract"), "contents")
+        return materialize(abstract_fallback(found, self.landing, cut=True).select(*KEY, "tldr", "abstract"),
+                           "contents")
 
     @cached_property
     def metrics(self) -> DataFrame:
