@@ -19,7 +19,7 @@ from sieve.operators import multi, screening  # noqa: E402
 from sieve.operators.enrich import resolve_ids  # noqa: E402
 from sieve.operators.prisma import prisma_flow  # noqa: E402
 from sieve.plans.review import ReviewInputs, run_review  # noqa: E402
-from sieve.session import build_session  # noqa: E402
+from sieve.session import build_session, materialize  # noqa: E402
 from sieve.sources.bibliography import write_records  # noqa: E402
 
 
@@ -53,8 +53,9 @@ def main() -> None:
     shown = {
         "screen (one review over stored records)": screening.screen(records, st, inp.rank_table),
         "screen_many (four reviews, one scan)": multi.screen_many(records, inp.studies, inp.rank_table),
-        "resolve_ids (title index cut to needed titles)": resolve_ids(
-            screening.split_venue(screening.candidates(records, inp.study(2)))[0], inp.view("title_index")),
+        "resolve_ids (written papers; title index cut to needed titles)": resolve_ids(
+            materialize(screening.split_venue(screening.candidates(records, inp.study(2)))[0], "plans-papers"),
+            inp.view("title_index"), cut=True),
     }
     r = run_review(inp)
     shown["prisma_flow (after the review tables are written)"] = prisma_flow(
