@@ -65,9 +65,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unique path below the shared checkpoint folder."""
+    """A new, unique path below the shared checkpoint folder, grouped by
+    application: ``<checkpoint dir>/sieve-scratch/<application id>/...``, so
+    the intermediates of a finished run can be dropped as one folder (for
+    example by a retention policy on the shared store)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/sieve-scratch/{name}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    return f"{base}/sieve-scratch/{app}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str = "table", metrics: dict | None = None):

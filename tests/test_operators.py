@@ -142,3 +142,25 @@ def test_requests(spark):
     r = assess.assessment_requests(df, ["id"]).first()
     assert "\n\n1. A\n2. B\n\n" in r.system_prompt
     assert r.user_content == "tldr:\nt\n\nabstract:\nNone\n"
+
+
+def test_hot_keys_stay_correct(spark):
+    """A third of the papers share one DOI and a third have none: the lookup
+    side is reduced per key before the join and NULL keys are salted, and the
+    results are those of a plain join."""
+    n = 3000
+    rows = [(i, "10.1/hot" if i % 3 == 0 else (None if i % 3 == 1 else f"10.1/k{i}"), None, None)
+            for i in range(n)]
+    papers = spark.createDataFrame(rows, "rec_id long, doi string, semantic_scholar_id string, pdf_source string")
+    meta = spark.createDataFrame([("10.1/hot", "H", "a", "t", True, "http://h", 1, 1)] +
+                                 [(f"10.1/k{i}", f"K{i}", "a", "t", False, "", 2, 0) for i in range(2, n, 3)],
+                                 "doi string, semantic_scholar_id string, abstract string, tldr string, "
+                                 "is_open_access boolean, pdf_url string, citations int, influential_citations int")
+    wide = enrich.enrich_wide(papers, meta)
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min_by" in plan
+    got = {r.rec_id: (r.meta_found, r.pdf_source) for r in wide.collect()}
+    assert len(got) == n
+    assert all(got[i] == (True, "http://h") for i in range(0, n, 3))
+    assert all(got[i] == (False, None) for i in range(1, n, 3))
+    assert all(got[i] == (True, None) for i in range(2, n, 3))
