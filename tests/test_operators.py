@@ -164,3 +164,23 @@ def test_hot_keys_stay_correct(spark):
     assert all(got[i] == (True, "http://h") for i in range(0, n, 3))
     assert all(got[i] == (False, None) for i in range(1, n, 3))
     assert all(got[i] == (True, None) for i in range(2, n, 3))
+
+
+def test_cut_lookups_give_same_results(spark):
+    from sieve.plans.review import ReviewInputs
+    from sieve.operators.screening import candidates, split_venue
+    from sieve.session import materialize
+
+    inp = ReviewInputs(spark, "/root/testdata/sf0.001")
+    papers = materialize(split_venue(candidates(inp.bib, inp.study(2)))[0], "test-papers")
+    for fn, args in [(enrich.resolve_ids, (inp.view("title_index"),)), (enrich.enrich_wide, (inp.view("meta"),)),
+                     (enrich.match_known, (papers.where("rec_id % 2 = 0"),))]:
+        plain = {tuple(r) for r in fn(papers, *args).collect()}
+        cut = {tuple(r) for r in fn(papers, *args, cut=True).collect()}
+        assert plain == cut and plain
+    contents = enrich.enrich_wide(papers, inp.view("meta")).where("meta_found") \
+        .select("rec_id", "publisher_source", "tldr", "abstract")
+    contents = materialize(contents, "test-contents")
+    a = {tuple(r) for r in enrich.abstract_fallback(contents, inp.view("landing")).collect()}
+    b = {tuple(r) for r in enrich.abstract_fallback(contents, inp.view("landing"), cut=True).collect()}
+    assert a == b and a
