@@ -1,7 +1,9 @@
 """Join helpers that keep joins safe at scale.
 
-* ``bounded_broadcast``: broadcast a side only after checking it holds at most
-  ``max_rows`` rows (a bounded ``limit(n+1).count()``); beyond that the plain
+* ``bounded_broadcast``: write a side once to the shared checkpoint folder,
+  counting its rows while writing, and broadcast it only when it holds at
+  most ``max_rows`` rows (``sieve.broadcast.maxRows``, default 1,000,000;
+  the sides broadcast here are narrow dimension rows); beyond that the plain
   shuffle join is kept, and AQE may still convert or split it at run time.
 * ``left_join_nonnull``: rows whose join key is NULL can never match, yet a
   hash shuffle sends all of them to one reducer; their keys are spread over
