@@ -176,9 +176,11 @@ def extract_abstracts(pages: DataFrame, keys: list[str], url: str = "url", html:
                       out: str = "abstract") -> DataFrame:
     """``keys`` + ``url`` + ``route`` + ``out`` (abstract) per page.
 
-    One scan: the built-in routes are computed in the projection; the page
-    HTML is handed to the Python parser only for rows routed by element id
-    (other rows pass a NULL), and no other column travels through Python."""
+    One scan: the built-in routes are computed in the projection, before the
+    Python stage; the page HTML is handed to the Python parser only for rows
+    routed by element id (other rows pass a NULL), so besides that HTML only
+    the keys, route and the already extracted (short) abstract travel through
+    Python."""
     r = abstract_route(url)
     native = F.when(r["route"] == "meta", meta_description(html)).when(r["route"] == "fallback", fallback_abstract(html))
     step = pages.select(*keys, F.col(url).alias("_url"), r["route"].alias("route"),
