@@ -461,4 +461,8 @@ def q_load_study(spark, sf_dir):
     docs = ReviewInputs(spark, sf_dir).view("spec_docs")
     docs.select(F.regexp_replace("doc", "^\\{", F.concat(F.lit('{"study_id": '), F.col("doc_id").cast("string"),
                                                           F.lit(", "))).alias("value")).write.text(path)
-    return studies_src.load_studies(spark, path)
+    loaded = studies_src.load_studies(spark, path)
+    # list fields as JSON text, so the comparison does not depend on how a
+    # client represents arrays
+    return loaded.select(*[F.to_json(c).alias(c) if loaded.schema[c].dataType.typeName() == "array" else F.col(c)
+                           for c in loaded.columns])

@@ -655,10 +655,10 @@ def _typed(doc: str, f: str, kind: str) -> str:
     if kind == "int":
         return f"CASE WHEN {t} IN ('UBIGINT', 'BIGINT') THEN CAST(json_extract({doc}, '$.{f}') AS BIGINT) END AS {f}"
     if kind == "list":
-        return (f"CASE WHEN {t} = 'ARRAY' AND coalesce(list_bool_and(list_transform(json_type({doc}, '$.{f}[*]'), "
-                f"lambda x_: x_ = 'VARCHAR')), TRUE) THEN json_extract_string({doc}, '$.{f}[*]') END AS {f}")
-    return (f"CASE WHEN {t} = 'ARRAY' THEN list_transform(CAST(json_extract({doc}, '$.{f}') AS JSON[]), "
-            f"lambda g_: json_extract_string(g_, '$[*]')) END AS {f}")
+        return (f"CAST(to_json(CASE WHEN {t} = 'ARRAY' AND coalesce(list_bool_and(list_transform(json_type({doc}, '$.{f}[*]'), "
+                f"lambda x_: x_ = 'VARCHAR')), TRUE) THEN json_extract_string({doc}, '$.{f}[*]') END) AS VARCHAR) AS {f}")
+    return (f"CAST(to_json(CASE WHEN {t} = 'ARRAY' THEN list_transform(CAST(json_extract({doc}, '$.{f}') AS JSON[]), "
+            f"lambda g_: json_extract_string(g_, '$[*]')) END) AS VARCHAR) AS {f}")
 
 
 # S2: spec documents loaded with the spec schema; a field of the wrong JSON
