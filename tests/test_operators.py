@@ -184,3 +184,43 @@ def test_cut_lookups_give_same_results(spark):
     a = {tuple(r) for r in enrich.abstract_fallback(contents, inp.view("landing")).collect()}
     b = {tuple(r) for r in enrich.abstract_fallback(contents, inp.view("landing"), cut=True).collect()}
     assert a == b and a
+
+
+def _py_response_ok(text):
+    """Plain check: a JSON object whose only key is 'ratings', a list of strings."""
+    import json as _json
+
+    try:
+        obj = _json.loads(text)
+    except (ValueError, TypeError):
+        return False
+    return (isinstance(obj, dict) and set(obj) == {"ratings"} and isinstance(obj["ratings"], list)
+            and all(isinstance(x, str) for x in obj["ratings"]))
+
+
+def test_property_response_shape(spark):
+    import json as _json
+
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    strings = st.text(alphabet=st.sampled_from(list('ab1"\\é \n/')), max_size=4)
+    items = st.one_of(strings, st.integers(-3, 9), st.none(), st.lists(strings, max_size=2))
+    objs = st.one_of(
+        st.fixed_dictionaries({"ratings": st.lists(items, max_size=4)}),
+        st.fixed_dictionaries({"ratings": st.lists(strings, max_size=3), "x": st.integers()}),
+        st.lists(strings, max_size=2),
+        st.dictionaries(st.sampled_from(["ratings", "rating", "r"]), st.lists(strings, max_size=2), max_size=2),
+    )
+    texts = st.one_of(objs.map(_json.dumps), objs.map(lambda o: _json.dumps(o, indent=1)),
+                      objs.map(lambda o: _json.dumps(o)[:-1]), strings)
+
+    @settings(max_examples=30, deadline=None)
+    @given(st.lists(texts, min_size=1, max_size=30))
+    def check(cases):
+        df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, r string")
+        got = {r.i: r.v for r in df.select("i", assess.response_valid("r").alias("v")).collect()}
+        for i, c in enumerate(cases):
+            assert got[i] is _py_response_ok(c), c
+
+    check()
