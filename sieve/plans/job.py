@@ -1,5 +1,5 @@
-"""A review run as one Spark job (``spark-submit -m sieve.plans.job`` or
-``python -m sieve.plans.job``).
+"""A review run as one Spark job (``spark-submit --py-files sieve.zip
+run_review.py ...`` or ``python -m sieve.plans.job ...``).
 
 Flags follow the reviewed tool's command line; the network lookups it made
 are replaced by tables:
