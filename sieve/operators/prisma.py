@@ -21,10 +21,11 @@ status; ``records_excluded_manually`` = 0 (no manual step);
 passing rating in screened papers.
 
 Scale: duplicates come from one partial aggregate per DOI over the dump (a
-hot DOI costs one row per map task); only the (record, study) candidate
-pairs are joined to it, with NULL DOIs kept off a single reducer; the
-per-study work runs only over those pairs; everything ends in grouped
-partial aggregates.  No window over a hot key, no cross product.
+hot DOI costs one row per map task), written once while the dump totals are
+observed; only the (record, study) candidate pairs are joined to it, with
+NULL DOIs kept off a single reducer; the per-study work runs only over those
+pairs; everything ends in grouped partial aggregates.  No window over a hot
+key, no cross product.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import extract_doi
 from ..schemas import PRISMA_COUNTERS
+from ..session import materialize
 from .joins import left_join_nonnull
 
 
@@ -53,10 +55,13 @@ def prisma_flow(records: DataFrame, studies: DataFrame, gated: DataFrame, conten
     (``multi.gate_flags``), so the dump is not screened a second time.
     Duplicates: the dump is aggregated once per DOI; only the candidate pairs
     are joined to that aggregate (which is already partitioned on the DOI)."""
-    groups = doi_groups(records)
-    glob = groups.agg(F.sum("n").alias("total_papers_collected"),
-                      F.sum(F.when(F.col("doi").isNotNull(), F.col("n") - 1).otherwise(0))
-                      .alias("duplicate_records_removed")).withColumn("_one", F.lit(1))
+    # the per-DOI aggregate is written once; the two dump totals are observed
+    # while it is written, so they need neither a second pass nor a join
+    groups, totals = materialize(doi_groups(records), "doi-groups", {
+        "total": F.sum("n"),
+        "dup": F.sum(F.when(F.col("doi").isNotNull(), F.col("n") - 1).otherwise(0)),
+    })
+    total, dup = int(totals.get("total") or 0), int(totals.get("dup") or 0)
     firsts = groups.where(F.col("doi").isNotNull()).select(F.col("doi").alias("_d"), "first_ord")
     cand = gated.select("study_id", "rec_id", "ord", "passed_gate", F.col("doi").alias("_cd"))
     flagged = left_join_nonnull(cand, firsts, ["_cd"], ["_d"]) \
@@ -97,16 +102,15 @@ def prisma_flow(records: DataFrame, studies: DataFrame, gated: DataFrame, conten
         F.count_if(paper & F.col("has_response")).alias("report_assessment_attempts"),
         F.count_distinct(F.when(F.col("_kind") == "crit", F.col("_crit"))).alias("report_assessment_exclusion_summaries"),
     )
-    base = studies.select("study_id").join(per_study, "study_id", "left").withColumn("_one", F.lit(1))
-    out = base.join(F.broadcast(glob), "_one")
+    out = studies.select("study_id").join(per_study, "study_id", "left")
     c = lambda n: F.coalesce(F.col(n), F.lit(0)).cast("bigint")
     screened = c("records_screened")
     aux = c("records_refused_by_aux_filters")
     cols = {
-        "total_papers_collected": c("total_papers_collected"),
-        "duplicate_records_removed": c("duplicate_records_removed"),
+        "total_papers_collected": F.lit(total).cast("bigint"),
+        "duplicate_records_removed": F.lit(dup).cast("bigint"),
         "records_refused_by_aux_filters": aux,
-        "records_refused_by_automated_filters": c("total_papers_collected") - c("duplicate_records_removed") - aux - screened,
+        "records_refused_by_automated_filters": F.lit(total - dup).cast("bigint") - aux - screened,
         "records_screened": screened,
         "records_excluded_manually": F.lit(0).cast("bigint"),
         "records_excluded_automatically": c("records_excluded_automatically"),
