@@ -113,3 +113,26 @@ def test_incremental_screening(spark, tmpdir_path):
     rejects = spark.read.parquet(os.path.join(out, "rejects"))
     assert sorted(r.reason for r in rejects.collect()) == ["key_not_three_segments", "merged_records", "no_key",
                                                            "no_year"]
+
+
+def test_incremental_screening_picks_up_only_new_files(spark, tmpdir_path):
+    dump_dir = os.path.join(tmpdir_path, "incoming")
+    os.makedirs(dump_dir)
+    ranks = spark.createDataFrame([("conference", "icse", 1, 1, "A")],
+                                  "kind string, lookup_key string, page_id long, pos int, rank_text string")
+    study = Study(year_min=2019, year_max=2021, search_word_groups=[["contain", "schedul"]],
+                  accepted_venue_types=["conf", "journals"], venue_rank_threshold="B")
+    out, ckpt = os.path.join(tmpdir_path, "out"), os.path.join(tmpdir_path, "ckpt")
+    first = ('<dblp>\n<article mdate="x" key="journals/tse/A1"><title>Container one</title><year>2020</year>'
+             '</article>\n</dblp>\n')
+    second = ('<dblp>\n<inproceedings mdate="x" key="conf/icse/B2"><title>Scheduling two</title><year>2021</year>'
+              '</inproceedings>\n</dblp>\n')
+    with open(os.path.join(dump_dir, "a.xml"), "w") as f:
+        f.write(first)
+    screen_stream(spark, dump_dir, study, ranks, out, ckpt).awaitTermination(120)
+    with open(os.path.join(dump_dir, "b.xml"), "w") as f:
+        f.write(second)
+    screen_stream(spark, dump_dir, study, ranks, out, ckpt).awaitTermination(120)
+    papers = spark.read.parquet(os.path.join(out, "papers"))
+    got = sorted((r.batch_id, r.venue_key, r.venue_rank) for r in papers.collect())
+    assert got == [(0, "A1", "MISSING"), (1, "B2", "A")]
