@@ -49,42 +49,49 @@ def q_screen(spark, sf_dir):
 # --- filters --------------------------------------------------------------------
 @query("venue_type_filter")
 def q_venue_type_filter(spark, sf_dir):
+    """Bibliography records whose key starts with conf or journals."""
     bib = ReviewInputs(spark, sf_dir).bib
     return bib.where(venue.venue_type_filter("key", TYPES)).select("rec_id", "key")
 
 
 @query("year_filter")
 def q_year_filter(spark, sf_dir):
+    """Bibliography records published 1996 to 1998."""
     bib = ReviewInputs(spark, sf_dir).bib
     return bib.where(venue.year_filter("year", 1996, 1998)).select("rec_id", "year")
 
 
 @query("cnf_match")
 def q_cnf_match(spark, sf_dir):
+    """Every title matched against one constant CNF query."""
     bib = ReviewInputs(spark, sf_dir).bib
     return bib.select("rec_id", cnf.cnf_column("title", CNF_QUERY).alias("matched"))
 
 
 @query("cnf_match_column")
 def q_cnf_match_column(spark, sf_dir):
+    """Every title matched against its own CNF query string."""
     ex = ReviewInputs(spark, sf_dir).view("exprs")
     return ex.select("rec_id", cnf.cnf_match_expr("title", "cnf_expr").alias("matched"))
 
 
 @query("or_match")
 def q_or_match(spark, sf_dir):
+    """Every title matched against its own disjunction."""
     ex = ReviewInputs(spark, sf_dir).view("exprs")
     return ex.select("rec_id", cnf.or_match_expr("title", "or_expr").alias("matched"))
 
 
 @query("and_match")
 def q_and_match(spark, sf_dir):
+    """Every title matched against its own conjunction."""
     ex = ReviewInputs(spark, sf_dir).view("exprs")
     return ex.select("rec_id", cnf.and_match_expr("title", "and_expr").alias("matched"))
 
 
 @query("paren_groups")
 def q_paren_groups(spark, sf_dir):
+    """The stripped text of each parenthesised group of every query string."""
     ex = ReviewInputs(spark, sf_dir).view("exprs")
     return ex.select("rec_id", F.array_join(cnf.text_inside_parens("cnf_expr"), "|").alias("groups"))
 
@@ -119,6 +126,7 @@ def q_batch_limit(spark, sf_dir):
 # --- projections ----------------------------------------------------------------
 @query("split_key")
 def q_split_key(spark, sf_dir):
+    """Venue type, code and key of every record with a three-segment key."""
     bib = ReviewInputs(spark, sf_dir).bib
     papers, _ = screening.split_venue(bib)
     return papers.select("rec_id", "venue_type", "venue_code", "venue_key")
@@ -126,12 +134,14 @@ def q_split_key(spark, sf_dir):
 
 @query("extract_doi")
 def q_extract_doi(spark, sf_dir):
+    """The DOI of every record's link (NULL without one)."""
     bib = ReviewInputs(spark, sf_dir).bib
     return bib.select("rec_id", text.extract_doi("ee").alias("doi"))
 
 
 @query("parse_rank")
 def q_parse_rank(spark, sf_dir):
+    """Rank name of every rank text."""
     r = ReviewInputs(spark, sf_dir).view("ranks")
     return r.select("venue_code", "rank_text", venue.parse_rank("rank_text").alias("venue_rank"))
 
@@ -139,6 +149,7 @@ def q_parse_rank(spark, sf_dir):
 # --- ranks ----------------------------------------------------------------------
 @query("rank_rows")
 def q_rank_rows(spark, sf_dir):
+    """Conference rank rows read from the first table of every rank page."""
     pages = ReviewInputs(spark, sf_dir).view("rank_html")
     return rank_ops.rank_rows(pages, "conference")
 
@@ -158,6 +169,7 @@ def q_venue_rank_join(spark, sf_dir):
 
 @query("venue_gate")
 def q_venue_gate(spark, sf_dir):
+    """Gate decision for every ranked candidate of review 1."""
     inp, ranked = _ranked_candidates(spark, sf_dir, 1)
     st = inp.study(1)
     ok = venue.venue_gate("key", "venue_rank", F.lit(st.venue_rank_threshold),
@@ -167,6 +179,7 @@ def q_venue_gate(spark, sf_dir):
 
 @query("venue_gate_strict")
 def q_venue_gate_strict(spark, sf_dir):
+    """Gate decision for every ranked candidate of review 1, MISSING not passing."""
     inp, ranked = _ranked_candidates(spark, sf_dir, 1)
     st = inp.study(1)
     ok = venue.venue_gate("key", "venue_rank", F.lit(st.venue_rank_threshold),
@@ -185,6 +198,7 @@ def q_screen_many(spark, sf_dir):
 # --- text functions -----------------------------------------------------------------
 @query("clean_text")
 def q_clean_text(spark, sf_dir):
+    """Every document text stripped, line breaks deleted."""
     docs = ReviewInputs(spark, sf_dir).table("documents")
     return docs.select("doc_id", text.clean_text("text").alias("cleaned"))
 
@@ -201,6 +215,7 @@ def q_long_paragraphs(spark, sf_dir):
 
 @query("meta_description")
 def q_meta_description(spark, sf_dir):
+    """The og:description content of every web page (NULL without one)."""
     web = ReviewInputs(spark, sf_dir).view("web")
     return web.select("page_id", abstracts.meta_description("html").alias("description"))
 
@@ -214,6 +229,7 @@ def q_fallback_abstract(spark, sf_dir):
 
 @query("abstract_route")
 def q_abstract_route(spark, sf_dir):
+    """Extraction route and element id chosen by every page URL."""
     web = ReviewInputs(spark, sf_dir).view("web")
     r = abstracts.abstract_route("url")
     return web.select("page_id", r["route"].alias("route"), r["element_id"].alias("element_id"))
@@ -235,12 +251,14 @@ def q_extract_abstract(spark, sf_dir):
 
 @query("likert_label")
 def q_likert_label(spark, sf_dir):
+    """Likert label of every line number (1..7)."""
     li = ReviewInputs(spark, sf_dir).table("lineitem")
     return li.select("l_orderkey", "l_linenumber", formats.likert_label("l_linenumber").alias("label"))
 
 
 @query("section_text")
 def q_section_text(spark, sf_dir):
+    """The tldr/abstract section text of every metadata row."""
     meta = ReviewInputs(spark, sf_dir).view("meta")
     return meta.select("doi", formats.section_text(("abstract", "title", "tldr")).alias("text"))
 
@@ -270,6 +288,7 @@ def q_enrich_papers(spark, sf_dir):
 
 @query("paper_metrics")
 def q_paper_metrics(spark, sf_dir):
+    """Citation metrics of review 1's accepted papers that have metadata."""
     _, (_, _, metrics) = _accepted_enriched(spark, sf_dir)
     return metrics.select("rec_id", "citations", "influential_citations")
 
@@ -298,12 +317,14 @@ def q_match_known_papers(spark, sf_dir):
 # --- assessments -------------------------------------------------------------------------
 @query("valid_responses")
 def q_valid_responses(spark, sf_dir):
+    """Shape check of every rating response."""
     raw = ReviewInputs(spark, sf_dir).view("raw_responses")
     return raw.select("doc_id", assess.response_valid("response").alias("valid"))
 
 
 @query("validate_studies")
 def q_validate_studies(spark, sf_dir):
+    """Errors of every study spec document."""
     docs = ReviewInputs(spark, sf_dir).view("spec_docs")
     v = assess.validate_specs(docs, "doc_id")
     return v.select("doc_id", "valid", F.array_join("errors", ";").alias("errors"))
@@ -315,58 +336,69 @@ def _review(spark, sf_dir):
 
 @query("criteria_assessments")
 def q_criteria_assessments(spark, sf_dir):
+    """Per-criterion ratings of the whole review run."""
     return _review(spark, sf_dir).criteria_assessments
 
 
 @query("assessment_requests")
 def q_assessment_requests(spark, sf_dir):
+    """Assessment request of every accepted paper of the review run."""
     return _review(spark, sf_dir).requests.select("study_id", "rec_id", "system_prompt", "user_content")
 
 
 # --- stored-table queries -----------------------------------------------------------------
 @query("all_papers")
 def q_all_papers(spark, sf_dir):
+    """Accepted papers of the whole review run (all reviews)."""
     return _review(spark, sf_dir).papers
 
 
 @query("study_summary")
 def q_study_summary(spark, sf_dir):
+    """Stored study rows with their counters."""
     return _review(spark, sf_dir).studies
 
 
 @query("study_by_id")
 def q_study_by_id(spark, sf_dir):
+    """Study 3 of the stored studies."""
     return reports.study_by_id(_review(spark, sf_dir).studies, 3)
 
 
 @query("studies_of_date")
 def q_studies_of_date(spark, sf_dir):
+    """Studies run on the run date."""
     return reports.studies_of_date(_review(spark, sf_dir).studies, fixtures.RUN_DATE)
 
 
 @query("study_lines")
 def q_study_lines(spark, sf_dir):
+    """The printed line of every stored study."""
     return reports.study_lines(_review(spark, sf_dir).studies)
 
 
 @query("study_papers")
 def q_study_papers(spark, sf_dir):
+    """Papers of study 2."""
     return reports.study_papers(_review(spark, sf_dir).papers, 2)
 
 
 @query("pdf_links")
 def q_pdf_links(spark, sf_dir):
+    """Link lines of study 1's papers."""
     return reports.pdf_links(_review(spark, sf_dir).papers, 1)
 
 
 @query("passed_papers")
 def q_passed_papers(spark, sf_dir):
+    """Papers of study 1 whose report passed the criteria."""
     r = _review(spark, sf_dir)
     return reports.passed_papers(r.papers, r.reports, 1).select("study_id", "rec_id", "title")
 
 
 @query("study_reports")
 def q_study_reports(spark, sf_dir):
+    """Reports of study 1's papers."""
     r = _review(spark, sf_dir)
     return reports.study_reports(r.papers, r.reports, 1)
 
@@ -392,6 +424,7 @@ def q_report_assessments(spark, sf_dir):
 
 @query("table_stats")
 def q_table_stats(spark, sf_dir):
+    """Row count and attributes of every stored table."""
     r = _review(spark, sf_dir)
     return reports.table_stats({"studies": r.studies, "papers": r.papers, "reports": r.reports,
                                 "contents": r.contents, "metrics": r.metrics,
@@ -404,24 +437,28 @@ def _exported(spark, sf_dir):
 
 @query("recall_found")
 def q_recall_found(spark, sf_dir):
+    """Pilot DOIs found among the accepted papers."""
     pilots = ReviewInputs(spark, sf_dir).view("pilots")
     return reports.recall_found(pilots, _exported(spark, sf_dir))
 
 
 @query("recall_missing")
 def q_recall_missing(spark, sf_dir):
+    """Pilot DOIs not found among the accepted papers."""
     pilots = ReviewInputs(spark, sf_dir).view("pilots")
     return reports.recall_missing(pilots, _exported(spark, sf_dir))
 
 
 @query("recall")
 def q_recall(spark, sf_dir):
+    """Pilots, pilots found, and recall."""
     pilots = ReviewInputs(spark, sf_dir).view("pilots")
     return reports.recall(pilots, _exported(spark, sf_dir))
 
 
 @query("prisma_flow")
 def q_prisma_flow(spark, sf_dir):
+    """PRISMA counters of every review after the whole run."""
     inp = ReviewInputs(spark, sf_dir)
     r = run_review(inp)
     return prisma.prisma_flow(inp.bib, inp.studies, r.gated, r.contents, r.responses, r.reports,
