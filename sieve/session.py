@@ -34,6 +34,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # whole web pages go through the Python HTML parser in Arrow batches;
+        # 1,000 rows per batch bounds a task's batch memory for large pages
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
         .config("spark.driver.memory", "16g")
     )
     spark = builder.getOrCreate()
