@@ -23,26 +23,36 @@ ROW = "(?is)<tr(?:\\s[^>]*)?>(.*?)</tr>"
 CELL = "(?is)<td(?:\\s[^>]*)?>(.*?)</td>"
 
 
-def rank_rows(pages: DataFrame, kind: str, page_id: str = "page_id", html: str = "html") -> DataFrame:
+def rank_rows(pages: DataFrame, kind, page_id: str = "page_id", html: str = "html") -> DataFrame:
     """Data rows of the first table of each page →
     ``(kind, lookup_key, page_id, pos, rank_text)``; cell texts are the
     stripped text content.  ``pos`` counts rows after the header (from 1).
-    Rows with fewer than four cells are skipped."""
-    if kind not in KEY_CELL:
-        raise ValueError(f"kind must be one of {sorted(KEY_CELL)}")
+    Rows with fewer than four cells are skipped.
+
+    ``kind`` is ``"conference"`` / ``"journal"`` for pages of one kind, or a
+    Column naming each page's kind, so mixed pages are read in one pass."""
+    if isinstance(kind, str):
+        if kind not in KEY_CELL:
+            raise ValueError(f"kind must be one of {sorted(KEY_CELL)}")
+        kind_col = F.lit(kind)
+    else:
+        kind_col = kind
     table = F.regexp_extract(F.col(html), FIRST_TABLE, 1)
     rows = F.regexp_extract_all(table, F.lit(ROW), 1)
-    exploded = pages.select(F.col(page_id).cast("bigint").alias("page_id"),
+    exploded = pages.select(kind_col.alias("_kind"), F.col(page_id).cast("bigint").alias("page_id"),
                             F.posexplode(rows).alias("pos", "row")).where(F.col("pos") >= 1)
     cells = F.regexp_extract_all(F.col("row"), F.lit(CELL), 1)
-    with_cells = exploded.select("page_id", "pos", cells.alias("cells")).where(F.size("cells") > RANK_CELL)
+    with_cells = exploded.select("_kind", "page_id", "pos", cells.alias("cells")) \
+        .where(F.size("cells") > RANK_CELL).where(F.col("_kind").isin(*KEY_CELL))
 
-    def cell(i: int):
+    def cell(i):
         return py_strip(markup_text(F.col("cells")[i]))
 
+    key_idx = F.when(F.col("_kind") == "conference", F.lit(KEY_CELL["conference"])) \
+        .otherwise(F.lit(KEY_CELL["journal"]))
     return with_cells.select(
-        F.lit(kind).alias("kind"),
-        cell(KEY_CELL[kind]).alias("lookup_key"),
+        F.col("_kind").alias("kind"),
+        py_strip(markup_text(F.element_at("cells", key_idx + 1))).alias("lookup_key"),
         "page_id",
         F.col("pos").cast("int").alias("pos"),
         cell(RANK_CELL).alias("rank_text"),
