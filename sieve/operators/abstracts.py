@@ -159,15 +159,18 @@ def text_by_id_py(html: str | None, element_id: str | None) -> str:
     return "".join(p.parts).strip().replace("\n", "")
 
 
-def text_by_id(df: DataFrame, html: str = "html", element_id: str = "element_id", out: str = "text") -> DataFrame:
+def text_by_id(df: DataFrame, html: str = "html", element_id: str = "element_id", out: str = "text",
+               keep_html: bool = False) -> DataFrame:
     """Add ``out`` = cleaned text of the element with the row's id (one Arrow
-    batch at a time on the executors)."""
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.StringType())])
+    batch at a time on the executors).  The HTML column is not sent back
+    unless ``keep_html``."""
+    kept = [f for f in df.schema.fields if keep_html or f.name != html]
+    schema = T.StructType(kept + [T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pdf[out] = [text_by_id_py(h, e) for h, e in zip(pdf[html], pdf[element_id])]
-            yield pdf
+            yield pdf if keep_html else pdf.drop(columns=[html])
 
     return df.mapInPandas(run, schema)
 
