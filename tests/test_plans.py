@@ -206,3 +206,21 @@ def test_review_specs_validate_and_bad_spec_stops_job(spark, tmpdir_path):
                        "--ranks", f"{tmpdir_path}/none", "--out", f"{tmpdir_path}/out"])
     with pytest.raises(ValueError, match="enum:venue_rank_threshold"):
         run(spark, args)
+
+
+def test_review_run_without_optional_inputs(spark):
+    from sieve.plans.review import ReviewRun
+
+    inp = ReviewInputs(spark, SF)
+    run = ReviewRun(inp.bib, inp.studies.where("study_id = 1"), inp.rank_table, run_date="2024-01-02",
+                    dump_name="d.xml")
+    n = run.papers.count()
+    assert n == screen(inp.bib, inp.study(1), inp.rank_table).count() and n > 0
+    assert run.contents.count() == 0 and run.metrics.count() == 0
+    req = run.requests.collect()
+    assert len(req) == n and req[0].user_content == "tldr:\nNone\n\nabstract:\nNone\n"
+    assert run.criteria_assessments.count() == 0
+    assert {r.passed_criteria for r in run.reports.collect()} == {None}
+    s = run.studies.first()
+    assert (s.study_id, str(s.study_date), s.dblp_used, s.reports_collected) == (1, "2024-01-02", "d.xml", 0)
+    assert s.papers_collected >= n
