@@ -13,6 +13,7 @@ are replaced by tables:
   --generate_report    build assessment requests; with --responses
                        (study_id, rec_id, response) also assessments
   --export_all         CSV export of the papers
+  --export_summary     CSV of the study rows and a PRISMA flow table per study
   --out DIR            where the tables are written (partitioned by study)
 """
 
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.assess import validate_specs
+from ..operators.prisma import prisma_flow
 from ..operators.ranks import rank_rows
 from ..sources.bibliography import read_bibliography
 from ..sources.store import export_csv, write_table
@@ -48,6 +50,7 @@ def parse_args(argv=None):
     ap.add_argument("--generate_report", action="store_true")
     ap.add_argument("--responses")
     ap.add_argument("--export_all", action="store_true")
+    ap.add_argument("--export_summary", action="store_true")
     ap.add_argument("--out", required=True)
     return ap.parse_args(argv)
 
@@ -101,9 +104,18 @@ def run(spark: SparkSession, args) -> dict[str, str]:
     if args.export_all:
         written["export_csv"] = os.path.join(args.out, "export_csv")
         export_csv(spark.read.parquet(written["papers"]), written["export_csv"])
+    if args.export_summary:
+        flow = prisma_flow(records, studies, review.gated, review.contents, review.responses, review.reports,
+                           review.criteria_assessments, review.min_rating)
+        written["prisma"] = os.path.join(args.out, "prisma")
+        write_table(flow, written["prisma"])
     review.runtime_seconds = time.time() - start
     written["studies"] = os.path.join(args.out, "studies")
     write_table(review.studies, written["studies"])
+    if args.export_summary:
+        written["summary_csv"] = os.path.join(args.out, "summary_csv")
+        (spark.read.parquet(written["studies"]).write.mode("overwrite").option("header", True)
+         .csv(written["summary_csv"]))
     return written
 
 

@@ -157,7 +157,7 @@ def test_review_job_end_to_end(spark, tmpdir_path):
             json.dump(fixtures.REVIEW_SPECS[i], f, indent=2)
     args = parse_args(["--study", f"{d}/s0.json", "--study", f"{d}/s1.json", "--dblp", f"{d}/dump",
                        "--ranks", f"{d}/ranks", "--collect_content", "--meta", f"{d}/meta", "--pages", f"{d}/pages",
-                       "--generate_report", "--export_all", "--out", f"{d}/out"])
+                       "--generate_report", "--export_all", "--export_summary", "--out", f"{d}/out"])
     written = run(spark, args)
     papers = spark.read.parquet(written["papers"])
     want = multi.screen_many(inp.bib, inp.studies.where("study_id <= 2"), inp.rank_table)
@@ -167,6 +167,10 @@ def test_review_job_end_to_end(spark, tmpdir_path):
     assert set(studies) == {1, 2} and studies[1].total_runtime > 0
     assert spark.read.parquet(written["requests"]).count() == papers.count()
     assert os.path.isdir(written["export_csv"])
+    flow = {r.study_id: r for r in spark.read.parquet(written["prisma"]).collect()}
+    assert set(flow) == {1, 2} and flow[1].records_screened > 0
+    assert flow[1].total_papers_collected == inp.bib.count()
+    assert spark.read.option("header", True).csv(written["summary_csv"]).count() == 2
 
 
 def test_stored_records_prune_partitions(spark, tmpdir_path):
