@@ -228,3 +228,25 @@ def test_review_run_without_optional_inputs(spark):
     s = run.studies.first()
     assert (s.study_id, str(s.study_date), s.dblp_used, s.reports_collected) == (1, "2024-01-02", "d.xml", 0)
     assert s.papers_collected >= n
+
+
+def test_review_job_on_stored_records(spark, tmpdir_path):
+    import json
+
+    from sieve.plans import fixtures
+    from sieve.plans.job import parse_args, run
+    from sieve.sources.bibliography import write_records
+
+    inp = ReviewInputs(spark, SF)
+    d = tmpdir_path
+    write_records(inp.bib, f"{d}/records")
+    inp.view("rank_html").withColumn("kind", F.lit("conference")).write.parquet(f"{d}/ranks")
+    with open(f"{d}/s.json", "w") as f:
+        json.dump(fixtures.REVIEW_SPECS[1], f)     # review 2 matches far more than 50 records
+    written = run(spark, parse_args(["--study", f"{d}/s.json", "--dblp", f"{d}/records", "--records",
+                                     "--ranks", f"{d}/ranks", "--batch", "50", "--out", f"{d}/out"]))
+    papers = spark.read.parquet(written["papers"])
+    studies = spark.read.parquet(written["studies"]).first()
+    assert studies.papers_collected == 50            # the batch limit counts candidates
+    assert 0 < papers.count() <= 50
+    assert "rejects" not in written
