@@ -8,7 +8,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, simhash
+from . import lines, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,6 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_quality_classifier(spark, sf_dir):
+    """Posterior of every document from its evidence and its source's and
+    language's rates, trained on at most 20,000 labelled documents."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op4_line_dedup(spark, sf_dir):
     """Whole documents without their repeated lines (20 code points, 3 documents)."""
