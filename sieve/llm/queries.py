@@ -8,7 +8,8 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, quality, simhash
+from . import lines, mixing, quality, simhash
+from ..session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,3 +66,14 @@ def op8_simhash_near_dedup(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
                         F.col("component").alias("component_id"))
+
+
+@query
+def op9_source_mixing(spark, sf_dir):
+    """Weight, chance and decision of every document, raked to source, language
+    and topic shares tempered by 0.7."""
+    docs = table(spark, sf_dir, "documents")
+    narrow = materialize(docs.select("doc_id", "source", "lang", mixing.topic_column(F.col("text")).alias("topic"),
+                                     mixing.tokens_column(F.col("text")).alias("n_tokens")), "mixing")
+    dims = {d: F.col(d) for d in ("source", "lang", "topic")}
+    return mixing.mix(narrow, dims, tokens=F.col("n_tokens"), alpha=0.7, text_col="topic")
