@@ -8,7 +8,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, quality, simhash
+from . import decontaminate, lines, mixing, quality, simhash
 from ..session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,32 @@ def op1_quality_classifier(spark, sf_dir):
     return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op3_benchmark_decontamination(spark, sf_dir):
+    """Words of every document hit by 10-word windows of the benchmark, and the items."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES["op3_benchmark_decontamination"] = f"""
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS_SQL} AS w FROM benchmark),
+cut AS (SELECT item, w, least(len(w), 10) AS n, unnest(range(0, len(w) - least(len(w), 10) + 1)) AS i FROM b WHERE len(w) > 0),
+grams AS (SELECT DISTINCT item, n, array_to_string(w[i + 1 : i + n], ' ') AS g FROM cut),
+d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+sizes AS (SELECT DISTINCT n FROM grams),
+places AS (SELECT doc_id, w, n, unnest(range(0, greatest(len(w) - n + 1, 0))) AS i FROM d, sizes),
+hits AS (SELECT p.doc_id, p.i, p.n, g.item FROM places p JOIN grams g ON g.n = p.n AND g.g = array_to_string(p.w[p.i + 1 : p.i + p.n], ' ')),
+spots AS (SELECT doc_id, unnest(range(i, i + n)) AS i FROM (SELECT DISTINCT doc_id, i, n FROM hits)),
+hit AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM spots GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS list FROM hits GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
 @query
 def op4_line_dedup(spark, sf_dir):
     """Whole documents without their repeated lines (20 code points, 3 documents)."""
