@@ -8,7 +8,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, mixing, quality, simhash
+from . import decontaminate, language, lines, mixing, quality, simhash
 from ..session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,15 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(dropped AS INT)) AS BIGINT) AS
 FROM marked GROUP BY doc_id"""
 
 
+@query
+def op5_language_id(spark, sf_dir):
+    """Language of every whole text, from profiles of the documents not held out."""
+    docs = table(spark, sf_dir, "documents")
+    out = language.held_out(F.col("doc_id"))
+    profiles = language.learn(docs.where(~out))
+    return language.predict(docs.select("doc_id", "text", out.alias("held_out")), profiles).drop("text")
+
+
 @query
 def op8_simhash_near_dedup(spark, sf_dir):
     """SimHash components of all documents: 3-word shingles, at most 3 bits."""
