@@ -8,7 +8,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lines, mixing, quality, simhash
+from . import decontaminate, imatch, language, lines, mixing, quality, simhash
 from ..session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,14 @@ def op5_language_id(spark, sf_dir):
     return language.predict(docs.select("doc_id", "text", out.alias("held_out")), profiles).drop("text")
 
 
+@query
+def op6_imatch_fingerprints(spark, sf_dir):
+    """I-Match fingerprints of every whole text and of its edited text, and how
+    alike they and the next document's are."""
+    docs = table(spark, sf_dir, "documents")
+    return imatch.edited_and_next(docs, imatch.build_lexicon(docs))
+
+
 @query
 def op8_simhash_near_dedup(spark, sf_dir):
     """SimHash components of all documents: 3-word shingles, at most 3 bits."""
