@@ -8,7 +8,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, imatch, language, lines, mixing, quality, simhash
+from . import decontaminate, imatch, language, lines, maintext, mixing, quality, simhash
 from ..session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +103,14 @@ def op6_imatch_fingerprints(spark, sf_dir):
     return imatch.edited_and_next(docs, imatch.build_lexicon(docs))
 
 
+@query
+def op7_main_text(spark, sf_dir):
+    """Main text of every page, with weights from all pages that label theirs."""
+    pages = table(spark, sf_dir, "pages")
+    texts = maintext.main_text(pages, maintext.learn(pages))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op8_simhash_near_dedup(spark, sf_dir):
     """SimHash components of all documents: 3-word shingles, at most 3 bits."""
