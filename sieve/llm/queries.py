@@ -8,7 +8,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, imatch, language, lines, maintext, mixing, quality, simhash
+from . import decontaminate, imatch, language, lines, maintext, mixing, quality, simhash, warc
 from ..session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,22 @@ def op1_quality_classifier(spark, sf_dir):
     return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op2_warc(spark, sf_dir):
+    """Every page written to dictionary-compressed WARC archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages")) \
+        .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op2_warc"] = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+r AS (SELECT digest, max(page_id) AS response FROM p WHERE n >= 1000 GROUP BY digest)
+SELECT page_id, n AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN page_id < response THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < response THEN response END AS refers_to
+FROM p LEFT JOIN r ON p.digest = r.digest"""
+
+
 @query
 def op3_benchmark_decontamination(spark, sf_dir):
     """Words of every document hit by 10-word windows of the benchmark, and the items."""
