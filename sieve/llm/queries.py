@@ -8,7 +8,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, imatch, language, lines, maintext, mixing, quality, simhash, warc
+from . import decontaminate, imatch, language, lines, maintext, mixing, quality, simhash, suffixes, warc
 from ..session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,3 +144,9 @@ def op9_source_mixing(spark, sf_dir):
                                      mixing.tokens_column(F.col("text")).alias("n_tokens")), "mixing")
     dims = {d: F.col(d) for d in ("source", "lang", "topic")}
     return mixing.mix(narrow, dims, tokens=F.col("n_tokens"), alpha=0.7, text_col="topic")
+
+
+@query
+def op10_suffix_array_dedup(spark, sf_dir):
+    """Documents with passages of 50 words or more that repeat across documents."""
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
