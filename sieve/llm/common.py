@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from typing import Sequence
 
 import pyarrow as pa
@@ -14,6 +13,8 @@ from ..session import materialize
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: rows of a lookup side up to which it is broadcast; narrow rows only
 BROADCAST_ROWS = 200_000
+#: ids up to which a set of them is broadcast (8 bytes each)
+BROADCAST_IDS = 1_000_000
 #: copies of a lookup side that is too large to broadcast; a hot key of the
 #: other side is spread over as many tasks
 SALTS = 16
@@ -75,17 +76,37 @@ def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], spread: Column,
     Both ways give the same rows.  The key columns appear once.
     """
     table, seen = materialize(right, "lookup", {"rows": F.count(F.lit(1))})
-    keys = [f"_k{i}_" + re.sub(r"\W", "", k) for i, k in enumerate(on)]
+    keys = [fresh(left, f"key{i}") for i in range(len(on))]
     table = table.select(*[quoted(k).alias(n) for k, n in zip(on, keys)],
                          *[quoted(c) for c in table.columns if c not in on])
     cond = [left[f"`{k}`"].eqNullSafe(F.col(n)) for k, n in zip(on, keys)]
     if seen["rows"] <= max_rows:
         return left.join(F.broadcast(table), cond, how).drop(*keys)
-    salt = fresh(left, "salt")
+    salt, copy = fresh(left, "salt"), fresh(left, "copy")
     salted = left.withColumn(salt, F.pmod(spread, F.lit(salts)).cast("int"))
-    copies = table.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    cond = [salted[f"`{k}`"].eqNullSafe(F.col(n)) for k, n in zip(on, keys)] + [salted[salt] == F.col("_copy")]
-    return salted.join(copies, cond, how).drop(salt, "_copy", *keys)
+    copies = table.withColumn(copy, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    cond = [salted[f"`{k}`"].eqNullSafe(F.col(n)) for k, n in zip(on, keys)] + [F.col(salt) == F.col(copy)]
+    return salted.join(copies, cond, how).drop(salt, copy, *keys)
+
+
+def by_id(docs: DataFrame, id_col: str, info: DataFrame, key: str, how: str = "left") -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` joined to ``info`` (unique per ``key``) by id, null ids to a null key.
+
+    The columns of ``info`` get names that ``docs`` lacks; returns the join and the
+    names by column.  Callers drop them."""
+    names = {c: fresh(docs, c.lstrip("_")) for c in info.columns}
+    renamed = info.select(*[quoted(c).alias(n) for c, n in names.items()])
+    return docs.join(renamed, quoted(id_col).eqNullSafe(F.col(names[key])), how), names
+
+
+def without(docs: DataFrame, id_col: str, gone: DataFrame, max_rows: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of ``docs`` whose id is not in the one column of ``gone`` (distinct; a
+    null there takes rows without an id).  Up to ``max_rows`` ids are broadcast, so the
+    rows of ``docs`` are not shuffled; more are joined by shuffle."""
+    ids, seen = materialize(gone, "gone", {"rows": F.count(F.lit(1))})
+    name = fresh(docs, "gone")
+    ids = ids.toDF(name)
+    return docs.join(F.broadcast(ids) if seen["rows"] <= max_rows else ids, quoted(id_col).eqNullSafe(F.col(name)), "left_anti")
 
 
 def texts_of(column) -> list:

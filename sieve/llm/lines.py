@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch_path
-from .common import fresh, lookup, lower_ascii_table, quoted, texts_of
+from .common import by_id, fresh, lookup, lower_ascii_table, quoted, texts_of
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -295,9 +295,8 @@ class LineIndex:
         ``out`` names the cleaned text (the text column itself, or a new one);
         ``n_lines`` and ``n_dropped`` name counts to add.  All columns are kept."""
         refs = self.part("refs") if indexed else line_refs(docs, id_col, text_col, self.min_chars).distinct()
-        lost = materialize(self.drops(refs), "line-drops").withColumnRenamed("doc_id", "_lost_id")
-        keys, answer = fresh(docs, "lost_keys"), fresh(docs, "cleaned")
-        joined = docs.join(lost.withColumnRenamed("keys", keys), docs[f"`{id_col}`"].eqNullSafe(F.col("_lost_id")), "left").drop("_lost_id")
+        joined, names = by_id(docs, id_col, materialize(self.drops(refs), "line-drops"), "doc_id")
+        keys, answer = names["keys"], fresh(joined, "cleaned")
         min_chars = self.min_chars
 
         def run(texts: pd.Series, lost: pd.Series) -> pd.DataFrame:
@@ -313,7 +312,7 @@ class LineIndex:
 
         made = joined.withColumn(answer, F.pandas_udf(run, "text string, lines long, dropped long")(quoted(text_col), F.col(keys)))
         values = {out: made[answer]["text"]} | {n: made[answer][k] for n, k in ((n_lines, "lines"), (n_dropped, "dropped")) if n}
-        return made.withColumns(values).drop(keys, answer)
+        return made.withColumns(values).drop(answer, *names.values())
 
 
 def _shard_column(shards: int):

@@ -138,8 +138,8 @@ def mix(docs: DataFrame, dims: Mapping[str, Column], tokens: Column | None = Non
 
     ``dims`` names the marginals and gives their columns; a null value is a value
     of its own.  ``targets`` has target shares by marginal and value; a marginal
-    without them is tempered: its tokens to the power ``alpha``.  Documents without
-    tokens have weight and chance 0.  Equal ids get equal decisions.  The columns
+    without them is tempered: its tokens to the power ``alpha``.  A document has
+    its cell's weight; cells without tokens have weight and chance 0.  Equal ids get equal decisions.  The columns
     named in ``out`` are added (an existing column of that name is replaced)."""
     own, held = {}, docs
     for d, column in dims.items():

@@ -23,11 +23,11 @@ from itertools import islice, repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import fresh, lookup, lower_ascii_table, quoted
+from .common import fresh, lookup, lower_ascii_table, quoted, without
 from .graph import components
 
 SHINGLE = 3
@@ -250,16 +250,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows without an id can't be named by a component and stay.  If an id occurs
     in several rows, one of them stays (the least by a hash of all columns)."""
-    found = near_duplicates(docs, id_col, text_col, shingle, max_bits).where(F.col(id_col).isNotNull())
+    found = near_duplicates(docs, id_col, text_col, shingle, max_bits).where(quoted(id_col).isNotNull())
     ids, seen = materialize(
-        found.groupBy(id_col).agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("n"))
-             .select(F.col(id_col).alias("_id"), "n", (F.col("component") == F.col(id_col)).alias("stays")),
+        found.groupBy(quoted(id_col).alias("_id")).agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("n"))
+             .select("_id", "n", (F.col("component") == F.col("_id")).alias("stays")),
         "stays", {"most": F.max("n")})
-    kept = docs.join(ids.where("not stays").select("_id"), docs[f"`{id_col}`"] == F.col("_id"), "left_anti")
+    kept = without(docs, id_col, ids.where("not stays").select("_id"))
     if (seen["most"] or 1) == 1:
         return kept
-    from pyspark.sql import Window
-
     place, order = fresh(kept, "place"), F.xxhash64(*[quoted(c) for c in kept.columns])
     within = Window.partitionBy(quoted(id_col), F.when(quoted(id_col).isNull(), order)).orderBy(order)
     numbered = kept.withColumn(place, F.row_number().over(within))

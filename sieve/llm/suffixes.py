@@ -17,6 +17,7 @@ the same place, so equal passages always share a kept suffix.
 
 from __future__ import annotations
 
+import re
 from typing import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import fresh, lower_ascii_table, quoted, texts_of
+from .common import by_id, lower_ascii_table, quoted, texts_of
 
 MIN_WORDS = 50
 ANCHOR_WORDS = 10
@@ -235,12 +236,10 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  anchor_words: int = ANCHOR_WORDS) -> DataFrame:
     """``docs`` without the passages that a document with a smaller id has too; the
     text before and after a passage stays as it is.  All rows and columns are kept."""
-    found = materialize(repeated_passages(docs, id_col, text_col, min_words, anchor_words).where(F.size("drops") > 0).select(quoted(id_col).alias("_doc"), "drops"), "drops")
-    drops = fresh(docs, "drops")
+    found = repeated_passages(docs, id_col, text_col, min_words, anchor_words).where(F.size("drops") > 0)
+    found = materialize(found.select(quoted(id_col).alias("id"), "drops"), "drops")
 
     def cut(text: pd.Series, drops: pd.Series) -> pd.Series:
-        import re
-
         out = []
         for t, spans in zip(text, drops):
             if t is None or spans is None:
@@ -255,5 +254,5 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out.append("".join([*kept, t[at:]]))
         return pd.Series(out, dtype="object")
 
-    met = docs.join(found.withColumnRenamed("drops", drops), docs[f"`{id_col}`"] == F.col("_doc"), "left").drop("_doc")
-    return met.withColumn(text_col, F.pandas_udf(cut, "string")(quoted(text_col), F.col(drops))).drop(drops)
+    met, names = by_id(docs, id_col, found, "id")
+    return met.withColumn(text_col, F.pandas_udf(cut, "string")(quoted(text_col), F.col(names["drops"]))).drop(*names.values())
