@@ -103,7 +103,7 @@ def build_lexicon(docs: DataFrame, text_col: str = "text", min_idf: float = MIN_
     """The terms of all rows' texts within the band; empty without documents."""
     texts = docs.select(quoted(text_col).alias("text"))
     total = texts.count()
-    least = math.exp(-max_idf)
+    least = math.exp(-max_idf) * (1 - 1e-9)  # a term at the very bound is in
     if not total:
         return Lexicon({}, subsets)
 
