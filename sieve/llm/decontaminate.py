@@ -1,10 +1,11 @@
 """Benchmark decontamination with built-in functions only.
 
 Benchmark texts are cut into windows of ``WINDOW`` normalised words (an item with
-fewer words is one window of its own length).  The hashes of the distinct windows
-are the broadcast set; every document's windows of those lengths are hashed in the
-row, exploded as (id, position, hash) and probed.  Hits are verified word by word
-against the document's own words before they count.
+fewer words is one window of its own length).  A bit table of the windows' hashes, of
+bounded size, goes with the plan: every document's windows are hashed in the row, and
+those whose bit is set are exploded with their words.  These are probed in the broadcast
+hash set of the windows by all their words, so a hit is verified, not only likely.
+Texts are read once and never shuffled.
 """
 
 from __future__ import annotations
@@ -13,19 +14,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import fresh, quoted, words_of
+from .common import by_id, fresh, quoted, without, words_of
 
 WINDOW = 10
-#: distinct windows up to which their hashes are broadcast (8 bytes each); more are joined by shuffle
+#: distinct windows up to which they are broadcast; more are joined by shuffle
 MAX_GRAMS = 1_000_000
+#: 64-bit words of the bit table at most (512 KB); a fuller table only lets more pass
+MAX_BIT_WORDS = 1 << 16
+CUT = "array<struct<pos:int,n:int,gram:string>>"
 
 
-def windows(words: Column, length: int, at_least: int = 0) -> Column:
-    """``(pos, n, h)`` of all windows of ``length`` words; none if there are fewer."""
+def bit_table(grams: DataFrame, rows: int) -> list[int]:
+    """Bits of the windows' hashes ``h``: about 64 a window, a power of two of them."""
+    size = 16
+    while size < rows and size < MAX_BIT_WORDS:
+        size *= 2
+    at = F.shiftright("h", 6).bitwiseAND(F.lit(size - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+    table = [0] * size
+    for r in grams.groupBy(at.alias("at")).agg(F.bit_or(bit).alias("bits")).collect():
+        table[r["at"]] = r["bits"]
+    return table
+
+
+def likely_windows(words: Column, length: int, table: list[int]) -> Column:
+    """``(pos, n, gram)`` of the windows of ``length`` words whose bit is set."""
+    bits = F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # folded to a constant
+
+    def hit(h: Column) -> Column:
+        word = F.element_at(bits, (F.shiftright(h, 6).bitwiseAND(F.lit(len(table) - 1)) + 1).cast("int"))
+        return F.call_function("shiftright", word, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
     last = F.size(words) - length
-    every = F.transform(F.sequence(F.lit(0), last),
-                        lambda i: F.struct(i.alias("pos"), F.lit(length).alias("n"), F.xxhash64(F.slice(words, i + 1, length)).alias("h")))
-    return F.when(last >= at_least, every).otherwise(F.array().cast("array<struct<pos:int,n:int,h:bigint>>"))
+    hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(words, i + 1, length)))
+    places = F.array_compact(F.transform(hashes, lambda h, i: F.when(hit(h), i)))
+    cut = F.transform(places, lambda i: F.struct(i.alias("pos"), F.lit(length).alias("n"), F.array_join(F.slice(words, i + 1, length), " ").alias("gram")))
+    return F.when(last >= 0, cut).otherwise(F.array().cast(CUT))
 
 
 def benchmark_grams(bench: DataFrame, id_col: str, text_col: str, window: int) -> tuple[DataFrame, list[int], int]:
@@ -44,60 +68,58 @@ def benchmark_grams(bench: DataFrame, id_col: str, text_col: str, window: int) -
 
 def find_hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               bench_id: str = "item_id", bench_text: str = "text", window: int = WINDOW, max_grams: int = MAX_GRAMS) -> DataFrame:
-    """Per document id with a candidate its ``hits``: distinct ``(pos, n, gram, items)``."""
+    """Per row of ``docs``: ``id, n_words, hits`` with its ``(pos, n, items)``.
+
+    Every row sends one marker with its number of words beside its likely windows, so
+    that all come from one pass.  Rows of equal id and words are counted and given back
+    as often as they were."""
     grams, lengths, rows = benchmark_grams(bench, bench_id, bench_text, window)
+    table = bit_table(grams, rows) if rows else [0]
     words = F.col("words")
-    if not lengths:
-        cut = F.array().cast("array<struct<pos:int,n:int,h:bigint>>")
-    else:
-        each = [windows(words, n) for n in lengths]
-        cut = each[0] if len(each) == 1 else F.concat(*each)
-    tokens = docs.select(quoted(id_col).alias("_id"), words_of(quoted(text_col)).alias("words"))
-    probes = tokens.select("_id", F.explode(cut).alias("w")).select("_id", "w.pos", "w.n", F.col("w.h").alias("h"))
-    small = grams.select("h", F.size(F.split("gram", " ")).alias("gn"), "gram", "items")
-    # the set itself is (hash, length); windows that two items share are one row
-    probe = F.broadcast(small) if rows <= max_grams else small
-    hits = probes.join(probe, (probes["h"] == probe["h"]) & (F.col("n") == F.col("gn")))
-    return hits.groupBy("_id").agg(F.collect_set(F.struct("pos", "n", "gram", "items")).alias("hits"))
-
-
-def verified(words: Column, hits: Column) -> Column:
-    """The hits whose words are the document's own at that place."""
-    kept = F.filter(hits, lambda x: F.array_join(F.slice(words, x["pos"] + 1, x["n"]), " ") == x["gram"])
-    return F.when(hits.isNull(), F.array().cast("array<struct<pos:int,n:int,gram:string,items:array<string>>>")).otherwise(kept)
-
-
-def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  bench_id: str = "item_id", bench_text: str = "text", window: int = WINDOW, max_grams: int = MAX_GRAMS) -> DataFrame:
+    tokens = docs.select(quoted(id_col).alias("id"), words_of(quoted(text_col)).alias("words"))
+    marker = F.array(F.struct(F.lit(-1).alias("pos"), F.size(words).alias("n"), F.concat(F.lit("\n"), F.xxhash64(words).cast("string")).alias("gram")))
+    cut = F.concat(marker, *[likely_windows(words, n, table) for n in lengths])
+    probes = tokens.select("id", F.xxhash64(words).alias("h"), F.explode(cut).alias("w")).select("id", "h", "w.pos", "w.n", "w.gram")
+    items = grams.select(F.col("gram").alias("_gram"), "items")
+    found = probes.join(F.broadcast(items) if rows <= max_grams else items, F.col("gram") == F.col("_gram"), "left")
+    is_marker = F.col("pos") < 0
+    by = found.where(is_marker | F.col("items").isNotNull()).groupBy("id", "h") \
+        .agg(F.max(F.when(is_marker, F.col("n"))).alias("n_words"), F.count_if(is_marker).alias("copies"),
+             F.collect_set(F.when(~is_marker, F.struct("pos", "n", "items"))).alias("hits"))
+    return by.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("id", F.col("n_words").cast("long").alias("n_words"), "hits")
+
+
+def spots(hits: Column) -> Column:
+    """Distinct places of the words in the hits."""
+    return F.array_distinct(F.flatten(F.transform(hits, lambda x: F.sequence(x["pos"], x["pos"] + x["n"] - 1))))
+
+
+def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per row of ``docs``: ``id_col, n_words, n_hit, items`` (sorted as strings).
 
     Null and empty texts have no words; items without words have no windows; items
-    with a null id make words hit but are not listed.  Rows with equal ids are
-    verified each against its own words.  An empty benchmark hits nothing."""
-    hits = materialize(find_hits(docs, bench, id_col, text_col, bench_id, bench_text, window, max_grams), "hits")
-    rows = docs.select(quoted(id_col).alias(id_col), words_of(quoted(text_col)).alias("words"))
-    met = rows.join(hits, rows[f"`{id_col}`"].eqNullSafe(hits["_id"]), "left").drop("_id")
-    checked = met.select(quoted(id_col), F.size("words").cast("long").alias("n_words"), verified(F.col("words"), F.col("hits")).alias("hits"))
-    covered = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["pos"], x["pos"] + x["n"] - 1))))
+    with a null id make words hit but are not listed.  Rows with equal ids are judged
+    each by its own words.  An empty benchmark hits nothing."""
+    found = find_hits(docs, bench, id_col, text_col, **options)
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["items"]))))
-    return checked.select(quoted(id_col), "n_words", F.size(covered).cast("long").alias("n_hit"), items.alias("items"))
+    return found.select(F.col("id").alias(id_col), "n_words", F.size(spots(F.col("hits"))).cast("long").alias("n_hit"), items.alias("items"))
 
 
 def remove_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without a hit word, with all their columns.
 
-    Rows without an id are taken as one document: all go if one is hit."""
+    Rows of one id, or without an id, are taken as one document: all go if one is hit."""
     found = contamination(docs, bench, id_col, text_col, **options).where("n_hit > 0")
-    gone = materialize(found.select(quoted(id_col).alias("_gone")).distinct(), "contaminated")
-    return docs.join(gone, docs[f"`{id_col}`"].eqNullSafe(gone["_gone"]), "left_anti")
+    return without(docs, id_col, found.select(quoted(id_col).alias("gone")).distinct())
 
 
 def remove_spans(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "kept_words", **options) -> DataFrame:
-    """``docs`` with ``out``: the normalised words that are in no hit, joined by spaces."""
-    hits = materialize(find_hits(docs, bench, id_col, text_col, **options), "hits")
-    words, held = fresh(docs, "words"), fresh(docs, "hits")
-    met = docs.join(hits.withColumnRenamed("hits", held), docs[f"`{id_col}`"].eqNullSafe(hits["_id"]), "left").drop("_id")
+    """``docs`` with ``out``: the normalised words that are in no hit, joined by spaces.
+    Of rows with one id, the hits of all are taken from each."""
+    hits = find_hits(docs, bench, id_col, text_col, **options).where(F.size("hits") > 0)
+    hits = materialize(hits.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list(spots(F.col("hits"))))).alias("spots")), "hits")
+    met, names = by_id(docs, id_col, hits, "id")
+    held, words = F.coalesce(names["spots"], F.array().cast("array<int>")), fresh(met, "words")
     met = met.withColumn(words, words_of(quoted(text_col)))
-    met = met.withColumn(held, F.array_distinct(F.flatten(F.transform(verified(F.col(words), F.col(held)), lambda x: F.sequence(x["pos"], x["pos"] + x["n"] - 1)))))
-    stays = F.filter(F.col(words), lambda _, i: ~F.array_contains(F.col(held), i))
-    return met.withColumn(out, F.array_join(stays, " ")).drop(words, held)
+    stays = F.filter(F.col(words), lambda _, i: ~F.array_contains(held, i))
+    return met.withColumn(out, F.array_join(stays, " ")).drop(words, *names.values())
