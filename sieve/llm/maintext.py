@@ -32,7 +32,6 @@ SKIPPED = frozenset("script style noscript template svg math iframe object canva
 STRUCTURE = frozenset("body div section article main nav header footer aside form ul ol dl table figure menu dialog blockquote details fieldset".split())
 BLOCKS = STRUCTURE | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th pre br hr caption figcaption address legend summary option".split())
 NEVER = frozenset("nav header footer aside form menu dialog fieldset".split())
-VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 #: words of class and id names that mark boilerplate on pages without labels (fixed values)
 MARKS = frozenset("ad ads advert advertisement banner breadcrumb comment comments cookie disqus footer header menu nav navbar newsletter notice "
                   "pagination popup promo related reply replies share sharing sidebar social sponsor sponsored subscribe widget".split())
@@ -48,9 +47,9 @@ def context_of(tag: str, attributes: str) -> str:
 
 
 def pieces(page: str):
-    """``(kind, tag or context, text)`` in page order: kind ``<`` for an opening and
-    ``/`` for a closing tag with its name, ``t`` for text with its context and
-    whether that or an outer element is one of :data:`NEVER`."""
+    """In page order ``("<" or "/", name, never)`` for an opening or closing tag and
+    ``("t", (element, context, never), text)`` for text, where ``never`` tells whether
+    an element around it, or the tag's own, is one of :data:`NEVER` or marked as such."""
     stack: list[tuple[str, str, bool]] = [("", "", False)]
     at, end = 0, len(page)
     for m in iter(lambda: TOKEN.search(page, at), None):
@@ -63,23 +62,23 @@ def pieces(page: str):
             continue
         tag = m[2].lower()
         if m[1]:
+            never = stack[-1][2]
             if tag in STRUCTURE:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == tag:
                         del stack[k:]
                         break
-            yield "/", tag, ""
+            yield "/", tag, never
             continue
-        yield "<", tag, ""
         if tag in SKIPPED:
             if not m[3].rstrip().endswith("/"):
                 close = CLOSERS[tag].search(page, at)
                 at = close.end() if close else end if tag in ("script", "style") else at
-        elif tag in STRUCTURE and tag not in VOID:
+        elif tag in STRUCTURE:
             context = context_of(tag, m[3])
             marked = tag not in ("body", "main", "article") and not MARKS.isdisjoint(context.split()[1:])
-            never = stack[-1][2] or tag in NEVER or marked
-            stack.append((tag, context, never))
+            stack.append((tag, context, stack[-1][2] or tag in NEVER or marked))
+        yield "<", tag, stack[-1][2]
     if at < end:
         yield "t", stack[-1], page[at:]
 
@@ -92,22 +91,22 @@ class Weights:
     tags: dict[str, float] = field(default_factory=dict)
 
     def of_words(self, place: tuple[str, str, bool]) -> float:
+        """Words and tags in elements that never hold main text count nothing, so they
+        neither end a region nor carry it on."""
         _, context, never = place
-        return -WORD if never else self.words.get(context, WORD)
+        return 0.0 if never else self.words.get(context, WORD)
 
     def extract(self, page: str | None) -> str:
         """The main text: blocks joined by newlines, empty if there is none."""
         items, best, left, right, total, start = [], 0.0, 0, 0, 0.0, 0
         for kind, what, text in pieces(page or ""):
             if kind == "t":
-                words = html.unescape(text).split()
-                # white space beside the words parts them from words in the next piece
                 value = self.of_words(what)
                 items.append((what if value > 0 else None, text))
-                score = value * len(words)
+                score = value * len(html.unescape(text).split())
             else:
                 items.append((kind, what))
-                score = self.tags.get(kind + what, TAG)
+                score = 0.0 if text else self.tags.get(kind + what, TAG)
             total += score
             if total <= 0:
                 total, start = 0.0, len(items)

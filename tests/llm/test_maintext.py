@@ -1,0 +1,104 @@
+"""Main text of pages."""
+
+import html
+import re
+
+import pytest
+from pyspark.sql import functions as F
+from sieve.llm import maintext
+
+SF = "/root/testdata/sf0.01"
+
+
+def article(page):
+    """The blocks of the one article element, by the pages' own markup."""
+    inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1|br)\b[^>]*>", inner))
+    return "\n".join(b for b in blocks if b)
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    return spark.read.parquet(f"{SF}/pages.parquet")
+
+
+@pytest.fixture(scope="module")
+def weights(pages):
+    return maintext.learn(pages)
+
+
+def test_all_pages(spark):
+    from sieve.llm import queries
+
+    rows = queries.QUERIES["op7_main_text"](spark, SF)
+    assert rows.columns == ["page_id", "url", "text", "n_chars"]
+    got = {r["page_id"]: r for r in rows.collect()}
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        assert got[r["page_id"]]["text"] == article(r["html"])
+        assert got[r["page_id"]]["n_chars"] == len(got[r["page_id"]]["text"]) and got[r["page_id"]]["url"] == r["url"]
+
+
+def test_pages_without_labels(pages):
+    """The learned weights find the text of pages whose article is not marked."""
+    weights = maintext.learn(pages.where("page_id % 2 = 0"))
+    good = 0
+    rows = pages.where("page_id % 2 = 1").collect()
+    for r in rows:
+        bare = r["html"].replace("<article>", "<div>").replace("</article>", "</div>")
+        good += weights.extract(bare) == article(r["html"])
+    assert good / len(rows) > 0.95
+
+
+PROSE = "This is the running text of the article with quite a number of words in it."
+
+
+@pytest.mark.parametrize("learned", [True, False])
+def test_boilerplate_goes(weights, learned):
+    w = weights if learned else maintext.Weights()
+    noise = "<p>Some words that are not part of it.</p>"
+    page = (f"<html><head><title>T</title><style>x {{}}</style></head><body class='has-sidebar'><header>{noise}</header><nav><ul><li><a href='/'>Home</a></li></ul></nav>"
+            f"<div id=cookie-notice>{noise}</div><article><h1>A title &amp; more</h1><p>{PROSE}</p><div class='ad box2'>{noise}</div><!-- {noise} -->"
+            f"<p>{PROSE}<br>second&nbsp;line\n\t <b>bo</b>ld</p><form>{noise}</form><script>var x = '<p>no</p>';</script><p>{PROSE}</p>"
+            f"<section class='comments'>{noise}</section></article><aside>{noise}</aside><footer>{noise}</footer></body></html>")
+    title = ["A title & more"] if learned else []  # without weights, its tags outweigh so short a title
+    assert w.extract(page) == "\n".join([*title, PROSE, PROSE, "second line bold", PROSE])
+
+
+@pytest.mark.parametrize("page", ["", None, "   ", "<", "<p", "<!--", "<script>", "<p>", "</p></div>", "<a title=\"x", "&", "&#0;&bogus;", "<![CDATA[", "<div " + "x='" * 50])
+def test_broken_pages(page):
+    assert isinstance(maintext.Weights().extract(page), str)
+
+
+def test_plain_text_and_unclosed_elements():
+    w = maintext.Weights()
+    assert w.extract("just a few words") == "just a few words"
+    assert w.extract(f"<body><div><p>{PROSE}<p>{PROSE}<ul><li>one two three four five six<li>seven eight nine ten eleven") == \
+        "\n".join([PROSE, PROSE, "one two three four five six", "seven eight nine ten eleven"])
+    assert w.extract(f"<p>{PROSE} 1 < 2 and a<b") .startswith(PROSE)
+    long = " ".join([PROSE] * 20_000)
+    assert w.extract(f"<div><p>{long}</p></div>") == long
+
+
+def test_scan_finds_the_best_region():
+    """The linear scan's region has the largest sum of all contiguous ones."""
+    import random
+
+    rng = random.Random(2)
+    w = maintext.Weights({}, {})
+    for _ in range(50):
+        parts = [rng.choice(["<p>", "</p>", "<i>", "</i>", "<br>"]) if rng.random() < 0.6 else " ".join(["w"] * rng.randrange(1, 9)) + " " for _ in range(14)]
+        score = [maintext.TAG if x[0] == "<" else len(x.split()) * maintext.WORD for x in parts]
+        best = max(sum(score[a:b]) for a in range(len(parts)) for b in range(a, len(parts) + 1))
+        text = w.extract("".join(parts))
+        kept = len(text.split())
+        assert (kept == 0) == (best <= 0) and kept >= best
+
+
+def test_odd_rows(spark):
+    rows = [(1, None, None, 1), (None, "u", "", 2), (2, "u", f"<p>{PROSE}</p>", 3), (2, "u", f"<p>{PROSE}</p>", 3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text long")
+    out = maintext.main_text(pages, maintext.learn(pages))
+    assert out.columns == ["page_id", "url", "html", "text"]
+    assert sorted(r["text"] for r in out.collect()) == ["", "", PROSE, PROSE]
+    none = pages.where(F.lit(False))
+    assert maintext.main_text(none, maintext.learn(none)).count() == 0
