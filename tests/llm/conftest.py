@@ -8,6 +8,15 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(scope="package", autouse=True)
+def few_partitions(spark):
+    """The fixtures are small: fewer tasks, the same plans."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture(scope="session")
 def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")

@@ -16,15 +16,16 @@ def words(text):
     return {w.encode() for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)}
 
 
-@pytest.mark.parametrize("chunk", [4096, 7])
-def test_lexicon_is_the_exact_band(spark, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk,least", [(4096, 0.05), (7, 0.05), (30, 0.005)])
+def test_lexicon_is_the_exact_band(spark, monkeypatch, chunk, least):
+    """Also a term held by exactly the least share, small chunks and several slices."""
     monkeypatch.setattr(imatch, "CHUNK_DOCS", chunk)
-    monkeypatch.setattr(imatch, "SLICE", 500)
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    monkeypatch.setattr(imatch, "SLICE", 10_000)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = [r["text"] for r in docs.collect()]
     df = Counter(w for t in texts for w in words(t))
-    want = {w for w, n in df.items() if imatch.MIN_IDF - 1e-9 <= math.log(len(texts) / n) <= imatch.MAX_IDF + 1e-9}
-    assert set(imatch.build_lexicon(docs).masks) == want
+    want = {w for w, n in df.items() if least * len(texts) - 1e-9 <= n <= 0.2 * len(texts) + 1e-9}
+    assert set(imatch.build_lexicon(docs, max_idf=math.log(1 / least)).masks) == want
 
 
 def test_masks_are_fixed_by_the_term():

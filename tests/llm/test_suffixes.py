@@ -71,6 +71,13 @@ def test_matches_all_windows(spark, seed, n, k, small):
     assert got(suffixes.repeated_passages(docs, min_words=n, anchor_words=k)) == plain(rows, n)
 
 
+@pytest.mark.parametrize("crowd", [0, 2])
+def test_crowded_anchors_change_nothing(spark, monkeypatch, crowd):
+    monkeypatch.setattr(suffixes, "CROWD", crowd)
+    rows = made_rows(1)
+    assert got(suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), min_words=20, anchor_words=5)) == plain(rows, 20)
+
+
 def test_copies_and_long_texts(spark):
     rng = random.Random(9)
     long = " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(25_000))
