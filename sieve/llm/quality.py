@@ -53,7 +53,7 @@ def features(text: bytes, lexicon: dict[bytes, float], matrix: np.ndarray) -> li
     marks = [lexicon[w] for w in own & lexicon.keys()]
     shares = np.bincount(np.frombuffer(text, np.uint8), minlength=256) @ matrix / len(text)
     return [*shares, math.log1p(len(words)), len(own) / len(words), sum(map(len, words)) / len(words),
-            min(sum(marks), 20.0), math.log1p(len(marks)), float(bool(marks))]
+            min(sum(marks), 20.0), math.log1p(len(marks)), float(bool(marks)), sum(marks) / len(own), math.sqrt(sum(marks) / len(own))]
 
 
 @dataclass
@@ -110,11 +110,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .agg(F.min(F.when((F.col("quality") > 0) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0)).alias("good")) \
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     sample = sample.select(F.col("doc_id").alias("_label_id"), F.col("good").cast("int").alias("_good"))
-    joined = docs.join(F.broadcast(sample), docs[f"`{id_col}`"] == F.col("_label_id"))
-    joined = joined.select(quoted(text_col).alias("text"), F.col("_good").alias("good")).where("text IS NOT NULL")
+    texts = docs.select(quoted(id_col).alias("_id"), quoted(text_col).alias("text")).where("text IS NOT NULL")
+    joined = texts.join(F.broadcast(sample), F.col("_id") == F.col("_label_id")).select("text", F.col("_good").alias("good"))
     labelled, seen = materialize(joined, "labelled", {"n": F.count(F.lit(1)), "good": F.sum("good")})
     n, good = seen["n"] or 0, seen["good"] or 0
-    width = len(CLASSES) + 7
+    width = len(CLASSES) + 9
     if good in (0, n):
         prior = good / n if n else 1 - EDGE
         prior = min(max(prior, EDGE), 1 - EDGE)
