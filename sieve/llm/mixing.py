@@ -2,14 +2,15 @@
 
 Token weights of the cells (source x language x topic) are raked: scaled to one
 marginal's target shares after the other until all hold.  A cell's weight over
-its tokens is its ratio; a document is sampled with its cell's ratio over the
+its tokens is its ratio.  A document is sampled with its cell's ratio over the
 largest ratio (times ``rate``), so expected token shares of the sample meet the
-targets and no chance exceeds one.
+targets.  One rare cell with a huge ratio would thin out all others, so ratios are
+taken over ``full_ratio`` at most: cells beyond it are sampled whole, and a document's
+weight over its chance says how often it would have to be repeated.
 """
 
 from __future__ import annotations
 
-import math
 from typing import Mapping
 
 import numpy as np
@@ -23,6 +24,8 @@ from .common import fresh, lookup, quoted
 MAX_CELLS = 100_000
 ROUNDS = 200
 TOLERANCE = 1e-9
+#: ratio from which a cell is sampled whole
+FULL_RATIO = 3.0
 Targets = Mapping[str, Mapping[object, float]]
 
 
@@ -133,7 +136,8 @@ def uniform(seed: int, id_: Column, text: Column) -> Column:
 
 def mix(docs: DataFrame, dims: Mapping[str, Column], tokens: Column | None = None, targets: Targets | None = None,
         alpha: float = 0.7, rate: float = 1.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text",
-        out: tuple[str, str, str] = ("weight", "probability", "sampled"), max_cells: int = MAX_CELLS) -> DataFrame:
+        out: tuple[str, str, str] = ("weight", "probability", "sampled"), max_cells: int = MAX_CELLS,
+        full_ratio: float = FULL_RATIO) -> DataFrame:
     """``docs`` with a weight, a chance and a decision for every row.
 
     ``dims`` names the marginals and gives their columns; a null value is a value
@@ -153,7 +157,7 @@ def mix(docs: DataFrame, dims: Mapping[str, Column], tokens: Column | None = Non
     ratio = fresh(held, "ratio")
     met = lookup(held, ratios.withColumnRenamed("ratio", ratio), names, F.xxhash64(quoted(id_col)))
     weight = F.coalesce(F.col(ratio), F.lit(0.0))
-    chance = F.least(weight * (rate / (seen["most"] or 1.0)), F.lit(1.0))
+    chance = F.least(weight * (rate / min(seen["most"] or 1.0, full_ratio)), F.lit(1.0))
     weight_name, chance_name, sampled_name = out
     spots = {n: fresh(held, f"out_{n}") for n in out}
     made = met.withColumns({spots[weight_name]: weight, spots[chance_name]: chance,
