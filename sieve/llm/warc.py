@@ -28,7 +28,7 @@ from .common import lookup, quoted
 
 REVISIT = 1_000
 #: bytes of records after which a task starts the next archive
-ARCHIVE_BYTES = 16 << 20
+ARCHIVE_BYTES = 64 << 20
 #: size of an archive's dictionary, and bytes of records it is trained on
 DICTIONARY_BYTES, SAMPLE_BYTES = 32 << 10, 2 << 20
 LEVEL = 3
@@ -179,9 +179,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for data in batch.column(0).to_pylist():
+            for file in batch.column(0):
                 rows, size = [], 0
-                for fields, payload in map(parse, unpack(data)):
+                for fields, payload in map(parse, unpack(file.as_py())):
                     kind, digest = fields["warc-type"], base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
                     if kind == "response" and (hashlib.sha1(payload).hexdigest(), len(payload)) != (digest, int(fields["x-payload-length"])):
                         raise ValueError(f"payload of {fields['warc-record-id']} doesn't match its digest")
