@@ -12,7 +12,9 @@ the same place, so equal passages always share a kept suffix.
    largest document, so any number of copies is one row.
 3. The rows, sorted by their leading n-gram, lie beside their neighbours; neighbours'
    windows are compared at equal extension, and a window that two documents have marks
-   its words.  The marked windows of a document are joined to spans.
+   its words.  The marked windows of a document are joined to spans.  An n-gram with
+   very many different extensions has its windows compared one by one, dealt by their
+   hashes.
 """
 
 from __future__ import annotations
@@ -27,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import by_id, lower_ascii_table, quoted, texts_of
+from .common import by_id, lookup, lower_ascii_table, quoted, texts_of
 
 MIN_WORDS = 50
 ANCHOR_WORDS = 10
 LOWER = lower_ascii_table()
+#: different extensions of one anchor that are compared within a task (about 7 MB)
+CROWD = 20_000
 #: odd multipliers of the rolling and the mixing hash (fixed values)
 BASE, MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
@@ -174,6 +178,29 @@ def _compare(batches) -> Iterator[pa.RecordBatch]:
         yield done(held)
 
 
+def _distinct(runs: DataFrame) -> DataFrame:
+    """Equal extensions as one row, summed per task before the shuffle."""
+    return runs.groupBy("anchor", "mark").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.first("windows").alias("windows"))
+
+
+def compare_sorted(distinct: DataFrame) -> DataFrame:
+    """Neighbours in sorted order compared within tasks; a task holds one anchor's
+    rows at a time, at most :data:`CROWD`."""
+    return distinct.select("anchor", "mark", "low", "high", "windows").repartition("anchor").sortWithinPartitions("anchor", "mark") \
+        .mapInArrow(_compare, "anchor long, mark long, low long, bits long, lower long, first_doc long")
+
+
+def compare_windows(distinct: DataFrame) -> DataFrame:
+    """The same for anchors with more rows: their windows one by one, owners summed
+    per task before the shuffle, so that no anchor's rows come together."""
+    windows = distinct.select("anchor", "mark", "low", "high", F.posexplode("windows").alias("i", "w"))
+    owners = windows.groupBy("anchor", "w").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i"))
+    return windows.join(owners, ["anchor", "w"]).groupBy("anchor", "mark") \
+        .agg(F.min("low").alias("low"), F.bit_or(bit).alias("bits"),
+             F.bit_or(F.when(F.col("least") < F.col("low"), bit).otherwise(F.lit(0).cast("long"))).alias("lower"), F.min("least").alias("first_doc"))
+
+
 def shared_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    min_words: int = MIN_WORDS, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
     """``doc, first, bits, drop, first_doc``: runs of windows, the first at word
@@ -187,9 +214,14 @@ def shared_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = anchors.join(materialize(common, "common-anchors"), "anchor", "left_semi").groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("anchor").alias("wanted"))
     met = rows.join(materialize(wanted, "wanted"), F.col("doc") == F.col("_doc")).select("doc", "text", "wanted")
     runs = materialize(met.mapInArrow(_extensions(min_words, anchor_words), "doc long, first int, anchor long, mark long, windows array<long>"), "extensions")
-    distinct = runs.groupBy("anchor", "mark").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.first("windows").alias("windows"))
-    compared = distinct.select("anchor", "mark", "low", "high", "windows").repartition("anchor").sortWithinPartitions("anchor", "mark") \
-        .mapInArrow(_compare, "anchor long, mark long, low long, bits long, lower long, first_doc long")
+    distinct = materialize(_distinct(runs), "distinct")
+    crowded, seen = materialize(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD)
+                                .select("anchor", F.lit(True).alias("crowded")), "crowded", {"n": F.count(F.lit(1))})
+    if seen["n"]:
+        told = lookup(distinct, crowded, ["anchor"], F.xxhash64("mark"))
+        compared = compare_sorted(told.where("crowded IS NULL")).unionByName(compare_windows(told.where("crowded")))
+    else:
+        compared = compare_sorted(distinct)
     shared = materialize(compared, "shared")
     drop = F.when(F.col("doc") > F.col("low"), F.col("bits")).otherwise(F.col("lower"))
     return runs.select("doc", "first", "anchor", "mark").join(shared, ["anchor", "mark"]).select("doc", "first", "bits", drop.alias("drop"), "first_doc")
