@@ -28,7 +28,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
                 .unionByName(table.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
         before = seen
         both = table.unionByName(table.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        state = _write(_small_star(_large_star(both)))
+        # the large star's links are read twice by the small star: write them once
+        state = _write(_small_star(materialize(_large_star(both), "large-star")))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
