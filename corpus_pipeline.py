@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieve.llm import decontaminate, lines, mixing, quality, simhash
+from sieve.llm.common import bounded_batches
 from sieve.session import materialize
 
 
@@ -16,6 +17,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents whose posterior of being good is 0.5 or more stay; the classifier is
     trained on at most 20,000 labelled documents of ``docs``.  Empty texts go, unless
     their source outweighs that."""
+    bounded_batches(spark)
     return quality.keep_good(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -23,6 +25,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of 20 code points or more that 3 documents or more hold stay only in the
     one with the largest id.  All documents stay, with the lines left to them and
     ``n_chars`` counted anew; a null text becomes empty."""
+    bounded_batches(spark)
     kept = lines.drop_repeated_lines(docs)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else kept
 
@@ -30,6 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays (3-word shingles, 3 bits): that
     with the smallest id.  Rows without an id stay."""
+    bounded_batches(spark)
     return simhash.drop_near_duplicates(docs)
 
 

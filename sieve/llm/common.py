@@ -5,7 +5,7 @@ from __future__ import annotations
 from typing import Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -15,6 +15,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BROADCAST_ROWS = 200_000
 #: ids up to which a set of them is broadcast (8 bytes each)
 BROADCAST_IDS = 1_000_000
+#: rows of long texts in an Arrow batch
+BATCH_ROWS = 1_000
 #: copies of a lookup side that is too large to broadcast; a hot key of the
 #: other side is spread over as many tasks
 SALTS = 16
@@ -109,6 +111,14 @@ def without(docs: DataFrame, id_col: str, gone: DataFrame, max_rows: int = BROAD
     return docs.join(F.broadcast(ids) if seen["rows"] <= max_rows else ids, quoted(id_col).eqNullSafe(F.col(name)), "left_anti")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower this session's Arrow batches to :data:`BATCH_ROWS` rows if they are larger:
+    documents and pages can be long, and a batch is held in a Python worker as a whole."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def texts_of(column) -> list:
     """An Arrow string column as UTF-8 bytes, null as None."""
     return column.cast(pa.large_binary()).to_pylist()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, imatch, language, lines, maintext, mixing, quality, simhash, suffixes, warc
 from ..session import materialize
+from .common import bounded_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +23,7 @@ def query(fn: Query) -> Query:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
