@@ -4,8 +4,8 @@ A page is read as a sequence of words and tags.  Tags score negative; a word
 scores positive unless labelled pages say that words of its context (the innermost
 structural element with its class) are boilerplate.  The weights come from pages
 that label themselves with an ``<article>`` or ``<main>`` element.  One linear scan
-finds the contiguous region with the largest score; its words outside boilerplate
-contexts, cut into blocks at block-level tags, are the main text.
+finds the contiguous region with the largest score; its words outside elements that
+never hold main text, cut into blocks at block-level tags, are the main text.
 """
 
 from __future__ import annotations
@@ -47,10 +47,11 @@ def context_of(tag: str, attributes: str) -> str:
 
 
 def pieces(page: str):
-    """In page order ``("<" or "/", name, never)`` for an opening or closing tag and
-    ``("t", (element, context, never), text)`` for text, where ``never`` tells whether
-    an element around it, or the tag's own, is one of :data:`NEVER` or marked as such."""
-    stack: list[tuple[str, str, bool]] = [("", "", False)]
+    """In page order ``("<" or "/", place, name)`` for an opening or closing tag and
+    ``("t", place, text)`` for text.  A place is ``(element, context, never, labelled)``:
+    ``never`` tells whether an element around it, or the tag's own, is one of
+    :data:`NEVER` or marked as such, ``labelled`` whether one is an article or main."""
+    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
     at, end = 0, len(page)
     for m in iter(lambda: TOKEN.search(page, at), None):
         if m.start() > at:
@@ -62,13 +63,13 @@ def pieces(page: str):
             continue
         tag = m[2].lower()
         if m[1]:
-            never = stack[-1][2]
+            place = stack[-1]
             if tag in STRUCTURE:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == tag:
                         del stack[k:]
                         break
-            yield "/", tag, never
+            yield "/", place, tag
             continue
         if tag in SKIPPED:
             if not m[3].rstrip().endswith("/"):
@@ -77,8 +78,8 @@ def pieces(page: str):
         elif tag in STRUCTURE:
             context = context_of(tag, m[3])
             marked = tag not in ("body", "main", "article") and not MARKS.isdisjoint(context.split()[1:])
-            stack.append((tag, context, stack[-1][2] or tag in NEVER or marked))
-        yield "<", tag, stack[-1][2]
+            stack.append((tag, context, stack[-1][2] or tag in NEVER or marked, stack[-1][3] or tag in ("article", "main")))
+        yield "<", stack[-1], tag
     if at < end:
         yield "t", stack[-1], page[at:]
 
@@ -90,23 +91,29 @@ class Weights:
     words: dict[str, float] = field(default_factory=dict)
     tags: dict[str, float] = field(default_factory=dict)
 
-    def of_words(self, place: tuple[str, str, bool]) -> float:
-        """Words and tags in elements that never hold main text count nothing, so they
-        neither end a region nor carry it on."""
-        _, context, never = place
-        return 0.0 if never else self.words.get(context, WORD)
+    def of(self, kind: str, place: tuple[str, str, bool, bool], tag: str) -> float:
+        """Weight of a word or a tag.  Those in elements that never hold main text count
+        nothing, so they neither end a region nor carry it on.  Where weights are learned,
+        the labels they come from hold as well: in an article or main element tags count
+        nothing and words at least WORD, so that what lists, tables or plain boxes are on
+        other pages doesn't cut it."""
+        _, context, never, labelled = place
+        if never:
+            return 0.0
+        sure = labelled and bool(self.words or self.tags)
+        if kind == "t":
+            value = self.words.get(context, WORD)
+            return max(value, WORD) if sure else value
+        return 0.0 if sure else self.tags.get(kind + tag, TAG)
 
     def extract(self, page: str | None) -> str:
         """The main text: blocks joined by newlines, empty if there is none."""
         items, best, left, right, total, start = [], 0.0, 0, 0, 0.0, 0
-        for kind, what, text in pieces(page or ""):
+        for kind, place, text in pieces(page or ""):
+            score = self.of(kind, place, text)
             if kind == "t":
-                value = self.of_words(what)
-                items.append((what if value > 0 else None, text))
-                score = value * len(html.unescape(text).split())
-            else:
-                items.append((kind, what))
-                score = 0.0 if text else self.tags.get(kind + what, TAG)
+                score *= len(html.unescape(text).split())
+            items.append((None if kind == "t" and place[2] else kind, text))
             total += score
             if total <= 0:
                 total, start = 0.0, len(items)
@@ -134,8 +141,10 @@ class Weights:
 def learn(pages: DataFrame, html_col: str = "html", max_weights: int = MAX_WEIGHTS) -> Weights:
     """Weights from all rows that label their main text by an article or main
     element: for words, the log odds of their context to be inside; for tags, the
-    same less a constant, so that they stay negative.  Counts are summed per task
-    and context.  Without labelled pages the weights are the fixed ones."""
+    same less a constant, so that they stay negative.  What is in elements that never
+    hold main text isn't counted, as it would speak against equal contexts elsewhere.
+    Counts are summed per task and context.  Without labelled pages the weights are
+    the fixed ones."""
 
     def run(batches):
         for batch in batches:
@@ -143,16 +152,12 @@ def learn(pages: DataFrame, html_col: str = "html", max_weights: int = MAX_WEIGH
             for page in batch.column(0).to_pylist():
                 if not re.search(r"<(?:article|main)\b", page, re.I):
                     continue
-                depth = 0
-                for kind, what, text in pieces(page):
-                    if kind == "t":
-                        n, key = len(text.split()), "t" + what[1]
-                    else:
-                        n, key = 1, kind + what
-                        if what in ("article", "main"):
-                            depth += 1 if kind == "<" else -1
+                for kind, (_, context, never, labelled), text in pieces(page):
+                    if never:
+                        continue
+                    n, key = (len(text.split()), "t" + context) if kind == "t" else (1, kind + text)
                     count = found.setdefault(key, [0, 0])
-                    count[depth <= 0] += n
+                    count[not labelled] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([v[0] for v in found.values()], pa.int64()),
                                               pa.array([v[1] for v in found.values()], pa.int64())], ["key", "inside", "outside"])
 

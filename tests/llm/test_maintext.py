@@ -79,6 +79,34 @@ def test_plain_text_and_unclosed_elements():
     assert w.extract(f"<div><p>{long}</p></div>") == long
 
 
+def rich(wrap="article"):
+    """A page and its main text: prose, a long list, tables and plain boxes."""
+    items = [f"item {k}" for k in range(60)]
+    links = "".join(f"<li><a href='/{k}'>go</a></li>" for k in range(40))
+    page = (f"<body><nav><ul>{links}</ul></nav><article><p>{PROSE}</p><ul>{''.join(f'<li><a>{i}</a></li>' for i in items)}</ul><p>{PROSE}</p>"
+            f"<table>{''.join(f'<tr><td>{i}</td></tr>' for i in items)}</table><div>{PROSE}</div><section><div>{PROSE}</div></section></article>"
+            f"<footer><ul>{links}</ul></footer></body>").replace("article>", f"{wrap}>")
+    return page, "\n".join([PROSE, *items, PROSE, *items, PROSE, PROSE])
+
+
+@pytest.mark.parametrize("wrap", ["article", "main"])
+def test_learned_weights_keep_lists_tables_and_boxes(spark, weights, wrap):
+    """Also where all lists, tables and plain boxes of the labelled pages are boilerplate."""
+    page, want = rich(wrap)
+    assert weights.extract(page) == want
+    box = "".join(f"<{t}>some words of a box</{t}>" for t in ("div", "section", "table", "ul", "li"))
+    framed = spark.createDataFrame([(f"<body><nav><ul><li>a b c</li></ul></nav>{box}<article><p>{PROSE}</p></article>{box}<aside>{box}</aside></body>",)] * 30, "html string")
+    assert maintext.learn(framed).extract(page) == want
+
+
+def test_nothing_is_learned_from_what_is_never_main_text(spark, weights):
+    assert "ul" not in weights.words and "<li" not in weights.tags  # they are in navs only
+    assert maintext.Weights(weights.words, {"<li": -0.1}).of("<", ("ul", "ul", False, False), "li") == -0.1
+    page = f"<body><nav><ul>{'<li>a b c</li>' * 9}</ul></nav><div class=ad><div>{PROSE}</div></div><article><ul><li>{PROSE}</li></ul><div>{PROSE}</div></article></body>"
+    w = maintext.learn(spark.createDataFrame([(page,)] * 9, "html string"))
+    assert w.words["ul"] > 1 and w.words["div"] > 1
+
+
 def test_scan_finds_the_best_region():
     """The linear scan's region has the largest sum of all contiguous ones."""
     import random
