@@ -14,6 +14,7 @@ import html
 import math
 import re
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
@@ -32,7 +33,7 @@ SKIPPED = frozenset("script style noscript template svg math iframe object canva
 STRUCTURE = frozenset("body div section article main nav header footer aside form ul ol dl table figure menu dialog blockquote details fieldset".split())
 BLOCKS = STRUCTURE | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th pre br hr caption figcaption address legend summary option".split())
 NEVER = frozenset("nav header footer aside form menu dialog fieldset".split())
-#: words of class and id names that mark boilerplate on pages without labels (fixed values)
+#: words of class and id names that mark boilerplate, unless they name a frame around the page (fixed values)
 MARKS = frozenset("ad ads advert advertisement banner breadcrumb comment comments cookie disqus footer header menu nav navbar newsletter notice "
                   "pagination popup promo related reply replies share sharing sidebar social sponsor sponsored subscribe widget".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
@@ -46,12 +47,73 @@ def context_of(tag: str, attributes: str) -> str:
     return " ".join([tag, *names[:6]])
 
 
+def mark_of(context: str, attributes: str) -> int:
+    """2 if a whole class, id or role name is one of :data:`MARKS`, 1 if a part of one is."""
+    if MARKS.isdisjoint(context.split()[1:]):
+        return 0
+    return 1 if MARKS.isdisjoint(n for _, *v in ATTRIBUTE.findall(attributes) for n in "".join(v).lower().split()) else 2
+
+
+class Place(NamedTuple):
+    """An element; ``never`` and ``labelled`` also hold for all within it."""
+
+    tag: str
+    context: str
+    never: bool
+    labelled: bool
+    above: int  # its parent's index
+    mark: int
+
+
+def settle_marks(places: list[Place], words: list[int]) -> list[bool]:
+    """Whether each element is, or is in, one whose mark holds.
+
+    Names such as ``no-sidebar`` also stand on frames around the main text.  So a part
+    of a name holds only for an element with at most half of the page's words, a whole
+    name up to 95 % of them.  The words are those outside :data:`NEVER` elements, in
+    article and main elements if any are there, and for parts of names outside elements
+    marked by a whole one.  Outermost article and main elements inherit no mark."""
+    sure = any(w and p.labelled and not p.never for p, w in zip(places, words))
+    words = [0 if p.never or (sure and not p.labelled) else w for p, w in zip(places, words)]
+
+    def within(own: list[int]) -> list[int]:
+        own = list(own)
+        for k in range(len(places) - 1, 0, -1):
+            own[places[k].above] += own[k]
+        return own
+
+    def inherited(held: list[bool]) -> list[bool]:
+        held = list(held)
+        for k, p in enumerate(places[1:], 1):
+            held[k] |= held[p.above] and (places[p.above].labelled or not p.labelled)
+        return held
+
+    inner = within(words)
+    whole = [p.mark == 2 and 20 * n <= 19 * inner[0] for p, n in zip(places, inner)]
+    inner = within([0 if gone else w for gone, w in zip(inherited(whole), words)])
+    return inherited([w or (p.mark == 1 and 2 * n <= inner[0]) for w, p, n in zip(whole, places, inner)])
+
+
 def pieces(page: str):
     """In page order ``("<" or "/", place, name)`` for an opening or closing tag and
-    ``("t", place, text)`` for text.  A place is ``(element, context, never, labelled)``:
-    ``never`` tells whether an element around it, or the tag's own, is one of
-    :data:`NEVER` or marked as such, ``labelled`` whether one is an article or main."""
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    ``("t", place, text)`` for text.  A place starts with ``(element, context, never,
+    labelled)``: ``never`` tells whether an element around it, or the tag's own, is one
+    of :data:`NEVER` or marked as such, ``labelled`` whether one is an article or main."""
+    places = [Place("", "", False, False, 0, 0)]
+    events = list(_events(page, places))
+    if any(p.mark for p in places):
+        words = [0] * len(places)
+        for kind, k, text in events:
+            if kind == "t":
+                words[k] += len(text.split())
+        places = [p._replace(never=p.never or gone) for p, gone in zip(places, settle_marks(places, words))]
+    return [(kind, places[k][:4], text) for kind, k, text in events]
+
+
+def _events(page: str, places: list[Place]):
+    """As :func:`pieces`, with indices in ``places``, to which elements are added; marks
+    are not in ``never`` yet."""
+    stack = [0]
     at, end = 0, len(page)
     for m in iter(lambda: TOKEN.search(page, at), None):
         if m.start() > at:
@@ -66,7 +128,7 @@ def pieces(page: str):
             place = stack[-1]
             if tag in STRUCTURE:
                 for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
+                    if places[stack[k]].tag == tag:
                         del stack[k:]
                         break
             yield "/", place, tag
@@ -76,9 +138,10 @@ def pieces(page: str):
                 close = CLOSERS[tag].search(page, at)
                 at = close.end() if close else end if tag in ("script", "style") else at
         elif tag in STRUCTURE:
-            context = context_of(tag, m[3])
-            marked = tag not in ("body", "main", "article") and not MARKS.isdisjoint(context.split()[1:])
-            stack.append((tag, context, stack[-1][2] or tag in NEVER or marked, stack[-1][3] or tag in ("article", "main")))
+            context, around = context_of(tag, m[3]), places[stack[-1]]
+            mark = 0 if tag in ("body", "main", "article") else mark_of(context, m[3])
+            places.append(Place(tag, context, around.never or tag in NEVER, around.labelled or tag in ("article", "main"), stack[-1], mark))
+            stack.append(len(places) - 1)
         yield "<", stack[-1], tag
     if at < end:
         yield "t", stack[-1], page[at:]

@@ -107,6 +107,31 @@ def test_nothing_is_learned_from_what_is_never_main_text(spark, weights):
     assert w.words["ul"] > 1 and w.words["div"] > 1
 
 
+FRAMES = ["layout no-sidebar", "with-sidebar", "has-comments", "menu-open", "page-header-wrap", "widget"]
+
+
+@pytest.mark.parametrize("learned", [True, False])
+@pytest.mark.parametrize("frame", FRAMES)
+def test_marked_frames_keep_the_text(weights, learned, frame):
+    """Around the page, around or in its article, nested, with or without a label."""
+    w = weights if learned else maintext.Weights()
+    noise = "<p>Some words that are not part of it.</p>"
+    text, want = f"<p>{PROSE}</p><p>{PROSE}</p><div class='ad'>{noise}</div><p>{PROSE}</p>", "\n".join([PROSE] * 3)
+    around = lambda x: f"<div class='{frame}'><div id='{frame}'>{x}</div></div>"
+    side = f"<div class='sidebar'>{noise}</div><div id=page-footer>{noise}</div>"
+    for page in (around(text), around(f"<article>{text}</article>"), f"<main>{around(text)}</main>", around(text + side), f"<nav>{noise * 30}</nav>{around(text)}"):
+        assert w.extract(f"<body>{page}</body>") == want
+    for page in (around(f"<article>{text}</article>{side}"), around(f"<main>{text}</main>") + side, f"<article>{text}</article>{side}"):
+        assert w.extract(f"<body>{page}</body>") == want
+
+
+def test_long_comments_are_no_frame(weights):
+    """Neither beside the article, nor beside a frame with fewer words."""
+    long = f"<div class='comments'>{'<p>Some other words, said by someone.</p>' * 9}</div>"
+    for page in (f"<article><p>{PROSE}</p><p>{PROSE}</p></article>{long}", f"<div class='with-sidebar'><p>{PROSE}</p><p>{PROSE}</p></div>{long}"):
+        assert weights.extract(f"<body>{page}</body>") == "\n".join([PROSE, PROSE])
+
+
 def test_scan_finds_the_best_region():
     """The linear scan's region has the largest sum of all contiguous ones."""
     import random
