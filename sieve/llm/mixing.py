@@ -4,9 +4,9 @@ Token weights of the cells (source x language x topic) are raked: scaled to one
 marginal's target shares after the other until all hold.  A cell's weight over
 its tokens is its ratio.  A document is sampled with its cell's ratio over the
 largest ratio (times ``rate``), so expected token shares of the sample meet the
-targets.  One rare cell with a huge ratio would thin out all others, so ratios are
-taken over ``full_ratio`` at most: cells beyond it are sampled whole, and a document's
-weight over its chance says how often it would have to be repeated.
+targets.  One rare cell with a huge ratio thins out all others; a larger sample that
+meets the targets has to repeat documents.  With ``full_ratio``, ratios are taken over
+this number at most, and documents of cells beyond it come in several copies.
 """
 
 from __future__ import annotations
@@ -24,8 +24,6 @@ from .common import fresh, lookup, quoted
 MAX_CELLS = 100_000
 ROUNDS = 200
 TOLERANCE = 1e-9
-#: ratio from which a cell is sampled whole
-FULL_RATIO = 3.0
 Targets = Mapping[str, Mapping[object, float]]
 
 
@@ -136,15 +134,21 @@ def uniform(seed: int, id_: Column, text: Column) -> Column:
 
 def mix(docs: DataFrame, dims: Mapping[str, Column], tokens: Column | None = None, targets: Targets | None = None,
         alpha: float = 0.7, rate: float = 1.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text",
-        out: tuple[str, str, str] = ("weight", "probability", "sampled"), max_cells: int = MAX_CELLS,
-        full_ratio: float = FULL_RATIO) -> DataFrame:
+        out: tuple[str, ...] = ("weight", "probability", "sampled"), max_cells: int = MAX_CELLS,
+        full_ratio: float | None = None) -> DataFrame:
     """``docs`` with a weight, a chance and a decision for every row.
 
     ``dims`` names the marginals and gives their columns; a null value is a value
     of its own.  ``targets`` has target shares by marginal and value; a marginal
     without them is tempered: its tokens to the power ``alpha``.  A document has
     its cell's weight; cells without tokens have weight and chance 0.  Equal ids get equal decisions.  The columns
-    named in ``out`` are added (an existing column of that name is replaced)."""
+    named in ``out`` are added (an existing column of that name is replaced).
+
+    Without ``full_ratio`` a sampled document counts once and the expected token shares
+    of the sample are the targets.  With it, a fourth name in ``out`` gives the copies a
+    document has to be taken in for that: the whole part of its ratio over the smaller
+    of ``full_ratio`` and the largest ratio (times ``rate``), and one more with the rest
+    as chance; chance and decision are those of at least one copy."""
     own, held = {}, docs
     for d, column in dims.items():
         own[d] = fresh(held, f"dim_{len(own)}")
@@ -157,9 +161,10 @@ def mix(docs: DataFrame, dims: Mapping[str, Column], tokens: Column | None = Non
     ratio = fresh(held, "ratio")
     met = lookup(held, ratios.withColumnRenamed("ratio", ratio), names, F.xxhash64(quoted(id_col)))
     weight = F.coalesce(F.col(ratio), F.lit(0.0))
-    chance = F.least(weight * (rate / min(seen["most"] or 1.0, full_ratio)), F.lit(1.0))
-    weight_name, chance_name, sampled_name = out
+    most = seen["most"] or 1.0
+    times = weight * (rate / (most if full_ratio is None else min(most, full_ratio)))
+    chance, drawn = F.least(times, F.lit(1.0)), uniform(seed, quoted(id_col), quoted(text_col))
+    copies = F.floor(times) + (drawn < times - F.floor(times)).cast("long")
     spots = {n: fresh(held, f"out_{n}") for n in out}
-    made = met.withColumns({spots[weight_name]: weight, spots[chance_name]: chance,
-                            spots[sampled_name]: uniform(seed, quoted(id_col), quoted(text_col)) < chance}).drop(ratio, *names)
+    made = met.withColumns(dict(zip(spots.values(), (weight, chance, drawn < chance, copies)))).drop(ratio, *names)
     return made.drop(*[c for c in docs.columns if c.lower() in {o.lower() for o in out}]).withColumnsRenamed({v: k for k, v in spots.items()})

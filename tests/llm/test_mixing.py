@@ -66,6 +66,71 @@ def test_sample_follows_its_chances(docs):
     assert {r["doc_id"] for r in other if r["sampled"]} != {r["doc_id"] for r in out if r["sampled"]}
 
 
+def expected_shares(rows, name, times):
+    """Token shares by value of a dimension, each row taken ``times(row)`` times."""
+    got = {}
+    for r in rows:
+        got[r[name]] = got.get(r[name], 0) + len(r["text"].split()) * times(r)
+    return {v: x / sum(got.values()) for v, x in got.items()}
+
+
+@pytest.fixture()
+def skewed(spark):
+    """A source with a thousandth of the tokens."""
+    rows = [(k, "w " * 20, "rare" if k % 1000 == 0 else "ab"[k % 2], ["en", "fr", "en"][k % 3]) for k in range(4000)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+
+
+SKEWED = {"source": {"rare": 0.1, "a": 0.45, "b": 0.45}, "lang": {"en": 0.4, "fr": 0.6}}
+
+
+@pytest.mark.parametrize("targets", [None, SKEWED])
+def test_expected_sample_meets_the_marginals(skewed, targets):
+    rows = mixing.mix(skewed, dims(), targets=targets).collect()
+    for d in ("source", "lang"):
+        base = {}
+        for r in rows:
+            base[r[d]] = base.get(r[d], 0) + len(r["text"].split())
+        want = mixing.shares(base, (targets or {}).get(d), 0.7)
+        assert expected_shares(rows, d, lambda r: r["probability"]) == pytest.approx(want, rel=1e-6)
+    assert all(r["probability"] <= 1 for r in rows) and max(r["probability"] for r in rows) == pytest.approx(1)
+
+
+def test_copies_meet_the_marginals(skewed):
+    """A larger sample, by repeating documents of cells beyond the ratio."""
+    out = ("weight", "probability", "sampled", "copies")
+    rows = mixing.mix(skewed, dims(), targets=SKEWED, out=out, full_ratio=3).collect()
+    assert max(r["weight"] for r in rows) > 30
+    for r in rows:
+        times = r["weight"] / 3
+        assert int(times) <= r["copies"] <= int(times) + 1 and r["sampled"] == (r["copies"] > 0)
+        assert r["probability"] == pytest.approx(min(1, times))
+    expected = sum(r["weight"] / 3 for r in rows)
+    assert abs(sum(r["copies"] for r in rows) - expected) < 4 * expected ** 0.5
+    for d in ("source", "lang"):
+        assert expected_shares(rows, d, lambda r: r["copies"]) == pytest.approx(SKEWED[d], abs=0.05)
+    once = mixing.mix(skewed, dims(), targets=SKEWED, out=out).collect()
+    assert all(r["copies"] == r["sampled"] for r in once if r["probability"] < 1 - 1e-9)
+
+
+def test_pipeline_and_query_sample_the_targets(spark):
+    """The registered query and the pipeline's stage give chances that meet the marginals."""
+    import corpus_pipeline
+    from sieve.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    rows = queries.QUERIES["op9_source_mixing"](spark, sf).collect()
+    for d in ("source", "lang", "topic"):
+        got, base = {}, {}
+        for r in rows:
+            got[r[d]] = got.get(r[d], 0) + r["n_tokens"] * r["probability"]
+            base[r[d]] = base.get(r[d], 0) + r["n_tokens"]
+        assert {v: x / sum(got.values()) for v, x in got.items()} == pytest.approx(mixing.shares(base, None, 0.7), rel=1e-5)
+    by = {r["doc_id"]: r["probability"] for r in rows}
+    kept = corpus_pipeline.source_mixing(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).collect()
+    assert kept and all(r["mix_probability"] == pytest.approx(by[r["doc_id"]]) for r in kept)
+
+
 def test_odd_rows(odd_docs, no_docs):
     out = mixing.mix(odd_docs, {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic_column(F.col("text"))}, out=("p", "probability", "sampled"))
     assert out.columns == [c for c in odd_docs.columns if c != "p"] + ["p", "probability", "sampled"]
