@@ -4,7 +4,10 @@ A text's terms are its distinct words.  Those within a band of inverse document
 frequency, ``ln(documents / documents with the term)``, form the lexicon.  A
 fingerprint hashes the sorted lexicon terms of a text and, for robustness, its
 sorted terms within each of ``SUBSETS`` randomised subsets of the lexicon; two
-texts are as alike as the share of subset hashes they have in common.
+texts are as alike as the share of subset hashes they have in common.  Small subsets
+say nothing of short texts and large ones nothing of long texts, of which any edit
+changes all.  So there are subsets of several shares of the lexicon, and those count
+that suit the texts' size.
 
 The band has a lower bound on document frequency as a share of all documents, so
 the lexicon's size is bounded by the mean number of distinct words over that share,
@@ -30,10 +33,13 @@ from ..session import materialize
 from .common import quoted, texts_of, word_table
 
 MIN_IDF = math.log(1 / 0.2)     # terms in more than a fifth of the documents say little
-MAX_IDF = math.log(1 / 0.005)   # rarer ones than one in 200 are typos and names
-SUBSETS = 64
-#: chance of a lexicon term to be in a subset
-SHARE = 1 / 64
+MAX_IDF = math.log(1 / 0.0005)  # rarer ones than one in 2,000 are typos and names
+#: subsets of each share of the lexicon
+LEVEL = 32
+SHARES = (1 / 8, 1 / 32, 1 / 128, 1 / 512, 1 / 2048)
+SUBSETS = LEVEL * len(SHARES)
+#: share of a level's subsets that two texts may have for the level to count
+LIVE = 0.95
 #: documents and bytes of a chunk of the first pass; candidates sent to a pass
 CHUNK_DOCS, CHUNK_BYTES, SLICE = 4_096, 16 << 20, 1_000_000
 WORDS = word_table()
@@ -52,18 +58,39 @@ def subset_mask(term: bytes, subsets: int, share: float) -> int:
     return sum(1 << k for k in range(subsets) if int.from_bytes(h[2 * k:2 * k + 2], "big") < share * 65_536)
 
 
+def level_mask(term: bytes) -> int:
+    """Bits of the subsets of :data:`SHARES`, level by level.  A level is made of
+    disjoint subsets, several times over if they are fewer than :data:`LEVEL`, else some
+    of them: a term is in one subset or more of each level up to that share."""
+    h, mask = hashlib.shake_128(term).digest(4 * SUBSETS // 8), 0
+    for k, share in enumerate(SHARES):
+        parts = round(1 / share)
+        for j in range(max(1, LEVEL // parts)):
+            at = int.from_bytes(h[4 * (4 * k + j):][:4], "big") % parts
+            if at < LEVEL:
+                mask |= 1 << (LEVEL * k + min(parts, LEVEL) * j + at)
+    return mask
+
+
 def short_hash(parts, size: int) -> str:
     return hashlib.blake2b(b" ".join(sorted(parts)), digest_size=size).hexdigest()
 
 
 def likeness(a: str, b: str) -> float:
     """Share of subset hashes in common, of those that either text has; equal
-    fingerprints are 1, texts without any other than by equal terms 0."""
+    fingerprints are 1, texts without any other than by equal terms 0.
+
+    Of fingerprints with several levels, the first level counts of which the texts have
+    at most :data:`LIVE`, with all smaller shares after it (or the last one)."""
     if a == b:
         return 1.0
     one = [a[k:k + DIGITS] for k in range(16, len(a), DIGITS)]
     two = [b[k:k + DIGITS] for k in range(16, len(b), DIGITS)]
-    live = [(x, y) for x, y in zip(one, two) if x != NONE or y != NONE]
+    pairs = list(zip(one, two))
+    if len(pairs) == SUBSETS:
+        while len(pairs) > LEVEL and sum(x != NONE or y != NONE for x, y in pairs[:LEVEL]) > LIVE * LEVEL:
+            del pairs[:LEVEL]
+    live = [(x, y) for x, y in pairs if x != NONE or y != NONE]
     return sum(x == y for x, y in live) / len(live) if live else 0.0
 
 
@@ -99,8 +126,9 @@ class Lexicon:
 
 
 def build_lexicon(docs: DataFrame, text_col: str = "text", min_idf: float = MIN_IDF, max_idf: float = MAX_IDF,
-                  subsets: int = SUBSETS, share: float = SHARE) -> Lexicon:
-    """The terms of all rows' texts within the band; empty without documents."""
+                  subsets: int = SUBSETS, share: float | None = None) -> Lexicon:
+    """The terms of all rows' texts within the band; empty without documents.  With
+    ``share``, its subsets hold that share of the lexicon each, else those of SHARES."""
     texts = docs.select(quoted(text_col).alias("text"))
     total = texts.count()
     least = math.exp(-max_idf) * (1 - 1e-9)  # a term at the very bound is in
@@ -139,7 +167,7 @@ def build_lexicon(docs: DataFrame, text_col: str = "text", min_idf: float = MIN_
         idf = F.log(F.lit(float(total)) / F.col("n"))
         band = texts.mapInArrow(count, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")) \
             .where((idf >= min_idf - 1e-12) & (idf <= max_idf + 1e-12))
-        masks |= {bytes(r["term"]): subset_mask(bytes(r["term"]), subsets, share) for r in band.collect()}
+        masks |= {t: level_mask(t) if share is None else subset_mask(t, subsets, share) for t in (bytes(r["term"]) for r in band.collect())}
     return Lexicon(masks, subsets)
 
 

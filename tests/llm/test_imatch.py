@@ -47,6 +47,41 @@ def test_fingerprint_and_likeness():
     assert len(mark("")) == len(mark(a))
 
 
+def test_each_term_is_in_subsets_of_several_shares():
+    masks = [imatch.level_mask(f"term{k}".encode()) for k in range(20_000)]
+    assert masks[:5] == [imatch.level_mask(f"term{k}".encode()) for k in range(5)]
+    for k, share in enumerate(imatch.SHARES):
+        level = [m >> imatch.LEVEL * k & (1 << imatch.LEVEL) - 1 for m in masks]
+        assert sum(m.bit_count() for m in level) / 20_000 / imatch.LEVEL == pytest.approx(share, rel=0.2)
+        assert share * imatch.LEVEL < 1 or all(level)
+
+
+@pytest.mark.parametrize("n", [2, 5, 10, 30, 100, 300, 1000, 3000])
+def test_half_a_text_shows_at_any_size(n):
+    lexicon = imatch.Lexicon({w: imatch.level_mask(w) for w in (b"w%d" % k for k in range(12_000))})
+    mark = lambda *at: lexicon.fingerprint(b" ".join(b"w%d" % k for a, b in at for k in range(a, b)))
+    for start in range(0, 12_000 - 2 * n, max(2 * n, 1200)):
+        own, after = mark((start, start + n)), mark((start + n, start + 2 * n))
+        edited = mark((start, start + n - n // 2), (start + n, start + n + n // 2))
+        assert imatch.likeness(own, edited) > 0.08 and imatch.likeness(own, edited) > imatch.likeness(own, after)
+
+
+def test_near_edited_by_text_length(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = imatch.edited_and_next(docs, imatch.build_lexicon(docs)).collect()
+    for low, high in ((100, 300), (300, 1000), (1000, 3000), (3000, 8000), (8000, 10**9)):
+        some = [r for r in rows if low <= r["n_chars"] < high]
+        assert some and sum(r["near_edited"] > r["near_next"] for r in some) >= 0.97 * len(some)
+        assert sum(r["near_edited"] for r in some) > 0.2 * len(some)
+
+
+def test_rare_languages_have_lexicon_terms(spark):
+    """Words of three of a thousand documents."""
+    rows = [(k, f"common text number {k % 50} with some words") for k in range(997)] + [(2000 + k, " ".join(f"rare{j}" for j in range(40))) for k in range(3)]
+    lexicon = imatch.build_lexicon(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sum(w.startswith(b"rare") for w in lexicon.masks) == 40
+
+
 def plain_edit(rows):
     """{id: sha256 of the edited text} in ascending id, nulls first, ties by text."""
     rows = sorted(((i is not None, i or 0, t or "") for i, t in rows))
