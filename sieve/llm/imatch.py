@@ -11,9 +11,8 @@ that suit the texts' size.
 
 The band has a lower bound on document frequency as a share of all documents, so
 the lexicon's size is bounded by the mean number of distinct words over that share,
-whatever the corpus size.  It is found exactly in two passes: a term that enough of
-all documents hold is held by as large a share of some chunk's documents, so the
-first pass gathers candidates chunk by chunk and the second counts only them.
+whatever the corpus size.  Each task counts the terms of its documents chunk by chunk,
+Spark sums the counts, and only the terms within the band come to the driver.
 """
 
 from __future__ import annotations
@@ -29,7 +28,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
 from .common import quoted, texts_of, word_table
 
 MIN_IDF = math.log(1 / 0.2)     # terms in more than a fifth of the documents say little
@@ -40,7 +38,7 @@ SHARES = (1 / 8, 1 / 32, 1 / 128, 1 / 512, 1 / 2048)
 SUBSETS = LEVEL * len(SHARES)
 #: share of a level's subsets that two texts may have for the level to count
 LIVE = 0.95
-#: documents and bytes of a chunk of the first pass; candidates sent to a pass
+#: documents, bytes and terms of a chunk whose terms a task counts before it passes them on
 CHUNK_DOCS, CHUNK_BYTES, SLICE = 4_096, 16 << 20, 1_000_000
 WORDS = word_table()
 #: hex digits of a subset's hash, and what stands for a subset without a term
@@ -131,44 +129,30 @@ def build_lexicon(docs: DataFrame, text_col: str = "text", min_idf: float = MIN_
     ``share``, its subsets hold that share of the lexicon each, else those of SHARES."""
     texts = docs.select(quoted(text_col).alias("text"))
     total = texts.count()
-    least = math.exp(-max_idf) * (1 - 1e-9)  # a term at the very bound is in
     if not total:
         return Lexicon({}, subsets)
 
-    def candidates(batches):
+    def count(batches):
         found, n, size = Counter(), 0, 0
 
-        def enough():
-            return pa.RecordBatch.from_arrays([pa.array([t for t, c in found.items() if c >= least * n], pa.binary())], ["term"])
+        def counted():
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["term", "n"])
 
         for batch in batches:
             for text in texts_of(batch.column(0)):
                 found.update(terms(text))
                 n, size = n + 1, size + len(text or b"")
-                if n >= CHUNK_DOCS or size >= CHUNK_BYTES:
-                    yield enough()
+                if n >= CHUNK_DOCS or size >= CHUNK_BYTES or len(found) >= SLICE:
+                    yield counted()
                     found, n, size = Counter(), 0, 0
-        yield enough()
-
-    some, seen = materialize(texts.mapInArrow(candidates, "term binary").distinct(), "candidates", {"n": F.count(F.lit(1))})
-    masks: dict[bytes, int] = {}
-    slices = max(1, -(-seen["n"] // SLICE))
-    for part in range(slices):
-        wanted = {bytes(r[0]) for r in some.where(F.pmod(F.xxhash64("term"), F.lit(slices)) == part).collect()}
-        sent = docs.sparkSession.sparkContext.broadcast(wanted)
-
-        def count(batches, sent=sent):
-            found = Counter()
-            for batch in batches:
-                for text in texts_of(batch.column(0)):
-                    found.update(terms(text) & sent.value)
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["term", "n"])
-
-        idf = F.log(F.lit(float(total)) / F.col("n"))
-        band = texts.mapInArrow(count, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")) \
-            .where((idf >= min_idf - 1e-12) & (idf <= max_idf + 1e-12))
-        masks |= {t: level_mask(t) if share is None else subset_mask(t, subsets, share) for t in (bytes(r["term"]) for r in band.collect())}
-    return Lexicon(masks, subsets)
+        yield counted()
+
+    # a term at the very bound is in
+    idf = F.log(F.lit(float(total)) / F.col("n"))
+    band = texts.mapInArrow(count, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")) \
+        .where((idf >= min_idf - 1e-12) & (idf <= max_idf + 1e-12)).select("term")
+    held = [bytes(r["term"]) for r in band.collect()]
+    return Lexicon({t: level_mask(t) if share is None else subset_mask(t, subsets, share) for t in held}, subsets)
 
 
 # --- a document beside the next one -------------------------------------------------

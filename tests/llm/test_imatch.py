@@ -28,6 +28,16 @@ def test_lexicon_is_the_exact_band(spark, monkeypatch, chunk, least):
     assert set(imatch.build_lexicon(docs, max_idf=math.log(1 / least)).masks) == want
 
 
+def test_only_the_lexicon_comes_to_the_driver(spark, monkeypatch):
+    """Also from chunks so small that every word could be in the band."""
+    monkeypatch.setattr(imatch, "CHUNK_DOCS", 3)
+    got, collect = [], type(spark.range(1)).collect
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda self: got.append(collect(self)) or got[-1])
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    lexicon = imatch.build_lexicon(docs, max_idf=math.log(1 / 0.05))
+    assert 0 < sum(map(len, got)) == len(lexicon.masks)
+
+
 def test_masks_are_fixed_by_the_term():
     masks = [imatch.subset_mask(f"term{k}".encode(), 64, 1 / 64) for k in range(3000)]
     assert masks[:5] == [imatch.subset_mask(f"term{k}".encode(), 64, 1 / 64) for k in range(5)]
