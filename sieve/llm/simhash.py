@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import fresh, lookup, lower_ascii_table, quoted, without
+from .common import by_id, fresh, lookup, lower_ascii_table, quoted, without
 from .graph import components
 
 SHINGLE = 3
@@ -234,14 +234,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     like any other.  Rows repeat as given; a null id never is a component's
     name unless all ids of the component are null.  Other columns are ignored.
     """
+    return _rooted(docs, id_col, text_col, shingle, max_bits).drop("root")
+
+
+def _rooted(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> DataFrame:
+    """:func:`near_duplicates` with ``root``, a fingerprint that names the component: an
+    id with several texts can be the smallest of several components."""
     prints = materialize(docs.select(quoted(id_col).alias("_id"), simhash_column(quoted(text_col), shingle).alias("fp")), "prints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("_id").alias("least")), "distinct-prints")
     roots = components(near_links(distinct, max_bits))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left") \
         .select("fp", "least", F.coalesce("root", "fp").alias("root"))
     best = named.groupBy("root").agg(F.min("least").alias("component"))
-    by_print = lookup(named.select("fp", "root"), best, ["root"], F.xxhash64("fp")).select("fp", "component")
-    return lookup(prints, by_print, ["fp"], F.xxhash64("_id")).select(F.col("_id").alias(id_col), "fp", "component")
+    by_print = lookup(named.select("fp", "root"), best, ["root"], F.xxhash64("fp")).select("fp", "component", "root")
+    return lookup(prints, by_print, ["fp"], F.xxhash64("_id")).select(F.col("_id").alias(id_col), "fp", "component", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -249,16 +255,30 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with one document of each component: that with the smallest id.
 
     Rows without an id can't be named by a component and stay.  If an id occurs
-    in several rows, one of them stays (the least by a hash of all columns)."""
-    found = near_duplicates(docs, id_col, text_col, shingle, max_bits).where(quoted(id_col).isNotNull())
+    in several rows, each is judged by its own text: one of them stays for each
+    component with other ids, and one for those without (the least by a hash of all
+    columns)."""
+    found = _rooted(docs, id_col, text_col, shingle, max_bits).where(quoted(id_col).isNotNull())
+    stays = F.col("component") == F.col("_id")
     ids, seen = materialize(
-        found.groupBy(quoted(id_col).alias("_id")).agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("n"))
-             .select("_id", "n", (F.col("component") == F.col("_id")).alias("stays")),
+        found.withColumnRenamed(id_col, "_id").groupBy("_id")
+             .agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("n"),
+                  F.collect_set(F.when(stays, F.struct("fp", "root"))).alias("prints")),
         "stays", {"most": F.max("n")})
     kept = without(docs, id_col, ids.where("not stays").select("_id"))
     if (seen["most"] or 1) == 1:
         return kept
-    place, order = fresh(kept, "place"), F.xxhash64(*[quoted(c) for c in kept.columns])
-    within = Window.partitionBy(quoted(id_col), F.when(quoted(id_col).isNull(), order)).orderBy(order)
-    numbered = kept.withColumn(place, F.row_number().over(within))
-    return numbered.where((F.col(place) == 1) | quoted(id_col).isNull()).drop(place)
+    # of the ids that repeat, the texts whose component they name; is it of other ids too?
+    shared = found.groupBy("root").agg((F.min(quoted(id_col)) < F.max(quoted(id_col))).alias("shared"))
+    named = ids.where("n > 1").select("_id", F.explode("prints").alias("p")).select("_id", "p.fp", "p.root") \
+        .join(shared, "root").groupBy("_id").agg(F.collect_list(F.struct("fp", "root", "shared")).alias("prints"))
+    told, names = by_id(kept, id_col, materialize(named, "repeated-ids"), "_id")
+    spot, own, place = (fresh(told, n) for n in ("fp", "own", "place"))
+    prints = F.col(names["prints"])
+    told = told.withColumn(spot, F.when(prints.isNotNull(), simhash_column(quoted(text_col), shingle)))
+    told = told.withColumn(own, F.get(F.filter(prints, lambda p: p["fp"] == F.col(spot)), F.lit(0))) \
+        .where(prints.isNull() | F.col(own).isNotNull())
+    order = F.xxhash64(*[quoted(c) for c in docs.columns])
+    within = Window.partitionBy(quoted(id_col), F.when(F.col(own)["shared"], F.col(own)["root"]), F.when(prints.isNull(), order)).orderBy(order)
+    numbered = told.withColumn(place, F.row_number().over(within))
+    return numbered.where((F.col(place) == 1) | prints.isNull()).select(*[quoted(c) for c in docs.columns])

@@ -127,6 +127,15 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == simhash.drop_near_duplicates(no_docs).count() == 0
 
 
+def test_ids_with_several_texts(spark):
+    """Each text is judged by its own component; every component keeps one row."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    rows = [(5, a), (7, a), (3, b), (5, b), (8, c), (8, d), (8, d), (9, d), (None, a), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((tuple(r) for r in simhash.drop_near_duplicates(docs).collect()), key=repr)
+    assert kept == sorted([(5, a), (3, b), (8, c), (8, d), (None, a), (None, a)], key=repr)
+
+
 def test_registered_query(spark):
     from sieve.llm import queries
 
