@@ -101,10 +101,11 @@ def _rake_spark(table: DataFrame, dims: list[str], targets: Targets | None, alph
     spark, margins = table.sparkSession, {}
     for d in dims:
         margin = table.groupBy(d).agg(F.sum("tokens").alias("t"))
-        if targets and targets.get(d):
+        if targets and targets.get(d) is not None:
             given = dict(targets[d])
             kind = table.schema[d].dataType.simpleString()
-            named = margin.join(F.broadcast(spark.createDataFrame([(v, float(x)) for v, x in given.items()], f"`{d}` {kind}, given double")), d, "left") \
+            told = spark.createDataFrame([(v, float(x)) for v, x in given.items()], f"_given {kind}, given double")
+            named = margin.join(F.broadcast(told), F.col(d).eqNullSafe(F.col("_given")), "left") \
                 if given else margin.withColumn("given", F.lit(None).cast("double"))
             got, rest = named.agg(F.sum("given"), F.sum(F.when(F.col("given").isNull(), F.col("t")))).head()
             share = F.coalesce("given", F.lit(max(0.0, 1 - (got or 0)) / (rest or 1)) * F.col("t"))

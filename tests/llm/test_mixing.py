@@ -51,6 +51,16 @@ def test_weights_match_plain_raking(docs, targets, max_cells):
         assert r["probability"] == pytest.approx(min(1, ratio[cell] / min(1.5, max(ratio.values()))), rel=1e-6)
 
 
+@pytest.mark.parametrize("given", [{None: 0.5, "a": 0.3}, {}])
+def test_given_shares_of_null_by_either_way(docs, given):
+    rows = [mixing.mix(docs, dims(), targets={"source": given}, max_cells=n).collect() for n in (1000, 0)]
+    one, two = ({r["doc_id"]: r["weight"] for r in some} for some in rows)
+    assert two == pytest.approx(one, rel=1e-6)
+    if given:
+        total = sum(len(r["text"].split()) * r["weight"] for r in rows[1])
+        assert sum(len(r["text"].split()) * r["weight"] for r in rows[1] if r["source"] is None) == pytest.approx(0.5 * total)
+
+
 def test_given_shares():
     assert mixing.shares({"a": 60, "b": 20, "c": 20}, {"a": 0.5, "x": 0.3}, 1) == pytest.approx({"a": 0.5, "b": 0.25, "c": 0.25})
     assert mixing.shares({"a": 1, "b": 0}, None, 0.5) == {"a": 1.0}
