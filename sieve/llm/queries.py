@@ -8,7 +8,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fim, imatch, language, lines, maintext, mixing, quality, simhash, suffixes, warc
+from . import decontaminate, fim, imatch, language, lines, maintext, minmax, mixing, quality, simhash, suffixes, warc
 from ..session import materialize
 from .common import bounded_batches
 
@@ -154,6 +154,29 @@ def op10_suffix_array_dedup(spark, sf_dir):
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_minmax_near_dedup(spark, sf_dir):
+    """Components of all documents whose 4-word shingle sets are alike to 80 %."""
+    found = minmax.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"),
+                        F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+ORACLES["op12_minmax_near_dedup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)]) END AS items FROM w),
+n AS (SELECT doc_id, CAST(len(items) AS BIGINT) AS n FROM s),
+e AS (SELECT doc_id, unnest(items) AS item FROM s),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM e x JOIN e y ON x.item = y.item AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+k AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT k.b, r.root FROM r JOIN k ON k.a = r.doc_id)
+SELECT n.doc_id, n AS n_shingles, min(root) AS component_id, n.doc_id = min(root) AS kept FROM n JOIN r USING (doc_id) GROUP BY n.doc_id, n"""
+
+
 @query
 def op13_fill_in_middle(spark, sf_dir):
     """Every whole text cut after two units, put in its form and rebuilt from it."""
