@@ -8,7 +8,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fim, imatch, language, lines, maintext, minmax, mixing, quality, simhash, suffixes, warc
+from . import decontaminate, fim, imatch, language, lines, maintext, minmax, mixing, quality, simhash, suffixes, trie, warc
 from ..session import materialize
 from .common import bounded_batches
 
@@ -154,6 +154,46 @@ def op10_suffix_array_dedup(spark, sf_dir):
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_conversation_trie(spark, sf_dir):
+    """Nodes of the prefix trie of all conversations, rebuilt on others' first turns."""
+    return trie.prefix_nodes(*trie.rebuilt(trie.numbered(table(spark, sf_dir, "conversations"))))
+
+
+ORACLES["op11_conversation_trie"] = r"""
+WITH tab AS (
+  SELECT list_transform(range(256), lambda k: list_reduce(list_prepend(k, range(8)),
+    lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) AS pos, key, chars FROM (
+    SELECT conv_id, turn, md5(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS key,
+           length(coalesce(text, '')) AS chars FROM conversations WHERE conv_id IS NOT NULL)),
+ids AS (
+  SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base,
+    xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+      lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 6 AS h FROM turns, tab),
+placed AS (
+  SELECT i.conv_id, 0 AS part, pos, key, chars FROM ids i JOIN turns t ON t.conv_id = i.base WHERE pos <= h
+  UNION ALL SELECT i.conv_id, 1, pos, key, chars FROM ids i JOIN turns t ON t.conv_id = i.conv_id WHERE pos > h),
+seqs AS (
+  SELECT conv_id, coalesce(list(key ORDER BY part, pos) FILTER (pos IS NOT NULL), []) AS ks, coalesce(list(chars ORDER BY part, pos) FILTER (pos IS NOT NULL), []) AS cs
+  FROM ids LEFT JOIN placed USING (conv_id) GROUP BY conv_id),
+members AS (SELECT conv_id, ks, cs, unnest(range(0, len(ks) + 1)) AS depth FROM seqs),
+named AS (
+  SELECT conv_id, depth, array_to_string(ks[1:depth], '') AS path, CASE WHEN depth > 0 THEN array_to_string(ks[1:depth - 1], '') END AS parent,
+         CASE WHEN depth > 0 THEN cs[depth] ELSE 0 END AS chars, len(ks) = depth AS ends FROM members),
+nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(parent) AS parent, any_value(chars) AS chars,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM named GROUP BY path, depth),
+kids AS (SELECT parent AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY parent),
+full_ AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN kids USING (path)),
+sub AS (
+  SELECT a.path, count(*) FILTER (b.n_children = 0) AS n_leaves, CAST(sum((b.n_convs - 1) * b.chars) AS BIGINT) AS saved_tokens
+  FROM full_ a JOIN full_ b ON starts_with(b.path, a.path) GROUP BY a.path)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+FROM full_ f JOIN sub USING (path) LEFT JOIN full_ p ON p.path = f.parent"""
+
+
 @query
 def op12_minmax_near_dedup(spark, sf_dir):
     """Components of all documents whose 4-word shingle sets are alike to 80 %."""
