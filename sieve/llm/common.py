@@ -15,8 +15,9 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BROADCAST_ROWS = 200_000
 #: ids up to which a set of them is broadcast (8 bytes each)
 BROADCAST_IDS = 1_000_000
-#: rows of long texts in an Arrow batch
+#: rows of long texts in an Arrow batch, and its bytes
 BATCH_ROWS = 1_000
+BATCH_BYTES = 8 << 20
 #: copies of a lookup side that is too large to broadcast; a hot key of the
 #: other side is spread over as many tasks
 SALTS = 16
@@ -112,11 +113,13 @@ def without(docs: DataFrame, id_col: str, gone: DataFrame, max_rows: int = BROAD
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower this session's Arrow batches to :data:`BATCH_ROWS` rows if they are larger:
-    documents and pages can be long, and a batch is held in a Python worker as a whole."""
+    """Set this session's Arrow batches to :data:`BATCH_ROWS` rows, if they are larger, and
+    :data:`BATCH_BYTES`: documents and pages can be long, and a batch is held in a
+    Python worker as a whole."""
     rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
     if not 0 < rows <= BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def texts_of(column) -> list:

@@ -63,11 +63,11 @@ def corpus():
     return [(k * 3 + 1, rng.choice([" ", "\n", "\t "]).join(r)) for k, r in enumerate(rows)]
 
 
-@pytest.mark.parametrize("group, crowd, turns", [(minmax.GROUP, minmax.CROWD, minmax.TURNS), (12, 6, 1), (5, 1000, 0)])
-def test_components_equal_all_pairs(spark, monkeypatch, group, crowd, turns):
-    """Also with keys split by longer bands and dealt in blocks."""
+@pytest.mark.parametrize("group, items, turns", [(minmax.GROUP, minmax.ITEMS, minmax.TURNS), (12, 3000, 1), (5, 500, 0)])
+def test_components_equal_all_pairs(spark, monkeypatch, group, items, turns):
+    """Also with keys split by longer bands, and keys and clusters dealt in blocks."""
     monkeypatch.setattr(minmax, "GROUP", group)
-    monkeypatch.setattr(minmax, "CROWD", crowd)
+    monkeypatch.setattr(minmax, "ITEMS", items)
     monkeypatch.setattr(minmax, "TURNS", turns)
     if group < 100:
         monkeypatch.setattr(minmax, "LEVELS", ((4, 32), (6, 64)))
@@ -87,10 +87,12 @@ def test_signature_agrees_with_similarity():
     assert signer.values(x)[0] == (x * signer.times[0] + signer.plus[0]).min() and signer.values(x)[1] == (x * signer.times[0] + signer.plus[0]).max()
 
 
-def test_similarity_is_exact():
-    assert minmax.similar(np.arange(8, dtype=np.uint64), np.arange(10, dtype=np.uint64))
-    assert not minmax.similar(np.arange(79, dtype=np.uint64), np.arange(100, dtype=np.uint64))
-    assert not minmax.similar(np.arange(1, 9, dtype=np.uint64), np.arange(3, 12, dtype=np.uint64))
+def test_pieces_give_a_spanning_forest():
+    pieces = minmax._Pieces(np.arange(6), np.array([10, 10, 12, 13, 14, 15]))
+    pieces.join(2, np.array([3]))
+    pieces.join(0, np.array([3, 0]))
+    pieces.join(5, np.array([], int))
+    assert [x.tolist() for x in pieces.links()] == [[12, 13], [10, 10]]
 
 
 def test_odd_rows(odd_docs, no_docs, spark):
