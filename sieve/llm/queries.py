@@ -140,12 +140,12 @@ def op8_simhash_near_dedup(spark, sf_dir):
 @query
 def op9_source_mixing(spark, sf_dir):
     """Weight, chance and decision of every document, raked to source, language
-    and topic shares tempered by 0.7."""
+    and topic shares tempered by 0.7; half of all tokens are expected in the sample."""
     docs = table(spark, sf_dir, "documents")
     narrow = materialize(docs.select("doc_id", "source", "lang", mixing.topic_column(F.col("text")).alias("topic"),
                                      mixing.tokens_column(F.col("text")).alias("n_tokens")), "mixing")
     dims = {d: F.col(d) for d in ("source", "lang", "topic")}
-    return mixing.mix(narrow, dims, tokens=F.col("n_tokens"), alpha=0.7, text_col="topic")
+    return mixing.mix(narrow, dims, tokens=F.col("n_tokens"), alpha=0.7, share=0.5, text_col="topic", gap_col="gap")
 
 
 @query

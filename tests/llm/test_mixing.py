@@ -123,6 +123,63 @@ def test_copies_meet_the_marginals(skewed):
     assert all(r["copies"] == r["sampled"] for r in once if r["probability"] < 1 - 1e-9)
 
 
+def plain_bounds(base, want, total):
+    """{value: expected tokens} for target shares, none over its tokens, by bisection."""
+    low, high = 0.0, 1e18
+    for _ in range(300):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(base[v], mid * x) for v, x in want.items()) < total else (low, mid)
+    return {v: min(base[v], high * x) for v, x in want.items()}
+
+
+def check_calibrated(rows, names, share, targets=None, rel=1e-6, tokens=lambda r: len(r["text"].split())):
+    """Expected tokens by value equal the attainable targets, and share in all."""
+    total = sum(map(tokens, rows))
+    assert sum(tokens(r) * r["probability"] for r in rows) == pytest.approx(share * total, rel=rel)
+    for d in names:
+        got, base = {}, {}
+        for r in rows:
+            got[r[d]] = got.get(r[d], 0) + tokens(r) * r["probability"]
+            base[r[d]] = base.get(r[d], 0) + tokens(r)
+        want = mixing.shares(base, (targets or {}).get(d), 0.7)
+        assert got == pytest.approx(plain_bounds(base, want, share * total), rel=rel)
+
+
+@pytest.mark.parametrize("max_cells", [1000, 0])
+@pytest.mark.parametrize("share, targets", [(0.5, None), (0.9, None), (0.3, {"source": {"a": 0.2, "b": 0.7}, "lang": {"en": 0.6, "fr": 0.4}})])
+def test_calibrated_chances_meet_attainable_marginals(docs, max_cells, share, targets):
+    rows = mixing.mix(docs, dims(), targets=targets, share=share, max_cells=max_cells, gap_col="gap").collect()
+    check_calibrated(rows, ("source", "lang"), share, targets)
+    assert rows[0]["gap"] < 1e-6 and all(0 <= r["probability"] <= 1 for r in rows)
+    report = mixing.marginals(mixing.mix(docs, dims(), targets=targets, share=share), dims(), mixing.tokens_column(F.col("text")), targets).collect()
+    assert sum(r["expected"] for r in report) == pytest.approx(2) and sum(r["target"] for r in report) == pytest.approx(2)
+    assert all(r["taken"] == pytest.approx(1) for r in report if r["expected"] < r["target"] * 0.999)
+
+
+def test_sample_grows_with_the_table_and_not_with_rare_cells(spark, docs):
+    """One rare document hardly changes the sample; ten times the table gives ten times of it."""
+
+    def sampled(table):
+        return mixing.mix(table, dims(), share=0.5).where("sampled").count()
+
+    rare = spark.createDataFrame([(10 ** 6, "five words in this one", "rare", "xx")], docs.schema)
+    more = spark.range(10).join(docs).select((F.col("doc_id") + F.col("id") * 1000).alias("doc_id"), "text", "source", "lang")
+    one = sampled(docs)
+    assert abs(sampled(docs.unionByName(rare)) - one) <= 0.02 * one
+    assert 9.3 * one < sampled(more) < 10.7 * one
+    row = mixing.mix(docs.unionByName(rare), dims(), share=0.5).where("doc_id = 1000000").head()
+    assert row["probability"] == pytest.approx(1)
+
+
+def test_gap_tells_of_marginals_that_exclude_each_other(spark, monkeypatch):
+    """All of source b is in fr: b at 0.6 of the sample and fr at 0.2 can't both hold."""
+    monkeypatch.setattr(mixing, "ROUNDS", 4)
+    docs = spark.createDataFrame([(k, "w " * 10, "ab"[k % 2], ["en", "fr"][k % 2]) for k in range(100)], "doc_id long, text string, source string, lang string")
+    for max_cells in (100, 0):
+        row = mixing.mix(docs, dims(), targets={"source": {"a": 0.4, "b": 0.6}, "lang": {"en": 0.8, "fr": 0.2}}, share=0.2, gap_col="gap", max_cells=max_cells).head()
+        assert row["gap"] > 0.1
+
+
 def test_pipeline_and_query_sample_the_targets(spark):
     """The registered query and the pipeline's stage give chances that meet the marginals."""
     import corpus_pipeline
@@ -130,12 +187,8 @@ def test_pipeline_and_query_sample_the_targets(spark):
 
     sf = "/root/testdata/sf0.001"
     rows = queries.QUERIES["op9_source_mixing"](spark, sf).collect()
-    for d in ("source", "lang", "topic"):
-        got, base = {}, {}
-        for r in rows:
-            got[r[d]] = got.get(r[d], 0) + r["n_tokens"] * r["probability"]
-            base[r[d]] = base.get(r[d], 0) + r["n_tokens"]
-        assert {v: x / sum(got.values()) for v, x in got.items()} == pytest.approx(mixing.shares(base, None, 0.7), rel=1e-5)
+    check_calibrated(rows, ("source", "lang", "topic"), 0.5, rel=1e-5, tokens=lambda r: r["n_tokens"])
+    assert rows[0]["gap"] < 1e-6
     by = {r["doc_id"]: r["probability"] for r in rows}
     kept = corpus_pipeline.source_mixing(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).collect()
     assert kept and all(r["mix_probability"] == pytest.approx(by[r["doc_id"]]) for r in kept)
