@@ -43,10 +43,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose token shares by source, language and topic are those of ``docs``
-    tempered by 0.7, with each document's weight and chance."""
+    """A sample of half of all tokens (expected) whose shares by source, language and topic
+    are those of ``docs`` tempered by 0.7, as far as tokens without repetition can meet
+    them, with each document's weight and chance."""
     dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic_column(F.col("text"))}
-    mixed = mixing.mix(docs, dims, alpha=0.7, out=("mix_weight", "mix_probability", "mix_sampled"))
+    mixed = mixing.mix(docs, dims, alpha=0.7, share=0.5, out=("mix_weight", "mix_probability", "mix_sampled"))
     return mixed.where("mix_sampled").drop("mix_sampled")
 
 
