@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cnf, formats, text, venue
-from ..operators import abstracts, assess, enrich, multi, prisma, reports, screening
+from ..operators import abstracts, assess, enrich, multi, prisma, reports, screening, titles
 from ..operators import ranks as rank_ops
 from ..schemas import PAPERS
 from ..session import scratch_path
@@ -273,6 +273,14 @@ def q_resolve_ids(spark, sf_dir):
     return out.select("rec_id", "doi", "semantic_scholar_id")
 
 
+@query("resolve_ids_ranked")
+def q_resolve_ids_ranked(spark, sf_dir):
+    """Records cited by changed titles; those without DOI get id and DOI of the best title hit."""
+    inp = ReviewInputs(spark, sf_dir)
+    out = titles.resolve_ids_ranked(inp.view("cited"), inp.view("title_index"))
+    return out.select("rec_id", "doi", "semantic_scholar_id", "title_score")
+
+
 def _accepted_enriched(spark, sf_dir):
     inp = ReviewInputs(spark, sf_dir)
     return inp, enrich.enrich(screen_study(inp, 1), inp.view("meta"))

@@ -102,6 +102,20 @@ SELECT concat(p_name, ' for ', lower(p_type), ' workload ', lower(substr(o_order
       ELSE concat('10.', CAST(1000 + l_suppkey % 9000 AS STRING), '/Idx.', CAST(l_orderkey AS STRING)) END AS doi,
  l_orderkey * 8 + l_linenumber AS hit_rank
 FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey JOIN {part} ON p_partkey = l_partkey % 200
+""",
+    # bibliography titles as people cite them: words left out, added, reordered
+    # or set in capitals; DOI as in bib
+    "cited": """
+SELECT o_orderkey AS rec_id,
+ CASE o_orderkey % 5
+   WHEN 0 THEN concat(p_name, ' for ', lower(p_type), ' workload ', lower(substr(o_orderpriority, 3)))
+   WHEN 1 THEN concat(p_name, ': ', lower(p_type), ', ', lower(substr(o_orderpriority, 3)))
+   WHEN 2 THEN concat('On ', p_name, ' for ', lower(p_type), ' workload (', lower(substr(o_orderpriority, 3)), ') - a survey')
+   WHEN 3 THEN upper(concat(lower(p_type), ' WORKLOAD, ', p_name))
+   ELSE concat(p_name, ' and something else entirely') END AS title,
+ CASE WHEN o_custkey % 7 = 0 THEN NULL
+      ELSE concat('10.', CAST(1000 + o_custkey % 9000 AS STRING), '/Bib.', CAST(o_custkey AS STRING)) END AS doi
+FROM {orders} JOIN {part} ON p_partkey = o_orderkey % 200
 """,
     # landing pages: the page a bib publisher link (url) leads to, with the
     # final URL after redirects and its html (the web routes above)

@@ -607,6 +607,32 @@ ORACLES["resolve_ids"] = f"""WITH {views('bib', 'rank_html', 'title_index')},
 SELECT rec_id, doi, semantic_scholar_id FROM resolved"""
 
 
+def _title_words(x: str) -> str:
+    return f"list_sort(list_distinct(list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w_: w_ <> '')))"
+
+
+# every pair of word sets with a common word is scored; no filter
+ORACLES["resolve_ids_ranked"] = f"""WITH {views('cited', 'title_index')},
+q AS (SELECT DISTINCT {_title_words('title')} AS k FROM cited WHERE doi IS NULL),
+x AS (SELECT k, arg_min({{'ss': semantic_scholar_id, 'doi': doi, 'r': hit_rank}}, {{'r': hit_rank, 'ss': semantic_scholar_id, 'doi': coalesce(doi, '')}}) AS hit
+      FROM (SELECT {_title_words('title')} AS k, * FROM title_index) WHERE len(k) > 0 GROUP BY k),
+n AS (SELECT count(*) AS n FROM x),
+xw AS (SELECT k, unnest(k) AS word FROM x),
+qw AS (SELECT k, unnest(k) AS word FROM q),
+df AS (SELECT word, count(*) AS df FROM xw GROUP BY word),
+wt AS (SELECT word, CAST(floor(1000.0 * ln(1.0 + n / coalesce(df, 1))) AS BIGINT) AS w
+       FROM (SELECT DISTINCT word FROM (SELECT word FROM xw UNION ALL SELECT word FROM qw)) LEFT JOIN df USING (word), n),
+xt AS (SELECT k, sum(w) AS total FROM xw JOIN wt USING (word) GROUP BY k),
+qt AS (SELECT k, sum(w) AS total FROM qw JOIN wt USING (word) GROUP BY k),
+common AS (SELECT a.k AS qk, b.k AS xk, sum(w) AS both_ FROM qw a JOIN xw b USING (word) JOIN wt USING (word) GROUP BY ALL),
+scored AS (SELECT qk, xk, CAST(floor(both_ * 1000000 / (qt.total + xt.total - both_)) AS BIGINT) AS score
+           FROM common JOIN qt ON qt.k = qk JOIN xt ON xt.k = xk WHERE both_ * 1000000 >= (qt.total + xt.total - both_) * 500000),
+best AS (SELECT qk, arg_min({{'ss': hit.ss, 'doi': hit.doi, 'score': score}}, {{'s': -score, 'r': hit.r, 'ss': hit.ss, 'doi': coalesce(hit.doi, '')}}) AS b
+         FROM scored JOIN x ON x.k = xk GROUP BY qk)
+SELECT rec_id, CASE WHEN b IS NOT NULL THEN b.doi ELSE doi END AS doi, b.ss AS semantic_scholar_id, b.score AS title_score
+FROM cited LEFT JOIN best ON doi IS NULL AND qk = {_title_words('title')}"""
+
+
 def _screen1_enriched() -> str:
     return f"""{views('bib', 'rank_html', 'meta', 'landing')},
 {ranked_candidates(1)},
