@@ -17,7 +17,7 @@ from ..operators import abstracts, assess, enrich, multi, prisma, reports, scree
 from ..operators import ranks as rank_ops
 from ..schemas import PAPERS
 from ..session import scratch_path
-from ..sources import bibliography, store
+from ..sources import bibliography, commit, store
 from ..sources import studies as studies_src
 from . import fixtures
 from .review import ReviewInputs, run_review, screen_study
@@ -491,6 +491,29 @@ def q_write_papers(spark, sf_dir):
     return store.read_table(spark, path, PAPERS).select(*screening.PAPER_COLUMNS)
 
 
+@query("commit_runs")
+def q_commit_runs(spark, sf_dir):
+    """Two runs in one study store: all reviews; then review 2 without papers and review 3
+    under a new id.  The papers of the latest version."""
+    papers = _review(spark, sf_dir).papers
+    out = commit.StudyStore(spark, scratch_path(spark, "study-store"))
+    first = out.reserve(4)
+    out.write_run({"papers": papers, "studies": papers.groupBy("study_id").count()}, range(first, first + 4))
+    new = out.reserve(1)
+    again = papers.where("study_id = 3").withColumn("study_id", F.lit(new).cast("long"))
+    out.write_run({"papers": again, "studies": again.groupBy("study_id").count()}, [2, new])
+    return out.read("papers").select(*screening.PAPER_COLUMNS)
+
+
+@query("export_csv")
+def q_export_csv(spark, sf_dir):
+    """The papers of every review exported as CSV with CRLF; all lines read back."""
+    path = scratch_path(spark, "export")
+    store.export_studies(_review(spark, sf_dir).papers, path)
+    lines = spark.read.schema("value string, study_id long").option("lineSep", "\r\n").text(path)
+    return lines.select("study_id", F.col("value").alias("line"))
+
+
 @query("csv_roundtrip")
 def q_csv_roundtrip(spark, sf_dir):
     """Review 1's papers exported to CSV; the DOI column read back."""

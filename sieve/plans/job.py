@@ -4,7 +4,7 @@ run_review.py ...`` or ``python -m sieve.plans.job ...``).
 Flags follow the reviewed tool's command line; the network lookups it made
 are replaced by tables:
 
-  --study FILE         study spec JSON (repeat for several studies; ids 1..n)
+  --study FILE         study spec JSON (repeat for several studies; each gets the next free id)
   --dblp PATH          bibliography XML dump (file or directory), or with
                        --records a records Parquet table
   --ranks PATH         rank pages Parquet (page_id, html, kind=conference|journal)
@@ -12,9 +12,10 @@ are replaced by tables:
   --collect_content    enrich with --meta (and --title_index, --pages)
   --generate_report    build assessment requests; with --responses
                        (study_id, rec_id, response) also assessments
-  --export_all         CSV export of the papers
+  --export_all         CSV export of the papers, one per study of this run
   --export_summary     CSV of the study rows and a PRISMA flow table per study
-  --out DIR            where the tables are written (partitioned by study)
+  --out DIR            study store the tables go to; all tables of a run appear at
+                       once, or none if it fails, and earlier runs' studies stay
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import argparse
 import os
 import sys
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +33,8 @@ from ..operators.assess import validate_specs
 from ..operators.prisma import prisma_flow
 from ..operators.ranks import rank_rows
 from ..sources.bibliography import read_bibliography
-from ..sources.store import export_csv, write_table
+from ..sources.commit import StudyStore
+from ..sources.store import export_studies
 from ..sources.studies import studies_from_json
 from .review import ReviewRun
 
@@ -55,9 +58,9 @@ def parse_args(argv=None):
     return ap.parse_args(argv)
 
 
-def load_specs(spark: SparkSession, paths: list[str]) -> DataFrame:
+def load_specs(spark: SparkSession, paths: list[str], first_id: int = 1) -> DataFrame:
     """Whole-file JSON specs, ids in argument order."""
-    parts = [spark.read.text(p, wholetext=True).select(F.lit(i + 1).cast("bigint").alias("study_id"),
+    parts = [spark.read.text(p, wholetext=True).select(F.lit(i + first_id).cast("bigint").alias("study_id"),
                                                        F.col("value").alias("doc"))
              for i, p in enumerate(paths)]
     out = parts[0]
@@ -72,19 +75,21 @@ def rank_table_of(pages: DataFrame) -> DataFrame:
 
 
 def run(spark: SparkSession, args) -> dict[str, str]:
-    """Run the review; returns table name → written path."""
+    """Run the review; returns table name → path of what this run wrote."""
     start = time.time()
-    docs = load_specs(spark, args.study)
-    bad = validate_specs(docs, "study_id").where(~F.col("valid")).collect()  # one row per study at most
+    bad = validate_specs(load_specs(spark, args.study), "study_id").where(~F.col("valid")).collect()  # one row per study at most
     if bad:
         raise ValueError("invalid study spec: " + "; ".join(f"{r.study_id}: {','.join(r.errors)}" for r in bad))
-    studies = studies_from_json(docs)
+    out = StudyStore(spark, args.out)
+    first = out.reserve(len(args.study))
+    ids, run_id = list(range(first, first + len(args.study))), uuid.uuid4().hex
+    studies = studies_from_json(load_specs(spark, args.study, first))
     written: dict[str, str] = {}
     if args.records:
         records = spark.read.parquet(args.dblp)
     else:
         records, rejects = read_bibliography(spark, args.dblp)
-        written["rejects"] = os.path.join(args.out, "rejects")
+        written["rejects"] = os.path.join(args.out, "rejects", f"gen={run_id}")
         rejects.write.mode("overwrite").parquet(written["rejects"])
     meta = spark.read.parquet(args.meta) if args.collect_content and args.meta else None
     index = spark.read.parquet(args.title_index) if args.title_index else None
@@ -98,24 +103,22 @@ def run(spark: SparkSession, args) -> dict[str, str]:
         names += ["contents", "metrics"]
     if args.generate_report:
         names += ["requests", "reports", "criteria_assessments"]
-    for name in names:
-        written[name] = os.path.join(args.out, name)
-        write_table(getattr(review, name), written[name])
-    if args.export_all:
-        written["export_csv"] = os.path.join(args.out, "export_csv")
-        export_csv(spark.read.parquet(written["papers"]), written["export_csv"])
+    tables = {name: getattr(review, name) for name in names}
     if args.export_summary:
-        flow = prisma_flow(records, studies, review.gated, review.contents, review.responses, review.reports,
-                           review.criteria_assessments, review.min_rating)
-        written["prisma"] = os.path.join(args.out, "prisma")
-        write_table(flow, written["prisma"])
+        tables["prisma"] = prisma_flow(records, studies, review.gated, review.contents, review.responses, review.reports,
+                                       review.criteria_assessments, review.min_rating)
+    for name, df in tables.items():
+        written[name] = out.write(name, df, run_id)
     review.runtime_seconds = time.time() - start
-    written["studies"] = os.path.join(args.out, "studies")
-    write_table(review.studies, written["studies"])
+    tables["studies"] = review.studies
+    written["studies"] = out.write("studies", tables["studies"], run_id)
+    out.commit({name: df.schema for name, df in tables.items()}, ids, run_id)
+    if args.export_all:
+        written["export_csv"] = os.path.join(args.out, "export_csv", f"gen={run_id}")
+        export_studies(out.read("papers", ids), written["export_csv"])
     if args.export_summary:
-        written["summary_csv"] = os.path.join(args.out, "summary_csv")
-        (spark.read.parquet(written["studies"]).write.mode("overwrite").option("header", True)
-         .csv(written["summary_csv"]))
+        written["summary_csv"] = os.path.join(args.out, "summary_csv", f"gen={run_id}")
+        out.read("studies", ids).write.mode("overwrite").option("header", True).csv(written["summary_csv"])
     return written
 
 
@@ -123,7 +126,7 @@ def main(argv=None) -> int:
     args = parse_args(argv)
     spark = SparkSession.builder.appName("sieve-review").getOrCreate()
     written = run(spark, args)
-    for row in spark.read.parquet(written["studies"]).orderBy("study_id").collect():
+    for row in spark.read.parquet(written["studies"]).orderBy("study_id").collect():  # a row per study of this run
         print(f"study {row.study_id}: {row.papers_collected} candidates, {row.reports_collected} reports")
     return 0
 

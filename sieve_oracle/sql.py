@@ -548,6 +548,17 @@ ORACLES["recall_missing"] = (f"WITH {review_ctes()}, {_PILOTS}\nSELECT * FROM pi
 ORACLES["recall"] = (f"WITH {review_ctes()}, {_PILOTS}\nSELECT count(*) AS pilots, CAST(count_if(f) AS BIGINT) AS found, "
                      "round(avg(CAST(f AS DOUBLE)), 6) AS recall FROM (SELECT doi IN (SELECT doi FROM all_papers "
                      "WHERE doi IS NOT NULL) AS f FROM pilots)")
+ORACLES["commit_runs"] = R(f"SELECT {PAPER_COLS} FROM all_papers WHERE study_id <> 2 UNION ALL "
+                           f"SELECT * REPLACE (CAST(5 AS BIGINT) AS study_id) FROM (SELECT {PAPER_COLS} FROM all_papers WHERE study_id = 3)")
+
+
+def _csv_field(c: str) -> str:
+    x = f"coalesce(CAST({c} AS VARCHAR), '')"
+    return f"CASE WHEN regexp_matches({x}, '[\",\\r\\n]') THEN '\"' || replace({x}, '\"', '\"\"') || '\"' ELSE {x} END"
+
+
+ORACLES["export_csv"] = R("SELECT DISTINCT study_id, '" + PAPER_COLS.replace(" ", "") + "' AS line FROM all_papers UNION ALL "
+                          "SELECT study_id, " + " || ',' || ".join(_csv_field(c) for c in PAPER_COLS.split(", ")) + " FROM all_papers")
 ORACLES["csv_roundtrip"] = R("SELECT coalesce(doi, '') AS doi FROM all_papers WHERE study_id = 1")
 
 ORACLES["prisma_flow"] = R("""SELECT s.study_id,
