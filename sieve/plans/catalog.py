@@ -483,6 +483,17 @@ def q_ingest_records(spark, sf_dir):
     return records.select("key", "title", "year", "ee")
 
 
+@query("ingest_varied")
+def q_ingest_varied(spark, sf_dir):
+    """The bibliography in dump order, its start tags written in several ways and beside
+    comments and CDATA that hold others; read back and numbered."""
+    path = scratch_path(spark, "bib-varied")
+    bib = ReviewInputs(spark, sf_dir).bib
+    bibliography.write_dump(bib.repartitionByRange(5, "ord").sortWithinPartitions("ord"), path, bibliography.varied_xml())
+    records, _ = bibliography.read_bibliography(spark, path)
+    return records.select("ord", "key", "title", "year", "ee")
+
+
 @query("write_papers")
 def q_write_papers(spark, sf_dir):
     """Papers of all reviews written partitioned by study, read back."""

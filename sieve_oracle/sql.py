@@ -685,6 +685,10 @@ ORACLES["ingest_records"] = f"""WITH {views('bib')}
 SELECT key, title, year, ee FROM bib"""
 
 
+ORACLES["ingest_varied"] = f"""WITH {views('bib')}
+SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, key, title, year, ee FROM bib"""
+
+
 def _typed(doc: str, f: str, kind: str) -> str:
     t = f"json_type({doc}, '$.{f}')"
     if kind == "str":
