@@ -18,7 +18,7 @@ can take.  Every candidate is verified by its bit distance.
 
 from __future__ import annotations
 
-from itertools import islice, repeat
+from itertools import combinations, islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import by_id, fresh, lookup, lower_ascii_table, quoted, without
+from .common import BROADCAST_ROWS, by_id, fresh, lookup, lower_ascii_table, quoted, without
 from .graph import components
 
 SHINGLE = 3
@@ -36,6 +36,8 @@ MAX_BITS = 3
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: generator polynomial x^11+x^10+x^6+x^5+x^4+x^2+1 of the Golay code (fixed value)
 GOLAY = 0xC75
+#: fingerprints of a key group that one task compares (at worst each with each)
+GROUP = 8_192
 LOWER = lower_ascii_table()
 
 
@@ -178,49 +180,120 @@ def _emit_keys(batches):
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(side), pa.array(fps[row])], ["key", "side", "fp"])
 
 
-def _link_groups(max_bits: int):
+def _link_groups(max_bits: int, bound: int):
     def links(key, side, fp):
         """Links within the groups of equal keys; keys are sorted."""
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
         # a group needs a row for either side and two rows at least
         ok = (sizes > 1) & (np.bitwise_or.reduceat(side, starts) == 3) if len(key) else np.zeros(0, bool)
+        large = ok & (sizes > bound)
         twos = starts[ok & (sizes == 2)]
         x, y = fp[twos], fp[twos + 1]
         near = (x != y) & (np.bitwise_count((x ^ y).view(np.uint64)) <= max_bits)
         out = [(np.maximum(x, y)[near], np.minimum(x, y)[near])]
-        out += [linked_in_group(fp[s:s + n], max_bits) for s, n in zip(starts[ok & (sizes > 2)], sizes[ok & (sizes > 2)])]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in (0, 1)], ["a", "b"])
+        some = ok & ~large & (sizes > 2)
+        out += [linked_in_group(fp[s:s + n], max_bits) for s, n in zip(starts[some], sizes[some])]
+        yield rows(*(np.concatenate([o[k] for o in out]) for k in (0, 1)), False)
+        for s, n in zip(starts[large], sizes[large]):
+            yield rows(fp[s:s + n], key[s:s + n], True)
+
+    def rows(a, b, large: bool):
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), large))], ["a", "b", "large"])
 
     def run(batches):
         held: list[tuple] = []  # rows of the last key so far
+        size, passed = 0, None  # passed: the key whose rows are too many and go on
         for batch in batches:
             if not len(batch):
                 continue
             now = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if passed is not None:
+                cut = int(np.searchsorted(now[0], passed, "right"))
+                yield rows(now[2][:cut], now[0][:cut], True)
+                now = tuple(x[cut:] for x in now)
+                if not len(now[0]):
+                    continue
+                passed = None
             if held and now[0][0] != held[-1][0][0]:
-                yield links(*(np.concatenate(c) for c in zip(*held)))
-                held = []
-            if now[0][0] == now[0][-1]:
-                held.append(now)
-                continue
+                yield from links(*(np.concatenate(c) for c in zip(*held)))
+                held, size = [], 0
             cut = int(np.searchsorted(now[0], now[0][-1], "left"))
-            yield links(*(np.concatenate(c) for c in zip(*held, tuple(x[:cut] for x in now))))
-            held = [tuple(x[cut:] for x in now)]
+            if cut:
+                yield from links(*(np.concatenate(c) for c in zip(*held, tuple(x[:cut] for x in now))))
+                held, size = [], 0
+            held.append(tuple(x[cut:] for x in now))
+            size += len(held[-1][0])
+            if size > bound:
+                for h in held:
+                    yield rows(h[2], h[0], True)
+                passed, held, size = held[-1][0][0], [], 0
         if held:
-            yield links(*(np.concatenate(c) for c in zip(*held)))
+            yield from links(*(np.concatenate(c) for c in zip(*held)))
 
     return run
 
 
-def near_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+#: parts that a crowded group's varying bits are dealt in, and how many of them make a
+#: key: three differing bits leave two of five parts equal
+PARTS, EQUAL = 5, 2
+
+
+def varying_masks(bits: int) -> list[int]:
+    """Masks of every ``EQUAL`` of ``PARTS`` parts of the set ``bits``."""
+    ones = [1 << k for k in range(64) if bits >> k & 1]
+    parts = [sum(ones[k::PARTS]) for k in range(PARTS)]
+    return [sum(c) for c in combinations(parts, EQUAL)]
+
+
+def _narrower_keys(batches):
+    """The fingerprints of crowded groups under keys of their varying bits."""
+    import xxhash
+
+    masks: dict[int, list[int]] = {}
+    for batch in batches:
+        key, fp, varies = (batch.column(c).to_numpy() for c in ("key", "fp", "varies"))
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for own in np.unique(key):
+            rows = key == own
+            bits = int(varies[rows][0]) & (1 << 64) - 1
+            if bits not in masks:
+                masks[bits] = varying_masks(bits)
+            for k, mask in enumerate(masks[bits]):
+                seed = xxhash.xxh64_intdigest(f"{own}:{k}")
+                h = ((fp[rows].view(np.uint64) & np.uint64(mask)) ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+                h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+                out.append(((h ^ (h >> np.uint64(29))).view(np.int64), fp[rows]))
+        if out:
+            keys, fps = (np.concatenate([o[k] for o in out]) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), 3, np.int8)), pa.array(fps)], ["key", "side", "fp"])
+
+
+def near_links(fps: DataFrame, max_bits: int = MAX_BITS, bound: int | None = None) -> DataFrame:
     """Links ``a, b`` that connect the distinct fingerprints of column ``fp``
     exactly as all pairs within ``max_bits`` (at most 3) bits would; within a
-    key group each piece is given as a star, never as all its pairs."""
+    key group each piece is given as a star, never as all its pairs.
+
+    A group of more than ``bound`` fingerprints is not compared: its task passes its rows
+    on as they come, and they are dealt again by keys of the bits in which the group
+    varies (two of five parts of them, which any pair within three bits has equal).  As
+    every round fixes two fifths of those bits, groups come below the bound."""
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError("the Golay keys cover at most three differing bits")
-    keys = fps.select("fp").mapInArrow(_emit_keys, "key long, side byte, fp long")
-    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(_link_groups(max_bits), "a long, b long").distinct()
+    bound = GROUP if bound is None else bound
+    keys, found = fps.select("fp").mapInArrow(_emit_keys, "key long, side byte, fp long"), None
+    while True:
+        out, seen = materialize(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_link_groups(max_bits, bound), "a long, b long, large boolean"),
+                                "near-links", {"large": F.count_if("large")})
+        links = out.where("not large").select("a", "b")
+        found = links if found is None else found.unionByName(links)
+        if not seen["large"]:
+            return found.distinct()
+        rows = out.where("large").select(F.col("a").alias("fp"), F.col("b").alias("key"))
+        varies = rows.groupBy(F.col("key").alias("_key")).agg((F.bit_or("fp").bitwiseXOR(F.bit_and("fp"))).alias("varies"))
+        told, count = materialize(varies, "varying-bits", {"n": F.count(F.lit(1))})
+        met = rows.join(F.broadcast(told) if count["n"] <= BROADCAST_ROWS else told, F.col("key") == F.col("_key"))
+        keys = met.select("key", "fp", "varies").mapInArrow(_narrower_keys, "key long, side byte, fp long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from sieve.llm import simhash
 from sieve.llm.graph import components
 
@@ -90,6 +91,51 @@ def test_group_links_connect_as_all_pairs_do():
         assert root == want
 
 
+@pytest.mark.parametrize("bound", [simhash.GROUP, 300, 40])
+def test_crowded_groups_are_split(spark, bound):
+    """Fingerprints equal in bits 0 to 42 and free above, near ones among them, meet under
+    common keys: no task compares more than the bound, and no link is lost."""
+    rng = np.random.default_rng(6)
+    free = rng.choice(1 << 21, 1500, replace=False).astype(np.int64)
+    near = free[:400] ^ (1 << rng.integers(0, 21, 400)) ^ (1 << rng.integers(0, 21, 400))
+    fps = np.unique(np.concatenate([free, near]) << 43 | 0x3A5A5A5A5A5)
+    want = plain_components({int(f): {int(f) & (1 << 64) - 1} for f in fps})
+    table = spark.createDataFrame([(int(f),) for f in fps], "fp long")
+    links = simhash.near_links(table, bound=bound)
+    roots = {r["node"]: r["root"] for r in components(links).collect()}
+    groups = {}
+    for f, root in want.items():
+        groups.setdefault(root, set()).add(f)
+    got = {}
+    for f in want:
+        got.setdefault(roots.get(f, f), set()).add(f)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
+    assert links.where("a <= b").count() == 0 and links.count() < 40 * len(fps)
+
+
+def test_tasks_pass_on_what_is_over_the_bound():
+    """Rows of a crowded key go on as they come, over batch ends too; others are compared."""
+    import pyarrow as pa
+
+    key = np.repeat([1, 2, 3], [2, 50, 3])
+    fp = np.arange(len(key)) * 1_000_003 + 5
+    fp[1], fp[-1] = fp[0] ^ 1, fp[-2] ^ 3
+    batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), 3, np.int8)), pa.array(fp)], ["key", "side", "fp"])
+    for size in (1, 7, 100):
+        out = pa.Table.from_batches(list(simhash._link_groups(3, 10)(batch.slice(k, size) for k in range(0, len(batch), size)))).to_pandas()
+        assert sorted(out[out.large].a) == fp[key == 2].tolist() and set(out[out.large].b) == {2}
+        assert sorted(zip(out[~out.large].a, out[~out.large].b)) == sorted([(max(fp[:2]), min(fp[:2])), (max(fp[-2:]), min(fp[-2:]))])
+
+
+def test_three_bits_leave_a_key_equal():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        bits = int(rng.integers(1, 1 << 62))
+        ones = [k for k in range(64) if bits >> k & 1]
+        wrong = sum(1 << int(k) for k in rng.choice(ones, min(3, len(ones)), replace=False))
+        assert any(wrong & m == 0 for m in simhash.varying_masks(bits))
+
+
 def test_components_of_chains_stars_and_nulls(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7), (None, 3), (200, None), (300, 301)]
     rows = components(spark.createDataFrame(links, "a long, b long")).collect()
