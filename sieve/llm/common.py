@@ -18,9 +18,10 @@ BROADCAST_IDS = 1_000_000
 #: rows of long texts in an Arrow batch, and its bytes
 BATCH_ROWS = 1_000
 BATCH_BYTES = 8 << 20
-#: copies of a lookup side that is too large to broadcast; a hot key of the
-#: other side is spread over as many tasks
-SALTS = 16
+#: rows of a key from which it is spread over several tasks
+HOT_ROWS = 100_000
+#: parts that rows without an id are dealt in
+NULL_PARTS = 256
 
 
 def lower_ascii_table() -> bytes:
@@ -69,14 +70,14 @@ def words_of(c: Column) -> Column:
 
 
 def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], spread: Column,
-           how: str = "left", max_rows: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
+           how: str = "left", max_rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join ``left`` to ``right`` (unique per ``on``; null keys match null keys).
 
-    ``right`` is written once and its rows are counted.  Up to ``max_rows`` it
-    is broadcast, so ``left`` is not shuffled.  Beyond, ``right`` is copied
-    ``salts`` times and ``left`` is dealt by key and ``spread`` (a hash of a
-    column that varies within a key), so one hot key is shared by many tasks.
-    Both ways give the same rows.  The key columns appear once.
+    ``right`` is written once and its rows are counted.  Up to ``max_rows`` it is
+    broadcast, so ``left`` is not shuffled.  Beyond, the keys of ``left`` are counted: one
+    with over ``hot_rows`` rows is dealt by ``spread`` (a hash of a column that varies within
+    a key) into parts of about that size, and only such keys are copied in ``right``, once
+    a part.  All ways give the same rows.  The key columns appear once.
     """
     table, seen = materialize(right, "lookup", {"rows": F.count(F.lit(1))})
     keys = [fresh(left, f"key{i}") for i in range(len(on))]
@@ -85,9 +86,20 @@ def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], spread: Column,
     cond = [left[f"`{k}`"].eqNullSafe(F.col(n)) for k, n in zip(on, keys)]
     if seen["rows"] <= max_rows:
         return left.join(F.broadcast(table), cond, how).drop(*keys)
+    parts = fresh(left, "parts")
+    counted = left.groupBy(*[quoted(k).alias(f"{k}_h") for k, n in zip(on, keys)]).agg(F.count(F.lit(1)).alias(parts)).where(F.col(parts) > hot_rows)
+    hot, found = materialize(counted.withColumn(parts, F.ceil(F.col(parts) / F.lit(hot_rows)).cast("int")), "hot-keys", {"rows": F.count(F.lit(1))})
+    if not found["rows"]:
+        return left.join(table, cond, how).drop(*keys)
+    # a hot key has hot_rows rows at least, so there are few of them
+    named = [hot.select(*[quoted(f"{k}_h").alias(f"{n}_h") for k, n in zip(on, keys)], parts) for _ in range(2)]
+    few = [F.broadcast(h) if found["rows"] <= max_rows else h for h in named]
     salt, copy = fresh(left, "salt"), fresh(left, "copy")
-    salted = left.withColumn(salt, F.pmod(spread, F.lit(salts)).cast("int"))
-    copies = table.withColumn(copy, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    marks = [f"{n}_h" for n in keys]
+    salted = left.join(few[0], [left[f"`{k}`"].eqNullSafe(F.col(m)) for k, m in zip(on, marks)], "left") \
+        .withColumn(salt, F.when(F.col(parts).isNotNull(), F.pmod(spread, F.col(parts)).cast("int")).otherwise(0)).drop(parts, *marks)
+    copies = table.join(few[1], [F.col(n).eqNullSafe(F.col(m)) for n, m in zip(keys, marks)], "left") \
+        .withColumn(copy, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(1)) - 1))).drop(parts, *marks)
     cond = [salted[f"`{k}`"].eqNullSafe(F.col(n)) for k, n in zip(on, keys)] + [F.col(salt) == F.col(copy)]
     return salted.join(copies, cond, how).drop(salt, copy, *keys)
 
@@ -95,11 +107,17 @@ def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], spread: Column,
 def by_id(docs: DataFrame, id_col: str, info: DataFrame, key: str, how: str = "left") -> tuple[DataFrame, dict[str, str]]:
     """``docs`` joined to ``info`` (unique per ``key``) by id, null ids to a null key.
 
-    The columns of ``info`` get names that ``docs`` lacks; returns the join and the
-    names by column.  Callers drop them."""
+    Rows without an id are dealt over :data:`NULL_PARTS` parts by a hash of the row, so
+    that they and their texts don't meet in one task.  The columns of ``info`` get names
+    that ``docs`` lacks; returns the join and the names by column.  Callers drop them."""
     names = {c: fresh(docs, c.lstrip("_")) for c in info.columns}
     renamed = info.select(*[quoted(c).alias(n) for c, n in names.items()])
-    return docs.join(renamed, quoted(id_col).eqNullSafe(F.col(names[key])), how), names
+    part, copy = fresh(docs, "part"), fresh(docs, "part_copy")
+    own = F.when(quoted(id_col).isNull(), F.pmod(F.xxhash64(*[quoted(c) for c in docs.columns]), F.lit(NULL_PARTS)).cast("int")).otherwise(0)
+    copies = F.when(F.col(names[key]).isNull(), F.sequence(F.lit(0), F.lit(NULL_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    renamed = renamed.withColumn(copy, F.explode(copies))
+    met = docs.withColumn(part, own).join(renamed, quoted(id_col).eqNullSafe(F.col(names[key])) & (F.col(part) == F.col(copy)), how)
+    return met.drop(part, copy), names
 
 
 def without(docs: DataFrame, id_col: str, gone: DataFrame, max_rows: int = BROADCAST_IDS) -> DataFrame:
