@@ -40,6 +40,9 @@ SUBSETS = LEVEL * len(SHARES)
 LIVE = 0.95
 #: documents, bytes and terms of a chunk whose terms a task counts before it passes them on
 CHUNK_DOCS, CHUNK_BYTES, SLICE = 4_096, 16 << 20, 1_000_000
+#: terms and bytes of a lexicon that a worker can hold: at one document in 2,000, documents
+#: would need 1,000 distinct terms of the band each, on average, to reach the first
+MAX_TERMS, MAX_BYTES = 2_000_000, 64 << 20
 WORDS = word_table()
 #: hex digits of a subset's hash, and what stands for a subset without a term
 DIGITS = 4
@@ -71,7 +74,8 @@ def level_mask(term: bytes) -> int:
 
 
 def short_hash(parts, size: int) -> str:
-    return hashlib.blake2b(b" ".join(sorted(parts)), digest_size=size).hexdigest()
+    """Hash of sorted terms."""
+    return hashlib.blake2b(b" ".join(parts), digest_size=size).hexdigest()
 
 
 def likeness(a: str, b: str) -> float:
@@ -99,30 +103,35 @@ class Lexicon:
     masks: dict[bytes, int]
     subsets: int = SUBSETS
 
+    def places(self) -> dict[bytes, tuple[int, ...]]:
+        """The subsets of each term, as plain values."""
+        return {t: tuple(k for k in range(m.bit_length()) if m >> k & 1) for t, m in self.masks.items()}
+
     def fingerprint(self, text: bytes | None) -> str:
-        """16 hex digits for all lexicon terms (for a text with none of them, all
-        its terms), then DIGITS for each subset, zeros where it has no term."""
-        own = terms(text)
-        held = [t for t in own if t in self.masks]
-        by: list[list[bytes]] = [[] for _ in range(self.subsets)]
-        for t in held:
-            mask = self.masks[t]
-            while mask:
-                low = mask & -mask
-                by[low.bit_length() - 1].append(t)
-                mask ^= low
-        return short_hash(held or own, 8) + "".join(short_hash(p, DIGITS // 2) if p else NONE for p in by)
+        return fingerprint(text, self.places(), self.subsets)
 
     def column(self, text: Column) -> Column:
         """Fingerprint of a text column (a null text is an empty one)."""
-        own = self
+        places, subsets = self.places(), self.subsets
 
         def run(texts: pd.Series) -> pd.Series:
-            return pd.Series([own.fingerprint((t or "").encode()) for t in texts], dtype="object")
+            return pd.Series([fingerprint((t or "").encode(), places, subsets) for t in texts], dtype="object")
 
         return F.pandas_udf(run, "string")(text)
 
 
+def fingerprint(text: bytes | None, places: dict[bytes, tuple[int, ...]], subsets: int) -> str:
+    """16 hex digits for all lexicon terms (for a text with none of them, all its terms),
+    then DIGITS for each subset, zeros where it has no term."""
+    own = terms(text)
+    held = sorted(own & places.keys())
+    by: list[list[bytes]] = [[] for _ in range(subsets)]
+    for t in held:  # in order, so every subset's terms are sorted too
+        for k in places[t]:
+            by[k].append(t)
+    return short_hash(held or sorted(own), 8) + "".join([short_hash(p, DIGITS // 2) if p else NONE for p in by])
+
+
 def build_lexicon(docs: DataFrame, text_col: str = "text", min_idf: float = MIN_IDF, max_idf: float = MAX_IDF,
                   subsets: int = SUBSETS, share: float | None = None) -> Lexicon:
     """The terms of all rows' texts within the band; empty without documents.  With
@@ -151,7 +160,9 @@ def build_lexicon(docs: DataFrame, text_col: str = "text", min_idf: float = MIN_
     idf = F.log(F.lit(float(total)) / F.col("n"))
     band = texts.mapInArrow(count, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")) \
         .where((idf >= min_idf - 1e-12) & (idf <= max_idf + 1e-12)).select("term")
-    held = [bytes(r["term"]) for r in band.collect()]
+    held = [bytes(r["term"]) for r in band.limit(MAX_TERMS + 1).collect()]
+    if len(held) > MAX_TERMS or sum(map(len, held)) > MAX_BYTES:
+        raise ValueError(f"the band holds more than {MAX_TERMS} terms or {MAX_BYTES} bytes: choose a smaller max_idf")
     return Lexicon({t: level_mask(t) if share is None else subset_mask(t, subsets, share) for t in held}, subsets)
 
 
@@ -200,7 +211,8 @@ def edited_and_next(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", t
     The edited text is the text whose last half (rounded down) of code points is
     replaced by the first as many, or all, of the next document in ascending id,
     after the last document the first.  Null texts are empty ones."""
-    sent = docs.sparkSession.sparkContext.broadcast(lexicon)
+    # plain values: workers may lack this package
+    sent, subsets = docs.sparkSession.sparkContext.broadcast(lexicon.places()), lexicon.subsets
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
@@ -213,12 +225,12 @@ def edited_and_next(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", t
                     bucket, held = b, None
                 elif held is None:  # a further guest: the range is done
                     continue
-                mark = sent.value.fingerprint(text.encode())
+                mark = fingerprint(text.encode(), sent.value, subsets)
                 if held is not None:
                     doc, was = held
                     half = len(was) // 2
                     edited = (was[:len(was) - half] + text[:half]).encode()
-                    other = sent.value.fingerprint(edited)
+                    other = fingerprint(edited, sent.value, subsets)
                     rows.append((doc, len(was), hashlib.sha256(edited).hexdigest(), own, other, likeness(own, other), likeness(own, mark)))
                 held, own = (None if guest else (i, text)), mark
             cols = list(zip(*rows)) or [()] * 7
