@@ -124,8 +124,9 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size:
 
     rows = docs.select(quoted(text_col).alias("text"), quoted(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     counted = rows.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code")) - 1
-    kept = counted.withColumn("place", place).where(F.col("place") < size).select("lang", "code", "place").limit(MAX_LANGUAGES * size + 1).collect()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
+    # compared as it is, so that tasks keep their best only before the shuffle
+    kept = counted.withColumn("place", place).where(F.col("place") <= size).select("lang", "code", (F.col("place") - 1).alias("place")).limit(MAX_LANGUAGES * size + 1).collect()
     by: dict[str, list[tuple[int, int]]] = {}
     for r in kept:
         by.setdefault(r["lang"], []).append((r["code"], r["place"]))
