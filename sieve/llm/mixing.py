@@ -293,7 +293,7 @@ def mix(docs: DataFrame, dims: Mapping[str, Column], tokens: Column | None = Non
         held = held.withColumn(own[d], column)
     names = list(own.values())
     counted = held.select(*names, (tokens_column(quoted(text_col)) if tokens is None else tokens).alias("_tokens"))
-    cells = counted.groupBy(*names).agg(F.sum("_tokens").alias("tokens"))
+    cells = materialize(counted.groupBy(*names).agg(F.sum("_tokens").alias("tokens")), "token-cells")
     goals = {own[d]: t for d, t in (targets or {}).items()}
     ratio, chance = fresh(held, "ratio"), fresh(held, "chance")
     table, seen = materialize(rake_cells(cells, names, goals, alpha, max_cells).withColumnRenamed("ratio", ratio), "ratios", {"most": F.max(ratio)})
