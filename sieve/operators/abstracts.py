@@ -13,23 +13,17 @@ URL contains                  extraction
 anything else                 fallback: long paragraphs of the page text
 ============================  =====================================
 
-Everything but the element-by-id text is a built-in expression.  Finding an
-element by id needs real HTML nesting, so that route runs ``mapInPandas``
-with the standard-library parser; only the HTML of rows routed to it is
-handed to Python.
+Everything is a built-in expression: elements are found by one fold over a page's
+tags with a stack of the open ones (``functions.markup``).
 """
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-from typing import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.text import clean_text, decode_entities, long_paragraphs, markup_text
+from ..functions import markup
+from ..functions.text import clean_text, decode_entities, long_paragraphs
 
 # fixed routes: (url substring(s), route name, element id)
 ROUTES = [
@@ -76,19 +70,14 @@ def meta_description(html) -> Column:
     return F.when(tag != "", decode_entities(raw))
 
 
-# elements whose whole content is dropped before the fallback text is taken;
-# ``li`` first so a list item never leaves half a ``ul`` behind.
+# elements whose whole content is dropped before the fallback text is taken
 DROPPED_ELEMENTS = ["script", "style", "li", "ul"]
 
 
 def page_text_without(html, elements=DROPPED_ELEMENTS) -> Column:
-    """Text of a page after dropping the given elements with their content."""
-    h = F.regexp_replace(_c(html), "(?s)<!--.*?-->", "")
-    for e in elements:
-        h = F.regexp_replace(h, f"(?is)<{e}(?:[\\s/][^>]*)?>.*?</{e}\\s*>", "")
-    # the doctype / declarations carry no text
-    h = F.regexp_replace(h, "(?s)<![^>]*>", "")
-    return markup_text(h)
+    """Text of a page after dropping the given elements with their content, however
+    they nest."""
+    return markup.text_without(html, list(elements))
 
 
 def fallback_abstract(html, min_words: int = FALLBACK_MIN_WORDS) -> Column:
@@ -99,96 +88,25 @@ def fallback_abstract(html, min_words: int = FALLBACK_MIN_WORDS) -> Column:
     return F.when(idx > 0, body.substr(idx, F.lit(1 << 30))).otherwise(body)
 
 
-# --- element text by id (Python HTML parser, batched with Arrow) ---------------
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-
-
-class _TextById(HTMLParser):
-    """Collect the text of the first element whose ``id`` equals ``target``."""
-
-    def __init__(self, target: str):
-        super().__init__(convert_charrefs=True)
-        self.target = target
-        self.tag: str | None = None
-        self.depth = 0
-        self.done = False
-        self.found = False
-        self.parts: list[str] = []
-
-    def handle_starttag(self, tag, attrs):
-        if self.done:
-            return
-        if self.depth:
-            if tag == self.tag:
-                self.depth += 1
-            return
-        if dict(attrs).get("id") == self.target:
-            self.found = True
-            if tag in _VOID:
-                self.done = True
-                return
-            self.tag, self.depth = tag, 1
-
-    def handle_startendtag(self, tag, attrs):
-        if not self.done and not self.depth and dict(attrs).get("id") == self.target:
-            self.found, self.done = True, True
-
-    def handle_endtag(self, tag):
-        if self.depth and tag == self.tag:
-            self.depth -= 1
-            if self.depth == 0:
-                self.done = True
-
-    def handle_data(self, data):
-        if self.depth and not self.done:
-            self.parts.append(data)
-
-
-def text_by_id_py(html: str | None, element_id: str | None) -> str:
+# --- element text by id --------------------------------------------------------
+def id_text(html, element_id) -> Column:
     """Cleaned text of the first element with that id; ``''`` when missing."""
-    if not isinstance(html, str) or not element_id:
-        return ""
-    p = _TextById(element_id)
-    try:
-        p.feed(html)
-        p.close()
-    except Exception:  # malformed markup: keep what was read
-        pass
-    if not p.found:
-        return ""
-    return "".join(p.parts).strip().replace("\n", "")
+    return clean_text(markup.text_by_id(html, element_id))
 
 
 def text_by_id(df: DataFrame, html: str = "html", element_id: str = "element_id", out: str = "text",
                keep_html: bool = False) -> DataFrame:
-    """Add ``out`` = cleaned text of the element with the row's id (one Arrow
-    batch at a time on the executors).  The HTML column is not sent back
-    unless ``keep_html``."""
-    kept = [f for f in df.schema.fields if keep_html or f.name != html]
-    schema = T.StructType(kept + [T.StructField(out, T.StringType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf[out] = [text_by_id_py(h, e) for h, e in zip(pdf[html], pdf[element_id])]
-            yield pdf if keep_html else pdf.drop(columns=[html])
-
-    return df.mapInPandas(run, schema)
+    """Add ``out`` = cleaned text of the element with the row's id.  The HTML column is
+    dropped unless ``keep_html``."""
+    kept = [F.col(c) for c in df.columns if (keep_html or c != html) and c != out]
+    return df.select(*kept, id_text(html, element_id).alias(out))
 
 
 def extract_abstracts(pages: DataFrame, keys: list[str], url: str = "url", html: str = "html",
                       out: str = "abstract") -> DataFrame:
-    """``keys`` + ``url`` + ``route`` + ``out`` (abstract) per page.
-
-    One scan: the built-in routes are computed in the projection, before the
-    Python stage; the page HTML is handed to the Python parser only for rows
-    routed by element id (other rows pass a NULL), so besides that HTML only
-    the keys, route and the already extracted (short) abstract travel through
-    Python."""
+    """``keys`` + ``url`` + ``route`` + ``out`` (abstract) per page, in one projection:
+    each page is parsed for its own route only."""
     r = abstract_route(url)
-    native = F.when(r["route"] == "meta", meta_description(html)).when(r["route"] == "fallback", fallback_abstract(html))
-    step = pages.select(*keys, F.col(url).alias("_url"), r["route"].alias("route"),
-                        F.when(r["route"] == "id", F.col(html)).alias("_idhtml"), r["element_id"].alias("_eid"),
-                        native.alias("_native"))
-    parsed = text_by_id(step, html="_idhtml", element_id="_eid", out="_idtext")
-    return parsed.select(*keys, F.col("_url").alias(url), "route",
-                         F.when(F.col("route") == "id", F.col("_idtext")).otherwise(F.col("_native")).alias(out))
+    made = F.when(r["route"] == "meta", meta_description(html)).when(r["route"] == "fallback", fallback_abstract(html)) \
+        .otherwise(id_text(html, r["element_id"]))
+    return pages.select(*keys, F.col(url), r["route"].alias("route"), made.alias(out))

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import markup_text, py_strip
+from ..functions.markup import table_cells
+from ..functions.text import py_strip
 from ..functions.venue import parse_rank, rank_kind
 from .joins import bounded_broadcast, unique_by
 
@@ -18,16 +19,13 @@ from .joins import bounded_broadcast, unique_by
 KEY_CELL = {"conference": 1, "journal": 0}
 RANK_CELL = 3
 
-FIRST_TABLE = "(?is)<table(?:\\s[^>]*)?>(.*?)</table>"
-ROW = "(?is)<tr(?:\\s[^>]*)?>(.*?)</tr>"
-CELL = "(?is)<td(?:\\s[^>]*)?>(.*?)</td>"
-
 
 def rank_rows(pages: DataFrame, kind, page_id: str = "page_id", html: str = "html") -> DataFrame:
     """Data rows of the first table of each page →
     ``(kind, lookup_key, page_id, pos, rank_text)``; cell texts are the
     stripped text content.  ``pos`` counts rows after the header (from 1).
-    Rows with fewer than four cells are skipped.
+    Rows with fewer than four cells are skipped.  Tables in cells count as part
+    of the first table: their rows are rows, and their cells cells, too.
 
     ``kind`` is ``"conference"`` / ``"journal"`` for pages of one kind, or a
     Column naming each page's kind, so mixed pages are read in one pass."""
@@ -37,22 +35,19 @@ def rank_rows(pages: DataFrame, kind, page_id: str = "page_id", html: str = "htm
         kind_col = F.lit(kind)
     else:
         kind_col = kind
-    table = F.regexp_extract(F.col(html), FIRST_TABLE, 1)
-    rows = F.regexp_extract_all(table, F.lit(ROW), 1)
     exploded = pages.select(kind_col.alias("_kind"), F.col(page_id).cast("bigint").alias("page_id"),
-                            F.posexplode(rows).alias("pos", "row")).where(F.col("pos") >= 1)
-    cells = F.regexp_extract_all(F.col("row"), F.lit(CELL), 1)
-    with_cells = exploded.select("_kind", "page_id", "pos", cells.alias("cells")) \
+                            F.posexplode(table_cells(html)).alias("pos", "cells")).where(F.col("pos") >= 1)
+    with_cells = exploded \
         .where(F.size("cells") > RANK_CELL).where(F.col("_kind").isin(*KEY_CELL))
 
     def cell(i):
-        return py_strip(markup_text(F.col("cells")[i]))
+        return py_strip(F.col("cells")[i])
 
     key_idx = F.when(F.col("_kind") == "conference", F.lit(KEY_CELL["conference"])) \
         .otherwise(F.lit(KEY_CELL["journal"]))
     return with_cells.select(
         F.col("_kind").alias("kind"),
-        py_strip(markup_text(F.element_at("cells", key_idx + 1))).alias("lookup_key"),
+        py_strip(F.element_at("cells", key_idx + 1)).alias("lookup_key"),
         "page_id",
         F.col("pos").cast("int").alias("pos"),
         cell(RANK_CELL).alias("rank_text"),

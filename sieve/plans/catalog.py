@@ -12,7 +12,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import cnf, formats, text, venue
+from ..functions import cnf, formats, markup, text, venue
 from ..operators import abstracts, assess, enrich, multi, prisma, reports, screening, titles
 from ..operators import ranks as rank_ops
 from ..schemas import PAPERS
@@ -249,6 +249,16 @@ def q_extract_abstract(spark, sf_dir):
     return abstracts.extract_abstracts(web, ["page_id"]).select("page_id", "route", "abstract")
 
 
+@query("nested_markup")
+def q_nested_markup(spark, sf_dir):
+    """Pages with nested lists, blocks and tables: text without lists and scripts, text of
+    an element by id, and cells of the first table's rows."""
+    pages = ReviewInputs(spark, sf_dir).view("nested")
+    rows = markup.table_cells("html")
+    return pages.select("doc_id", abstracts.page_text_without("html").alias("rest"), abstracts.id_text("html", F.lit("abs")).alias("abs"),
+                        F.array_join(F.transform(rows, lambda r: F.array_join(r, "|")), ";").alias("cells"))
+
+
 @query("likert_label")
 def q_likert_label(spark, sf_dir):
     """Likert label of every line number (1..7)."""
@@ -282,30 +292,30 @@ def q_resolve_ids_ranked(spark, sf_dir):
 
 
 def _accepted_enriched(spark, sf_dir):
+    """Review 1's accepted papers with their metadata columns, in one pass."""
     inp = ReviewInputs(spark, sf_dir)
-    return inp, enrich.enrich(screen_study(inp, 1), inp.view("meta"))
+    return inp, enrich.enrich_wide(screen_study(inp, 1), inp.view("meta"))
 
 
 @query("enrich_papers")
 def q_enrich_papers(spark, sf_dir):
     """Accepted papers of review 1 with pdf link, tldr and abstract."""
-    _, (papers, contents, _) = _accepted_enriched(spark, sf_dir)
-    return papers.join(contents, ["study_id", "rec_id"], "left").select(
-        "rec_id", "doi", "pdf_source", "tldr", "abstract")
+    _, wide = _accepted_enriched(spark, sf_dir)
+    return wide.select("rec_id", "doi", "pdf_source", "tldr", "abstract")
 
 
 @query("paper_metrics")
 def q_paper_metrics(spark, sf_dir):
     """Citation metrics of review 1's accepted papers that have metadata."""
-    _, (_, _, metrics) = _accepted_enriched(spark, sf_dir)
-    return metrics.select("rec_id", "citations", "influential_citations")
+    _, wide = _accepted_enriched(spark, sf_dir)
+    return wide.where("meta_found").select("rec_id", "citations", "influential_citations")
 
 
 @query("abstract_coalesce")
 def q_abstract_coalesce(spark, sf_dir):
     """Contents of review 1's papers; empty abstracts filled from landing pages."""
-    inp, (papers, contents, _) = _accepted_enriched(spark, sf_dir)
-    c = contents.join(papers.select("study_id", "rec_id", "publisher_source"), ["study_id", "rec_id"])
+    inp, wide = _accepted_enriched(spark, sf_dir)
+    c = wide.where("meta_found").select("study_id", "rec_id", "publisher_source", "tldr", "abstract")
     filled = enrich.abstract_fallback(c, inp.view("landing"))
     return filled.select("rec_id", "abstract")
 

@@ -127,6 +127,15 @@ SELECT concat('https://doi.org/10.', CAST(1000 + page_id % 9000 AS STRING), '/Bi
                   WHEN 1 THEN concat('<div id="abs">Abstract: item ', CAST(page_id AS STRING), '</div>', html)
                   ELSE html END AS html
 FROM {pages}
+""",
+    # pages whose lists, blocks and tables nest, around two pieces of a text
+    "nested": """
+SELECT doc_id, a, b,
+ concat('<html><body><div id="top"><ul class="x>y"><li>no', a, '<ul><li>no</li><li>no<ul><li>', b, '</li></ul></li></ul>no</li></ul>',
+        '<div id="abs">', a, '<div>inner<ul><li>no</li></ul></div><br>', b, '</div></li>tail<script>var t = "<ul>";</script></div>',
+        '<table><tr><th>h</th></tr><tr><td>', a, '</td><td><table><tr><td>', b, '</td></tr></table></td><td>x</td></tr></table></body></html>') AS html
+FROM (SELECT doc_id, trim(translate(substr(coalesce(text, ''), 1, 40), concat('<>&', chr(9), chr(10), chr(13)), '      ')) AS a,
+             concat('doc ', CAST(doc_id AS STRING)) AS b FROM {documents}) t
 """,
     # pilot set for recall: DOIs of documents labelled high quality, every
     # fifth in upper case (recall is case-sensitive)

@@ -135,7 +135,7 @@ class ReviewRun:
         found = self._wide.where("meta_found").select(*KEY, "publisher_source", "tldr", "abstract")
         if self.landing is None:
             return found.select(*KEY, "tldr", "abstract")
-        # the fallback parses pages (partly in Python): written once, read by
+        # the fallback parses pages: written once, read by
         # requests, PRISMA and the statistics
         return materialize(abstract_fallback(found, self.landing, cut=True).select(*KEY, "tldr", "abstract"),
                            "contents")

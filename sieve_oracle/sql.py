@@ -685,6 +685,10 @@ ORACLES["ingest_records"] = f"""WITH {views('bib')}
 SELECT key, title, year, ee FROM bib"""
 
 
+# what is left and found, from the pieces the pages are made of
+ORACLES["nested_markup"] = f"""WITH {views('nested')}
+SELECT doc_id, a || 'inner' || b || 'tailh' || a || b || 'x' AS rest, trim(a || 'innerno' || b) AS abs,
+       ';' || a || '|' || b || '|' || b || '|x;' || b AS cells FROM nested"""
 ORACLES["ingest_varied"] = f"""WITH {views('bib')}
 SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, key, title, year, ee FROM bib"""
 

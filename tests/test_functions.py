@@ -90,11 +90,15 @@ def test_fallback_abstract(spark):
     assert short == ""
 
 
-def test_text_by_id_nested_and_missing():
-    html = '<div id="abs">A <div>nested</div> end</div><div>after</div>'
-    assert abstracts.text_by_id_py(html, "abs") == "A nested end"
-    assert abstracts.text_by_id_py("<p>x</p>", "abs") == ""
-    assert abstracts.text_by_id_py('<p id="abstract">\n x &amp; y \n</p>', "abstract") == "x & y"
+def test_text_by_id_nested_and_missing(spark):
+    rows = [('<div id="abs">A <div>nested</div> end</div><div>after</div>', "abs", "A nested end"), ("<p>x</p>", "abs", ""),
+            ('<p id="abstract">\n x &amp; y \n</p>', "abstract", "x & y"), (None, "abs", ""), ("<p id=abs>open", "abs", "open"),
+            ("<i data-id='abs'>no</i><b class='a>b' ID = 'abs'>yes</b><b id=abs>later</b>", "abs", "yes"), ('<br id="abs">after', "abs", "")]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, html string, element_id string, want string")
+    out = abstracts.text_by_id(df)
+    assert out.columns == ["k", "element_id", "want", "text"]
+    assert all(r.text == r.want for r in out.collect())
+    assert abstracts.text_by_id(df, keep_html=True).columns == ["k", "html", "element_id", "want", "text"]
 
 
 def test_routes(spark):

@@ -250,3 +250,12 @@ def test_review_job_on_stored_records(spark, tmpdir_path):
     assert studies.papers_collected == 50            # the batch limit counts candidates
     assert 0 < papers.count() <= 50
     assert "rejects" not in written
+
+
+def test_enrichment_screens_once(spark):
+    """No second evaluation of the screening beside the metadata: one scan of each table."""
+    from sieve.plans.catalog import QUERIES
+
+    plan = QUERIES["enrich_papers"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    screened = QUERIES["screen"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= screened.count("FileScan") + 2  # the metadata is keyed by id and by DOI
