@@ -44,6 +44,9 @@ TAG = "<[A-Za-z_][\\w:.-]*" + ATTRIBUTES + "\\s+key\\s*=\\s*"
 START = TAG + "(?:\"[^\"<]*\"|'[^'<]*')"
 START_KEY = "^" + TAG + "(?:\"([^\"<]*)\"|'([^'<]*)')"
 SECTION = "(?s)<!\\[CDATA\\[.*?\\]\\]>|<!--.*?-->"
+#: sections without ``<`` inside hide nothing
+PLAIN_SECTION = "<!--[^<]*?-->|<!\\[CDATA\\[[^<]*?\\]\\]>"
+OPENER = "<!\\[CDATA\\[|<!--"
 FIRST = "(?s)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}\\s*>"
 EE_TEXT = "(?s)<ee(?:\\s[^>]*)?>([^<]*)"
 #: stands for ``<`` within sections; not a character of XML
@@ -71,7 +74,12 @@ def hide_sections(c: Column) -> Column:
     tokens = F.regexp_extract_all(c, F.lit(SECTION + "|[^<]+|<"), 0)
     hidden = F.transform(tokens, lambda t: F.when(t.startswith("<!") & (F.length(t) > 4),
                                                   F.concat(F.lit(HIDDEN), F.replace(t.substr(F.lit(2), F.length(t)), F.lit("<"), F.lit(HIDDEN)))).otherwise(t))
-    return F.when(c.rlike(SECTION), F.array_join(hidden, "")).otherwise(c)
+    return F.when(_has_more(c), F.array_join(hidden, "")).otherwise(c)
+
+
+def _has_more(c: Column) -> Column:
+    """Whether ``c`` has sections beyond plain ones, or an open one."""
+    return c.contains("<!") & F.regexp_replace(c, PLAIN_SECTION, "").rlike(OPENER)
 
 
 def shown(c: Column) -> Column:
@@ -80,9 +88,8 @@ def shown(c: Column) -> Column:
 
 def open_section(c: Column) -> Column:
     """Kind of a section that ``c`` opens and does not close (``-->`` or ``]]>``), or NULL."""
-    rest = F.regexp_replace(c, SECTION, "")
-    opener = F.regexp_extract(rest, "<!\\[CDATA\\[|<!--", 0)
-    return F.when(opener == "<!--", "-->").when(opener != "", "]]>")
+    opener = F.regexp_extract(F.regexp_replace(c, SECTION, ""), OPENER, 0)
+    return F.when(_has_more(c), F.when(opener == "<!--", "-->").when(opener != "", "]]>"))
 
 
 def parse_chunks(chunks: DataFrame, mark: str = RECORD_MARK) -> DataFrame:
@@ -155,15 +162,21 @@ def join_cut_sections(chunks: DataFrame, mark: str) -> DataFrame:
     return alone.unionByName(joined.select("chunk", "_at.file", "_at.block", "_at.at"))
 
 
+def _slim(parsed: DataFrame) -> DataFrame:
+    """Good records without their text."""
+    return parsed.withColumn("chunk", F.when(F.col("reason").isNotNull(), F.col("chunk")))
+
+
 def read_bibliography(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``(records, rejects)`` of an XML dump (file or directory), parsed once and written
-    to the shared folder.  ``rejects`` has the ``ord`` of the next record, the reason and
-    the whole text."""
+    """``(records, rejects)`` of an XML dump (file or directory), parsed and written to the
+    shared folder in one pass; a second one only if a section was cut.  ``rejects`` has the
+    ``ord`` of the next record, the reason and the whole text."""
     mark = record_mark(spark, path)
     chunks = read_chunks(spark, path, mark)
-    if not chunks.where(open_section(F.col("chunk")).isNotNull()).isEmpty():
-        chunks = join_cut_sections(chunks, mark)
-    parsed = materialize(parse_chunks(chunks, mark).withColumn("chunk", F.when(F.col("reason").isNotNull(), F.col("chunk"))), "parsed")
+    told = chunks.withColumn("_open", open_section(F.col("chunk")).isNotNull())
+    parsed, seen = materialize(_slim(parse_chunks(told, mark)), "parsed", {"open": F.count_if("_open")})
+    if seen["open"]:
+        parsed = materialize(_slim(parse_chunks(join_cut_sections(chunks, mark), mark)), "parsed")
     placed = _numbered(parsed, ["at", "sub"], F.col("reason").isNull(), "ord")
     records = placed.where(F.col("reason").isNull()).select(F.col("ord").alias("rec_id"), "ord", "key", "title", "year", "ee")
     rejects = placed.where(F.col("reason").isNotNull()).select("ord", "reason", "chunk")
