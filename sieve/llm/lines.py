@@ -38,8 +38,9 @@ MIN_CHARS = 20
 MIN_DOCS = 3
 #: repeated keys a filter shard is laid out for
 SHARD_KEYS = 65_536
-#: bytes of all filters up to which they are sent to the executors
-FILTER_BYTES = 64 << 20
+#: bytes of all filters up to which they are sent to the executors; beyond, rows of a
+#: shard that ask one copy of its filter
+FILTER_BYTES, PART_ROWS = 64 << 20, 1_000_000
 SPACE = b" \t\n\x0b\x0c\r"
 LOWER = lower_ascii_table()
 SLOTS = 4
@@ -252,14 +253,14 @@ class LineIndex:
     def maybe_repeated(self, refs: DataFrame) -> DataFrame:
         """The rows of ``refs`` (``doc_id, key``) whose key a filter may have.
 
-        The filters are sent to the executors if they take ``FILTER_BYTES`` at
-        most; beyond, all rows go on to the exact counts, with the same result."""
+        The filters are sent to the executors if they take ``FILTER_BYTES`` at most;
+        beyond, the rows are dealt to the filters, with the same result."""
         filters = self.part("filters")
-        size = filters.agg(F.sum(F.length("filter"))).head()[0]
+        size, shards = filters.agg(F.sum(F.length("filter")), F.max("n")).head()
         if size is None:
             return refs.limit(0)
         if size > FILTER_BYTES:
-            return refs
+            return self._dealt_by_shard(refs, filters, shards)
         sent = self.spark.sparkContext.broadcast([tuple(r) for r in filters.select("shard", "n", "filter").collect()])
 
         def run(batches):
@@ -278,6 +279,39 @@ class LineIndex:
 
         return refs.mapInArrow(run, refs.schema)
 
+    def _dealt_by_shard(self, refs: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+        """Every row asks its own shard's filter only: rows are dealt by shard, one with
+        many rows (a hot line's) in parts of ``PART_ROWS``, behind a copy of the filter a
+        part.  A task holds one filter at a time and streams its rows past it."""
+        table = materialize(refs.withColumn("shard", _shard_column(shards)), "sharded-refs")
+        parts = materialize(table.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART_ROWS)).cast("int").alias("parts")), "shard-parts")
+        parts = F.broadcast(parts)  # a row per filter
+        rows = table.join(parts, "shard").select("shard", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"),
+                                                 F.lit(None).cast("binary").alias("filter"), "doc_id", "key")
+        kind = refs.schema["doc_id"].dataType
+        copies = filters.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "filter",
+                                                     F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("binary").alias("key"))
+
+        def run(batches):
+            at = cuckoo = None
+            for batch in batches:
+                place = [batch.column(c).to_numpy() for c in ("shard", "part")]
+                blobs, keys = batch.column("filter"), batch.column("key").to_pylist()
+                hit = np.zeros(len(batch), bool)
+                change = np.r_[True, (place[0][1:] != place[0][:-1]) | (place[1][1:] != place[1][:-1])] if len(batch) else []
+                starts = [*np.flatnonzero(change), len(batch)]
+                for s, e in zip(starts, starts[1:]):
+                    if at != (at := (int(place[0][s]), int(place[1][s]))):
+                        cuckoo = None
+                    if blobs[s].is_valid:  # the filter comes before the rows
+                        cuckoo, s = Cuckoo.load(blobs[s].as_py()), s + 1
+                    if cuckoo is not None and s < e:
+                        hit[s:e] = cuckoo.may_have(keys[s:e])
+                yield batch.select(["doc_id", "key"]).filter(pa.array(hit))
+
+        dealt = copies.unionByName(rows).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("filter").isNull())
+        return dealt.mapInArrow(run, refs.schema)
+
     def drops(self, refs: DataFrame) -> DataFrame:
         """``doc_id, keys``: per document of ``refs`` the keys whose lines go."""
         repeated = self.part("counts").where(F.col("n_docs") >= self.min_docs).select("key", "last_doc")

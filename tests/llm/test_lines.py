@@ -100,7 +100,11 @@ def test_filters_only_spare_work(spark, monkeypatch):
     asked = index.maybe_repeated(refs)
     repeated = {bytes(r["key"]) for r in index.part("counts").where("n_docs >= 3").collect()}
     assert repeated <= {bytes(r["key"]) for r in asked.select("key").distinct().collect()} and asked.count() < refs.count()
+    want = sorted(map(repr, asked.collect()))
     monkeypatch.setattr(lines, "FILTER_BYTES", 0)
+    for part_rows in (1_000_000, 5):  # rows dealt to the filters, hot shards in parts
+        monkeypatch.setattr(lines, "PART_ROWS", part_rows)
+        assert sorted(map(repr, index.maybe_repeated(refs).collect())) == want
     assert cleaned(index, frame(spark, rows), indexed=True) == plain_clean(rows)
 
 
@@ -110,6 +114,14 @@ def test_many_shards(spark, monkeypatch):
     index = lines.LineIndex.build(frame(spark, rows))
     assert index.part("filters").count() > 4
     assert cleaned(index, frame(spark, rows)) == plain_clean(rows)
+    monkeypatch.setattr(lines, "FILTER_BYTES", 0)
+    monkeypatch.setattr(lines, "PART_ROWS", 3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        assert cleaned(index, frame(spark, rows)) == plain_clean(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
