@@ -85,8 +85,9 @@ def test_registered(spark):
     assert queries["pipeline"] is corpus_pipeline.run
     assert {n for n in queries if n[:2] == "op" and n[2].isdigit()} == {
         "op1_quality_classifier", "op2_warc", "op3_benchmark_decontamination", "op4_line_dedup", "op5_language_id", "op6_imatch_fingerprints",
-        "op7_main_text", "op8_simhash_near_dedup", "op9_source_mixing", "op10_suffix_array_dedup"}
-    assert {"op2_warc", "op3_benchmark_decontamination", "op4_line_dedup"} <= set(__spark_entry__.oracle_sql())
+        "op7_main_text", "op8_simhash_near_dedup", "op9_source_mixing", "op10_suffix_array_dedup",
+        "op11_conversation_trie", "op12_minmax_near_dedup", "op13_fill_in_middle"}
+    assert {"op2_warc", "op3_benchmark_decontamination", "op4_line_dedup", "op11_conversation_trie", "op12_minmax_near_dedup", "op13_fill_in_middle"} <= set(__spark_entry__.oracle_sql())
 
 
 @pytest.mark.parametrize("name", list(STAGE))
