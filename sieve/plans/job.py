@@ -10,6 +10,8 @@ are replaced by tables:
   --ranks PATH         rank pages Parquet (page_id, html, kind=conference|journal)
   --batch N            screen only the first N candidates of each study
   --collect_content    enrich with --meta (and --title_index, --pages)
+  --title_threshold T  papers without DOI take the best hit in --title_index whose
+                       score is T or more (0 to 1), not only one of an equal title
   --generate_report    build assessment requests; with --responses
                        (study_id, rec_id, response) also assessments
   --export_all         CSV export of the papers, one per study of this run
@@ -49,6 +51,7 @@ def parse_args(argv=None):
     ap.add_argument("--collect_content", action="store_true")
     ap.add_argument("--meta")
     ap.add_argument("--title_index")
+    ap.add_argument("--title_threshold", type=float)
     ap.add_argument("--pages")
     ap.add_argument("--generate_report", action="store_true")
     ap.add_argument("--responses")
@@ -97,7 +100,7 @@ def run(spark: SparkSession, args) -> dict[str, str]:
     responses = spark.read.parquet(args.responses) if args.generate_report and args.responses else None
     review = ReviewRun(records, studies, rank_table_of(spark.read.parquet(args.ranks)), title_index=index,
                        meta=meta, landing=pages, responses=responses, batch_size=args.batch,
-                       dump_name=os.path.basename(args.dblp.rstrip("/")))
+                       dump_name=os.path.basename(args.dblp.rstrip("/")), title_threshold=args.title_threshold)
     names = ["papers"]
     if args.collect_content:
         names += ["contents", "metrics"]

@@ -19,6 +19,7 @@ from ..operators.multi import gate_flags, multi_candidates
 from ..operators.ranks import rank_rows
 from ..operators.reports import study_counters
 from ..operators.screening import PAPER_COLUMNS, Study, screen
+from ..operators.titles import resolve_ids_ranked
 from ..session import materialize
 from ..sources.studies import studies_from_json
 from . import fixtures
@@ -68,7 +69,8 @@ class ReviewRun:
 
     Inputs are DataFrames: ``records`` (the dump), ``studies`` (studies
     table), ``rank_table`` (``ranks.rank_rows`` output); optionally
-    ``title_index`` (identifier resolution), ``meta`` (metadata enrichment),
+    ``title_index`` (identifier resolution; by equal titles, or by the best hit of
+    ``title_threshold`` or more if that is given), ``meta`` (metadata enrichment),
     ``landing`` (pages for the abstract fallback) and ``responses``: a
     ``(study_id, rec_id, response)`` table, or a function that maps the
     requested papers ``(study_id, rec_id, meta_id)`` to one."""
@@ -77,7 +79,8 @@ class ReviewRun:
                  title_index: DataFrame | None = None, meta: DataFrame | None = None,
                  landing: DataFrame | None = None, responses=None, batch_size: int | None = None,
                  run_date: str | None = None, dump_name: str = "", min_rating: int = 5,
-                 runtime_seconds: float = 0.0):
+                 runtime_seconds: float = 0.0, title_threshold: float | None = None):
+        self.title_threshold = title_threshold
         self.records, self.study_table, self.rank_table = records, studies, rank_table
         self.title_index, self.meta, self.landing, self._responses_in = title_index, meta, landing, responses
         self.batch_size, self.run_date, self.dump_name = batch_size, run_date, dump_name
@@ -113,7 +116,9 @@ class ReviewRun:
         # the accepted papers come from the written candidates, so the lookup
         # sides can be cut to the keys they need at little cost
         papers = self._accepted
-        if self.title_index is not None:
+        if self.title_index is not None and self.title_threshold is not None:
+            papers = resolve_ids_ranked(papers, self.title_index, threshold=self.title_threshold).select(*papers.columns)
+        elif self.title_index is not None:
             papers = resolve_ids(papers, self.title_index, cut=True)
         if self.meta is not None:
             wide = enrich_wide(papers, self.meta, cut=True)

@@ -87,3 +87,15 @@ def test_no_cross_join(spark):
     frame = lambda rows: spark.createDataFrame([(r,) for r in rows], "t string").select(titles.title_key("t").alias("key")).distinct()
     plan = titles.best_titles(frame(queries), frame(index))._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Python" not in plan
+
+
+def test_review_run_takes_the_best_hit(spark):
+    """Papers without DOI get the identifiers of a title that only resembles theirs."""
+    from sieve.plans.review import ReviewInputs, ReviewRun
+
+    inp = ReviewInputs(spark, "/root/testdata/sf0.001")
+    changed = inp.view("title_index").withColumn("title", F.concat(F.lit("Revisited: "), F.col("title")))
+    runs = [ReviewRun(inp.bib, inp.studies.where("study_id = 2"), inp.rank_table, title_index=changed, title_threshold=t) for t in (None, 0.5)]
+    exact, ranked = ({r["rec_id"]: r["semantic_scholar_id"] for r in run.papers.collect()} for run in runs)
+    assert set(exact) == set(ranked) and not any(exact.values())
+    assert sum(v is not None for v in ranked.values()) > 0
