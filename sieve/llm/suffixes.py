@@ -7,18 +7,22 @@ are kept: of every window of ``MIN_WORDS`` words the place of its least hashed
 the same place, so equal passages always share a kept suffix.
 
 1. Suffixes whose leading n-gram occurs in one document only are dropped (grouped count).
-2. A kept suffix is extended to the left and right by the windows that select it,
-   given as hashes; equal extensions are summed before the shuffle to their least and
-   largest document, so any number of copies is one row.
-3. The rows, sorted by their leading n-gram, lie beside their neighbours; neighbours'
-   windows are compared at equal extension, and a window that two documents have marks
-   its words.  The marked windows of a document are joined to spans.  An n-gram with
-   very many different extensions has its windows compared one by one, dealt by their
-   hashes.
+2. A kept suffix carries its words as far as the windows that select it reach, to the
+   right (``after``, from the suffix on) and to the left (``before``); equal ones are
+   summed before the shuffle to their least and largest document, so any number of
+   copies is one row.
+3. Spark deals the rows by their leading n-gram and sorts them by ``after``: a sparse
+   suffix array.  Neighbours' common prefixes tell how far matches reach to the right;
+   the same rows in the order of ``before``, read backwards, how far they reach to the
+   left.  A window is shared by the rows that are together at its depth in both orders;
+   if they come from two documents, it marks its words.  Only words are compared, no
+   hashes.  The marked windows of a document are joined to spans.  An n-gram with very
+   many different extensions has its windows compared one by one, dealt by their digests.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from typing import Iterator
 
@@ -34,8 +38,13 @@ from .common import by_id, lookup, lower_ascii_table, quoted, texts_of
 MIN_WORDS = 50
 ANCHOR_WORDS = 10
 LOWER = lower_ascii_table()
-#: different extensions of one anchor that are compared within a task (about 7 MB)
+#: different extensions of one anchor that are compared within a task (about 20 MB of words)
 CROWD = 20_000
+#: rows of words that a task holds before it passes them on
+HELD = 2_000
+#: words of more bytes stand in extensions by a NUL and their SHA-256 (one byte longer, so
+#: that no word is taken for another's stand-in)
+LONG_WORD = 64
 #: odd multipliers of the rolling and the mixing hash (fixed values)
 BASE, MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
@@ -51,20 +60,34 @@ def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def word_hashes(text: bytes) -> np.ndarray:
+def words_of(text: bytes) -> list[bytes]:
+    return text.translate(LOWER).split()
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
 
-    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, text.translate(LOWER).split())), ">u8").astype(np.uint64)
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
+
+
+def joined(words: list[bytes]) -> bytes:
+    """The words, each with a space after it: sorting by bytes keeps runs that share
+    their first words together."""
+    if not words:
+        return b""
+    if max(map(len, words)) > LONG_WORD:
+        words = [w if len(w) <= LONG_WORD else b"\0" + hashlib.sha256(w).hexdigest().encode() for w in words]
+    return b" ".join(words) + b" "
 
 
-def kept_suffixes(hashes: np.ndarray, min_words: int, anchor_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Leading n-gram hash and first and last selecting window of every kept suffix
-    of a text of at least ``min_words`` words."""
+def kept_suffixes(hashes: np.ndarray, min_words: int, anchor_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Leading n-gram hash, place and first and last selecting window of every kept
+    suffix of a text of at least ``min_words`` words."""
     grams = rolling(hashes, anchor_words)
     width = min_words - anchor_words + 1
     place = np.lib.stride_tricks.sliding_window_view(grams, width).argmin(1) + np.arange(len(hashes) - min_words + 1)
     first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    return grams[place[first]], first, np.r_[first[1:] - 1, len(place) - 1]
+    return grams[place[first]], place[first], first, np.r_[first[1:] - 1, len(place) - 1]
 
 
 def _anchors(min_words: int, anchor_words: int):
@@ -74,8 +97,9 @@ def _anchors(min_words: int, anchor_words: int):
                 part = batch.slice(at, 256)
                 rows, found = [], []
                 for row, text in enumerate(texts_of(part.column(1))):
-                    hashes = word_hashes(text)
-                    if len(hashes) >= min_words:
+                    words = words_of(text)
+                    if len(words) >= min_words:
+                        hashes = word_hashes(words)
                         found.append(np.unique(kept_suffixes(hashes, min_words, anchor_words)[0]))
                         rows.append(np.full(len(found[-1]), row))
                 if found:
@@ -86,39 +110,68 @@ def _anchors(min_words: int, anchor_words: int):
 
 
 def _extensions(min_words: int, anchor_words: int):
+    import xxhash
+
+    names = ["doc", "first", "anchor", "mark", "before", "after"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 64):
-                part = batch.slice(at, 64)
-                cols: list[list[np.ndarray]] = [[], [], [], [], []]
-                sizes = []
-                for row, (text, wanted) in enumerate(zip(texts_of(part.column(1)), part.column(2))):
-                    hashes = word_hashes(text)
-                    if len(hashes) < min_words:  # another row of the same id had the anchors
-                        continue
-                    anchors, first, last = kept_suffixes(hashes, min_words, anchor_words)
-                    take = np.isin(anchors, wanted.values.to_numpy().view(np.uint64))
-                    if not take.any():
-                        continue
-                    anchors, first, last = anchors[take], first[take], last[take]
-                    size = last - first + 1
-                    starts = np.cumsum(size) - size
-                    offset = np.arange(size.sum()) - np.repeat(starts, size)
-                    windows = rolling(hashes, min_words)[np.repeat(first, size) + offset]
-                    mark = np.add.reduceat(windows * (offset.astype(np.uint64) * np.uint64(2) + np.uint64(MIX)), starts)
-                    for c, v in zip(cols, (np.full(len(anchors), row), first, anchors.view(np.int64), mark.view(np.int64), windows.view(np.int64))):
-                        c.append(v)
-                    sizes.append(size)
-                if sizes:
-                    row, first, anchor, mark, windows = map(np.concatenate, cols)
-                    ends = np.r_[0, np.cumsum(np.concatenate(sizes))].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array(row)), pa.array(first.astype(np.int32)), pa.array(anchor), pa.array(mark),
-                         pa.ListArray.from_arrays(pa.array(ends), pa.array(windows))], ["doc", "first", "anchor", "mark", "windows"])
+            rows: list[tuple] = []
+            for doc, text, wanted in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2)):
+                words = words_of(text)
+                if len(words) < min_words:  # another row of the same id had the anchors
+                    continue
+                anchors, place, first, last = kept_suffixes(word_hashes(words), min_words, anchor_words)
+                anchors = anchors.view(np.int64)
+                for k in np.flatnonzero(np.isin(anchors, wanted.values.to_numpy())):
+                    before, after = joined(words[first[k]:place[k]]), joined(words[place[k]:last[k] + min_words])
+                    mark = xxhash.xxh64_intdigest(before + b"\n" + after) - (1 << 63)
+                    rows.append((doc, first[k], anchors[k], mark, before, after))
+                    if len(rows) == HELD:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                        rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     return run
 
 
+def word_codes(texts: list[bytes], backwards: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Matrix of word numbers, a row per text and -1 after its last word, and the
+    numbers of words."""
+    split = [t.split(b" ")[:-1] for t in texts]
+    sizes = np.array([len(w) for w in split], np.int64)
+    flat = [w for ws in split for w in (reversed(ws) if backwards else ws)]
+    codes = np.full((len(texts), max(int(sizes.max()), 1)), -1, np.int64)
+    codes[np.arange(codes.shape[1]) < sizes[:, None]] = pd.factorize(np.array(flat, dtype=object))[0]
+    return codes, sizes
+
+
+def common_prefixes(codes: np.ndarray) -> np.ndarray:
+    """Words that each row shares with the row before it, from the first on."""
+    same = (codes[1:] == codes[:-1]) & (codes[1:] >= 0)
+    return np.r_[0, np.logical_and.accumulate(same, axis=1).sum(1)]
+
+
+def window_groups(before: list[bytes], after: list[bytes], min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of every row (``sizes`` of them, from the left), numbered so that equal
+    numbers are equal words.  Rows come sorted by ``after``."""
+    right, ahead = word_codes(after)
+    left, behind = word_codes(before, backwards=True)
+    order = np.lexsort(left.T[::-1])
+    reach_right, reach_left = common_prefixes(right), common_prefixes(left[order])
+    depth = np.arange(behind.max() + 1)  # words of a window to the left of the suffix
+    by_right = np.cumsum(reach_right[:, None] < min_words - depth, axis=0)
+    by_left = np.empty_like(by_right)
+    by_left[order] = np.cumsum(reach_left[:, None] < depth, axis=0)
+    sizes = behind + ahead - min_words + 1
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.repeat(behind, sizes) - (np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes))
+    n = len(sizes) + 1
+    return sizes, (at * n + by_right[row, at]) * n + by_left[row, at]
+
+
 def compare_neighbours(anchor, mark, low, high, sizes, windows):
     """Rows with a window that two documents have: ``keep`` (their indices), the bits
     of those windows, of those that a document before ``low`` has, and the least
@@ -147,15 +200,20 @@ def compare_neighbours(anchor, mark, low, high, sizes, windows):
     return rows[hit], bits[hit], lower[hit], first[hit]
 
 
-def _compare(batches) -> Iterator[pa.RecordBatch]:
+def _compare(min_words: int):
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        return _compare_sorted(batches, min_words)
+
+    return run
+
+
+def _compare_sorted(batches, min_words: int) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []  # rows of the last anchor so far
 
     def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(parts).combine_chunks()
+        t = pa.Table.from_batches(parts)
         col = {n: t.column(n).to_numpy() for n in ("anchor", "mark", "low", "high")}
-        lists = t.column("windows")
-        sizes = np.concatenate([c.value_lengths().to_numpy() for c in lists.chunks])
-        windows = np.concatenate([c.flatten().to_numpy() for c in lists.chunks])
+        sizes, windows = window_groups(t.column("before").to_pylist(), t.column("after").to_pylist(), min_words)
         keep, bits, lower, first = compare_neighbours(*col.values(), sizes, windows)
         out = [pa.array(col["anchor"][keep]), pa.array(col["mark"][keep]), pa.array(col["low"][keep]), pa.array(bits, pa.int64()),
                pa.array(lower, pa.int64()), pa.array(first, pa.int64())]
@@ -179,21 +237,23 @@ def _compare(batches) -> Iterator[pa.RecordBatch]:
 
 
 def _distinct(runs: DataFrame) -> DataFrame:
-    """Equal extensions as one row, summed per task before the shuffle."""
-    return runs.groupBy("anchor", "mark").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.first("windows").alias("windows"))
+    """Equal extensions (all words equal) as one row, summed per task before the shuffle."""
+    return runs.groupBy("anchor", "mark", "before", "after").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
 
 
-def compare_sorted(distinct: DataFrame) -> DataFrame:
-    """Neighbours in sorted order compared within tasks; a task holds one anchor's
+def compare_sorted(distinct: DataFrame, min_words: int) -> DataFrame:
+    """The suffix array of every anchor, compared within tasks; a task holds one anchor's
     rows at a time, at most :data:`CROWD`."""
-    return distinct.select("anchor", "mark", "low", "high", "windows").repartition("anchor").sortWithinPartitions("anchor", "mark") \
-        .mapInArrow(_compare, "anchor long, mark long, low long, bits long, lower long, first_doc long")
+    return distinct.select("anchor", "mark", "low", "high", "before", "after").repartition("anchor").sortWithinPartitions("anchor", "after") \
+        .mapInArrow(_compare(min_words), "anchor long, mark long, low long, bits long, lower long, first_doc long")
 
 
-def compare_windows(distinct: DataFrame) -> DataFrame:
-    """The same for anchors with more rows: their windows one by one, owners summed
-    per task before the shuffle, so that no anchor's rows come together."""
-    windows = distinct.select("anchor", "mark", "low", "high", F.posexplode("windows").alias("i", "w"))
+def compare_windows(distinct: DataFrame, min_words: int) -> DataFrame:
+    """The same for anchors with more rows: the digests of their windows one by one,
+    owners summed per task before the shuffle, so that no anchor's rows come together."""
+    both = F.split(F.concat("before", "after").cast("string"), " ")  # ends with an empty piece
+    digests = F.transform(F.sequence(F.lit(1), F.size("words") - min_words), lambda i: F.md5(F.array_join(F.slice("words", i, min_words), " ")))
+    windows = distinct.withColumn("words", both).select("anchor", "mark", "low", "high", F.posexplode(digests).alias("i", "w"))
     owners = windows.groupBy("anchor", "w").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i"))
     return windows.join(owners, ["anchor", "w"]).groupBy("anchor", "mark") \
@@ -213,15 +273,15 @@ def shared_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     common = anchors.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("anchor")
     wanted = anchors.join(materialize(common, "common-anchors"), "anchor", "left_semi").groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("anchor").alias("wanted"))
     met = rows.join(materialize(wanted, "wanted"), F.col("doc") == F.col("_doc")).select("doc", "text", "wanted")
-    runs = materialize(met.mapInArrow(_extensions(min_words, anchor_words), "doc long, first int, anchor long, mark long, windows array<long>"), "extensions")
+    runs = materialize(met.mapInArrow(_extensions(min_words, anchor_words), "doc long, first int, anchor long, mark long, before binary, after binary"), "extensions")
     distinct = materialize(_distinct(runs), "distinct")
     crowded, seen = materialize(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD)
                                 .select("anchor", F.lit(True).alias("crowded")), "crowded", {"n": F.count(F.lit(1))})
     if seen["n"]:
         told = lookup(distinct, crowded, ["anchor"], F.xxhash64("mark"))
-        compared = compare_sorted(told.where("crowded IS NULL")).unionByName(compare_windows(told.where("crowded")))
+        compared = compare_sorted(told.where("crowded IS NULL"), min_words).unionByName(compare_windows(told.where("crowded"), min_words))
     else:
-        compared = compare_sorted(distinct)
+        compared = compare_sorted(distinct, min_words)
     shared = materialize(compared, "shared")
     drop = F.when(F.col("doc") > F.col("low"), F.col("bits")).otherwise(F.col("lower"))
     return runs.select("doc", "first", "anchor", "mark").join(shared, ["anchor", "mark"]).select("doc", "first", "bits", drop.alias("drop"), "first_doc")

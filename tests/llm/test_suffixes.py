@@ -78,6 +78,34 @@ def test_crowded_anchors_change_nothing(spark, monkeypatch, crowd):
     assert got(suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), min_words=20, anchor_words=5)) == plain(rows, 20)
 
 
+def test_window_numbers_tell_words_apart():
+    """Rows under one anchor hash whose words differ anywhere, the anchor's too."""
+    rng = random.Random(4)
+    n = 6
+    rows = set()
+    for _ in range(400):
+        b, a = rng.randrange(0, 5), rng.randrange(2, 7)
+        if a + b >= n:
+            rows.add((tuple(rng.choice("ab") for _ in range(b)), tuple(rng.choice("ab") for _ in range(a))))
+    rows = sorted(rows, key=lambda r: suffixes.joined([w.encode() for w in r[1]]))
+    pack = lambda side: [suffixes.joined([w.encode() for w in r[side]]) for r in rows]
+    sizes, numbers = suffixes.window_groups(pack(0), pack(1), n)
+    want = [(len(b) - i, (b + a)[i:i + n]) for b, a in rows for i in range(len(b) + len(a) - n + 1)]
+    assert sizes.sum() == len(want) == len(numbers) > 400
+    pairs = set(zip(numbers.tolist(), want))
+    assert len(pairs) == len(set(want)) == len(set(numbers.tolist()))
+
+
+def test_long_words_are_told_apart_by_their_digest(spark):
+    long = ["x" * 70 + str(k) for k in range(3)]
+    stand_in = suffixes.joined([long[0].encode()])[:-1].decode()
+    assert len(stand_in) == suffixes.LONG_WORD + 1
+    passage = " ".join(f"w{k}" for k in range(12))
+    rows = [(1, f"{long[0]} {passage} {long[1]}"), (2, f"{long[0]} {passage} {long[2]}"), (3, f"{stand_in} {passage} {long[1]}")]
+    got_ = got(suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), min_words=13, anchor_words=3))
+    assert got_ == plain(rows, 13)
+
+
 def test_copies_and_long_texts(spark):
     rng = random.Random(9)
     long = " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(25_000))
