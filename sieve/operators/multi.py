@@ -27,17 +27,31 @@ STUDY_COLUMNS = ["study_id", "year_min", "year_max", "search_word_groups", "acce
                  "venue_rank_threshold", "manually_accepted_venue_codes"]
 
 
-def study_years(studies: DataFrame) -> DataFrame:
-    """``(year, study_id, types, compiled query, threshold, allow-list)`` rows."""
-    st = studies.select(
+def study_queries(studies: DataFrame) -> DataFrame:
+    """``(study_id, types, compiled query, threshold, allow-list, year range)`` rows."""
+    return studies.select(
         "study_id",
         F.col("accepted_venue_types").alias("_types"),
         compile_query_expr(groups_query_expr("search_word_groups")).alias("_q"),
         F.col("venue_rank_threshold").alias("_th"),
         F.coalesce(F.col("manually_accepted_venue_codes"), F.array().cast("array<string>")).alias("_allow"),
-        F.explode(F.sequence(F.col("year_min").cast("int"), F.col("year_max").cast("int"))).alias("year"),
+        F.col("year_min").cast("int").alias("_lo"), F.col("year_max").cast("int").alias("_hi"),
     )
-    return st
+
+
+def study_years(queries: DataFrame) -> DataFrame:
+    """The rows of ``study_queries`` once for every ``year`` of their ranges."""
+    return queries.withColumn("year", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
+
+
+def limit_per_study(cands: DataFrame, batch_size: int | None) -> DataFrame:
+    """The first ``batch_size`` candidates of every study in dump order (all if None, 0 or -1)."""
+    if batch_size is None or batch_size in (0, -1):
+        return cands
+    # Spark inserts a per-partition group limit before the shuffle, so at most n
+    # rows per study and task move.
+    w = Window.partitionBy("study_id").orderBy("ord")
+    return cands.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= batch_size).drop("_n")
 
 
 def multi_candidates(records: DataFrame, studies: DataFrame, batch_size: int | None = None) -> DataFrame:
@@ -48,7 +62,7 @@ def multi_candidates(records: DataFrame, studies: DataFrame, batch_size: int | N
     missing = [c for c in STUDY_COLUMNS if c not in studies.columns]
     if missing:
         raise ValueError(f"studies table lacks columns {missing}")
-    sy = study_years(studies.where(F.col("year_min") <= F.col("year_max")))
+    sy = study_years(study_queries(studies.where(F.col("year_min") <= F.col("year_max"))))
     # the overall year range is observed while the study years are written,
     # and pushed into the scan of the records
     side, seen, _ = bounded_broadcast_with(sy, {
@@ -63,12 +77,7 @@ def multi_candidates(records: DataFrame, studies: DataFrame, batch_size: int | N
             recs = partition_prune(recs, sorted(seen.get("types") or []))
     joined = recs.join(side, "year")
     cands = joined.where(prefix_any_expr("key", "_types") & match_compiled_expr("title", "_q"))
-    if batch_size is not None and batch_size not in (0, -1):
-        # Per-study top-n in dump order; Spark inserts a per-partition group
-        # limit before the shuffle, so at most n rows per study and task move.
-        w = Window.partitionBy("study_id").orderBy("ord")
-        cands = cands.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= batch_size).drop("_n")
-    return cands
+    return limit_per_study(cands, batch_size)
 
 
 def gate_flags(cands: DataFrame, rank_table: DataFrame, missing_passes: bool = True) -> DataFrame:

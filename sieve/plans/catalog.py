@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cnf, formats, markup, text, venue
-from ..operators import abstracts, assess, enrich, multi, prisma, reports, screening, titles
+from ..operators import abstracts, assess, enrich, index, multi, prisma, reports, screening, titles
 from ..operators import ranks as rank_ops
 from ..schemas import PAPERS
 from ..session import scratch_path
@@ -195,6 +195,29 @@ def q_screen_many(spark, sf_dir):
     return multi.screen_many(inp.bib, inp.studies, inp.rank_table)
 
 
+@query("screen_indexed")
+def q_screen_indexed(spark, sf_dir):
+    """Accepted papers of all four reviews by the inverted index of their queries."""
+    inp = ReviewInputs(spark, sf_dir)
+    return index.screen_indexed(inp.bib, inp.studies, inp.rank_table)
+
+
+@query("screen_part_studies")
+def q_screen_part_studies(spark, sf_dir):
+    """One small review per part: accepted papers by the index, allow-lists as a table."""
+    inp = ReviewInputs(spark, sf_dir)
+    return index.screen_indexed(inp.bib, part_studies(inp), inp.rank_table, allow=inp.view("part_allow")) \
+        .select("study_id", "rec_id", "venue_rank")
+
+
+def part_studies(inp: ReviewInputs):
+    """The view ``part_studies`` as a studies table."""
+    return inp.view("part_studies").select(
+        "study_id", "year_min", "year_max", F.array(F.array("w1", "w2"), F.array("w3")).alias("search_word_groups"),
+        F.array("venue_type").alias("accepted_venue_types"), "venue_rank_threshold",
+        F.lit(None).cast("array<string>").alias("manually_accepted_venue_codes"))
+
+
 # --- text functions -----------------------------------------------------------------
 @query("clean_text")
 def q_clean_text(spark, sf_dir):

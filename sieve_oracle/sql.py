@@ -597,6 +597,23 @@ ORACLES["screen_many"] = R("SELECT study_id, rec_id, nullif(regexp_extract(ee, '
                            "parts[2] AS venue_code, parts[3] AS venue_key, venue_rank, ee AS publisher_source, "
                            "CAST(NULL AS VARCHAR) AS pdf_source FROM gated WHERE passed_gate")
 
+ORACLES["screen_indexed"] = ORACLES["screen_many"]
+ORACLES["screen_part_studies"] = f"""WITH {views('bib', 'rank_html', 'part_studies', 'part_allow')},
+dim AS {dim_cte()},
+queries AS (SELECT DISTINCT w1, w2, w3, {groups_query('[[w1, w2], [w3]]')} AS q FROM part_studies),
+titles AS (SELECT DISTINCT title FROM bib),
+hits AS (SELECT w1, w2, w3, title FROM queries, titles WHERE {cnf('title', 'q')}),
+cands AS (SELECT s.*, b.rec_id, b.key, string_split(b.key, '/') AS parts FROM part_studies s
+          JOIN hits h ON h.w1 = s.w1 AND h.w2 = s.w2 AND h.w3 = s.w3
+          JOIN bib b ON b.title = h.title AND b.year BETWEEN s.year_min AND s.year_max AND starts_with(b.key, s.venue_type)),
+ranked AS (SELECT c.*, coalesce(dim.venue_rank, 'MISSING') AS venue_rank
+           FROM (SELECT * FROM cands WHERE len(parts) = 3) c LEFT JOIN dim
+             ON dim.kind = CASE parts[1] WHEN 'conf' THEN 'conference' WHEN 'journals' THEN 'journal' END
+            AND dim.lkey = lower(parts[2]))
+SELECT study_id, rec_id, venue_rank FROM ranked r
+WHERE list_position({lit(RANKS)}, venue_rank) <= CASE venue_rank_threshold WHEN 'A*' THEN 2 WHEN 'B' THEN 4 ELSE 5 END
+   OR EXISTS (SELECT 1 FROM part_allow a WHERE a.study_id = r.study_id AND starts_with(r.key, a.prefix))"""
+
 
 def _ix() -> str:
     return f"""ix AS (SELECT {norm_title('title')} AS t,
