@@ -204,7 +204,7 @@ def q_screen_indexed(spark, sf_dir):
 
 @query("screen_part_studies")
 def q_screen_part_studies(spark, sf_dir):
-    """One small review per part: accepted papers by the index, allow-lists as a table."""
+    """One small review per name and type of parts: accepted papers by the index, allow-lists as a table."""
     inp = ReviewInputs(spark, sf_dir)
     return index.screen_indexed(inp.bib, part_studies(inp), inp.rank_table, allow=inp.view("part_allow")) \
         .select("study_id", "rec_id", "venue_rank")

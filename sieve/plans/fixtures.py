@@ -31,19 +31,19 @@ SELECT o_orderkey AS rec_id, o_orderkey AS ord,
       ELSE concat('https://doi.org/10.', CAST(1000 + o_custkey % 9000 AS STRING), '/Bib.', CAST(o_custkey AS STRING)) END AS ee
 FROM {orders} JOIN {part} ON p_partkey = o_orderkey % 200
 """,
-    # one small review per part: words of its name and type, years and threshold by its size
+    # one small review per distinct name and type of parts
     "part_studies": """
-SELECT CAST(p_partkey AS BIGINT) AS study_id, split_part(p_name, ' ', 1) AS w1, lower(p_type) AS w2, split_part(p_name, ' ', 2) AS w3,
- CAST(1995 + p_size % 5 AS BIGINT) AS year_min, CAST(1995 + p_size % 5 + p_partkey % 2 AS BIGINT) AS year_max,
- CASE p_size % 3 WHEN 0 THEN 'A*' WHEN 1 THEN 'B' ELSE 'C' END AS venue_rank_threshold,
- CASE WHEN p_partkey % 3 = 0 THEN 'phd' ELSE 'conf' END AS venue_type
-FROM {part}
+SELECT CAST(min(p_partkey) AS BIGINT) AS study_id, split_part(p_name, ' ', 1) AS w1, lower(p_type) AS w2, split_part(p_name, ' ', 2) AS w3,
+ CAST(1995 + min(p_partkey) % 5 AS BIGINT) AS year_min, CAST(1995 + min(p_partkey) % 5 + min(p_partkey) % 2 AS BIGINT) AS year_max,
+ CASE min(p_partkey) % 3 WHEN 0 THEN 'A*' WHEN 1 THEN 'B' ELSE 'C' END AS venue_rank_threshold,
+ CASE WHEN min(p_partkey) % 4 = 0 THEN 'phd' ELSE 'conf' END AS venue_type
+FROM {part} GROUP BY p_name, p_type
 """,
     # their allow-lists as rows: prefixes of several lengths, some within others
     "part_allow": """
-SELECT CAST(p_partkey AS BIGINT) AS study_id, concat('conf/v', CAST(p_size % 40 AS STRING)) AS prefix FROM {part}
-UNION ALL SELECT CAST(p_partkey AS BIGINT), concat('conf/v', CAST(p_size % 10 AS STRING)) FROM {part}
-UNION ALL SELECT CAST(p_partkey AS BIGINT), concat('phd/v3/K', CAST(p_size AS STRING)) FROM {part}
+SELECT CAST(min(p_partkey) AS BIGINT) AS study_id, concat('conf/v', CAST(max(p_size) % 40 AS STRING)) AS prefix FROM {part} GROUP BY p_name, p_type
+UNION ALL SELECT CAST(min(p_partkey) AS BIGINT), concat('conf/v', CAST(max(p_size) % 10 AS STRING)) FROM {part} GROUP BY p_name, p_type
+UNION ALL SELECT CAST(min(p_partkey) AS BIGINT), concat('phd/v3/K', CAST(max(p_size) AS STRING)) FROM {part} GROUP BY p_name, p_type
 """,
     # venue ranks as a plain table: v0..v24 ranked, v25..v39 missing
     "ranks": """
