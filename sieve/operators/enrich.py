@@ -14,15 +14,17 @@ from pyspark.sql import functions as F
 
 from ..functions.text import PY_WS
 from .abstracts import extract_abstracts
-from .joins import left_join_nonnull, unique_by
+from .joins import bounded_broadcast, leading_rows, left_join_nonnull, unique_by
 
 
 def normalize_title(c) -> Column:
     """Lower case, blanks collapsed to one space, ends stripped (exact-title
     lookup key).  After collapsing, the only blank left at either end is a
-    single space, so ``trim`` finishes the strip."""
+    single space, so ``trim`` finishes the strip.  Titles whose only blanks are
+    single spaces, most of them, have nothing to collapse."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.lower(F.trim(F.regexp_replace(col, f"{PY_WS}+", " ")))
+    odd = col.contains("  ") | col.rlike(PY_WS.replace(" ", ""))
+    return F.lower(F.trim(F.when(odd, F.regexp_replace(col, f"{PY_WS}+", " ")).otherwise(col)))
 
 
 def resolve_ids(papers: DataFrame, index: DataFrame, hit_order: str = "hit_rank", cut: bool = False) -> DataFrame:
@@ -37,15 +39,17 @@ def resolve_ids(papers: DataFrame, index: DataFrame, hit_order: str = "hit_rank"
     its papers first): the needed titles are then a cheap read, not a second
     evaluation of the papers' plan."""
     keyed = papers.withColumn("_t", F.when(F.col("doi").isNull(), normalize_title("title")))
-    idx = index.select(normalize_title("title").alias("_t"), "semantic_scholar_id", "doi", hit_order)
+    needed = None
     if cut:
-        idx = idx.join(keyed.where(F.col("_t").isNotNull()).select("_t").distinct(), "_t", "left_semi")
+        needed, _ = bounded_broadcast(keyed.where(F.col("_t").isNotNull()).select("_t").distinct(), name="needed-titles")
+    hits = index.select("title", "semantic_scholar_id", "doi", hit_order)
+    idx = leading_rows(hits, "title", normalize_title("title"), "_t", hit_order, needed)
     # equal hit orders are broken by the hit's own values, so the pick is
     # deterministic
     order = F.struct(hit_order, F.coalesce("semantic_scholar_id", F.lit("")), F.coalesce("doi", F.lit("")))
     first = unique_by(idx, ["_t"], order, ["semantic_scholar_id", "doi"]) \
         .withColumnRenamed("semantic_scholar_id", "_ix_ss").withColumnRenamed("doi", "_ix_doi")
-    joined = left_join_nonnull(keyed, first, ["_t"])
+    joined = left_join_nonnull(keyed, first, ["_t"], broadcast_right=True)
     cols = []
     for c in papers.columns:
         if c == "semantic_scholar_id":

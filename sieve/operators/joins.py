@@ -11,6 +11,7 @@
 * ``unique_by``: reduce a lookup side to one row per key (partial
   aggregation before the shuffle), so a many-to-one join cannot multiply a
   hot left key.
+* ``leading_rows``: reduce many rows of few texts before that, without sorting them.
 """
 
 from __future__ import annotations
@@ -65,6 +66,29 @@ def unique_by(df: DataFrame, keys: Sequence[str], order: Column | str, values: S
     return agg.select(*keys, *[F.col("_v")[v].alias(v) for v in values])
 
 
+def leading_rows(df: DataFrame, text: str, key: Column, name: str, first: str, only: DataFrame | None = None) -> DataFrame:
+    """Rows of ``df`` with ``name``, a ``key`` made of the column ``text`` alone, before they
+    are reduced to one per key by an order that ``first`` leads: of the rows of a text only
+    those with the smallest ``first`` (NULL before any value).  Rows without a key, or with
+    one that ``only`` doesn't have, are left out.
+
+    ``unique_by`` alone would make every row's key and sort each task's rows, as they hold
+    texts.  Here a hash aggregate takes the smallest ``first``, so a task holds a row per
+    text, and keys are made once per text.  ``df`` is evaluated twice; with too many texts
+    for a broadcast all rows are returned, as little would be saved."""
+    def keyed(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn(name, key).where(F.col(name).isNotNull())
+        return rows if only is None else rows.join(only, name, "left_semi")
+
+    least = df.groupBy(text).agg(F.min(first).alias("_least"), F.max(F.col(first).isNull()).alias("_null"))
+    # both tables are written: Spark would move or copy filters on a key to all rows of df
+    texts, few = bounded_broadcast(least, name="least")
+    if not few:
+        return keyed(df)
+    leads = F.when(F.col("_null"), F.col(first).isNull()).otherwise(F.col(first) == F.col("_least"))
+    return df.join(bounded_broadcast(keyed(texts), name="keyed")[0], text).where(leads).drop("_least", "_null")
+
+
 NULL_SALT_BUCKETS = 4096
 
 

@@ -12,7 +12,11 @@ from __future__ import annotations
 import json
 import os
 
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.joins import bounded_broadcast
 
 BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -202,27 +206,40 @@ def duckdb_view_sql(name: str) -> str:
     return VIEWS[name].format(**{t: t for t in BASE_TABLES}).replace("AS STRING)", "AS VARCHAR)")
 
 
-# A test table that is one local file below this size is read by one task.
+# A test table that is one local file below this size is read by few tasks.
 SPREAD_BELOW_BYTES = 1 << 30
 
+# Views that look ``part`` up by ``p_partkey = <key> % 200``: no other keys than the
+# remainders, from -199 to 199, can match, whatever the tables hold.
+PART_BY_REMAINDER = {"bib": 200, "exprs": 200, "title_index": 200, "cited": 200}
+
 
 def base_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table.  The test tables are single small Parquet files (one row
     group), so their scan is one task; such a table is spread over the
     default parallelism (round-robin, which Spark keeps deterministic under
-    retries) so per-row work uses every core.  Tables stored as many files,
-    as on a cluster, are read as they are."""
+    retries) so per-row work uses every core.  Files with a row group for every
+    core, and tables stored as many files, as on a cluster, are read as they are."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     df = spark.read.parquet(path)
-    if os.path.isfile(path) and os.path.getsize(path) < SPREAD_BELOW_BYTES:
-        df = df.repartition(spark.sparkContext.defaultParallelism)
+    cores = spark.sparkContext.defaultParallelism
+    if os.path.isfile(path) and os.path.getsize(path) < SPREAD_BELOW_BYTES and pq.read_metadata(path).num_row_groups < cores:
+        df = df.repartition(cores)
     return df
 
 
+def _parts_by_remainder(part: DataFrame, n: int) -> DataFrame:
+    """The parts a join on ``p_partkey = <key> % n`` can meet, broadcast if their number
+    allows: by shuffle, its few key values would hold whole tables in few tasks."""
+    return bounded_broadcast(part.where(F.abs("p_partkey") < n), name="parts")[0]
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Build a derived view over the parquet tables of ``sf_dir``."""
     sql = VIEWS[name]
     used = {t: base_table(spark, sf_dir, t) for t in BASE_TABLES if "{" + t + "}" in sql}
+    if name in PART_BY_REMAINDER:
+        used["part"] = _parts_by_remainder(used["part"], PART_BY_REMAINDER[name])
     return spark.sql(sql, **used)
 
 
