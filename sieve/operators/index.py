@@ -32,6 +32,8 @@ from .screening import PAPER_COLUMNS
 
 #: characters of the n-grams that pieces are filed under (shorter pieces: themselves)
 GRAM = 4
+#: indexes of at most so many n-grams are asked for each of them in the row
+FEW_GRAMS = 64
 
 
 def _grams(text: Column, n: Column) -> Column:
@@ -62,11 +64,16 @@ def conjunct_hits(records: DataFrame, index: DataFrame) -> DataFrame:
     """``rec_id, year, key, hits``: the conjuncts that each title satisfies (rows without
     any are left out)."""
     table, _ = bounded_broadcast(index, name="piece-index")
-    lengths = sorted(r[0] for r in table.select(F.char_length("gram")).distinct().collect())  # GRAM at most
     low = records.select("rec_id", "year", "key", F.lower("title").alias("low"))
     none = F.array().cast("array<string>")
-    grams = [F.when(F.char_length("low") >= n, _grams(F.col("low"), F.lit(n))).otherwise(none) for n in lengths]
-    asked = low.withColumn("gram", F.explode(F.concat(none, *grams)))
+    few = [r[0] for r in table.select("gram").where("gram IS NOT NULL").distinct().limit(FEW_GRAMS + 1).collect()]
+    if len(few) <= FEW_GRAMS:
+        # a title's n-grams that the index lacks are neither made nor joined
+        held = F.filter(F.array(*map(F.lit, sorted(few))).cast("array<string>"), lambda g: F.col("low").contains(g))
+    else:
+        lengths = sorted(r[0] for r in table.select(F.char_length("gram")).distinct().collect())  # GRAM at most
+        held = F.concat(none, *[F.when(F.char_length("low") >= n, _grams(F.col("low"), F.lit(n))).otherwise(none) for n in lengths])
+    asked = low.withColumn("gram", F.explode(held))
     met = asked.join(table, "gram").where(F.col("low").contains(F.col("piece")))
     return met.select("rec_id", "year", "key", F.explode("conjuncts").alias("conjunct")).groupBy("rec_id", "year", "key") \
         .agg(F.collect_set("conjunct").alias("hits"))

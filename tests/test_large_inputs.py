@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from sieve.operators.enrich import normalize_title, resolve_ids
 from sieve.operators.joins import leading_rows, unique_by
-from sieve.plans import fixtures
+from sieve.operators import index
+from sieve.plans import catalog, fixtures
 
 INDEX = [("Ring  Anvil", "b", None, 2), ("ring anvil", "a", "10.1000/x", 2), ("ring\tanvil ", "c", "10.1000/y", 3), ("Gizmo", "d", None, None),
          ("gizmo", "e", None, 1), ("Bolt", None, None, 5), ("Bolt", "f", None, 5), (None, "g", None, 0), ("Rod", "h", None, 4), ("Rod", "z", None, 9), ("", "i", None, 1)]
@@ -78,3 +79,26 @@ def test_a_file_with_a_row_group_for_every_core_is_not_shuffled(spark, tmpdir_pa
         pq.write_table(pa.table({"r_regionkey": list(range(cores))}), f"{tmpdir_path}/region.parquet", row_group_size=-(-cores // n))
         plan = fixtures.base_table(spark, tmpdir_path, "region")._jdf.queryExecution().executedPlan().toString()
         assert ("Exchange" in plan) == (n == 1 and cores > 1)
+
+
+@pytest.mark.parametrize("few", [64, 2, 0])
+def test_few_grams_are_asked_in_the_row(spark, monkeypatch, few):
+    monkeypatch.setattr(index, "FEW_GRAMS", few)
+    titles = [(1, 1999, "conf/a/1", "Rings of Anvils"), (2, 1999, "conf/a/2", "wo"), (3, 2000, "x", None), (4, 2000, "y", "STRING and rod"), (5, 2000, "z", "")]
+    records = spark.createDataFrame(titles, "rec_id long, year int, key string, title string")
+    needed = spark.createDataFrame([(7, ["anvil", "rod"]), (8, ["ring"]), (9, ["w", "anvilx"])], "conjunct long, pieces array<string>")
+    pieces = index.piece_index(needed)
+    hits = index.conjunct_hits(records, pieces)
+    assert {r["rec_id"]: sorted(r["hits"]) for r in hits.collect()} == {1: [7, 8], 2: [9], 4: [7, 8]}
+    plan = index.conjunct_hits(records, pieces)._jdf.queryExecution().optimizedPlan().toString()
+    assert ("sequence(" in plan) == (few < 6)
+
+
+def test_varied_dump_is_written_by_as_many_tasks_as_set(spark, setting, monkeypatch):
+    setting("spark.sql.adaptive.enabled", "false")
+    seen = []
+    write = catalog.bibliography.write_dump
+    monkeypatch.setattr(catalog.bibliography, "write_dump", lambda df, *a: (seen.append(df.rdd.getNumPartitions()), write(df, *a)))
+    rows = catalog.QUERIES["ingest_varied"](spark, "/root/testdata/sf0.001")
+    assert rows.agg(F.max("ord") + 1 - F.count(F.lit(1))).head()[0] == 0
+    assert seen == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
