@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .joins import bounded_broadcast, left_join_nonnull, unique_by
+from .joins import bounded_broadcast, leading_rows, left_join_nonnull, unique_by
 
 #: scores are in millionths
 FULL = 1_000_000
@@ -98,7 +98,7 @@ def resolve_ids_ranked(papers: DataFrame, index: DataFrame, hit_order: str = "hi
     of ``threshold`` keep their values, a missing identifier included."""
     keyed = papers.withColumn("_t", F.when(F.col("doi").isNull(), title_key("title")))
     order = F.struct(hit_order, F.coalesce("semantic_scholar_id", F.lit("")), F.coalesce("doi", F.lit("")))
-    hits = index.select(title_key("title").alias("key"), "semantic_scholar_id", "doi", hit_order).where("key is not null")
+    hits = leading_rows(index.select("title", "semantic_scholar_id", "doi", hit_order), "title", title_key("title"), "key", hit_order)
     values = [hit_order, "semantic_scholar_id", "doi"]
     firsts = materialize(unique_by(hits, ["key"], order, values), "title-hits")
     wanted = materialize(keyed.where("_t is not null").select(F.col("_t").alias("key")).distinct(), "title-queries")
