@@ -522,7 +522,7 @@ def q_ingest_varied(spark, sf_dir):
     comments and CDATA that hold others; read back and numbered."""
     path = scratch_path(spark, "bib-varied")
     bib = ReviewInputs(spark, sf_dir).bib
-    bibliography.write_dump(bib.repartitionByRange(5, "ord").sortWithinPartitions("ord"), path, bibliography.varied_xml())
+    bibliography.write_dump(bib.repartitionByRange("ord").sortWithinPartitions("ord"), path, bibliography.varied_xml())
     records, _ = bibliography.read_bibliography(spark, path)
     return records.select("ord", "key", "title", "year", "ee")
 
