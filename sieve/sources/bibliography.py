@@ -38,6 +38,8 @@ from ..session import materialize
 RECORD_MARK = ' key="'
 #: start tags looked at for the form of the marker
 MARK_SAMPLE = 20_000
+#: chunks looked at for cut sections before the first pass
+OPEN_SAMPLE = 2_000
 KEY_RE = {'"': '^([^"<>]+)"', "'": "^([^'<>]+)'"}
 ATTRIBUTES = "(?:\\s+[\\w:.-]+\\s*=\\s*(?:\"[^\"<]*\"|'[^'<]*'))*?"
 TAG = "<[A-Za-z_][\\w:.-]*" + ATTRIBUTES + "\\s+key\\s*=\\s*"
@@ -169,13 +171,18 @@ def _slim(parsed: DataFrame) -> DataFrame:
 
 def read_bibliography(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``(records, rejects)`` of an XML dump (file or directory), parsed and written to the
-    shared folder in one pass; a second one only if a section was cut.  ``rejects`` has the
-    ``ord`` of the next record, the reason and the whole text."""
+    shared folder in one pass; a second one only if a section was cut, the first being
+    left out if that shows in a few chunks.  ``rejects`` has the ``ord`` of the next
+    record, the reason and the whole text."""
     mark = record_mark(spark, path)
     chunks = read_chunks(spark, path, mark)
-    told = chunks.withColumn("_open", open_section(F.col("chunk")).isNotNull())
-    parsed, seen = materialize(_slim(parse_chunks(told, mark)), "parsed", {"open": F.count_if("_open")})
-    if seen["open"]:
+    is_open = open_section(F.col("chunk")).isNotNull()
+    cut = bool(chunks.select(is_open.alias("_open")).limit(OPEN_SAMPLE).where("_open").head(1))
+    if not cut:
+        told = chunks.withColumn("_open", is_open)
+        parsed, seen = materialize(_slim(parse_chunks(told, mark)), "parsed", {"open": F.count_if("_open")})
+        cut = bool(seen["open"])
+    if cut:
         parsed = materialize(_slim(parse_chunks(join_cut_sections(chunks, mark), mark)), "parsed")
     placed = _numbered(parsed, ["at", "sub"], F.col("reason").isNull(), "ord")
     records = placed.where(F.col("reason").isNull()).select(F.col("ord").alias("rec_id"), "ord", "key", "title", "year", "ee")

@@ -102,3 +102,17 @@ def test_varied_dump_is_written_by_as_many_tasks_as_set(spark, setting, monkeypa
     rows = catalog.QUERIES["ingest_varied"](spark, "/root/testdata/sf0.001")
     assert rows.agg(F.max("ord") + 1 - F.count(F.lit(1))).head()[0] == 0
     assert seen == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
+
+
+@pytest.mark.parametrize("sample,passes", [(2_000, 1), (1, 2)])
+def test_a_dump_with_cut_sections_is_parsed_once(spark, monkeypatch, tmpdir_path, sample, passes):
+    bibliography = catalog.bibliography
+    monkeypatch.setattr(bibliography, "OPEN_SAMPLE", sample)
+    rows = spark.sql("select id ord, concat('conf/v/', id) key, concat('Title ', id) title, 1999 year, 'https://x.org' ee from range(60)")
+    bibliography.write_dump(rows.coalesce(1).sortWithinPartitions("ord"), f"{tmpdir_path}/dump", bibliography.varied_xml())
+    seen = []
+    parse = bibliography.parse_chunks
+    monkeypatch.setattr(bibliography, "parse_chunks", lambda *a: (seen.append(1), parse(*a))[1])
+    records, rejects = bibliography.read_bibliography(spark, f"{tmpdir_path}/dump")
+    assert [(r["ord"], r["key"], r["title"]) for r in records.orderBy("ord").collect()] == [(i, f"conf/v/{i}", f"Title {i}") for i in range(60)]
+    assert len(seen) == passes
